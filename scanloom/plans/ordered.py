@@ -100,14 +100,14 @@ def percentile_grading(t):
     return W.percentile_grades(li, ["l_linestatus"], "l_extendedprice", "fg").groupBy("l_linestatus", "grade").agg(F.count("*").alias("n"))
 
 
-@query("5.7", f"""WITH RECURSIVE {EVT}, o AS (SELECT user_id, event_id, value/100 AS x, row_number() OVER w AS i,
-    count(*) FILTER (value/100 < 0.5) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS stable FROM evt
+@query("5.7", f"""WITH RECURSIVE {EVT}, o AS (SELECT user_id, event_id, value/97 AS x, row_number() OVER w AS i,
+    count(*) FILTER (value/97 < 0.5) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS stable FROM evt
     WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
   r AS (SELECT user_id, event_id, i, stable, x*0.3::DOUBLE AS v FROM o WHERE i = 1 UNION ALL
    SELECT o.user_id, o.event_id, o.i, o.stable, r.v*0.7::DOUBLE + o.x*0.3::DOUBLE FROM r JOIN o ON o.user_id=r.user_id AND o.i=r.i+1)
   SELECT event_id, user_id, round(v, 9) AS smoothed, stable FROM r""")
 def motion_smoothing(t):
-    d = user_events(t).select("user_id", "us", "event_id", (F.col("value") / 100).alias("x"))
+    d = user_events(t).select("user_id", "us", "event_id", (F.col("value") / 97).alias("x"))
     s = W.exponential_smoothing(d, ["user_id"], "us", "event_id", "x", 0.3)
     s = W.stable_for(s, ["user_id"], "us", "event_id", "x", 5, 0.5)
     return s.select("event_id", "user_id", rnd("smoothed", 9).alias("smoothed"), "stable")

@@ -31,6 +31,9 @@ def connect(folder):
     return con
 
 
+spark_s = 0.0
+
+
 def plain(v):
     if isinstance(v, bool):
         return v
@@ -55,7 +58,10 @@ def rows_of(cols, rows):
 
 def compare(df, con, sql):
     """Return (ok, message, number of rows)."""
+    t0 = time.time()
     got_cols, got = rows_of(df.columns, df.collect())
+    global spark_s
+    spark_s = time.time() - t0
     if sql is None:
         return True, "rows only", len(got)
     cur = con.execute(sql)
@@ -87,7 +93,7 @@ def main():
             ok, msg, n = compare(q.run(spark, a.d), con, q.sql)
         except Exception as ex:
             ok, msg, n = False, "".join(traceback.format_exception_only(ex))[-900:], -1
-        print(f"{'ok  ' if ok else 'FAIL'} {'/'.join(q.ids):12s} {name:36s} {n:7d} rows {time.time()-t0:6.2f}s  {msg}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {'/'.join(q.ids):12s} {name:36s} {n:7d} rows {time.time()-t0:6.2f}s (spark {spark_s:.2f})  {msg}", flush=True)
         if not ok:
             bad.append(name)
     print("failed:", bad)
