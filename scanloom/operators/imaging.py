@@ -279,6 +279,7 @@ def focus_stack(rows: DataFrame, stack: list[str], slice_col: str, window: int =
         lap[:, :, [0, -1]] = 0
         sq = np.pad(lap * lap, ((0, 0), (half, half), (half, half)))
         box = sum(sq[:, half + dy:half + dy + len(ys), half + dx:half + dx + w] for dy in range(-half, half) for dx in range(-half, half)) / (4 * half * half)
+        box[~there[:, 1:-1]] = 0
         box[:, (absolute < half) | (absolute >= h - half)] = 0
         box[:, :, :half] = 0
         box[:, :, w - half:] = 0
