@@ -93,6 +93,7 @@ def ranked_within(df: DataFrame, keys: list[str], order: list, into: str = "rank
 RULES: dict[str, Callable[[Column, float], Column]] = {
     "nearest": lambda n, p: half_away((n - 1) * F.lit(p)),
     "floor": lambda n, p: F.floor((n - 1) * F.lit(p)),
+    "scaled": lambda n, p: F.least(F.floor(n * F.lit(p)), n - 1),
     "upper_median": lambda n, p: F.floor(n / 2),
     "lower_median": lambda n, p: F.floor((n - 1) / 2),
 }

@@ -156,6 +156,7 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
             return flat(qx, r[ok], 0, d[ok], tid[c[ok]], w[ok].astype("int64"), tx[c[ok]], keyvals)
 
         group = ["_block", *keys, "_salt"]
+        asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # fresh column ids for the cogroup
         found = found.unionByName(probes.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(away, schema))
     entry = F.struct("d", F.col("tid").alias("id"), F.col("w").alias("weight"), *[F.col("t" + d).alias(d) for d in dims])
     merged = found.groupBy(*keys, *[F.col("q" + d).alias(d) for d in dims]).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
