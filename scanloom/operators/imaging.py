@@ -295,7 +295,7 @@ def focus_stack(rows: DataFrame, stack: list[str], slice_col: str, window: int =
         out = np.floor(np.clip((weights * img).sum(axis=0), 0, 255) + EPS8).astype(int)
         own = set(pdf.loc[pdf["own"], "y"])
         keep = [i for i, y in enumerate(ys) if y in own]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in stack}, "y": ys[keep].astype("int32"), "px": [out[i].tolist() for i in keep], "best": [best[i].tolist() for i in keep]})
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in stack}, "y": ys[keep].astype("int32"), "px": pd.Series([out[i].tolist() for i in keep], dtype=object), "best": pd.Series([best[i].tolist() for i in keep], dtype=object)})
 
     return d.groupBy(*stack, "_bucket").applyInPandas(run, schema)
 
