@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.operators.ordering import DAY_US, running
+from scanloom.session import checkpointed
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, payload: list[str], tie: str = "later",
@@ -140,22 +141,33 @@ def align_hashes(source: DataFrame, reference: DataFrame, keys: list[str], step_
     """Vote on the offset between hashed tracks and fit the drift.
 
     ``source`` (keys, hash, time) and ``reference`` (hash, time) count steps of
-    ``step_ms``.  Each reference hash keeps its first times; the source is
-    pre-counted per offset, so one hot hash or track never forms one group."""
+    ``step_ms``.  Each reference hash keeps its first times.  Matches are reduced
+    to sums per offset before the shuffle; vote, selection and regression all read
+    those sums, so the matches are computed once and never collected."""
     w = Window.partitionBy("hash").orderBy("time")
     ref = reference.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_hash).select("hash", F.col("time").alias("_rt"))
-    pairs = source.join(ref, "hash").select(*keys, F.col("time").alias("_st"), "_rt", ((F.col("_rt") - F.col("time")) * step_ms).alias("offset_ms"))
-    votes = pairs.groupBy(*keys, "offset_ms").agg(F.count("*").alias("votes"))
-    best = votes.groupBy(*keys).agg(F.max_by(F.struct("offset_ms", "votes"), F.struct("votes", (-F.col("offset_ms")).alias("m"))).alias("b")).select(*keys, F.col("b.offset_ms").alias("best_ms"), "b.votes")
+    st, rt = F.col("time"), F.col("_rt")
+    votes = source.join(ref, "hash").groupBy(*keys, ((rt - st) * step_ms).alias("offset_ms")).agg(
+        F.count("*").alias("votes"), F.sum(st).alias("sx"), F.sum(rt).alias("sy"), F.sum(st * st).alias("sxx"), F.sum(st * rt).alias("sxy"))
+    votes = checkpointed(votes)  # read by the vote and by the selection
+    best = votes.groupBy(*keys).agg(F.max_by(F.struct("offset_ms", "votes"), F.struct("votes", (-F.col("offset_ms")).alias("m"))).alias("b")).select(*keys, F.col("b.offset_ms").alias("best_ms"), F.col("b.votes").alias("best_votes"))
     total = source.groupBy(*keys).agg(F.count("*").alias("hashes"))
-    x, y = F.col("_st") * (step_ms / 1000.0), F.col("_rt") * (step_ms / 1000.0)
-    near = pairs.join(best, keys).filter(F.abs(F.col("offset_ms") - F.col("best_ms")) <= tolerance_ms)
-    fit = near.groupBy(*keys).agg(F.count("*").alias("pairs"), F.var_pop(x).alias("_den"), F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_icpt"), (F.avg(y) - F.avg(x)).alias("_shift"))
-    few, flat = F.col("pairs") < 3, F.col("_den") * F.col("pairs") < 1e-9
-    d = best.join(fit, keys).join(total, keys)
-    return d.select(*keys, "best_ms", "votes", "pairs", F.when(few | flat, 1.0).otherwise(F.col("_slope")).alias("stretch"),
-                    (F.col("best_ms") / 1000.0 + F.when(few, 0.0).when(flat, F.col("_shift")).otherwise(F.col("_icpt"))).alias("offset_s"),
-                    F.least(F.col("votes") / F.col("hashes"), F.lit(1.0)).alias("confidence"))
+    near = votes.join(best, keys).filter(F.abs(F.col("offset_ms") - F.col("best_ms")) <= tolerance_ms)
+    fit = near.groupBy(*keys).agg(F.sum("votes").alias("pairs"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "sxy")])
+
+    def exact(*factors):  # whole numbers beyond 64 bits
+        return F.col(factors[0]).cast("decimal(19,0)") * F.col(factors[1]).cast("decimal(19,0)")
+
+    den = (exact("pairs", "sxx") - exact("sx", "sx")).cast("double")
+    slope = (exact("pairs", "sxy") - exact("sx", "sy")).cast("double") / F.when(den != 0, den)
+    unit = step_ms / 1000.0
+    shift = (F.col("sy") - F.col("sx")) / F.col("pairs") * unit
+    few = F.col("pairs") < 3
+    d = best.join(fit, keys).join(total, keys).withColumns({"_flat": den / F.col("pairs") * unit * unit < 1e-9, "_slope": slope})
+    intercept = (F.col("sy") - F.col("_slope") * F.col("sx")) / F.col("pairs") * unit
+    return d.select(*keys, "best_ms", F.col("best_votes").alias("votes"), "pairs", F.when(few | F.col("_flat"), 1.0).otherwise(F.col("_slope")).alias("stretch"),
+                    (F.col("best_ms") / 1000.0 + F.when(few, 0.0).when(F.col("_flat"), shift).otherwise(intercept)).alias("offset_s"),
+                    F.least(F.col("best_votes") / F.col("hashes"), F.lit(1.0)).alias("confidence"))
 
 
 def plain_name(c: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.operators.ordering import order_stats
+from scanloom.session import checkpointed
 
 
 def image_pairs(images: DataFrame, scene: str) -> DataFrame:
@@ -92,6 +93,7 @@ def consistent_matches(matches: DataFrame, keypoints: DataFrame, scene: str, lim
     m = (matches.join(k.select(scene, F.col("image_id").alias("image1"), F.col("kp_id").alias("kp1"), F.col("x").alias("x1"), F.col("y").alias("y1")), [scene, "image1", "kp1"])
          .join(k.select(scene, F.col("image_id").alias("image2"), F.col("kp_id").alias("kp2"), F.col("x").alias("x2"), F.col("y").alias("y2")), [scene, "image2", "kp2"])
          .withColumns({"dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1")}))
+    m = checkpointed(m)  # read by both medians and the final cut
     med = order_stats(m, pair, "dx", {"mdx": ("upper_median", 0.5)}).join(order_stats(m, pair, "dy", {"mdy": ("upper_median", 0.5)}).drop("n"), pair)
     error = F.sqrt((F.col("dx") - F.col("mdx")) ** 2 + (F.col("dy") - F.col("mdy")) ** 2)
     return m.join(med, pair).filter((F.col("n") < 4) | (error < limit)).select(*pair, "kp1", "kp2", "distance")

