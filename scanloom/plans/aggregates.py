@@ -18,11 +18,11 @@ def scope_timing(t):
     return d.withColumns({"mean_ms": rnd("mean_ms", 5), "std_ms": rnd("std_ms", 5), "pct_total": rnd("pct_total")})
 
 
-@query("4.2", """SELECT l_returnflag AS label, l_linenumber AS run, count(*) AS count, round(avg(l_extendedprice),3) mean_ms, min(l_extendedprice) min_ms, max(l_extendedprice) max_ms FROM lineitem GROUP BY 1,2""")
+@query("4.2", """SELECT l_returnflag AS label, l_linenumber AS run, count(*) AS count, round(avg(l_extendedprice),7) mean_ms, min(l_extendedprice) min_ms, max(l_extendedprice) max_ms FROM lineitem GROUP BY 1,2""")
 def benchmark_run_summary(t):
     parts = t.lineitem.groupBy(F.col("l_linenumber").alias("run"), "l_orderkey", F.col("l_returnflag").alias("label")).agg(
         F.count("*").alias("count"), F.avg("l_extendedprice").alias("mean_ms"), F.min("l_extendedprice").alias("min_ms"), F.max("l_extendedprice").alias("max_ms"))
-    return A.combine_timings(parts, ["run", "label"]).withColumn("mean_ms", rnd("mean_ms", 3))
+    return A.combine_timings(parts, ["run", "label"]).withColumn("mean_ms", rnd("mean_ms", 7))
 
 
 @query("4.3", """WITH v AS (SELECT event_type, value/500 AS v FROM events), s AS (SELECT event_type, avg(v) mean, stddev_pop(v) std, min(v) mn, max(v) mx FROM v GROUP BY 1),

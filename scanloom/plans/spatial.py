@@ -59,13 +59,13 @@ def neighbour_normals(t):
 
 
 @query("3.26", """WITH v AS (SELECT s_suppkey, s_nationkey % 4 AS scene, (s_acctbal::DOUBLE)/1000 AS x, (s_nationkey*37 % 25)::DOUBLE AS y, (s_suppkey % 11)::DOUBLE AS z FROM supplier)
-  SELECT s_suppkey AS view_id, string_agg(o, ',' ORDER BY r) AS sources FROM (SELECT a.s_suppkey, b.s_suppkey::VARCHAR o, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.s_suppkey) r
-   FROM v a JOIN v b ON a.scene=b.scene AND a.s_suppkey<>b.s_suppkey) WHERE r <= 4 GROUP BY 1""")
+  SELECT v.s_suppkey AS view_id, coalesce(string_agg(o, ',' ORDER BY r), '') AS sources FROM v LEFT JOIN (SELECT a.s_suppkey, b.s_suppkey::VARCHAR o, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.s_suppkey) r
+   FROM v a JOIN v b ON a.scene=b.scene AND a.s_suppkey<>b.s_suppkey) n ON n.s_suppkey=v.s_suppkey AND r <= 4 GROUP BY 1""")
 def nearest_views(t):
     v = t.supplier.select((F.col("s_nationkey") % 4).alias("scene"), F.col("s_suppkey").alias("view_id"), (F.col("s_acctbal") / 1000).alias("x"),
                           (F.col("s_nationkey") * 37 % 25).cast("double").alias("y"), (F.col("s_suppkey") % 11).cast("double").alias("z"))
     d = S.knn(v, v, ["scene"], "view_id", "view_id", 4, exclude_self=True)
-    return d.select("view_id", F.array_join(F.transform("neighbours", lambda e: e.id.cast("string")), ",").alias("sources"))
+    return d.select("view_id", F.coalesce(F.array_join(F.transform("neighbours", lambda e: e.id.cast("string")), ","), F.lit("")).alias("sources"))
 
 
 @query("3.27", with_ctes("""WITH b AS (SELECT cloud_id, min(x)-0.2::DOUBLE bx, min(y)-0.2::DOUBLE by_, min(z)-0.2::DOUBLE bz, ceil((max(x)-min(x)+0.4::DOUBLE)/0.2::DOUBLE)::INT nx, ceil((max(y)-min(y)+0.4::DOUBLE)/0.2::DOUBLE)::INT ny, ceil((max(z)-min(z)+0.4::DOUBLE)/0.2::DOUBLE)::INT nz FROM pts GROUP BY 1),
