@@ -263,15 +263,14 @@ def _shifted(offsets) -> Column:
 def remove_radius_outliers(points: DataFrame, keys: list[str], point_id: str, radius: float, min_neighbours: int) -> DataFrame:
     """Keep points with enough others at 0 < distance < radius.
 
-    In cells with a diagonal below the radius, more than ``min_neighbours``
-    *positions* prove every point inside, without pairs.  Only points of thinner cells
-    probe their surroundings, so the work stays linear however dense a region is.
-    Copies do not count as neighbours of each other, yet each counts for the others.
+    In a cell with a diagonal below the radius, all points at other positions are
+    in reach: where they are enough, no pairs are formed.  Only points of thinner
+    cells probe their surroundings, so the work stays linear in dense regions.
+    Copies are no neighbours of each other, yet each counts for the others.
     """
     side = radius / math.sqrt(3) * (1 - 1e-9)
     pos = points.groupBy(*keys, *XYZ).agg(F.count("*").alias("copies")).select("*", *cells(side))
-    stat = pos.groupBy(*keys, *CELL).agg(F.sum("copies").alias("total"), F.max("copies").alias("most"))
-    # every position in the cell has total - its copies >= total - most others in reach
+    stat = pos.groupBy(*keys, *CELL).agg(F.sum("copies").alias("total"))
     pos = pos.join(stat, [*keys, *CELL])
     proven = F.col("total") - F.col("copies") >= min_neighbours
     sparse = pos.filter(~proven)
@@ -342,17 +341,17 @@ def cluster(points: DataFrame, keys: list[str], point_id: str, eps: float, min_s
         j = a.join(b, on).withColumns({"_lo": F.sqrt(lo), "_hi": F.sqrt(hi)}).filter(F.col("_lo") < eps)
         return j.withColumn("sure", F.col("_hi") < eps)
 
-    def named(df, pre):
+    def named(pre):
         return [F.col(f"{e}{d}").alias(f"{pre}{e}{d}") for e in ("lo", "hi") for d in XYZ]
 
-    a = nodes.select(*keys, F.col("node").alias("u"), *named(nodes, "a"), _shifted(_offsets(2, half=True)).alias("o")).select("*", *[F.col(f"o.o{c}").alias(c) for c in CELL]).drop("o")
-    pairs = checkpointed(links(a, nodes.select(*keys, *CELL, F.col("node").alias("v"), *named(nodes, "b")), [*keys, *CELL]).select(*keys, "u", "v", "sure"))
+    a = nodes.select(*keys, F.col("node").alias("u"), *named("a"), _shifted(_offsets(2, half=True)).alias("o")).select("*", *[F.col(f"o.o{c}").alias(c) for c in CELL]).drop("o")
+    pairs = checkpointed(links(a, nodes.select(*keys, *CELL, F.col("node").alias("v"), *named("b")), [*keys, *CELL]).select(*keys, "u", "v", "sure"))
     sure = pairs.filter("sure").select(*keys, "u", "v")
     open_ = pairs.filter("NOT sure").select(*keys, "u", "v")
     cellnode = nodes.select(*keys, *CELL, "node")
     sub = p.join(cellnode, [*keys, *CELL]).groupBy(*keys, "node", *[F.floor(F.col(d) / (side / 4)).cast("long").alias("s" + d) for d in XYZ]).agg(*spans)
-    left = open_.join(sub.select(*keys, F.col("node").alias("u"), *[F.col("s" + d).alias("us" + d) for d in XYZ], *named(sub, "a")), [*keys, "u"])
-    right = sub.select(*keys, F.col("node").alias("v"), *[F.col("s" + d).alias("vs" + d) for d in XYZ], *named(sub, "b"))
+    left = open_.join(sub.select(*keys, F.col("node").alias("u"), *[F.col("s" + d).alias("us" + d) for d in XYZ], *named("a")), [*keys, "u"])
+    right = sub.select(*keys, F.col("node").alias("v"), *[F.col("s" + d).alias("vs" + d) for d in XYZ], *named("b"))
     fine = checkpointed(links(left, right, [*keys, "v"]).select(*keys, "u", "v", "sure", *["us" + d for d in XYZ], *["vs" + d for d in XYZ]))
     agreed = fine.filter("sure").select(*keys, "u", "v").distinct()
     rest = fine.filter("NOT sure").join(agreed, [*keys, "u", "v"], "left_anti")

@@ -113,7 +113,6 @@ def reprojection_statistics(t):
   n AS (SELECT *, x/z nx, y/z ny FROM p WHERE z > 0), d AS (SELECT *, nx*nx+ny*ny r2 FROM n), q AS (SELECT l_suppkey, 500*nx*(1+0.1::DOUBLE*r2+0.01::DOUBLE*r2*r2)+250-u du, 500*ny*(1+0.1::DOUBLE*r2+0.01::DOUBLE*r2*r2)+150-v dv FROM d)
   SELECT s AS l_suppkey, coalesce(round(1/(1+sqrt(avg(du*du+dv*dv))),9),0) AS confidence FROM (SELECT DISTINCT l_suppkey s FROM lineitem) LEFT JOIN q ON q.l_suppkey=s GROUP BY 1""")
 def reprojection_confidence(t):
-    z = F.round(F.col("l_tax") * 100 - 2, 6)
     p = t.lineitem.select("l_suppkey", ((F.col("l_linenumber") - 4) / 10.0).alias("x"), ((F.col("l_discount") - 0.05) * 10).alias("y"), (F.col("l_tax") * 100 - 2).alias("z"),
                           (F.col("l_quantity") * 10).alias("u"), (F.col("l_partkey") % 300).alias("v"))
     nx, ny = G.brown_conrady(F.col("x") / F.col("z"), F.col("y") / F.col("z"), (0.1, 0.01))

@@ -109,7 +109,6 @@ def moving(df):
 
 
 
-
 def _motion_sql():
     fresh = "(o.us-r.us >= 345600000000)"
     d = {c: f"(CASE WHEN {fresh} THEN 0 ELSE o.{c}-r.{c} END)" for c in "xy"}

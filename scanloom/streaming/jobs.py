@@ -6,8 +6,6 @@ it can run on a schedule or continuously with another trigger.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +79,3 @@ def closest(matches: DataFrame, left_id: str) -> DataFrame:
 
 def latest_by(updates: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_s")).select(*keys, "_s.*")
-
-
-Upsert = Callable[[DataFrame, int], None]
