@@ -133,22 +133,23 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weight: np.
     return {"embed": embed, "filters": dense_grad, "bias": grad.sum(0), "dense": (error @ features).astype(np.float32), "out": np.array([error.sum()], np.float32)}
 
 
-def fit(texts: list[bytes], labels: np.ndarray, shape: Shape | None = None, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, shape: Shape | None = None, steps: int = 600, batch: int = 64, rate: float = 5e-3, seed: int = 7) -> Network:
     """Adam on the logistic loss, both classes with equal weight."""
     net, rng = start(shape or Shape(), seed), np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     mean = {k: np.zeros_like(v) for k, v in net.weights.items()}
     square = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            step += 1
-            for k, g in _gradients(net, [texts[i] for i in pick], labels[pick], weight[pick]).items():
-                mean[k] = 0.9 * mean[k] + 0.1 * g
-                square[k] = 0.999 * square[k] + 0.001 * g * g
-                net.weights[k] = (net.weights[k] - rate * 0.75**epoch * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+    order = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(texts))])
+        pick, order = order[:batch], order[batch:]
+        fade = 1 - step / (steps + 1)
+        for k, g in _gradients(net, [texts[i] for i in pick], labels[pick], weight[pick]).items():
+            mean[k] = 0.9 * mean[k] + 0.1 * g
+            square[k] = 0.999 * square[k] + 0.001 * g * g
+            change = (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-7)
+            net.weights[k] = (net.weights[k] - rate * fade * change).astype(np.float32)
     return net
 
 

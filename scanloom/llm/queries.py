@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import chat_rotation, decontaminate, exact_topk, language_id, license_scan, quality_cnn, sentencepiece_codec, simhash, suffix_dedup
+from scanloom.llm import chat_rotation, decontaminate, exact_topk, language_id, license_scan, pitman_yor, quality_cnn, sentencepiece_codec, simhash, suffix_dedup
 from scanloom.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,15 +42,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""
 WITH t AS (SELECT conv_id, turn, replace(coalesce(text, ''), '<|', '< |') AS txt, coalesce(nullif(trim(role), ''), 'unknown') AS who FROM conversations),
-p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, who, txt) - 1 AS at FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, who, txt) - 1 AS pos FROM t),
 people AS (SELECT DISTINCT conv_id, who AS speaker FROM p WHERE who NOT IN ('system', 'unknown')),
-v AS (SELECT p.conv_id, speaker, at // 64 AS part, at, txt, who = speaker AS mine,
+v AS (SELECT p.conv_id, speaker, pos // 64 AS part, pos, txt, who = speaker AS mine,
              CASE WHEN who = speaker THEN '<|im_start|>assistant' || chr(10) WHEN who = 'system' THEN '<|im_start|>system' || chr(10)
                   ELSE '<|im_start|>user name=' || replace(who, '<|', '< |') || chr(10) END AS head
       FROM p JOIN people ON p.conv_id IS NOT DISTINCT FROM people.conv_id),
-m AS (SELECT *, sum(length(head) + length(txt) + 11) OVER (PARTITION BY conv_id, speaker, part ORDER BY at) AS stop FROM v)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || txt || '<|im_end|>' || chr(10), '' ORDER BY at) AS rendered,
-       coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(stop - 11 - length(txt) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY at), '') AS mask
+m AS (SELECT *, sum(length(head) + length(txt) + 11) OVER (PARTITION BY conv_id, speaker, part ORDER BY pos) AS stop FROM v)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || txt || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered,
+       coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(stop - 11 - length(txt) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY pos), '') AS mask
 FROM m GROUP BY conv_id, speaker, part
 """)
 def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
       FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
@@ -115,6 +115,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join(F.col("_items").cast("array<string>"), ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
 
 
+@register()
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 7, 2))
+    return pitman_yor.score_texts(docs, "held_out")
+
+
 @register()
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

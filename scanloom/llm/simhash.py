@@ -45,16 +45,20 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long; a null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (default ``doc_id`` as long) and the fingerprint ``fp`` as a signed long; a null text has no words."""
+    source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) _text") if keep is None else docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    names = source.columns[:-1]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n, texts in slices(batch, "text"):
+            for start, n, texts in slices(batch, "_text"):
+                part = batch.slice(start, n)
                 fp = np.array([fingerprint(space_words(t), shingle, seed) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, n), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp)], names=[*names, "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, f"{fields}, fp long")
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,19 +171,38 @@ def links(distinct: DataFrame, bits: int = 3, parts: int | None = None) -> DataF
     return spread.sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
 
 
+def _classes(own: DataFrame, bits: int) -> DataFrame:
+    """(fp, low, component) of every distinct fingerprint of ``own`` (doc_id, fp): its smallest doc_id, its component."""
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    labels = connected_components(distinct.select(F.col("fp").alias("id")), links(distinct.select("fp"), bits))
+    return distinct.join(labels.withColumnRenamed("id", "fp"), "fp")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprint as 16 hex digits, component = smallest reachable doc_id.
 
     Equal fingerprints link too; a text without words (null, empty, blank) has
     fingerprint zero.  Rows without a doc_id are returned with the component of
-    their fingerprint, and never name one unless a component holds no other.
+    their fingerprint, and never name one; it is null if no member has an id.
     Repeated rows give repeated results; an empty table gives an empty result.
     """
     own = checkpointed(fingerprints(docs, shingle, seed))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = links(distinct.select("fp"), bits)
-    labels = connected_components(distinct.select(F.col("fp").alias("id")), edges.select("u", "v"))
-    classes = distinct.join(labels.withColumnRenamed("id", "fp"), "fp")
+    classes = _classes(own, bits)
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "component").select("fp", "component_id")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
+
+    Rows without an id stay only where no member has one; of repeated rows, and
+    of rows with one id and fingerprint, any one stays.
+    """
+    own = checkpointed(fingerprints(docs, shingle, seed))
+    best = _classes(own, bits).groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp"))).alias("b"))
+    stay = best.select(F.col("b.none").alias("_none"), F.coalesce("b.low", F.lit(0)).alias("_low"), F.col("b.fp").alias("fp"))
+    rows = fingerprints(docs, shingle, seed, keep=docs.columns)
+    key = F.col("doc_id").cast("long")
+    rows = rows.withColumns({"_none": key.isNull(), "_low": F.coalesce(key, F.lit(0))})
+    return rows.join(stay, ["_none", "_low", "fp"]).dropDuplicates(["_none", "_low", "fp"]).select(*docs.columns)
