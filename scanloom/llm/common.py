@@ -7,6 +7,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words in the ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` rule, after lower-casing A-Z.
 _SEPARATORS = [b for b in range(128) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)]
@@ -33,6 +34,22 @@ def space_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().lower().split()
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all other columns as one struct ``_row``, so that no name of theirs can clash."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_row"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], text: Column, doc_id: Column | None = None) -> list[Column]:
+    """The columns ``columns`` of boxed ``rows``, with this text."""
+    own = {"doc_id": F.col("doc_id") if doc_id is None else doc_id, "text": text}
+    return [(own[c] if c in own else F.col("_row").getField(c)).alias(c) for c in columns]
+
+
+def carried(source: DataFrame, more: str) -> T.StructType:
+    """Result type: the columns of ``source`` but the last, then those of the DDL text ``more``."""
+    return T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(more).fields])
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of one text column over the whole table."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

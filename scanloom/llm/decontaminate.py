@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.llm.common import alnum_words, slices, text_bytes
 
@@ -206,7 +207,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     blocks = max(1, -(-text_bytes(bench) // block_bytes))
     source = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast("long").alias("_n_words"),
                          F.array().cast("array<struct<start:long,stop:long>>").alias("_spans"), F.array().cast("array<long>").alias("_items"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    fields = source.schema.fields
+    schema, final_schema = (T.StructType([*fields[: len(keep)], T.StructField(name, T.StringType()), *fields[len(keep) + 1 :]]) for name in ("_text", "_clean"))
     for block in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()  # bounded by block_bytes
         pairs = list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True))
@@ -227,5 +229,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
                         columns[len(keep)], names[len(keep)] = pa.array(clean, pa.string()), "_clean"
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        source = source.mapInArrow(run, fields.replace("`_text`", "`_clean`") if block == blocks - 1 else fields)
+        source = source.mapInArrow(run, final_schema if block == blocks - 1 else schema)
     return source if cut else source.drop("_clean")

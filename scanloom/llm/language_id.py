@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import slices
+from scanloom.llm.common import carried, slices
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -144,5 +144,4 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(run, carried(source, "lang_pred string, score double"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import slices
+from scanloom.llm.common import carried, slices
 
 
 @dataclass(frozen=True)
@@ -219,5 +219,4 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataF
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, score double, predicted int")
+    return source.mapInArrow(run, carried(source, "score double, predicted int"))

@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import slices, space_words
+from scanloom.llm.common import boxed, carried, slices, space_words, unboxed
 from scanloom.operators.graph import connected_components
 from scanloom.session import checkpointed
 
 SEGMENTS, WIDTH = 2, 32
-#: Keys with more members are searched by listing neighbours instead of comparing members.
-DIRECT = 4096
+#: Keys with more members are searched by listing neighbours (about 6,000 each) instead of comparing members.
+DIRECT = 1 << 16
+#: Linked pairs in memory before they are folded into the forest.
+FOLD = 1 << 20
 
 
 def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
@@ -49,7 +51,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keep: list[s
     """Columns ``keep`` (default ``doc_id`` as long) and the fingerprint ``fp`` as a signed long; a null text has no words."""
     source = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) _text") if keep is None else docs.select(*keep, F.col("text").cast("string").alias("_text"))
     names = source.columns[:-1]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keep: list[s
                 fp = np.array([fingerprint(space_words(t), shingle, seed) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp)], names=[*names, "fp"])
 
-    return source.mapInArrow(run, f"{fields}, fp long")
+    return source.mapInArrow(run, carried(source, "fp long"))
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +77,15 @@ def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.tile(fps, SEGMENTS * WIDTH)
 
 
-def _pairs(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked members of equal keys; ``key`` is sorted."""
-    left, right = [], []
-    for step in range(1, len(key)):
-        a = np.flatnonzero(key[step:] == key[:-step])
-        if not len(a):
-            break
-        a = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= bits]
-        left.append(a)
-        right.append(a + step)
-    return np.concatenate(left) if left else np.empty(0, np.int64), np.concatenate(right) if right else np.empty(0, np.int64)
+def _pairs(key: np.ndarray, fps: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of linked members of equal keys, step by step; ``key`` is sorted."""
+    a, step = np.arange(len(key)), 1
+    while len(a):
+        a = a[a + step < len(key)]
+        a = a[key[a + step] == key[a]]
+        near = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= bits]
+        yield near, near + step
+        step += 1
 
 
 def _neighbours(fps: np.ndarray, bits: int, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -104,18 +103,29 @@ def _neighbours(fps: np.ndarray, bits: int, free: list[int]) -> Iterator[tuple[n
                 yield hit, order[at[hit]]
 
 
-def _forest(members: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Root (smallest member number) of every member, by hooking and pointer jumping."""
-    root = np.arange(members)
+def _fold(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Join the trees of linked members in place (hooking to the smaller root, then pointer jumping)."""
     while len(left):
         a, b = root[left], root[right]
         live = a != b
-        if not live.any():
-            break
         left, right, a, b = left[live], right[live], a[live], b[live]
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
         while (root[root] != root).any():
-            root = root[root]
+            root[:] = root[root]
+
+
+def _forest(members: int, linked: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Root (smallest member number) of every member; links are folded in as they come, so few are held."""
+    root, left, right, held = np.arange(members), [], [], 0
+    for a, b in linked:
+        left.append(a)
+        right.append(b)
+        held += len(a)
+        if held > FOLD:
+            _fold(root, np.concatenate(left), np.concatenate(right))
+            left, right, held = [], [], 0
+    if held:
+        _fold(root, np.concatenate(left), np.concatenate(right))
     return root
 
 
@@ -141,18 +151,19 @@ def links(distinct: DataFrame, bits: int = 3, parts: int | None = None) -> DataF
             first = np.r_[True, key[1:] != key[:-1]]
             size = np.diff(np.r_[np.flatnonzero(first), len(key)])[np.cumsum(first) - 1]
             crowded = size > DIRECT
-            pick = np.flatnonzero((size > 1) & ~crowded)
-            a, b = _pairs(key[pick], fps[pick], bits)
-            left, right = [pick[a]], [pick[b]]
-            for k in np.unique(key[crowded]):
-                at = np.flatnonzero(key == k)
-                base = int(k) >> (WIDTH - 1)  # segment * WIDTH + deleted place
-                segment = base // WIDTH
-                free = [b for b in range(64) if b // WIDTH != segment or b == base]
-                for a, b in _neighbours(fps[at], bits, free):
-                    left.append(at[a])
-                    right.append(at[b])
-            root = _forest(len(key), np.concatenate(left), np.concatenate(right))
+
+            def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                pick = np.flatnonzero((size > 1) & ~crowded)
+                for a, b in _pairs(key[pick], fps[pick], bits):
+                    yield pick[a], pick[b]
+                for k in np.unique(key[crowded]):
+                    at = np.flatnonzero(key == k)
+                    base = int(k) >> (WIDTH - 1)  # segment * WIDTH + deleted place
+                    free = [b for b in range(64) if b // WIDTH != base // WIDTH or b == base]
+                    for a, b in _neighbours(fps[at], bits, free):
+                        yield at[a], at[b]
+
+            root = _forest(len(key), linked())
             child = np.flatnonzero(root != np.arange(len(key)))
             return pa.RecordBatch.from_arrays([pa.array(fps[child].view(np.int64)), pa.array(fps[root[child]].view(np.int64))], names=["u", "v"])
 
@@ -202,7 +213,8 @@ def representatives(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
     own = checkpointed(fingerprints(docs, shingle, seed))
     best = _classes(own, bits).groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp"))).alias("b"))
     stay = best.select(F.col("b.none").alias("_none"), F.coalesce("b.low", F.lit(0)).alias("_low"), F.col("b.fp").alias("fp"))
-    rows = fingerprints(docs, shingle, seed, keep=docs.columns)
+    rows = fingerprints(boxed(docs), shingle, seed, keep=["doc_id", "text", "_row"])
     key = F.col("doc_id").cast("long")
     rows = rows.withColumns({"_none": key.isNull(), "_low": F.coalesce(key, F.lit(0))})
-    return rows.join(stay, ["_none", "_low", "fp"]).dropDuplicates(["_none", "_low", "fp"]).select(*docs.columns)
+    one = rows.join(stay, ["_none", "_low", "fp"]).dropDuplicates(["_none", "_low", "fp"])
+    return one.select(*unboxed(one, docs.columns, F.col("text")))
