@@ -18,11 +18,13 @@ from scanloom.operators.ordering import median, order_stats, ordered_fold
 from scanloom.session import checkpointed
 
 
-def stride_pixels(pairs: DataFrame, keys: list[str], width: int, height: int, maximum: int) -> DataFrame:
-    """CFA site of every pixel, thinned per site to every stride-th pixel when a
-    site has more than ``maximum`` pixels."""
+def stride_pixels(pairs: DataFrame, keys: list[str], width: int, height: int, maximum: int | None = None) -> DataFrame:
+    """CFA site of every pixel; with ``maximum``, thinned per site to every
+    stride-th pixel when a site has more pixels than that."""
     site = (F.col("y") % 2) * 2 + F.col("x") % 2
     sw, sh = F.floor((width + 1 - F.col("x") % 2) / 2), F.floor((height + 1 - F.col("y") % 2) / 2)
+    if maximum is None:
+        return pairs.withColumn("site", site.cast("int"))
     stride = F.greatest(F.ceil(sw * sh / maximum), F.lit(1))
     linear = F.floor(F.col("y") / 2) * sw + F.floor(F.col("x") / 2)
     return pairs.withColumn("site", site.cast("int")).filter(linear % stride == 0)

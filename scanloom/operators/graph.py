@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from scanloom.session import checkpointed
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component) with the smallest id of each component as its label."""
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) with the smallest id of each component as its label.
+
+    Ids may be of any ordered type, structs too.  Rounds go on until nothing
+    changes; their number grows with the logarithm of the longest path."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = checkpointed(e)
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             break

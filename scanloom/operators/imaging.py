@@ -408,7 +408,7 @@ def mask_components(rows: DataFrame, keys: list[str], mask: Column) -> DataFrame
     starts = F.filter(F.transform(on, lambda i: F.when((i >= 0) & ((i == 0) | (F.get(on, i - 1) < 0)), i)), lambda i: i.isNotNull())
     ends = F.filter(F.transform(on, lambda i: F.when((i >= 0) & ((i == F.size(on) - 1) | (F.get(on, i + 1) < 0)), i)), lambda i: i.isNotNull())
     runs = rows.select(*keys, "y", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("r")).select(*keys, "y", F.col("r.a").cast("int").alias("a"), F.col("r.b").cast("int").alias("b"))
-    runs = checkpointed(runs.withColumn("run", F.concat_ws("/", *keys, F.lpad(F.col("y").cast("string"), 6, "0"), F.lpad(F.col("a").cast("string"), 6, "0"))))
+    runs = checkpointed(runs.withColumn("run", F.struct(*keys, "y", "a")))
     below = runs.select(*keys, (F.col("y") - 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("run").alias("v"))
     edges = runs.join(below, [*keys, "y"]).filter((F.col("a") <= F.col("b2")) & (F.col("a2") <= F.col("b"))).select(F.col("run").alias("u"), "v")
     comp = connected_components(runs.select(F.col("run").alias("id")), edges)

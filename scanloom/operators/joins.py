@@ -137,15 +137,17 @@ def public_gallery(public: DataFrame, links: DataFrame, access: DataFrame, now:
     return d.join(live, "token").join(views, "token", "left").fillna(0, ["views"])
 
 
-def align_hashes(source: DataFrame, reference: DataFrame, keys: list[str], step_ms: int, per_hash: int = 6, tolerance_ms: int = 40) -> DataFrame:
+def align_hashes(source: DataFrame, reference: DataFrame, keys: list[str], step_ms: int, per_hash: int | None = None, tolerance_ms: int = 40) -> DataFrame:
     """Vote on the offset between hashed tracks and fit the drift.
 
     ``source`` (keys, hash, time) and ``reference`` (hash, time) count steps of
-    ``step_ms``.  Each reference hash keeps its first times.  Matches are counted
+    ``step_ms``.  With ``per_hash`` each reference hash keeps that many first times.  Matches are counted
     per offset for the vote; a second pass over the matches keeps those near the
     winner and reduces them to sums before the shuffle.  No track is one group."""
-    w = Window.partitionBy("hash").orderBy("time")
-    ref = reference.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_hash).select("hash", F.col("time").alias("_rt"))
+    ref = reference.select("hash", F.col("time").alias("_rt"))
+    if per_hash:
+        first = Window.partitionBy("hash").orderBy("_rt")
+        ref = ref.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_hash).drop("_n")
     st, rt = F.col("time"), F.col("_rt")
     pairs = source.join(ref, "hash").select(*keys, st.alias("_st"), rt.alias("_rt"), ((rt - st) * step_ms).alias("offset_ms"))
     votes = pairs.groupBy(*keys, "offset_ms").agg(F.count("*").alias("votes"))

@@ -145,8 +145,9 @@ class Essential:
         return (b * ea).sum(axis=1) ** 2 / np.maximum(den, 1e-15)
 
 
-def consensus(model: Estimator, data: np.ndarray, threshold: float, min_ratio: float, confidence: float, iterations: int, seed: int):
-    """Strictly more inliers win; the iteration limit adapts to the best share."""
+def consensus(model: Estimator, data: np.ndarray, threshold: float, min_ratio: float, confidence: float, iterations: int, seed: int, min_inliers: int = 0):
+    """Strictly more inliers win; the iteration limit adapts to the best share.
+    A model with fewer than ``min_inliers`` rows, or a smaller share, is none."""
     n, best, inliers = len(data), None, np.zeros(len(data), bool)
     if n < model.min_samples:
         return None, inliers
@@ -165,7 +166,7 @@ def consensus(model: Estimator, data: np.ndarray, threshold: float, min_ratio: f
                 miss = 1 - share ** model.min_samples
                 need = 1 if miss <= 1e-12 else int(np.ceil(np.log(1 - confidence) / np.log(miss)))
                 limit = min(limit, max(need, done))
-    if inliers.mean() < min_ratio:
+    if inliers.mean() < min_ratio or inliers.sum() < min_inliers:
         return None, np.zeros(n, bool)
     return best, inliers
 
@@ -177,7 +178,7 @@ def soft_weights(residuals: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
 
 
 def robust_pairs(correspondences: DataFrame, pair: list[str], row_id: str, model: Estimator, threshold: float, min_ratio: float = 0.3,
-                 confidence: float = 0.999, iterations: int = 1000, sigma_max: float | None = None) -> DataFrame:
+                 confidence: float = 0.999, iterations: int = 1000, sigma_max: float | None = None, min_inliers: int = 0) -> DataFrame:
     """Inlier rows (and soft weights) of every image pair.  A pair holds at most
     the features of one image; the seed comes from the pair id, so reruns agree."""
     types = dict(correspondences.dtypes)
@@ -188,7 +189,7 @@ def robust_pairs(correspondences: DataFrame, pair: list[str], row_id: str, model
         pdf = pdf.sort_values(row_id)
         data = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
         seed = int(pd.util.hash_pandas_object(pdf[pair].iloc[:1], index=False).iloc[0] % (2 ** 32))
-        m, inl = consensus(model, data, threshold, min_ratio, confidence, iterations, seed)
+        m, inl = consensus(model, data, threshold, min_ratio, confidence, iterations, seed, min_inliers)
         w = soft_weights(model.residual(m, data), levels) if m is not None else np.zeros(len(data))
         return pd.DataFrame({**{k: pdf[k].to_numpy() for k in (*pair, row_id)}, "inlier": inl, "weight": w})
 

@@ -55,7 +55,8 @@ def edges(faces: DataFrame) -> DataFrame:
 
 
 def _key(*cols: str) -> Column:
-    return F.concat_ws("/", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in cols])
+    """The columns as one ordered id, whatever their length."""
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
 
 
 def remove_small_components(faces: DataFrame, min_faces: int) -> DataFrame:

@@ -320,8 +320,9 @@ def signed_distance(points: DataFrame, keys: list[str], resolution: int, reach:
     return p.groupBy(*keys, "vx", "vy", "vz").agg(F.min_by("_s", F.struct("_d", "point_id")).alias("sdf"))
 
 
-def cluster(points: DataFrame, keys: list[str], point_id: str, eps: float, min_size: int, max_objects: int) -> DataFrame:
-    """Connected components of the graph "closer than eps", as boxes.
+def cluster(points: DataFrame, keys: list[str], point_id: str, eps: float, min_size: int, max_objects: int | None = None) -> DataFrame:
+    """Connected components of the graph "closer than eps", as boxes; with
+    ``max_objects``, that many of each key.
 
     Cells with a diagonal below eps are the nodes.  Two cells are linked if their
     point boxes prove it; only undecided pairs are refined by sub-cells and, if
@@ -363,7 +364,8 @@ def cluster(points: DataFrame, keys: list[str], point_id: str, eps: float, min_s
     edges = sure.unionByName(agreed).unionByName(met).select("u", "v")
     comp = connected_components(nodes.select(F.col("node").alias("id")), edges)
     c = nodes.join(comp, nodes.node == comp.id).groupBy(*keys, "component").agg(F.sum("n").alias("points"), *[F.min("lo" + d).alias("lo" + d) for d in XYZ], *[F.max("hi" + d).alias("hi" + d) for d in XYZ])
-    return top_per_key(c.filter(F.col("points") >= min_size), keys, [F.col("component")], max_objects)
+    large = c.filter(F.col("points") >= min_size)
+    return top_per_key(large, keys, [F.col("component")], max_objects) if max_objects else large
 
 
 def suppress_weaker(keypoints: DataFrame, keys: list[str], id_col: str) -> DataFrame:

@@ -12,7 +12,8 @@ from scanloom.operators.ordering import indexed
 
 
 def newest(df: DataFrame, by: str, tie: str, limit: int = 500) -> DataFrame:
-    return df.orderBy(F.desc(by), tie).limit(max(1, min(limit, 5000)))
+    """The newest ``limit`` rows, at least one."""
+    return df.orderBy(F.desc(by), tie).limit(max(1, limit))
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:

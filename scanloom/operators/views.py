@@ -73,9 +73,9 @@ def carve(voxels: DataFrame, cameras: DataFrame, masks: DataFrame, width: int, h
     return s.filter("_in").drop("_in")
 
 
-def colour_points(points: DataFrame, cameras: DataFrame, pixels: DataFrame, width: int, height: int, max_views: int, default=(180, 180, 180)) -> DataFrame:
+def colour_points(points: DataFrame, cameras: DataFrame, pixels: DataFrame, width: int, height: int, max_views: int | None = None, default=(180, 180, 180)) -> DataFrame:
     """Colour of the first view, in view order, whose rounded projection is in frame."""
-    seen = in_view(points, cameras.filter(F.col("view") < max_views))
+    seen = in_view(points, cameras if max_views is None else cameras.filter(F.col("view") < max_views))
     rx, ry = F.floor(F.col("u") + 0.5).cast("int"), F.floor(F.col("v") + 0.5).cast("int")
     seen = seen.withColumns({"x": rx, "y": ry}).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height))
     first = seen.groupBy("scene", "point_id").agg(F.min_by(F.struct("src", "y", "x"), "src").alias("_f")).select("scene", "point_id", F.col("_f.src").alias("view"), "_f.y", "_f.x")

@@ -26,7 +26,7 @@ TRIM = """tm AS (SELECT pair_id, site, avg(a) FILTER (ra >= n//20 AND ra < n-n//
 @query("4.23", with_ctes(f"""WITH sv AS (SELECT pair_id, site, y, x, first::DOUBLE a, second::DOUBLE b FROM fp), {TRIM}
   SELECT pair_id, site, n AS samples, round(any_value(c1),5) centre1, round(any_value(c2),5) centre2, round(sqrt(avg(pow(((a-c1)-(b-c2))/sqrt(2.0::DOUBLE),2))),5) rms, round(avg(abs((a-c1+b-c2)*0.5::DOUBLE)),5) pattern FROM sv JOIN tm USING (pair_id, site) GROUP BY 1,2,3""", FP))
 def dark_pair_evidence(t):
-    p = C.stride_pixels(frame_pairs(t), ["pair_id"], 64, 16, 1_000_000)
+    p = C.stride_pixels(frame_pairs(t), ["pair_id"], 64, 16)
     c, d = C.dark_evidence(p, ["pair_id"])
     s = d.groupBy("pair_id", "site").agg(rnd(F.sqrt(F.avg(F.col("residual") ** 2)), 5).alias("rms"), rnd(F.avg(F.abs("pattern")), 5).alias("pattern"))
     return c.select("pair_id", "site", "samples", rnd("centre1", 5).alias("centre1"), rnd("centre2", 5).alias("centre2")).join(s, ["pair_id", "site"])
@@ -37,7 +37,7 @@ def dark_pair_evidence(t):
   pk AS (SELECT pair_id, site, min(sg) FILTER (i = round((n-1)*0.999::DOUBLE)) peak FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, site ORDER BY sg)-1 i, count(*) OVER (PARTITION BY pair_id, site) n FROM r) GROUP BY 1,2)
   SELECT k.pair_id, k.site, round(abs(c1-c2)/greatest(tg,1),6) mismatch, round(peak,4) peak, count(*) kept, round(sqrt(avg(rs*rs)),5) rms FROM k JOIN pk ON pk.pair_id=k.pair_id AND pk.site=k.site JOIN r ON r.pair_id=k.pair_id AND r.site=k.site AND fi < 250 AND se < 250 AND sg <= 234*0.8::DOUBLE GROUP BY 1,2,3,4""", FP), name="flat_pair_evidence")
 def flat_pair_evidence(t):
-    p = C.stride_pixels(frame_pairs(t), ["pair_id"], 64, 16, 1_000_000)
+    p = C.stride_pixels(frame_pairs(t), ["pair_id"], 64, 16)
     c, d = C.flat_evidence(p, ["pair_id"], 16.0, 250.0, 0.8)
     s = d.groupBy("pair_id", "site").agg(F.count("*").alias("kept"), rnd(F.sqrt(F.avg(F.col("residual") ** 2)), 5).alias("rms"))
     return c.select("pair_id", "site", rnd("mismatch").alias("mismatch"), rnd("peak", 4).alias("peak")).join(s, ["pair_id", "site"])

@@ -63,17 +63,16 @@ def consistent_matching(t):
     return M.consistent_matches(m, f, "scene", 30.0)
 
 
-@query("10.7 12.2", """SELECT l_orderkey//16 AS pair_id, l_orderkey*1000000+l_partkey*100+l_linenumber AS row_id, l_tax < 0.075 AS inlier FROM lineitem
-  QUALIFY count(*) OVER (PARTITION BY l_orderkey//16) >= 12""")
+@query("10.7 12.2", """SELECT l_orderkey//16 AS pair_id, l_orderkey*1000000+l_partkey*100+l_linenumber AS row_id, l_tax < 0.075 AND count(*) FILTER (l_tax < 0.075) OVER (PARTITION BY l_orderkey//16) >= 8 AS inlier FROM lineitem""")
 def robust_homography(t):
-    """Planted truth: a shared homography, with rows of the highest tax moved far away."""
+    """Planted truth: a shared homography, with rows of the highest tax moved far away;
+    pairs with fewer than eight agreeing rows have no model."""
     x, y = (F.col("l_partkey") % 97).cast("double"), F.col("l_extendedprice") / 1000
     w = 1 + 0.001 * x + 0.0005 * y
     bad = F.col("l_tax") >= 0.075
     d = t.lineitem.select(F.floor(F.col("l_orderkey") / 16).alias("pair_id"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("row_id"), x.alias("x1"), y.alias("y1"),
                           ((1.1 * x + 0.2 * y + 5) / w + F.when(bad, 200 + F.col("l_partkey") % 89 * 7).otherwise(0)).alias("x2"), ((-0.1 * x + 0.9 * y - 3) / w + F.when(bad, 100 + F.col("l_suppkey") % 83 * 9).otherwise(0)).alias("y2"))
-    many = d.groupBy("pair_id").agg(F.count("*").alias("n")).filter("n >= 12").select("pair_id")
-    return M.robust_pairs(d.join(many, "pair_id"), ["pair_id"], "row_id", M.Homography(), 0.01).select("pair_id", "row_id", "inlier")
+    return M.robust_pairs(d, ["pair_id"], "row_id", M.Homography(), 0.01, min_inliers=8).select("pair_id", "row_id", "inlier")
 
 
 def _projection(angle, tx, ty, f=500.0, c=256.0):

@@ -143,7 +143,7 @@ TOK = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
    round(bo/1000.0::DOUBLE + CASE WHEN np < 3 THEN 0 WHEN den < 1e-9 THEN sh ELSE ic END,7)+0.0::DOUBLE AS offset_s, round(least(c/hn,1),6) AS confidence FROM b JOIN f USING (doc_id) JOIN n USING (doc_id)""")
 def audio_hash_alignment(t):
     ref = tokens(t.benchmark, "item_id").select("hash", (F.col("item_id") * 1000 + F.col("time")).alias("time"))
-    d = J.align_hashes(tokens(t.documents, "doc_id"), ref, ["doc_id"], 20)
+    d = J.align_hashes(tokens(t.documents, "doc_id"), ref, ["doc_id"], 20, per_hash=6)
     return d.withColumns({"stretch": rnd("stretch", 4), "offset_s": rnd("offset_s", 7), "confidence": rnd("confidence")})
 
 

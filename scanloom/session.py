@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,14 +30,25 @@ def local_session(cores: str = "8", app: str = "scanloom") -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the cluster's, or a fresh one if unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a folder of its own, which
+    goes with the process; a cluster has to name one that all executors share."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
