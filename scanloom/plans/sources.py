@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from scanloom.functions.numeric import rnd
 from scanloom.functions.registry import Plugins, Ramp, hamming_bits
 from scanloom.operators import search as Q
+from scanloom.operators.ordering import ranked_within
 from scanloom.plans.inputs import PTS, EVT, e, points, user_events
 from scanloom.plans.registry import query, with_ctes
 from scanloom.session import scratch_path
 from scanloom.sources import tables as S
 
-TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
-
-
-@query("1.1", "SELECT unnest([" + ",".join(f"'{n}.parquet'" for n in TABLES) + "]) AS file, true AS sized")
+@query("1.1", "SELECT DISTINCT page_id % 20 AS folder, true AS sized FROM pages")
 def file_inventory(t):
-    d = S.list_files(t.spark, t.folder, ("parquet",))
-    return d.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("size") > 0).alias("sized"))
+    """Pages written in folders, one file each, and the files listed again."""
+    target = scratch_path(t.spark, "inventory")
+    t.pages.select((F.col("page_id") % 20).alias("folder"), F.col("url").alias("value")).repartition("folder").write.partitionBy("folder").text(target)
+    d = S.list_files(t.spark, target, ("txt",))
+    return d.select(F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder"), (F.col("size") > 0).alias("sized"))
 
 
 def order_groups(t):
@@ -45,15 +46,12 @@ def frame_explosion(t):
 
 @query("1.5 1.16", with_ctes("SELECT cloud_id, point_id, round(x,6)+0.0::DOUBLE x, round(y,6)+0.0::DOUBLE y, round(z,6)+0.0::DOUBLE z FROM pts", PTS))
 def point_cloud_round_trip(t):
-    """Clouds written as ASCII PLY and scanned back; ids follow the row order."""
+    """Clouds written as ASCII PLY in several files each and scanned back; ids follow the row order."""
     target = scratch_path(t.spark, "clouds")
-    p = points(t)
-    S.write_point_clouds(p, target)
-    parts = t.spark.read.text(f"{target}/*").select("value", F.regexp_extract(F.input_file_name(), r"cloud_id=(\d+)", 1).cast("int").alias("cloud_id"))
-    row = F.split("value", " ")
-    rows = parts.filter(F.size(row) == 6).filter(row[0].rlike(r"^-?\d")).select("cloud_id", *[row[i].cast("double").alias(a) for i, a in enumerate("xyz")])
-    near = p.select("cloud_id", "point_id", *[F.round(a, 6).alias("o" + a) for a in "xyz"])
-    d = near.join(rows, (near.cloud_id == rows.cloud_id) & (near.ox == rows.x) & (near.oy == rows.y) & (near.oz == rows.z)).select(near.cloud_id, "point_id", "x", "y", "z")
+    S.write_point_clouds(points(t), target, per_file=40)
+    back, _ = S.read_point_clouds(t.spark, target)
+    rows = ranked_within(points(t).select("cloud_id", "point_id"), ["cloud_id"], [F.col("point_id")], into="row")
+    d = rows.join(back.select(F.col("cloud_id").cast("int").alias("cloud_id"), F.col("point_id").alias("row"), "x", "y", "z"), ["cloud_id", "row"])
     return d.select("cloud_id", "point_id", *[rnd(c).alias(c) for c in "xyz"])
 
 

@@ -6,13 +6,17 @@ stopping the job.  Listings never touch file contents.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import stable_id
+from scanloom.operators.ordering import ranked_within
 from scanloom.operators.predicates import bad_path, failed_rules
+from scanloom.sources import ply
 
 # Raw image extensions.
 RAW = ("nef", "nrw", "cr2", "cr3", "arw", "dng", "raf", "orf", "rw2")
@@ -75,70 +79,74 @@ def explode_frames(groups: DataFrame, keys: list[str]) -> DataFrame:
                     (inside % F.col("_b")).alias("burst_index"), (F.col("frame_index") == F.least(F.col("reference"), F.col("_n") - 1)).alias("sequence_reference"))
 
 
-POINTS = "cloud_id string, point_id long, x double, y double, z double, nx double, ny double, nz double"
+POINTS = ("kind string, cloud_id string, point_id long, x double, y double, z double, nx double, ny double, nz double, "
+          "r int, g int, b int, reason string")
+_PLY_NAMES = {"x": "x", "y": "y", "z": "z", "nx": "nx", "ny": "ny", "nz": "nz", "red": "r", "green": "g", "blue": "b"}
+#: Vertices in one written file of a cloud.
+POINTS_PER_FILE = 1_000_000
 
 
-def _ply_rows(lines):
-    """Header-driven vertex rows of an ASCII PLY; bad rows are skipped."""
-    props, count, at = [], 0, 0
-    element = None
-    for at, line in enumerate(lines):
-        w = line.split()
-        if not w:
-            continue
-        if w[0] == "element":
-            element = w[1]
-            count = int(w[2]) if element == "vertex" else count
-        elif w[0] == "property" and element == "vertex":
-            props.append(w[-1])
-        elif w[0] == "end_header":
-            break
-    idx = {p: i for i, p in enumerate(props)}
-    for line in lines[at + 1:at + 1 + count]:
+def _obj_points(text: str) -> tuple[dict[str, np.ndarray], list[tuple[int, str]]]:
+    """Positions, with normals where there are as many, and lines that cannot be read."""
+    found, bad = {"v": [], "vn": []}, []
+    for i, line in enumerate(text.splitlines()):
         w = line.split()
-        try:
-            yield [float(w[idx[c]]) for c in "xyz"], [float(w[idx[c]]) if c in idx else None for c in ("nx", "ny", "nz")]
-        except (IndexError, KeyError, ValueError):
-            continue
-
+        if w and w[0] in found:
+            try:
+                found[w[0]].append([float(c) for c in (w[1], w[2], w[3])])
+            except (ValueError, IndexError):
+                bad.append((i, line))
+    v, n = (np.array(found[k], float).reshape(-1, 3) for k in ("v", "vn"))
+    columns = dict(zip("xyz", v.T))
+    return columns | (dict(zip(("nx", "ny", "nz"), n.T)) if len(n) == len(v) else {}), bad
 
-def _obj_rows(lines):
-    v = [[float(c) for c in ln.split()[1:4]] for ln in lines if ln.startswith("v ") and len(ln.split()) >= 4]
-    n = [[float(c) for c in ln.split()[1:4]] for ln in lines if ln.startswith("vn ") and len(ln.split()) >= 4]
-    for i, p in enumerate(v):
-        yield p, n[i] if i < len(n) else [None] * 3
 
+def read_point_clouds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(points, rejects) of the PLY (ASCII or binary) and OBJ files below a folder.
 
-def read_point_clouds(spark: SparkSession, path: str) -> DataFrame:
-    """ASCII PLY and OBJ files of a folder, one task per file."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("cloud_id"), "value")
+    A file is one task's work.  A cloud may lie in several files of a folder
+    ``cloud_id=<id>``; each tells the number of its first point.  Other files
+    are a cloud of their own, named by their path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def parse(batches):
         for b in batches:
-            for name, text in zip(b["cloud_id"], b["value"]):
-                lines = text.splitlines()
-                rows = list(_obj_rows(lines) if name.lower().endswith(".obj") else _ply_rows(lines))
-                a = np.array([[*p, *[np.nan if c is None else c for c in n]] for p, n in rows], dtype=float).reshape(-1, 6)
-                d = pd.DataFrame(a, columns=["x", "y", "z", "nx", "ny", "nz"])
-                d.insert(0, "point_id", np.arange(len(d)))
-                d.insert(0, "cloud_id", name)
-                yield d.astype(object).where(d.notna(), None)
-
-    return files.mapInPandas(parse, POINTS)
-
-
-MESHES = "mesh_id string, kind string, idx long, x double, y double, z double, a long, b long, c long"
+            for name, data in zip(b["path"], b["content"]):
+                own = re.search(r"cloud_id=([^/]+)/", name)
+                first = 0
+                if name.lower().endswith(".obj"):
+                    columns, bad = _obj_points(bytes(data).decode("utf-8", "replace"))
+                else:
+                    found = ply.read(bytes(data))
+                    columns, bad, first = found.vertices, found.rejects, found.first
+                    if columns and not {"x", "y", "z"} <= set(columns):
+                        columns, bad = {}, [*bad, (-1, "no positions")]
+                n = len(columns.get("x", ()))
+                out = pd.DataFrame({"kind": "p", "cloud_id": own[1] if own else name, "point_id": np.arange(first, first + n)})
+                for source, target in _PLY_NAMES.items():
+                    kind = "Int32" if target in ("r", "g", "b") else float
+                    out[target] = pd.array(columns[source].astype(int), kind) if kind == "Int32" and source in columns else columns.get(source, np.full(n, np.nan)) if kind is float else pd.array([None] * n, kind)
+                yield out.assign(reason=None).astype(object).where(out.assign(reason=None).notna(), None)
+                if bad:
+                    yield pd.DataFrame({"kind": "bad", "cloud_id": own[1] if own else name, "point_id": [i for i, _ in bad], **{c: None for c in _PLY_NAMES.values()}, "reason": [t for _, t in bad]})
+
+    both = files.mapInPandas(parse, POINTS)
+    points = both.filter("kind = 'p'").drop("kind", "reason")
+    return points, both.filter("kind = 'bad'").select("cloud_id", F.col("point_id").alias("line"), "reason")
+
+
+MESHES = "mesh_id string, kind string, idx long, x double, y double, z double, r double, g double, b double, s double, t double, a long, c1 long, c2 long"
 
 
 def read_meshes(spark: SparkSession, path: str, default: str = "ply") -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of OBJ and ASCII PLY files.  OBJ faces keep their first three
+    """(vertices, faces) of OBJ and PLY files, ASCII or binary, with colours and texture coordinates where there are any.  OBJ faces keep their first three
     corners, negative indices count from the end, equal corner keys share a vertex;
     PLY faces under three indices are skipped.  Files without a known extension
     are read as ``default``."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("mesh_id"), "value")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("mesh_id"), "content")
 
     def obj(lines):
-        pos, keys, verts, faces = [], {}, [], []
+        pos, tex, keys, verts, faces = [], [], {}, [], []
         counts = {"v": 0, "vt": 0, "vn": 0}
         for ln in lines:
             w = ln.split()
@@ -147,7 +155,10 @@ def read_meshes(spark: SparkSession, path: str, default: str = "ply") -> tuple[D
             if w[0] in counts:
                 counts[w[0]] += 1
                 if w[0] == "v":
-                    pos.append(tuple(float(c) for c in w[1:4]))
+                    numbers = [float(c) for c in w[1:7]]
+                    pos.append((*numbers[:3], *([255 * c for c in numbers[3:6]] if len(numbers) == 6 else [None] * 3)))
+                elif w[0] == "vt":
+                    tex.append((float(w[1]), float(w[2]) if len(w) > 2 else 0.0))
             elif w[0] == "f" and len(w) >= 4:
                 face = []
                 for corner in w[1:4]:
@@ -155,33 +166,34 @@ def read_meshes(spark: SparkSession, path: str, default: str = "ply") -> tuple[D
                     key = tuple((int(p) if int(p) > 0 else n + 1 + int(p)) if p else 0 for p, n in zip(part, (counts["v"], counts["vt"], counts["vn"])))
                     if key not in keys:
                         keys[key] = len(verts)
-                        verts.append(pos[key[0] - 1])
+                        verts.append((*pos[key[0] - 1], *(tex[key[1] - 1] if key[1] else (None, None))))
                     face.append(keys[key])
                 faces.append(face)
         return verts, faces
 
-    def ply(lines):
-        head = next((i for i, ln in enumerate(lines) if ln.strip() == "end_header"), len(lines))
-        n = {w[1]: int(w[2]) for w in (ln.split() for ln in lines[:head]) if len(w) == 3 and w[0] == "element"}
-        body = lines[head + 1:]
-        verts = [p for p, _ in _ply_rows(lines)]
-        faces = []
-        for ln in body[n.get("vertex", 0):n.get("vertex", 0) + n.get("face", 0)]:
-            w = [int(float(c)) for c in ln.split()]
-            if len(w) >= 4 and w[0] >= 3:
-                faces.extend([w[1], w[i], w[i + 1]] for i in range(2, w[0]))
-        return verts, faces
-
     def parse(batches):
+        columns = [c.split()[0] for c in MESHES.split(", ")]
         for b in batches:
-            for name, text in zip(b["mesh_id"], b["value"]):
+            for name, data in zip(b["mesh_id"], b["content"]):
                 kind = name.lower().rpartition(".")[2]
-                v, f = (obj if (kind if kind in ("obj", "ply") else default) == "obj" else ply)(text.splitlines())
-                rows = [(name, "v", i, *p, None, None, None) for i, p in enumerate(v)] + [(name, "f", i, None, None, None, *t) for i, t in enumerate(f)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MESHES.split(", ")]).astype(object)
+                if (kind if kind in ("obj", "ply") else default) == "obj":
+                    verts, faces = obj(bytes(data).decode("utf-8", "replace").splitlines())
+                    v = pd.DataFrame(verts, columns=["x", "y", "z", "r", "g", "b", "s", "t"], dtype=float)
+                else:
+                    found = ply.read(bytes(data))
+                    faces, n = found.faces, len(found.vertices.get("x", ()))
+                    take = {"x": ("x",), "y": ("y",), "z": ("z",), "r": ("red", "r"), "g": ("green", "g"), "b": ("blue", "b"), "s": ("s", "u", "texture_u"), "t": ("t", "v", "texture_v")}
+                    v = pd.DataFrame({c: next((found.vertices[o] for o in names if o in found.vertices), np.full(n, np.nan)) for c, names in take.items()})
+                f = pd.DataFrame(np.asarray(faces, np.int64).reshape(-1, 3), columns=["a", "c1", "c2"])
+                top = v.assign(mesh_id=name, kind="v", idx=np.arange(len(v)), a=None, c1=None, c2=None)
+                low = f.assign(mesh_id=name, kind="f", idx=np.arange(len(f)), **{c: None for c in "xyzrgbst"})
+                for part in (top, low):
+                    part = part[columns].astype(object)
+                    yield part.where(part.notna(), None)
 
     both = files.mapInPandas(parse, MESHES)
-    return both.filter("kind = 'v'").select("mesh_id", F.col("idx").alias("v"), "x", "y", "z"), both.filter("kind = 'f'").select("mesh_id", F.col("idx").alias("f"), "a", "b", "c")
+    verts = both.filter("kind = 'v'").select("mesh_id", F.col("idx").alias("v"), "x", "y", "z", *[F.col(c).cast("int").alias(c) for c in "rgb"], F.col("s").alias("tex_u"), F.col("t").alias("tex_v"))
+    return verts, both.filter("kind = 'f'").select("mesh_id", F.col("idx").alias("f"), "a", F.col("c1").alias("b"), F.col("c2").alias("c"))
 
 
 SPLAT = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 4), ("q", "u1", 4)])  # 32 bytes
@@ -305,17 +317,16 @@ def outline_geojson(outline: DataFrame, key: str) -> DataFrame:
     return ring.select(key, F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")).alias("geometry"))).alias("feature"))
 
 
-def point_lines(points: DataFrame) -> DataFrame:
-    """ASCII PLY vertex lines with colours, and the header of each cloud from a count."""
-    line = F.format_string("%.6f %.6f %.6f %d %d %d", "x", "y", "z", "r", "g", "b")
-    body = points.select("cloud_id", F.col("point_id").alias("seq"), line.alias("line"))
-    head = points.groupBy("cloud_id").agg(F.count("*").alias("n")).select("cloud_id", F.lit(-1).cast("long").alias("seq"), F.concat(
-        F.lit("ply\nformat ascii 1.0\nelement vertex "), "n", F.lit("\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header")).alias("line"))
-    return head.unionByName(body)
+def write_point_clouds(points: DataFrame, target: str, per_file: int = POINTS_PER_FILE) -> None:
+    """ASCII PLY files of at most ``per_file`` points in a folder ``cloud_id=<id>`` each.
 
-
-def write_point_clouds(points: DataFrame, target: str) -> None:
-    """One folder per cloud; rows are range-partitioned by cloud and id, so a large
-    cloud is written by several tasks, in order, the header first."""
-    lines = point_lines(points).repartitionByRange("cloud_id", "seq").sortWithinPartitions("cloud_id", "seq")
-    lines.select("cloud_id", F.col("line").alias("value")).write.partitionBy("cloud_id").text(target)
+    Every file has a header with its own number of points and the number of its
+    first, so files are written and read on their own and no cloud is one task."""
+    line = F.format_string("%.6f %.6f %.6f %d %d %d", "x", "y", "z", "r", "g", "b")
+    d = ranked_within(points.select("cloud_id", "point_id", line.alias("line")), ["cloud_id"], [F.col("point_id"), F.col("line")], into="_at")
+    d = d.withColumn("part", F.floor(F.col("_at") / per_file))
+    kinds = "".join(f"property {t} {n}\n" for t, names in (("float", "x y z"), ("uchar", "red green blue")) for n in names.split())
+    head = d.groupBy("cloud_id", "part").agg(F.count("*").alias("n")).select("cloud_id", "part", F.lit(-1).cast("long").alias("_at"), F.concat(
+        F.lit("ply\nformat ascii 1.0\ncomment first "), (F.col("part") * per_file).cast("string"), F.lit("\nelement vertex "), F.col("n").cast("string"), F.lit(f"\n{kinds}end_header")).alias("line"))
+    files = head.unionByName(d.select("cloud_id", "part", "_at", "line")).repartition("cloud_id", "part").sortWithinPartitions("cloud_id", "part", "_at")
+    files.select("cloud_id", "part", F.col("line").alias("value")).write.partitionBy("cloud_id", "part").text(target)
