@@ -65,12 +65,14 @@ def _nearest(q, tx, mult, tid, k, exclude):
 
 
 def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str, target_id: str, k: int, exclude_self: bool = False,
-        dims: list[str] | None = None, rows_per_block: int = 4096, max_blocks: int = 100_000) -> DataFrame:
+        dims: list[str] | None = None, rows_per_block: int = 4096, fan: int = 64, top_boxes: int = 4096) -> DataFrame:
     """The k nearest targets of each query within its key, as an array of
     (d, id, weight, x, y, z) sorted by distance; weights add up to at most k.
 
     Pass one answers inside the home block and bounds the radius; pass two asks
-    only the blocks whose box lies within that radius.
+    only the blocks whose box lies within that radius.  Blocks stand in curve
+    order, so runs of ``fan`` blocks form the nodes of a tree of boxes: at most
+    about ``top_boxes`` nodes are broadcast, the levels below are joined.
     """
     dims = dims or XYZ
     spark = queries.sparkSession
@@ -79,16 +81,30 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
     t = targets.groupBy(*keys, *dims).agg(F.count("*").alias("mult"), F.min(target_id).alias("tid"))
     q = queries.select(*keys, *dims).distinct()
     both = q.select(*keys, *dims, F.lit(True).alias("ask")).join(t, [*keys, *dims], "full_outer").fillna(False, ["ask"])
-    n = max(1, min(max_blocks, math.ceil((queries.count() + targets.count()) / rows_per_block)))
+    n = max(1, math.ceil((queries.count() + targets.count()) / rows_per_block))
     lim = targets.agg(*[f(d).alias(f"_{p}{d}") for d in dims for p, f in (("lo", F.min), ("hi", F.max))])  # one row
     code = both.crossJoin(F.broadcast(lim)).withColumn("_code", curve_code(dims)).drop(*[f"_{p}{d}" for d in dims for p in ("lo", "hi")])
     placed = checkpointed(code.repartitionByRange(n, *keys, "_code", *dims).withColumn("_block", F.spark_partition_id()).drop("_code"))
     has = F.col("mult").isNotNull()
     pieces = placed.groupBy("_block", *keys).agg(*[f(F.when(has, F.col(d))).alias(f"{p}{d}") for d in dims for p, f in (("lo", F.min), ("hi", F.max))], F.count("mult").alias("cnt"))
-    # Keys that span several blocks: at most two pieces per block, so this list is bounded by max_blocks.
     spanning = pieces.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    boxes = pieces.join(spanning, keys).filter("cnt > 0").toPandas() if n > 1 else pd.DataFrame(columns=[*keys, "_block"])
-    by_key = {kk if isinstance(kk, tuple) else (kk,): (g["_block"].to_numpy(), g[[f"lo{d}" for d in dims]].to_numpy(float), g[[f"hi{d}" for d in dims]].to_numpy(float))
+    pieces = pieces.join(spanning, keys).filter("cnt > 0")
+
+    def level(up: int) -> DataFrame:
+        """Boxes of runs of fan^up blocks, by key."""
+        node = F.floor(F.col("_block") / fan**up).cast("int").alias("_node")
+        return pieces.groupBy(node, *keys).agg(*[f(f"{p}{d}").alias(f"{p}{d}") for d in dims for p, f in (("lo", F.min), ("hi", F.max))])
+
+    top, all_ask, boxes = 0, False, pd.DataFrame(columns=[*keys, "_node"])
+    if n > 1:
+        pieces = checkpointed(pieces)
+        count = pieces.count()
+        while count > top_boxes and n > fan**top:
+            top += 1
+            count = level(top).count()
+        all_ask = count > top_boxes  # too many keys even with one node each: every query starts at the root of its key
+        boxes = boxes if all_ask else level(top).toPandas()
+    by_key = {kk if isinstance(kk, tuple) else (kk,): (g["_node"].to_numpy(), g[[f"lo{d}" for d in dims]].to_numpy(float), g[[f"hi{d}" for d in dims]].to_numpy(float))
               for kk, g in boxes.groupby(keys, dropna=False)} if len(boxes) else {}
     shared = spark.sparkContext.broadcast(by_key)
     nd = len(dims)
@@ -123,15 +139,18 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
         else:
             parts = []
         ids, lo, hi = shared.value.get(keyvals, (np.empty(0, int), np.empty((0, nd)), np.empty((0, nd))))
-        other = ids != block
-        ids, lo, hi = ids[other], lo[other], hi[other]
+        if all_ask:
+            ids, lo, hi = np.zeros(1, int), np.full((1, nd), -np.inf), np.full((1, nd), np.inf)
+        if not top:
+            other = ids != block
+            ids, lo, hi = ids[other], lo[other], hi[other]
         step = max(1, 2_000_000 // max(len(ids), 1))
         for s in range(0, len(qx) if len(ids) else 0, step):
             p = qx[s:s + step, None, :]
             gap = np.sqrt((np.maximum(np.maximum(lo[None] - p, p - hi[None]), 0) ** 2).sum(axis=2))
             r, c = np.nonzero(gap <= radius[s:s + step, None])
             if len(r):
-                parts.append(flat(qx, r + s, 1, radius[r + s], ids[c], np.zeros(len(r), "int64"), np.zeros((len(r), nd)), keyvals))
+                parts.append(flat(qx, r + s, 1, radius[r + s], ids[c], np.full(len(r), block, "int64"), np.zeros((len(r), nd)), keyvals))
         return pd.concat(parts) if parts else pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
 
     first = placed.groupBy("_block", *keys).applyInPandas(home, schema)
@@ -139,7 +158,13 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
     if n > 1:
         first = checkpointed(first)
         found = first.filter("kind = 0")
-        probes = first.filter("kind = 1").select(F.col("tid").cast("int").alias("_block"), *keys, *["q" + d for d in dims], F.col("d").alias("reach"))
+        probes = first.filter("kind = 1").select(F.col("tid").cast("int").alias("_block"), *keys, *["q" + d for d in dims], F.col("d").alias("reach"), F.col("w").alias("_home"))
+        for up in range(top - 1, -1, -1):  # down the tree: only boxes within reach are asked further
+            below = level(up).withColumn("_block", F.floor(F.col("_node") / fan).cast("int"))
+            gap = sum(F.greatest(F.col(f"lo{d}") - F.col(f"q{d}"), F.col(f"q{d}") - F.col(f"hi{d}"), F.lit(0.0)) ** 2 for d in dims)
+            probes = probes.join(below, ["_block", *keys]).filter(F.sqrt(gap) <= F.col("reach"))
+            probes = probes.select(F.col("_node").alias("_block"), *keys, *["q" + d for d in dims], "reach", "_home")
+        probes = checkpointed(probes.filter("_block <> _home").drop("_home"))
         # A block asked by very many queries is answered by several tasks.
         salts = probes.groupBy("_block", *keys).agg(F.ceil(F.count("*") / (4 * rows_per_block)).cast("int").alias("_salts"))
         probes = probes.join(salts, ["_block", *keys]).withColumn("_salt", F.pmod(F.xxhash64(*["q" + d for d in dims]), F.col("_salts")).cast("int")).drop("_salts")

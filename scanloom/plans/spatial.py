@@ -21,7 +21,7 @@ def nearest_point_join(t):
     """Each point against the cloud of the next label."""
     q = xyz(t)
     target = q.withColumn("cloud_id", (F.col("cloud_id") + 9) % 10)
-    d = S.nearest(q, target, ["cloud_id"], "point_id", "point_id")
+    d = S.nearest(q, target, ["cloud_id"], "point_id", "point_id", rows_per_block=150)
     return d.withColumn("distance", rnd("distance"))
 
 
@@ -43,7 +43,7 @@ def statistical_outliers(t):
   (SELECT *, avg(x) OVER w mx, avg(y) OVER w my, avg(z) OVER w mz FROM kd WHERE r <= 8 WINDOW w AS (PARTITION BY cloud_id, point_id)) GROUP BY 1,2""", PTS, KD))
 def neighbour_covariance(t):
     """Trace of the neighbour covariance that the normals are taken from."""
-    d = S.knn(xyz(t), xyz(t), ["cloud_id"], "point_id", "point_id", 8)
+    d = S.knn(xyz(t), xyz(t), ["cloud_id"], "point_id", "point_id", 8, rows_per_block=150)
     def tot(f):
         return F.aggregate("neighbours", F.lit(0.0), lambda s, e: s + e.weight * f(e))
     n = tot(lambda e: F.lit(1.0))
@@ -64,7 +64,7 @@ def neighbour_normals(t):
 def nearest_views(t):
     v = t.supplier.select((F.col("s_nationkey") % 4).alias("scene"), F.col("s_suppkey").alias("view_id"), (F.col("s_acctbal") / 1000).alias("x"),
                           (F.col("s_nationkey") * 37 % 25).cast("double").alias("y"), (F.col("s_suppkey") % 11).cast("double").alias("z"))
-    d = S.knn(v, v, ["scene"], "view_id", "view_id", 4, exclude_self=True)
+    d = S.knn(v, v, ["scene"], "view_id", "view_id", 4, exclude_self=True, rows_per_block=150)
     return d.select("view_id", F.coalesce(F.array_join(F.transform("neighbours", lambda e: e.id.cast("string")), ","), F.lit("")).alias("sources"))
 
 

@@ -39,10 +39,10 @@ def brute(pdf, k, exclude):
 
 
 @pytest.mark.parametrize("exclude", [True, False])
-@pytest.mark.parametrize("rows", [25, 5000])
-def test_knn_blocks_match_brute_force(cloud, exclude, rows):
+@pytest.mark.parametrize("rows, fan, top", [(25, 64, 4096), (25, 3, 6), (25, 2, 0), (5000, 64, 4096)])
+def test_knn_blocks_match_brute_force(cloud, exclude, rows, fan, top):
     pdf, df = cloud
-    got = S.knn(df, df, ["cloud_id"], "point_id", "point_id", 7, exclude_self=exclude, rows_per_block=rows).toPandas()
+    got = S.knn(df, df, ["cloud_id"], "point_id", "point_id", 7, exclude_self=exclude, rows_per_block=rows, fan=fan, top_boxes=top).toPandas()
     want = brute(pdf, 7, exclude)
     assert len(got) == len(pdf)
     for pid, nb in zip(got["point_id"], got["neighbours"]):
