@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
 def hamming_bits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return (a.astype("int64") ^ b.astype("int64")).map(lambda v: bin(v & 0xFFFFFFFFFFFFFFFF).count("1"))
+    return pd.Series(np.bitwise_count((a.astype("int64") ^ b.astype("int64")).to_numpy().view("uint64")).astype("int64"))
 
 
 class Ramp:

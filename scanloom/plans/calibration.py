@@ -60,7 +60,16 @@ def noise_variance_bins(t):
     return C.variance_bins(noise_samples(t), ["l_linestatus", "site"], 800.0).withColumns({"signal": rnd("signal", 4), "variance": rnd("variance", 5)})
 
 
-@query("4.25", name="shot_noise_slope")
+SLOPE = ", ".join([
+    "bb AS (SELECT l_linestatus, site, signal AS x, variance AS v, n FROM nm JOIN nv USING (l_linestatus, site, bin))",
+    """br AS (SELECT *, (v-1)/x AS ratio, sum(n) OVER (PARTITION BY l_linestatus, site ORDER BY (v-1)/x, x) AS upto, sum(n) OVER (PARTITION BY l_linestatus, site) AS total FROM bb WHERE v > 1 AND x > 0)""",
+    "s0 AS (SELECT l_linestatus, site, min(ratio) FILTER (2*upto >= total) AS slope FROM br GROUP BY 1,2)",
+    *[f"""s{i + 1} AS (SELECT l_linestatus, site, sum(w*x*greatest(v-1,0))/sum(w*x*x) AS slope FROM
+      (SELECT *, n*CASE WHEN abs(v-p) <= 0.1::DOUBLE*greatest(p,1e-6) THEN 1 ELSE 0.1::DOUBLE/(abs(v-p)/greatest(p,1e-6)) END AS w FROM
+      (SELECT bb.*, 1+slope*x AS p FROM bb JOIN s{i} USING (l_linestatus, site))) GROUP BY 1,2)""" for i in range(8)]])
+
+
+@query("4.25", with_ctes("SELECT l_linestatus, site, round(slope,6)+0.0::DOUBLE AS slope, (SELECT count(*) FROM bb WHERE bb.l_linestatus=s8.l_linestatus AND bb.site=s8.site)::INT AS bins FROM s8", NOISE, SLOPE), name="shot_noise_slope")
 def shot_noise_slope(t):
     b = C.variance_bins(noise_samples(t), ["l_linestatus", "site"], 800.0).withColumn("base", F.lit(1.0))
     return C.shot_slope(b, ["l_linestatus", "site"]).withColumn("slope", rnd("slope"))

@@ -202,3 +202,27 @@ def test_planted_lens_growth_is_recovered(spark):
 
     out = QUERIES["lens_blur_calibration"].run(spark, "/root/testdata/sf0.01").toPandas()
     assert (out["calibrated_p95"] < 0.1).all() and (out["reduction"] > 0.6).all()
+
+
+def plane(rng, cloud, normal, n=120, shift=0.0):
+    a = np.cross(normal, [1.0, 0.3, 0.2])
+    a /= np.linalg.norm(a)
+    p = rng.uniform(-1, 1, (n, 2)) @ np.array([a, np.cross(normal, a)]) + np.multiply(normal, shift)
+    return pd.DataFrame({"cloud_id": cloud, "point_id": np.arange(n) + 1000 * cloud, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+
+
+def test_normals_of_a_plane(spark):
+    rng = np.random.default_rng(3)
+    normals = {0: np.array([0.0, 0.0, 1.0]), 1: np.array([0.6, 0.0, 0.8]), 2: np.array([2, -1, 2]) / 3}
+    df = spark.createDataFrame(pd.concat(plane(rng, c, n) for c, n in normals.items()))
+    for r in S.estimate_normals(df, ["cloud_id"], "point_id", 8, rows_per_block=50).collect():
+        assert abs(abs(np.dot([r.nx, r.ny, r.nz], normals[r.cloud_id])) - 1) < 1e-9
+
+
+def test_normal_consistency_of_tilted_planes(spark):
+    rng = np.random.default_rng(3)
+    up, tilted = np.array([0.0, 0.0, 1.0]), np.array([0.0, 0.6, 0.8])
+    pred = pd.concat([plane(rng, 0, up), plane(rng, 1, up)])
+    truth = pd.concat([plane(rng, 0, up, shift=0.01), plane(rng, 1, tilted)])
+    out = S.geometry_metrics(spark.createDataFrame(pred), spark.createDataFrame(truth), ["cloud_id"], "point_id", 0.5, normal_k=8).toPandas().set_index("cloud_id")
+    assert out.loc[0, "normal_consistency"] == pytest.approx(1.0) and out.loc[1, "normal_consistency"] == pytest.approx(0.8)

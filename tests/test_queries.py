@@ -10,10 +10,20 @@ from tools.check import compare
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     q = QUERIES[name]
-    ok, message, _ = compare(q.run(spark, DATA), duck, q.sql)
+    ok, message, _ = compare(q.run(spark, DATA), duck, q.sql, name)
     assert ok, message
 
 
+def test_queries_without_sql_have_a_truth_test():
+    import glob
+
+    from tools.check import TRUTH
+
+    written = "".join(open(f).read() for f in glob.glob("tests/test_*.py"))
+    assert {n for n, q in QUERIES.items() if not q.sql} == set(TRUTH)
+    assert all(f"def {test}(" in written for test in TRUTH.values())
+
+
 def test_every_survey_row_has_a_query():
     import re
 
