@@ -141,22 +141,22 @@ def align_hashes(source: DataFrame, reference: DataFrame, keys: list[str], step_
     """Vote on the offset between hashed tracks and fit the drift.
 
     ``source`` (keys, hash, time) and ``reference`` (hash, time) count steps of
-    ``step_ms``.  With ``per_hash`` each reference hash keeps that many first times.  Matches are counted
-    per offset for the vote; a second pass over the matches keeps those near the
-    winner and reduces them to sums before the shuffle.  No track is one group."""
+    ``step_ms``.  With ``per_hash`` each reference hash keeps that many first times.  Matches are
+    joined once and summed per offset, which serves the vote and, for the offsets
+    near the winner, the fit.  No track is one group."""
     ref = reference.select("hash", F.col("time").alias("_rt"))
     if per_hash:
         first = Window.partitionBy("hash").orderBy("_rt")
         ref = ref.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_hash).drop("_n")
     st, rt = F.col("time"), F.col("_rt")
     pairs = source.join(ref, "hash").select(*keys, st.alias("_st"), rt.alias("_rt"), ((rt - st) * step_ms).alias("offset_ms"))
-    votes = pairs.groupBy(*keys, "offset_ms").agg(F.count("*").alias("votes"))
+    x, y = F.col("_st"), F.col("_rt")
+    votes = checkpointed(pairs.groupBy(*keys, "offset_ms").agg(
+        F.count("*").alias("votes"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy")))
     best = votes.groupBy(*keys).agg(F.max_by(F.struct("offset_ms", "votes"), F.struct("votes", (-F.col("offset_ms")).alias("m"))).alias("b")).select(*keys, F.col("b.offset_ms").alias("best_ms"), F.col("b.votes").alias("best_votes"))
-    best = checkpointed(best)  # one row per track
     total = source.groupBy(*keys).agg(F.count("*").alias("hashes"))
-    near = pairs.join(best, keys).filter(F.abs(F.col("offset_ms") - F.col("best_ms")) <= tolerance_ms)
-    x, y = F.col("_st"), F.col("_rt")
-    fit = near.groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
+    near = votes.join(best, keys).filter(F.abs(F.col("offset_ms") - F.col("best_ms")) <= tolerance_ms)
+    fit = near.groupBy(*keys).agg(F.sum("votes").alias("pairs"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "sxy")])
 
     def exact(*factors):  # whole numbers beyond 64 bits
         return F.col(factors[0]).cast("decimal(19,0)") * F.col(factors[1]).cast("decimal(19,0)")
