@@ -11,6 +11,18 @@ from scanloom.functions import geometry as G
 CAM = ["qw", "qx", "qy", "qz", "tx", "ty", "tz", "fx", "fy", "cx", "cy"]
 
 
+#: Parts into which the points of a scene are dealt when they meet its cameras.
+SPREAD = 64
+
+
+def with_scene(many: DataFrame, few: DataFrame, place: list[str]) -> DataFrame:
+    """Every row of ``many`` with every row of ``few`` of its scene.  A large scene
+    is dealt over SPREAD parts by ``place``; the few rows go to each part."""
+    part = F.pmod(F.xxhash64(*place), F.lit(SPREAD)).cast("int")
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return many.withColumn("_part", part).join(copies, ["scene", "_part"]).drop("_part")
+
+
 def _pose(pre: str = "") -> tuple[tuple, tuple]:
     return tuple(F.col(pre + c) for c in ("qw", "qx", "qy", "qz")), tuple(F.col(pre + c) for c in ("tx", "ty", "tz"))
 
@@ -26,7 +38,7 @@ def in_view(points: DataFrame, cameras: DataFrame, view: str = "src") -> DataFra
     """Points (wx, wy, wz) in front of every camera of their scene, with the
     exact pixel position (u, v) and depth z."""
     c = cameras.select("scene", F.col("view").alias(view), *[F.col(n).alias("_" + n) for n in CAM])
-    d = points.join(c, "scene")
+    d = with_scene(points, c, ["wx", "wy", "wz"])
     p = G.world_to_camera(*_pose("_"), (F.col("wx"), F.col("wy"), F.col("wz")))
     d = d.withColumns({"_px": p[0], "_py": p[1], "z": p[2]}).filter("z > 0")
     u, v = G.project((F.col("_px"), F.col("_py"), F.col("z")), F.col("_fx"), F.col("_fy"), F.col("_cx"), F.col("_cy"))
@@ -48,9 +60,12 @@ def fuse_depth(depth: DataFrame, cameras: DataFrame, threshold: float, min_views
 
 
 def voxel_grid(scenes: DataFrame, lo: tuple, hi: tuple, size: float) -> DataFrame:
-    """Lattice from lo (inclusive) to hi (exclusive) for each scene."""
+    """Lattice from lo (inclusive) to hi (exclusive) for each scene; its layers are
+    dealt out before they are filled, so a large lattice comes from many tasks."""
     d = scenes
     for a, low, high in zip("xyz", lo, hi):
+        if a == "y":
+            d = d.repartition("scene", "ix")
         n = int(-(-(high - low) // size))
         d = d.withColumn("i" + a, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(a, F.lit(float(low)) + F.col("i" + a) * size)
     return d
@@ -59,7 +74,7 @@ def voxel_grid(scenes: DataFrame, lo: tuple, hi: tuple, size: float) -> DataFram
 def carve(voxels: DataFrame, cameras: DataFrame, masks: DataFrame, width: int, height: int) -> DataFrame:
     """Voxels that no view sees outside the mask and at least one view sees inside.
     Cameras carry a 4x4 matrix ``mvp`` (row by row); behind and off-frame views are ignored."""
-    d = voxels.join(cameras, "scene")
+    d = with_scene(voxels, cameras, ["ix", "iy", "iz"])
 
     def row(i):
         return sum(F.get("mvp", F.lit(4 * i + j)) * F.col(a) for j, a in enumerate("xyz")) + F.get("mvp", F.lit(4 * i + 3))
@@ -115,7 +130,7 @@ def confidence_field(voxels: DataFrame, views: DataFrame, fov: float, time_step:
 
     cos_half = math.cos(fov / 2)
     v = views.withColumn("t_idx", F.floor(F.col("time") / time_step).cast("int"))
-    d = voxels.join(v, "scene")
+    d = with_scene(voxels, v, ["ix", "iy", "iz"])
     gap = {a: F.col(a) - F.col("c" + a) for a in "xyz"}
     dist = F.sqrt(sum(g * g for g in gap.values()))
     d = d.withColumns({"_d": dist, "_c": sum(gap[a] * F.col("d" + a) for a in "xyz") / dist}).filter(F.col("_c") > cos_half)

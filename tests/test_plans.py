@@ -29,3 +29,18 @@ def test_listing_does_not_read_contents(spark):
 
 def test_per_key_limits_are_pushed_below_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["top_features_per_image"].run(spark, DATA))
+
+
+def test_scene_joins_are_dealt_over_parts(spark):
+    from scanloom.operators import views
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        points = spark.createDataFrame([(0, float(i), 0.0, 1.0) for i in range(200)], "scene int, wx double, wy double, wz double")
+        cams = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "scene int, view int")
+        d = views.with_scene(points, cams, ["wx", "wy", "wz"])
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(scene" in plan and all("_part" in line for line in plan.splitlines() if "hashpartitioning(scene" in line)
+        assert sorted((r.wx, r.view) for r in d.collect()) == sorted((float(i), v) for i in range(200) for v in (1, 2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
