@@ -21,12 +21,12 @@ from scanloom.llm.common import carried, slices
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the network; ``chunk`` is a multiple of ``stride``."""
+    """Sizes of the network; ``chunk`` and ``width`` are multiples of ``stride``."""
 
     embed: int = 4
-    width: int = 8
+    width: int = 12
     stride: int = 4
-    filters: int = 24
+    filters: int = 32
     chunk: int = 256
 
 
@@ -99,7 +99,8 @@ def probability(net: Network, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit + net.shift, -30, 30)))
 
 
-def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    """Gradients of the weighted logistic loss, and the loss."""
     s, w = net.shape, net.weights
     flat, first, blocked = lay_out(texts, s)
     per, total = s.chunk // s.stride, (len(flat) - s.width) // s.chunk
@@ -111,6 +112,7 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weight: np.
     pooled = np.maximum(np.take_along_axis(cube, place[:, None], 1)[:, 0] + w["bias"], 0)
     features, logit = _combine(net, pooled, first)
     error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * weight / len(labels)
+    loss = float(np.mean(weight * np.logaddexp(0, np.where(labels == 1, -logit, logit))))
     back = np.outer(error, w["dense"]).astype(np.float32)
     counts = np.diff(np.r_[first, total])
     doc = np.repeat(np.arange(len(first)), counts)
@@ -130,22 +132,27 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weight: np.
     spread = window_grad.reshape(-1, s.embed)
     embed = np.stack([np.bincount(symbol, spread[:, e], 256) for e in range(s.embed)], 1).astype(np.float32)
     embed[0] = 0
-    return {"embed": embed, "filters": dense_grad, "bias": grad.sum(0), "dense": (error @ features).astype(np.float32), "out": np.array([error.sum()], np.float32)}
+    return {"embed": embed, "filters": dense_grad, "bias": grad.sum(0), "dense": (error @ features).astype(np.float32), "out": np.array([error.sum()], np.float32)}, loss
 
 
-def fit(texts: list[bytes], labels: np.ndarray, shape: Shape | None = None, steps: int = 600, batch: int = 64, rate: float = 5e-3, seed: int = 7) -> Network:
-    """Adam on the logistic loss, both classes with equal weight."""
+def fit(texts: list[bytes], labels: np.ndarray, shape: Shape | None = None, steps: int = 800, batch: int = 64, rate: float = 5e-3, seed: int = 7, enough: float = 0.01) -> Network:
+    """Adam on the logistic loss, both classes with equal weight; ends early once
+    the loss of the last passes over 50 batches is below ``enough`` on average."""
     net, rng = start(shape or Shape(), seed), np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     mean = {k: np.zeros_like(v) for k, v in net.weights.items()}
     square = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    order = np.empty(0, np.int64)
+    order, losses = np.empty(0, np.int64), []
     for step in range(1, steps + 1):
         if len(order) < batch:
             order = np.concatenate([order, rng.permutation(len(texts))])
         pick, order = order[:batch], order[batch:]
         fade = 1 - step / (steps + 1)
-        for k, g in _gradients(net, [texts[i] for i in pick], labels[pick], weight[pick]).items():
+        grads, loss = _gradients(net, [texts[i] for i in pick], labels[pick], weight[pick])
+        losses.append(loss)
+        if np.mean(losses[-50:]) < enough and step >= 100:
+            break
+        for k, g in grads.items():
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.999 * square[k] + 0.001 * g * g
             change = (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-7)

@@ -26,12 +26,13 @@ def test_gradients():
     net = quality_cnn.start(quality_cnn.Shape(filters=3, chunk=32))
     texts, y, w = [bytes(rng.integers(1, 255, n).astype(np.uint8)) for n in (5, 40, 100)], np.array([1.0, 0.0, 1.0]), np.ones(3)
     net.weights = {k: v.astype(np.float32) for k, v in net.weights.items()}
-    grads = quality_cnn._gradients(net, texts, y, w)
+    grads, own = quality_cnn._gradients(net, texts, y, w)
 
     def loss():
         p = quality_cnn.probability(net, texts)
         return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
 
+    assert abs(own - loss()) < 1e-6
     for name in ("filters", "bias", "dense", "out"):
         flat = net.weights[name].reshape(-1)
         for i in range(0, len(flat), max(1, len(flat) // 5)):
