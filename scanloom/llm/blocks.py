@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm.common import give_back
+
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -78,6 +80,7 @@ def packed(placed: DataFrame) -> DataFrame:
 
 def unpacked(table: pa.Table) -> pa.Table | None:
     """The documents of one block in an order that does not depend on arrival; None if there are none."""
+    give_back()
     parts = [unsqueeze(d) for d in table.column("data")]
     if not parts:
         return None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import pyarrow as pa
@@ -34,6 +35,14 @@ def space_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().lower().split()
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a reused worker does not keep the peak of its earlier work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and all other columns as one struct ``_row``, so that no name of theirs can clash."""
     return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("_row"))
@@ -60,7 +69,7 @@ def pieces(total: int, size: int) -> int:
     return max(1, math.ceil(total / size))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """(start, rows, texts) pieces of an Arrow batch with at most ``limit`` bytes of text, or one row."""
     sizes = batch.column(column).cast(pa.large_string())
     offsets = memoryview(sizes.buffers()[1]).cast("q") if len(sizes) else []
@@ -71,3 +80,4 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
             stop += 1
         yield start, stop - start, sizes.slice(start, stop - start).to_pylist()
         start = stop
+    give_back()

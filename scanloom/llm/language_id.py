@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from scanloom.llm.common import carried, slices
 
 UNDETERMINED = "und"
+#: Bytes of text whose n-grams are in memory at once (some 40 bytes for each).
+SLICE = 2 << 20
 _LETTER = regex.compile(r"\p{L}")
 #: Odd multipliers of the n-gram hash, one per place in the n-gram (any odd numbers do).
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
@@ -79,7 +81,7 @@ def train(docs: DataFrame, is_training: Column, orders: tuple[int, ...] = (1, 2,
         n_docs: dict[str, int] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for start, n, texts in slices(batch, "text"):
+            for start, n, texts in slices(batch, "text", SLICE):
                 names, codes = np.unique(langs[start : start + n], return_inverse=True)
                 table = np.zeros((len(names), buckets), np.int64)
                 for ids, owner in ngram_buckets(texts, orders, buckets):
@@ -138,7 +140,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n, texts in slices(batch, "_text", 2 << 20):
+            for start, n, texts in slices(batch, "_text", SLICE):
                 names, scores = score_texts(shared.value, texts)
                 kept = batch.slice(start, n)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
