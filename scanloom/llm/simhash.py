@@ -33,18 +33,16 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     """Bits set in over half of the XXH64 hashes of the word shingles, repeats included; 0 without words."""
     if not words:
         return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = [digest(b" ".join(words), seed)]
-    elif shingle == 3:
-        hashes = [digest(b"%b %b %b" % w, seed) for w in zip(words, words[1:], words[2:], strict=False)]
-    else:
-        hashes = [digest(b" ".join(words[i : i + shingle]), seed) for i in range(len(words) - shingle + 1)]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded scratch for very long texts
-        part = np.array(hashes[at : at + (1 << 16)], ">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    for at in range(0, n, 1 << 16):  # bounded scratch for very long texts
+        part = words[at : min(at + (1 << 16), n) + shingle - 1]
+        if shingle == 3 and len(part) >= 3:
+            hashes = [digest(b"%b %b %b" % w, seed) for w in zip(part, part[1:], part[2:], strict=False)]
+        else:
+            hashes = [digest(b" ".join(part[i : i + shingle]), seed) for i in range(max(1, len(part) - shingle + 1))]
+        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
