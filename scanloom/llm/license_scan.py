@@ -44,6 +44,8 @@ NOTICE_PHRASES = {
 
 #: Tags in front of a licence expression, in lower-cased raw text.
 TAGS = ("spdx-license-identifier:", "license-expression:", "license:", "licence:")
+#: Tags that also stand in prose; behind them only expressions with a licence of a known family count.
+LOOSE_TAGS = ("license:", "licence:")
 
 #: How freely text under a licence family may be used for training; longest matching beginning counts.
 FREEDOM = {
@@ -159,10 +161,10 @@ class Scanner:
                 starts.append(word)
         if text:
             raw = text.encode().lower().decode("latin-1")
-            for end, _ in self.tags.iter(raw):
+            for end, tag in self.tags.iter(raw):
                 line = raw[end + 1 : end + 2000].split("\n", 1)[0]
                 expression = evaluate(line)
-                if expression.valid and (expression.names[0] in FREEDOM or any(freedom(n) != UNKNOWN for n in expression.names)):
+                if expression.valid and (tag not in LOOSE_TAGS or expression.names[0] in FREEDOM or any(freedom(n) != UNKNOWN for n in expression.names)):
                     labels.update(expression.names)
                     degrees.append(expression.degree)
         return {

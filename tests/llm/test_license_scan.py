@@ -65,3 +65,14 @@ def test_tags(spark):
     row = license_scan.Scanner().scan("# SPDX-License-Identifier: (Apache-2.0 OR GPL-3.0-or-later) AND BSD-3-Clause\nint x;")
     assert row["labels"] == "apache-2.0,bsd-3-clause,gpl-3.0-or-later" and row["score"] == 1.0 and row["n_base"] == 0
     assert license_scan.Scanner().scan("license: none of it")["labels"] == ""
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("EPL-2.0", "epl-2.0"), ("EPL-2.0 OR Artistic-2.0", "artistic-2.0,epl-2.0"), ("PostgreSQL", "postgresql"), ("WTFPL */", "wtfpl"),
+    ("LicenseRef-own", "licenseref-own"), ("(CDDL-1.0 OR GPL-2.0-only) AND OFL-1.1", "cddl-1.0,gpl-2.0-only,ofl-1.1"),
+])
+def test_tags_outside_the_known_families(text, labels):
+    for tag in ("SPDX-License-Identifier:", "License-Expression:"):
+        row = license_scan.Scanner().scan(f"// {tag} {text}\nint x;")
+        assert row["labels"] == labels and row["score"] == 0.4
+    assert license_scan.Scanner().scan("license: see the file")["labels"] == ""
