@@ -88,15 +88,17 @@ def _apply(operator: str, values: list[float]) -> bool:
     return True
 
 
-def evaluate(text: str) -> Expression:
+def evaluate(text: str, start: int = 0, stop: int | None = None) -> Expression:
     """Shunting-yard over ``or`` < ``and`` < ``with`` and brackets.
 
-    Reads the longest well-formed beginning of ``text``: it stops where an
-    operand would follow an operand, at an unmatched bracket, or at its end.
-    An expression without an operand is not valid.
+    Reads the longest well-formed beginning of ``text[start:stop]``: it stops
+    where an operand would follow an operand, at an unmatched bracket, or at its
+    end.  Tokens are read one by one, so what follows costs nothing.  An
+    expression without an operand is not valid.
     """
     out, operators, names, operand_next, after_with = [], [], [], True, False
-    for token in _TOKEN.findall(text):
+    for match in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
+        token = match.group()
         low = token.lower().rstrip(".")
         if low in _PRECEDENCE:
             if operand_next:
@@ -161,9 +163,12 @@ class Scanner:
                 starts.append(word)
         if text:
             raw = text.encode().lower().decode("latin-1")
+            line_end = -1
             for end, tag in self.tags.iter(raw):
-                line = raw[end + 1 : end + 2000].split("\n", 1)[0]
-                expression = evaluate(line)
+                if line_end <= end:  # one search per line, however many tags it holds
+                    line_end = raw.find("\n", end + 1)
+                    line_end = len(raw) if line_end < 0 else line_end
+                expression = evaluate(raw, end + 1, line_end)
                 if expression.valid and (tag not in LOOSE_TAGS or expression.names[0] in FREEDOM or any(freedom(n) != UNKNOWN for n in expression.names)):
                     labels.update(expression.names)
                     degrees.append(expression.degree)

@@ -76,3 +76,15 @@ def test_tags_outside_the_known_families(text, labels):
         row = license_scan.Scanner().scan(f"// {tag} {text}\nint x;")
         assert row["labels"] == labels and row["score"] == 0.4
     assert license_scan.Scanner().scan("license: see the file")["labels"] == ""
+
+
+def test_expressions_are_read_to_the_end_of_the_line():
+    scan = license_scan.Scanner().scan
+    long = "SPDX-License-Identifier: MIT" + " AND MIT" * 1000 + " AND GPL-2.0-only\nAND Zlib"
+    assert scan(long)["labels"] == "gpl-2.0-only,mit" and scan(long)["score"] == 0.3
+    padded = "SPDX-License-Identifier:" + " " * 5000 + "Apache-2.0"
+    assert scan(padded)["labels"] == "apache-2.0"
+    for pad in range(1960, 2000):  # no identifier is cut in two
+        assert scan("SPDX-License-Identifier:" + " " * pad + "GPL-2.0-only")["labels"] == "gpl-2.0-only"
+    many = "license: mit " * 100_000  # one line with many tags
+    assert scan(many)["labels"] == "mit"
