@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import chat_rotation, decontaminate, exact_topk, language_id, license_scan, pitman_yor, quality_cnn, sentencepiece_codec, simhash, suffix_dedup
+from scanloom.llm import bpe_automaton, chat_rotation, decontaminate, exact_topk, language_id, lexical_search, license_scan, pitman_yor, quality_cnn, sentencepiece_codec, simhash, suffix_dedup
 from scanloom.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,24 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode(table(spark, sf_dir, "documents"), bpe_automaton.load(), with_ids=False)
+
+
+@register(rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, whole GROUP BY t, n_docs),
+asked AS (SELECT item_id, t, count(*) AS n FROM (SELECT item_id, unnest(coalesce({_WORDS}, [])) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY item_id, t),
+damped AS (SELECT r, doc_id, 25 + (75 * CAST(len(w) AS BIGINT) * n_docs) // n_terms AS m FROM d, whole WHERE len(w) > 0),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(n * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM asked JOIN weights USING (t) JOIN tf USING (t) JOIN damped USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+""")
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
