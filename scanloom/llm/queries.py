@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe_automaton, chat_rotation, decontaminate, exact_topk, language_id, lexical_search, license_scan, pitman_yor, quality_cnn, sentencepiece_codec, simhash, suffix_dedup
+from scanloom.llm import bpe_automaton, chat_rotation, decontaminate, exact_topk, language_id, lexical_search, license_scan, pitman_yor, quality_cnn, sentencepiece_codec, simhash, suffix_dedup, token_alignment
 from scanloom.llm.common import held_out
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents"), token_alignment.load())
+
+
 @register()
 def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode(table(spark, sf_dir, "documents"), bpe_automaton.load(), with_ids=False)
