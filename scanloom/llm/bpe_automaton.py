@@ -301,15 +301,19 @@ class Codec:
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def near_words() -> re.Pattern:
-    """``WORDS`` for lower-cased texts of characters below U+0300."""
+#: Fixed value: the white space below U+0300.
+BLANKS = " \t\n\x0b\x0c\r\x85\xa0"
+
+
+def near_class(kinds: str) -> str:
+    """A character class of these general categories without white space, for characters below U+0300 and their lower case."""
     chars = sorted(set("".join(chr(c) + chr(c).lower() for c in range(0x300))))
+    return "[" + "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] in kinds and c not in BLANKS) + "]"
 
-    def one_of(kinds: str, also: str = "") -> str:
-        return "[" + "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] in kinds and c not in also) + "]"
 
-    blank = " \t\n\x0b\x0c\r\x85\xa0"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{one_of('L')}+|{one_of('N')}|{one_of('PSMCZ', blank)}+")
+def near_words() -> re.Pattern:
+    """``WORDS`` for lower-cased texts of characters below U+0300."""
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{near_class('L')}+|{near_class('N')}|{near_class('PSMCZ')}+")
 
 
 @lru_cache(1)

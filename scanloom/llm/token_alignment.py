@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scanloom.llm.blocks import pack_arrays, split_by, unpack_arrays
-from scanloom.llm.bpe_automaton import byte_letters
+from scanloom.llm.bpe_automaton import BLANKS, byte_letters, near_class
 from scanloom.llm.common import carried, give_back, pieces, slices, text_bytes
 from scanloom.llm.sentencepiece_codec import BYTE, MARKER, parse
 from scanloom.session import checkpointed
@@ -120,25 +122,101 @@ class Aligned:
         return ["".join(map(spell.__getitem__, code[i:j]))[:-1] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
+class Remembered:
+    """Ids of the units of texts, each distinct unit encoded once, with a bounded memory."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remember: int = 200_000):
+        self.encode, self.remember = encode, remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self.known) > self.remember:
+            self._forget()
+        new = list(set().union(*texts) - self.known.keys())
+        if new:
+            found = self.encode(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, sum(map(len, found)))])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(f) for f in found])])
+        out = []
+        for units in texts:
+            pick = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            n = self.start[pick + 1] - self.start[pick]
+            end = np.cumsum(n)
+            out.append(self.flat[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[pick] - (end - n), n)].astype(np.int64))
+        return out
+
+
+#: Fixed value: how byte-level tokenizers cut texts into words that they encode one by one.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{blank}]+(?![^{blank}])|[{blank}]+"
+
+
+class ByteLevelSide:
+    """Ids of a byte-level tokenizer, special tokens being plain text.  Texts of characters
+    below U+0300 go word by word, others through the library as a whole."""
+
+    def __init__(self, data: str):
+        self.library = Tokenizer.from_str(data)
+        self.library.encode_special_tokens = True
+        spec = json.loads(data)
+        usual = spec["normalizer"] is None and {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() <= (spec["pre_tokenizer"] or {}).items()
+        self.words = re.compile(CUTS.format(letter=near_class("L"), number=near_class("N"), other=near_class("PSMCZ"), blank=BLANKS)) if usual else None
+        self.units = Remembered(self._whole)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        near = [self.words is not None and (t.isascii() or max(t) < "\u0300") for t in texts]
+        quick = iter(self.units.ids([self.words.findall(t) for t, ok in zip(texts, near, strict=True) if ok]))
+        slow = iter(self._whole([t for t, ok in zip(texts, near, strict=True) if not ok]))
+        return [next(quick) if ok else np.array(next(slow), np.int64) for ok in near]
+
+
+class PieceSide:
+    """Ids of a SentencePiece model.  Where it changes nothing but spaces, units from one
+    marker to the next are encoded one by one, as no piece goes on past a marker."""
+
+    def __init__(self, data: bytes):
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        model = parse(data)
+        self.plain = not model.charsmap and not model.squeeze and model.dummy_prefix
+        self.unit = re.compile(f"{MARKER}+[^{MARKER}]*")
+        self.units = Remembered(self._units)
+
+    def _units(self, units: list[str]) -> list[list[int]]:
+        found = self.library.encode([u[1:] for u in units], num_threads=1)  # the library puts the first marker there itself
+        for i, u in enumerate(units):
+            if len(u) == 1:  # it drops a lone marker, so that one is asked for behind a letter
+                found[i] = self.library.encode("a" + u)[len(self.library.encode("a")) :]
+        return found
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if self.plain:
+            return self.units.ids([self.unit.findall(MARKER + t.replace(" ", MARKER)) for t in texts])
+        return [np.array(i, np.int64) for i in self.library.encode(texts, num_threads=1)]
+
+
 class Aligner:
     """Two tokenizers of one task."""
 
     def __init__(self, a: str, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a, self.b = Tokenizer.from_str(a), sentencepiece.SentencePieceProcessor(model_proto=b)
-        self.a.encode_special_tokens = True
+        self.a, self.b = ByteLevelSide(a), PieceSide(b)
         self.a_tokens, self.b_tokens = byte_level_vocabulary(a), piece_vocabulary(b)
         if self.a_tokens.size * self.b_tokens.size >= 1 << 31:
             raise ValueError("pairs of ids have 31 bits at most")
         self.spell = [f"{i}{sign}" for i in range(max(self.a_tokens.size, self.b_tokens.size)) for sign in ",|;"]
 
     def align(self, texts: list[str | None]) -> Aligned:
-        full = [" " + t for t in texts if t]
-        a = iter([e.ids for e in self.a.encode_batch_fast(full, add_special_tokens=False)] if full else [])
-        b = iter(self.b.encode([t[1:] for t in full], num_threads=1) if full else [])
+        a, b = iter(self.a.ids([" " + t for t in texts if t])), iter(self.b.ids([t for t in texts if t]))
         sides: tuple[list, list] = ([], [])
         for t in texts:
-            ids = [np.array(next(s), np.int64) for s in (a, b)] if t else [np.empty(0, np.int64)] * 2
+            ids = [next(s) for s in (a, b)] if t else [np.empty(0, np.int64)] * 2
             if t:
                 want = b" " + t.encode()
                 if self.a_tokens.joined(ids[0]) != want or self.b_tokens.joined(ids[1]) != want:
