@@ -55,7 +55,8 @@ FREEDOM = {
 }
 UNKNOWN = 0.4
 EXCEPTION_GAIN = 0.2
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_TOKEN = re.compile(r"[ \t\r\f\v]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)")
+_FORMED = re.compile(r"[0-9-]|^licenseref")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
@@ -88,18 +89,22 @@ def _apply(operator: str, values: list[float]) -> bool:
     return True
 
 
-def evaluate(text: str, start: int = 0, stop: int | None = None) -> Expression:
+def evaluate(text: str, start: int = 0, stop: int | None = None, loose: bool = False) -> Expression:
     """Shunting-yard over ``or`` < ``and`` < ``with`` and brackets.
 
     Reads the longest well-formed beginning of ``text[start:stop]``: it stops
-    where an operand would follow an operand, at an unmatched bracket, or at its
-    end.  Tokens are read one by one, so what follows costs nothing.  An
-    expression without an operand is not valid.
+    where an operand would follow an operand, at an unmatched bracket, at the
+    full stop behind a word, at any other sign, or at its end.  In prose
+    (``loose``) an operand behind an operator must look like an identifier: of a
+    known family, or with a digit or hyphen.  Tokens are read one by one, so what
+    follows costs nothing.  An expression without an operand is not valid.
     """
     out, operators, names, operand_next, after_with = [], [], [], True, False
-    for match in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
-        token = match.group()
+    stop, ended = len(text) if stop is None else stop, False
+    while not ended and (match := _TOKEN.match(text, start, stop)):
+        token, start = match.group(1), match.end()
         low = token.lower().rstrip(".")
+        ended = token.endswith(".")
         if low in _PRECEDENCE:
             if operand_next:
                 break
@@ -118,7 +123,7 @@ def evaluate(text: str, start: int = 0, stop: int | None = None) -> Expression:
                 _apply(operators.pop(), out)
             operators.pop()
         else:
-            if not operand_next:
+            if not operand_next or (loose and operators and operators[-1] != "(" and freedom(low) == UNKNOWN and not _FORMED.search(low)):
                 break
             if after_with:
                 out.append(0.0)  # the exception itself; only its presence counts
@@ -168,7 +173,7 @@ class Scanner:
                 if line_end <= end:  # one search per line, however many tags it holds
                     line_end = raw.find("\n", end + 1)
                     line_end = len(raw) if line_end < 0 else line_end
-                expression = evaluate(raw, end + 1, line_end)
+                expression = evaluate(raw, end + 1, line_end, tag in LOOSE_TAGS)
                 if expression.valid and (tag not in LOOSE_TAGS or expression.names[0] in FREEDOM or any(freedom(n) != UNKNOWN for n in expression.names)):
                     labels.update(expression.names)
                     degrees.append(expression.degree)

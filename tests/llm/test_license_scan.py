@@ -88,3 +88,20 @@ def test_expressions_are_read_to_the_end_of_the_line():
         assert scan("SPDX-License-Identifier:" + " " * pad + "GPL-2.0-only")["labels"] == "gpl-2.0-only"
     many = "license: mit " * 100_000  # one line with many tags
     assert scan(many)["labels"] == "mit"
+
+
+@pytest.mark.parametrize("text, labels, score", [
+    ("License: MIT. And then we went home.", "mit", 1.0),
+    ("license: mit and enjoy the rest", "mit", 1.0),
+    ("/* SPDX-License-Identifier: MIT */ or see the file", "mit", 1.0),
+    ("License: MIT, or later by hand", "mit", 1.0),
+    ("license: mit or ms-pl", "mit,ms-pl", 1.0),
+    ("license: mit and gpl-2.0 and so on", "gpl-2.0,mit", 0.3),
+    ("license: mit and (gpl-2.0", "gpl-2.0,mit", 0.3),
+    ("SPDX-License-Identifier: MIT AND PostgreSQL; AND GPL-2.0", "mit,postgresql", 0.4),
+    ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", "gpl-2.0", 0.5),
+    ("SPDX-License-Identifier: MIT é AND GPL-2.0", "mit", 1.0),
+])
+def test_expressions_end_where_prose_begins(text, labels, score):
+    row = license_scan.Scanner().scan(text)
+    assert row["labels"] == labels and row["score"] == pytest.approx(score)
