@@ -25,6 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 from scanloom.llm.common import carried, give_back, slices
@@ -240,25 +241,30 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, with_id
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = ", ids array<int>" if with_ids else ""
+    kept = docs.select(*keep)
+    once = "text" in keep and kept.schema["text"].dataType.simpleString() == "string"  # a text that is kept travels once
+    texts_of = "text" if once else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, remember)
         for batch in batches:
-            for at, n, texts in slices(batch, "_text", 1 << 20):
+            for at, n, texts in slices(batch, texts_of, 1 << 18):
                 rows = codec.encode(texts)
                 part = batch.slice(at, n)
                 columns = [*(part.column(c) for c in keep), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0].tobytes()).hexdigest() for r in rows]),
                            pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])]
                 names = [*keep, "n_tokens", "ids_sha256", "round_trip", "parity"]
                 if with_ids:
-                    columns.append(pa.array([r[0] for r in rows], pa.list_(pa.int32())))
+                    ends = np.cumsum([0] + [len(r[0]) for r in rows]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[0] for r in rows]), pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         del codec
         give_back()
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return source.mapInArrow(run, carried(source, f"n_tokens long, ids_sha256 string, round_trip boolean, parity boolean{extra}"))
+    more = T.StructType.fromDDL(f"n_tokens long, ids_sha256 string, round_trip boolean, parity boolean{extra}").fields
+    source = kept if once else docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    return source.mapInArrow(run, T.StructType([*kept.schema.fields, *more]))
 
 
 def decode(encoded: DataFrame, model: bytes, keep: list[str] | None = None) -> DataFrame:
