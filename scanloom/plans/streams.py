@@ -13,6 +13,7 @@ from scanloom.plans.ordered import GAP
 from scanloom.plans.registry import query, with_ctes
 from scanloom.streaming import folds as K
 from scanloom.streaming import jobs as J
+from scanloom.streaming.expiring import follow_expiring
 
 U, OE = ["user_id"], ["us", "event_id"]
 HOUR = 3_600_000_000
@@ -28,6 +29,31 @@ def stream_of(t):
     return J.events_stream(t.spark, t.path("events"))
 
 
+#: The streams with a watermark: how far it lags, and the rows that come in a last file, long behind it.
+LAG_US = 48 * HOUR
+LATE = "{id} % 97 = 3 AND us < {until}"
+LATE_EVENT = LATE.format(id="event_id", until=1704844800000000)
+
+
+def on_time(source: str, late: str = LATE_EVENT, also: str = "true", lag: str = f"{LAG_US}") -> str:
+    """SQL for the rows that a stream folds in the end: not late, and final at the last watermark."""
+    return f"WHERE {also} AND NOT ({late}) AND us <= (SELECT max(us) FROM {source} WHERE {also}) // 1000 * 1000 - {lag}"
+
+
+def arriving(t, files: int = 8):
+    """The events as a stream of several files per batch, the last of which is late."""
+    rows = t.events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return J.events_stream(t.spark, J.in_files(rows, "us", F.expr(LATE_EVENT), "arriving", files=files), files)
+
+
+def with_k(df):
+    return df.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
+def folded(stream, fold, name, time="ts"):
+    return J.drain(follow_expiring(stream, U, OE, fold, time, "48 hours"), name)
+
+
 # 9.1
 @query("9.1", "SELECT event_type, count(*) AS n, round(sum(value),2) AS total FROM events WHERE event_type IN ('error','purchase') GROUP BY 1")
 def stream_fan_out(t):
@@ -39,24 +65,27 @@ def stream_fan_out(t):
 
 
 ECHO_TTL = 36 * HOUR
-ECHO = fold_sql("CASE WHEN rec THEN 1 ELSE 0 END AS n, CASE WHEN rec THEN us ELSE 0 END AS seen, false AS sup",
-                f"CASE WHEN o.rec THEN (CASE WHEN r.n>0 AND o.us-r.seen<={ECHO_TTL} THEN r.n ELSE 0 END)+1 WHEN r.n>0 AND o.us-r.seen<={ECHO_TTL} THEN r.n-1 ELSE 0 END, CASE WHEN o.rec THEN o.us ELSE r.seen END, NOT o.rec AND r.n>0 AND o.us-r.seen<={ECHO_TTL}",
-                "SELECT event_id, sup AS suppressed FROM r WHERE NOT rec", source="ev2", extra=", ev2 AS (SELECT *, event_type IN ('click','view') AS rec FROM evt)")
+
+
+def _echo_sql(where=""):
+    return fold_sql("CASE WHEN rec THEN 1 ELSE 0 END AS n, CASE WHEN rec THEN us ELSE 0 END AS seen, false AS sup",
+                    f"CASE WHEN o.rec THEN (CASE WHEN r.n>0 AND o.us-r.seen<={ECHO_TTL} THEN r.n ELSE 0 END)+1 WHEN r.n>0 AND o.us-r.seen<={ECHO_TTL} THEN r.n-1 ELSE 0 END, CASE WHEN o.rec THEN o.us ELSE r.seen END, NOT o.rec AND r.n>0 AND o.us-r.seen<={ECHO_TTL}",
+                    "SELECT event_id, sup AS suppressed FROM r WHERE NOT rec", where, "ev2", ", ev2 AS (SELECT *, event_type IN ('click','view') AS rec FROM evt)")
 
 
 def echo_rows(df):
     return df.withColumn("recorded", F.col("event_type").isin("click", "view"))
 
 
-@query("9.2", ECHO)
+@query("9.2", _echo_sql())
 def echo_suppression(t):
     return K.replay(echo_rows(user_events(t)), U, OE, K.echo_filter(ECHO_TTL)).select("event_id", "suppressed")
 
 
-@query("9.2", ECHO, name="stream_echo_suppression")
+@query("9.2", _echo_sql(on_time("ev2")), name="stream_echo_suppression")
 def stream_echo_suppression(t):
-    s = echo_rows(stream_of(t).select("user_id", "us", "event_id", "event_type"))
-    return J.drain(K.follow(s, U, OE, K.echo_filter(ECHO_TTL)), "echo").select("event_id", "suppressed")
+    s = echo_rows(arriving(t).select("ts", "user_id", "us", "event_id", "event_type")).drop("event_type")
+    return folded(s, K.echo_filter(ECHO_TTL), "echo").select("event_id", "suppressed")
 
 
 SESS = with_ctes("SELECT user_id, count(*) AS frames, min(us) AS started, max(us) AS ended FROM bursts GROUP BY user_id, group_no", EVT, GAP)
@@ -68,6 +97,17 @@ def burst_sessions(t):
     return d.select("user_id", "frames", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"))
 
 
+# 6 hours of silence end a session; it is final once the watermark has passed that end.
+@query("9.3", with_ctes(f"""WITH a AS (SELECT user_id, us FROM evt WHERE NOT ({LATE_EVENT})),
+  b AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > {6 * HOUR}, true)::INT AS n FROM a),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM b)
+  SELECT user_id, count(*) AS frames, min(us) AS started, max(us) AS ended FROM c GROUP BY user_id, g
+  HAVING max(us) + {6 * HOUR} <= (SELECT max(us) FROM evt) // 1000 * 1000 - {LAG_US}""", EVT), name="stream_burst_sessions")
+def stream_burst_sessions(t):
+    d = J.drain(J.sessions(arriving(t).select("ts", "user_id"), U, "6 hours", "48 hours"), "sessions")
+    return d.select("user_id", "frames", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"))
+
+
 RATE = 2 / 86400.0
 BUCKET = fold_sql("2.0::DOUBLE AS tok, true AS al, NULL::BIGINT AS ra",
                   "least(3.0::DOUBLE, r.tok+(o.us-r.us)/1e6*(2/86400.0::DOUBLE)) - CASE WHEN least(3.0::DOUBLE, r.tok+(o.us-r.us)/1e6*(2/86400.0::DOUBLE)) >= 1 THEN 1 ELSE 0 END, least(3.0::DOUBLE, r.tok+(o.us-r.us)/1e6*(2/86400.0::DOUBLE)) >= 1,"
@@ -85,12 +125,25 @@ def stream_token_bucket(t):
     return J.drain(K.follow(stream_of(t).select("user_id", *OE), U, OE, K.token_bucket(3.0, RATE)), "bucket").select("event_id", "allowed", "retry_after")
 
 
-@query("9.5", fold_sql("us//1000000 AS st, 1 AS att, 0::BIGINT AS lk",
-                       "CASE WHEN o.us//1000000-r.st >= 432000 THEN o.us//1000000 ELSE r.st END, CASE WHEN o.us//1000000-r.st >= 432000 THEN 1 ELSE r.att+1 END, CASE WHEN o.us//1000000-r.st >= 432000 THEN 0 WHEN r.att+1 >= 2 THEN greatest(r.lk, o.us//1000000+least(86400, 7200*(1 << least(10, r.att+1-2)))) ELSE r.lk END",
-                       "SELECT event_id, att AS attempts, lk AS locked_until FROM r", where="WHERE event_type='error'"))
+def _failure_sql(where):
+    return fold_sql("us//1000000 AS st, 1 AS att, 0::BIGINT AS lk",
+                    "CASE WHEN o.us//1000000-r.st >= 432000 THEN o.us//1000000 ELSE r.st END, CASE WHEN o.us//1000000-r.st >= 432000 THEN 1 ELSE r.att+1 END, CASE WHEN o.us//1000000-r.st >= 432000 THEN 0 WHEN r.att+1 >= 2 THEN greatest(r.lk, o.us//1000000+least(86400, 7200*(1 << least(10, r.att+1-2)))) ELSE r.lk END",
+                    "SELECT event_id, att AS attempts, lk AS locked_until FROM r", where)
+
+
+THROTTLE = K.failure_throttle(432000, 2, 7200, 86400)
+
+
+@query("9.5", _failure_sql("WHERE event_type='error'"))
 def failure_throttle(t):
     e = user_events(t).filter("event_type = 'error'").select("user_id", *OE)
-    return K.replay(e, U, OE, K.failure_throttle(432000, 2, 7200, 86400)).select("event_id", "attempts", "locked_until")
+    return K.replay(e, U, OE, THROTTLE).select("event_id", "attempts", "locked_until")
+
+
+@query("9.5", _failure_sql(on_time("evt", also="event_type='error'")), name="stream_failure_throttle")
+def stream_failure_throttle(t):
+    e = arriving(t).filter("event_type = 'error'").select("ts", "user_id", *OE)
+    return folded(e, THROTTLE, "throttle").select("event_id", "attempts", "locked_until")
 
 
 STAB = with_ctes("""WITH d AS (SELECT user_id, us, event_id, coalesce(abs(value - lag(value) OVER w)/500 < 0.05, false)::INT AS sm FROM evt WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
@@ -104,12 +157,11 @@ def stream_scene_stability(t):
     return J.drain(K.follow(s, U, OE, K.scene_stability(500.0, 0.05, 3)), "stability").select("event_id", "run", "stable")
 
 
-def moving(df):
-    return df.select("user_id", *OE, (F.col("value") / 97).alias("x"), (F.col("k") / 100.0).alias("y"), F.lit(0.0).alias("z"), (F.col("k") + 1.0).alias("volume"))
-
+def moving(df, *also):
+    return df.select("user_id", *OE, *also, (F.col("value") / 97).alias("x"), (F.col("k") / 100.0).alias("y"), F.lit(0.0).alias("z"), (F.col("k") + 1.0).alias("volume"))
 
 
-def _motion_sql():
+def _motion_sql(where=""):
     fresh = "(o.us-r.us >= 345600000000)"
     d = {c: f"(CASE WHEN {fresh} THEN 0 ELSE o.{c}-r.{c} END)" for c in "xy"}
     pv = {c: f"(CASE WHEN {fresh} THEN 0 ELSE r.v{c} END)" for c in "xy"}
@@ -121,7 +173,7 @@ def _motion_sql():
     return fold_sql("0.0::DOUBLE vx, 0.0::DOUBLE vy, 0.0::DOUBLE ax, 0.0::DOUBLE ay, 0.0::DOUBLE sc",
                     f"{v['x']}, {v['y']}, {a['x']}, {a['y']}, least(0.4::DOUBLE*{n(d)}+0.3::DOUBLE*{n(v)}+0.2::DOUBLE*{n(a)}+0.1::DOUBLE*{shape},1)",
                     "SELECT event_id, round(sc,8)+0.0::DOUBLE AS score, CASE WHEN sc<0.1 THEN 'static' WHEN sc<0.4 THEN 'slow' WHEN sc<0.8 THEN 'dynamic' ELSE 'rapid' END AS motion, round(x+vx+ax*0.5::DOUBLE,8)+0.0::DOUBLE AS next_x FROM r",
-                    source="mv", extra=", mv AS (SELECT user_id, us, event_id, value/97 AS x, k/100.0::DOUBLE AS y, k+1.0::DOUBLE AS vol FROM evt)")
+                    where, "mv", ", mv AS (SELECT user_id, us, event_id, value/97 AS x, k/100.0::DOUBLE AS y, k+1.0::DOUBLE AS vol FROM evt)")
 
 
 @query("9.7", _motion_sql())
@@ -130,6 +182,12 @@ def motion_analysis(t):
     return d.select("event_id", rnd("score", 8).alias("score"), "motion", rnd("next_x", 8).alias("next_x"))
 
 
+@query("9.7", _motion_sql(on_time("mv")), name="stream_motion_analysis")
+def stream_motion_analysis(t):
+    d = folded(moving(with_k(arriving(t)), "ts"), K.motion_analyser(0.3, stale_us=96 * HOUR), "motion")
+    return d.select("event_id", rnd("score", 8).alias("score"), "motion", rnd("next_x", 8).alias("next_x"))
+
+
 @query("9.8", name="object_tracking")
 def object_tracking(t):
     e = user_events(t)
@@ -139,11 +197,26 @@ def object_tracking(t):
     return K.replay(frames, U, ["frame"], K.object_tracker(max_distance=2.0))
 
 
-@query("9.9", fold_sql("true AS em, true AS kf, value AS lx, k AS ly", "o.sq > r.sq+30 OR abs(o.value-r.lx) > 40 OR abs(o.k-r.ly) > 40, o.sq > r.sq+30, CASE WHEN o.sq > r.sq+30 OR abs(o.value-r.lx) > 40 OR abs(o.k-r.ly) > 40 THEN o.value ELSE r.lx END, CASE WHEN o.sq > r.sq+30 OR abs(o.value-r.lx) > 40 OR abs(o.k-r.ly) > 40 THEN o.k ELSE r.ly END",
-                       "SELECT event_id, em AS emitted, kf AS key_frame FROM r", source="sv", extra=", sv AS (SELECT *, us//3600000000 AS sq FROM evt)"))
+def _delta_sql(where=""):
+    return fold_sql("true AS em, true AS kf, value AS lx, k AS ly", "o.sq > r.sq+30 OR abs(o.value-r.lx) > 40 OR abs(o.k-r.ly) > 40, o.sq > r.sq+30, CASE WHEN o.sq > r.sq+30 OR abs(o.value-r.lx) > 40 OR abs(o.k-r.ly) > 40 THEN o.value ELSE r.lx END, CASE WHEN o.sq > r.sq+30 OR abs(o.value-r.lx) > 40 OR abs(o.k-r.ly) > 40 THEN o.k ELSE r.ly END",
+                    "SELECT event_id, em AS emitted, kf AS key_frame FROM r", where, "sv", ", sv AS (SELECT *, us//3600000000 AS sq FROM evt)")
+
+
+def sequenced(df, *also):
+    return df.select("user_id", *OE, *also, F.col("value").alias("x"), F.col("k").alias("y"), F.lit(0.0).alias("z"), F.floor(F.col("us") / HOUR).alias("sequence"))
+
+
+DELTA = K.delta_encoder(40.0, 30, 31 * HOUR)  # a pause of 31 hours skips more than 30 numbers
+
+
+@query("9.9", _delta_sql())
 def delta_encoding(t):
-    d = user_events(t).select("user_id", *OE, F.col("value").alias("x"), F.col("k").alias("y"), F.lit(0.0).alias("z"), F.floor(F.col("us") / HOUR).alias("sequence"))
-    return K.replay(d, U, OE, K.delta_encoder(40.0, 30)).select("event_id", "emitted", "key_frame")
+    return K.replay(sequenced(user_events(t)), U, OE, DELTA).select("event_id", "emitted", "key_frame")
+
+
+@query("9.9", _delta_sql(on_time("sv")), name="stream_delta_encoding")
+def stream_delta_encoding(t):
+    return folded(sequenced(with_k(arriving(t)), "ts"), DELTA, "delta").select("event_id", "emitted", "key_frame")
 
 
 def job_updates(df):
@@ -270,19 +343,31 @@ def stage_retention(t):
     return user_events(t).filter(F.col("us") + days.cast("long") * 86_400_000_000 > 1706486400000000).select("event_id", F.col("event_type").alias("stage"))
 
 
-def _hyst_sql():
+def _hyst_sql(where=""):
     fresh = f"(o.us-r.us < {30 * HOUR})"
     similar = ("(abs((r.bx+r.bw*0.5::DOUBLE)-(o.bx+o.bw*0.5::DOUBLE)) < 0.02 AND abs((r.by_+r.bh*0.5::DOUBLE)-(o.by_+o.bh*0.5::DOUBLE)) < 0.02 AND abs(r.bw-o.bw) < 0.08 AND abs(r.bh-o.bh) < 0.08)")
     since = f"CASE WHEN NOT o.det THEN NULL WHEN {fresh} AND r.det AND {similar} THEN coalesce(r.since, o.us) ELSE o.us END"
     return fold_sql("cf AS conf, CASE WHEN det THEN us END AS since, false AS stb",
                     f"CASE WHEN {fresh} THEN least(o.cf*0.7::DOUBLE+r.conf*0.3::DOUBLE,1) ELSE o.cf END, {since}, coalesce({fresh} AND r.det AND o.det AND {similar} AND o.us-coalesce(r.since,o.us) >= {8 * HOUR}, false)",
-                    "SELECT event_id, round(conf,8) AS confidence, stb AS stable, coalesce(us-since,0) AS stable_us FROM r", source="hv",
-                    extra=", hv AS (SELECT *, event_type <> 'signup' AS det, least(value/97,1) AS cf, 0.3::DOUBLE+(k%4)*0.009::DOUBLE AS bx, 0.4::DOUBLE+(k%3)*0.009::DOUBLE AS by_, 0.2::DOUBLE AS bw, 0.25::DOUBLE AS bh FROM evt)")
+                    "SELECT event_id, round(conf,8) AS confidence, stb AS stable, coalesce(us-since,0) AS stable_us FROM r", where, "hv",
+                    ", hv AS (SELECT *, event_type <> 'signup' AS det, least(value/97,1) AS cf, 0.3::DOUBLE+(k%4)*0.009::DOUBLE AS bx, 0.4::DOUBLE+(k%3)*0.009::DOUBLE AS by_, 0.2::DOUBLE AS bw, 0.25::DOUBLE AS bh FROM evt)")
+
+
+def detections(df, *also):
+    return df.select("user_id", *OE, *also, (F.col("event_type") != "signup").alias("detected"), F.least(F.col("value") / 97, F.lit(1.0)).alias("confidence"),
+                     (0.3 + F.col("k") % 4 * 0.009).alias("bx"), (0.4 + F.col("k") % 3 * 0.009).alias("by"), F.lit(0.2).alias("bw"), F.lit(0.25).alias("bh"))
+
+
+HYSTERESIS = K.detection_hysteresis(30 * HOUR, 8 * HOUR)
 
 
 @query("9.20", _hyst_sql())
 def detection_hysteresis(t):
-    d = user_events(t).select("user_id", *OE, (F.col("event_type") != "signup").alias("detected"), F.least(F.col("value") / 97, F.lit(1.0)).alias("confidence"),
-                              (0.3 + F.col("k") % 4 * 0.009).alias("bx"), (0.4 + F.col("k") % 3 * 0.009).alias("by"), F.lit(0.2).alias("bw"), F.lit(0.25).alias("bh"))
-    out = K.replay(d, U, OE, K.detection_hysteresis(30 * HOUR, 8 * HOUR))
+    out = K.replay(detections(user_events(t)), U, OE, HYSTERESIS)
+    return out.select("event_id", rnd("confidence", 8).alias("confidence"), "stable", "stable_us")
+
+
+@query("9.20", _hyst_sql(on_time("hv")), name="stream_detection_hysteresis")
+def stream_detection_hysteresis(t):
+    out = folded(detections(with_k(arriving(t)), "ts"), HYSTERESIS, "hysteresis")
     return out.select("event_id", rnd("confidence", 8).alias("confidence"), "stable", "stable_us")

@@ -26,6 +26,7 @@ class Fold:
     step: Callable[[dict, object], list]
     out: str  # output fields after the keys
     restart_us: int | None = None  # a longer or equal pause surely restarts the state
+    state: str | None = None  # fields of the state, for stores with typed state
 
 
 def replay(rows: DataFrame, keys: list[str], order: list[str], fold: Fold, width_us: int = DAY_US) -> DataFrame:
@@ -78,7 +79,7 @@ def token_bucket(capacity: float, rate: float) -> Fold:
         return [(r.event_id, False, max(1, math.ceil((1.0 - s["tokens"]) / rate)))]
 
     full = math.ceil(capacity / rate * 1e6) if rate > 0 and capacity > 0 else None
-    return Fold(lambda: {"tokens": float(capacity), "last": None}, step, "event_id long, allowed boolean, retry_after long", full)
+    return Fold(lambda: {"tokens": float(capacity), "last": None}, step, "event_id long, allowed boolean, retry_after long", full, "tokens double, last long")
 
 
 def failure_throttle(window_s: int, threshold: int, base_s: int, max_s: int) -> Fold:
@@ -93,7 +94,7 @@ def failure_throttle(window_s: int, threshold: int, base_s: int, max_s: int) ->
             s["attempts"] = min(n, 1_000_000)
         return [(r.event_id, s["attempts"], s["locked"])]
 
-    return Fold(lambda: {"attempts": 0, "started": None, "locked": 0}, step, "event_id long, attempts int, locked_until long", (window_s + 1) * 1_000_000)
+    return Fold(lambda: {"attempts": 0, "started": None, "locked": 0}, step, "event_id long, attempts int, locked_until long", (window_s + 1) * 1_000_000, "attempts int, started long, locked long")
 
 
 def echo_filter(ttl_us: int) -> Fold:
@@ -110,7 +111,7 @@ def echo_filter(ttl_us: int) -> Fold:
             return [(r.event_id, True)]
         return [(r.event_id, False)]
 
-    return Fold(lambda: {"n": 0, "at": 0}, step, "event_id long, suppressed boolean", ttl_us + 1)
+    return Fold(lambda: {"n": 0, "at": 0}, step, "event_id long, suppressed boolean", ttl_us + 1, "n long, at long")
 
 
 def scene_stability(scale: float, below: float, frames: int) -> Fold:
@@ -119,7 +120,7 @@ def scene_stability(scale: float, below: float, frames: int) -> Fold:
         s.update(last=float(r.value), run=s["run"] + 1 if small else 0)
         return [(r.event_id, s["run"], s["run"] > frames)]
 
-    return Fold(lambda: {"last": None, "run": 0}, step, "event_id long, run long, stable boolean")
+    return Fold(lambda: {"last": None, "run": 0}, step, "event_id long, run long, stable boolean", state="last double, run long")
 
 
 def motion_analyser(alpha: float, weights=(0.4, 0.3, 0.2, 0.1), ahead: float = 1.0, stale_us: int | None = None) -> Fold:
@@ -139,7 +140,8 @@ def motion_analyser(alpha: float, weights=(0.4, 0.3, 0.2, 0.1), ahead: float = 1
         kind = "static" if score < 0.1 else "slow" if score < 0.4 else "dynamic" if score < 0.8 else "rapid"
         return [(r.event_id, score, kind, p[0] + s["v"][0] * ahead + s["a"][0] * 0.5 * ahead * ahead)]
 
-    return Fold(lambda: {"p": None, "v": None, "a": None, "vol": 0.0}, step, "event_id long, score double, motion string, next_x double", stale_us)
+    return Fold(lambda: {"p": None, "v": None, "a": None, "vol": 0.0}, step, "event_id long, score double, motion string, next_x double", stale_us,
+                "p array<double>, v array<double>, a array<double>, vol double")
 
 
 def _iou(a, b) -> float:
@@ -193,9 +195,9 @@ def object_tracker(max_distance=1.0, min_iou=0.3, max_lost=30, confirm=3) -> Fol
     return Fold(lambda: {"frame": None, "tracks": [], "next": 0}, step, "frame long, track_id int, det_id long, hits int, lost int")
 
 
-def delta_encoder(threshold: float, max_gap: int) -> Fold:
+def delta_encoder(threshold: float, max_gap: int, pause_us: int | None = None) -> Fold:
     """Emit a row when a coordinate moved past the threshold since the last emitted
-    one; a key frame after a sequence gap."""
+    one; a key frame after a sequence gap, which a pause of ``pause_us`` always is."""
     def step(s, r):
         p = [float(r.x), float(r.y), float(r.z)]
         key = s["p"] is None or r.sequence > s["seq"] + max_gap
@@ -205,7 +207,7 @@ def delta_encoder(threshold: float, max_gap: int) -> Fold:
         s["seq"] = int(r.sequence)
         return [(r.event_id, bool(moved), bool(key))]
 
-    return Fold(lambda: {"p": None, "seq": 0}, step, "event_id long, emitted boolean, key_frame boolean")
+    return Fold(lambda: {"p": None, "seq": 0}, step, "event_id long, emitted boolean, key_frame boolean", pause_us, "p array<double>, seq long")
 
 
 def job_machine() -> Fold:
@@ -251,7 +253,8 @@ def work_journal(retry_limit: int) -> Fold:
                     s["attempts"] = max(s["attempts"] - 1, 0)
         return [(r.event_id, decision, s["status"], s["attempts"])]
 
-    return Fold(lambda: {"status": None, "attempts": 0}, step, "event_id long, decision string, status string, attempts int")
+    return Fold(lambda: {"status": None, "attempts": 0}, step, "event_id long, decision string, status string, attempts int",
+                state="status string, attempts int")
 
 
 def lease_log(ttl_us: int) -> Fold:
@@ -272,7 +275,7 @@ def lease_log(ttl_us: int) -> Fold:
                 s.update(owner=None, until=0)
         return [(r.event_id, bool(ok), s["owner"], s["until"])]
 
-    return Fold(lambda: {"owner": None, "until": 0}, step, "event_id long, ok boolean, holder long, until long")
+    return Fold(lambda: {"owner": None, "until": 0}, step, "event_id long, ok boolean, holder long, until long", state="owner long, until long")
 
 
 def posterior(conflict_sigma: float = 6.0) -> Fold:
@@ -323,4 +326,5 @@ def detection_hysteresis(memory_us: int, stable_us: int) -> Fold:
         s.update(box=box, since=since, seen=now, conf=conf)
         return [(r.event_id, conf, stable, 0 if since is None else now - since)]
 
-    return Fold(lambda: {"box": None, "since": None, "seen": None, "conf": 0.0}, step, "event_id long, confidence double, stable boolean, stable_us long", memory_us)
+    return Fold(lambda: {"box": None, "since": None, "seen": None, "conf": 0.0}, step, "event_id long, confidence double, stable boolean, stable_us long", memory_us,
+                "box array<double>, since long, seen long, conf double")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.session import scratch_path
+from scanloom.streaming.expiring import STATE_STORE
 
 
 def events_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -22,16 +23,39 @@ def events_stream(spark: SparkSession, path: str, files_per_batch: int = 100) ->
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("ts"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", trigger: dict | None = None) -> DataFrame:
-    """Run to the end of the available data into a parquet table and read it back."""
+def drain(stream: DataFrame, name: str, mode: str = "append", trigger: dict | None = None, target: str | None = None) -> DataFrame:
+    """Run to the end of the available data into a parquet table and read it back.
+
+    State is kept in RocksDB: beside a bounded cache it lies on disk and may outgrow the heap.
+    ``target`` names the folder of the table and of the query's progress; a new one by default."""
     spark = stream.sparkSession
-    target = scratch_path(spark, name)
-    q = (stream.writeStream.format("parquet").option("path", f"{target}/table").option("checkpointLocation", f"{target}/progress")
-         .outputMode(mode).trigger(**(trigger or {"availableNow": True})).start())
+    target = target or scratch_path(spark, name)
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, STATE_STORE)
+    try:  # a query takes its settings when it starts
+        q = (stream.writeStream.format("parquet").option("path", f"{target}/table").option("checkpointLocation", f"{target}/progress")
+             .outputMode(mode).trigger(**(trigger or {"availableNow": True})).start())
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/table")
 
 
+def in_files(rows: DataFrame, order: str, late: Column, name: str, parts: int = 3, files: int = 8) -> str:
+    """A folder of ``parts`` equal stretches of event time, one written after the other in
+    ``files`` files, and the ``late`` rows behind them all, as from a sender that was cut off."""
+    spark, target = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    width = ((last or 0) - (first or 0)) // parts + 1
+    part = F.when(late, parts).otherwise(F.floor((F.col(order) - F.lit(first)) / width))
+    for i in range(parts + 1):
+        rows.filter(part == i).repartition(files).write.mode("append").parquet(target)
+    return target
+
+
 def fan_out(stream: DataFrame, payload: Column, schema: str, routes: dict[str, Column], name: str) -> dict[str, DataFrame]:
     """Parse the payload once per micro-batch and append each route to its own table."""
     spark = stream.sparkSession
