@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.numeric import rnd
 
+from scanloom.operators import transitions as X
 from scanloom.operators.ordering import previous_row, running
 from scanloom.plans.inputs import EVT, user_events
 from scanloom.plans.joins import NEAR
@@ -235,7 +236,7 @@ JOBCOLS = ["status", "progress", "started_at", "finished_at", "last_error", "att
 
 @query("9.10", JOBS)
 def job_states(t):
-    return J.latest_by(K.replay(job_updates(user_events(t)), U, OE, K.job_machine()), U, ["seq"], JOBCOLS)
+    return X.job_states(job_updates(user_events(t)), U, OE).select("user_id", *JOBCOLS)
 
 
 @query("9.10", JOBS, name="stream_job_states")
@@ -260,7 +261,7 @@ def journal_actions(t):
                         " CASE WHEN o.act='claim' AND NOT (coalesce(r.status,'')='committed' OR (r.status IS NOT NULL AND r.attempts >= 2)) THEN r.attempts+1 WHEN o.act='interrupt' AND r.status IS NOT NULL THEN greatest(r.attempts-1,0) ELSE r.attempts END",
                         "SELECT event_id, decision, status, attempts FROM r", source="ja", extra=", ja AS (SELECT o_custkey AS user_id, epoch_us(o_orderdate) AS us, o_orderkey AS event_id, CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'claim' WHEN '2' THEN 'claim' WHEN '3' THEN 'fail' WHEN '4' THEN 'interrupt' ELSE 'commit' END AS act FROM orders)"))
 def journal_replay(t):
-    return K.replay(journal_actions(t), U, OE, K.work_journal(2)).select("event_id", "decision", "status", "attempts")
+    return X.work_journal(journal_actions(t), U, OE, 2).select("event_id", "decision", "status", "attempts")
 
 
 TTL = 24 * HOUR
@@ -274,8 +275,7 @@ TTL = 24 * HOUR
 def lease_replay(t):
     act = F.when(F.col("event_type").isin("click", "view", "signup"), "acquire").when(F.col("event_type") == "purchase", "renew").otherwise("release")
     d = user_events(t).select("user_id", *OE, (F.col("k") % 3).cast("long").alias("owner"), act.alias("action"))
-    out = K.replay(d, U, OE, K.lease_log(TTL))
-    return out.select("event_id", "ok", "holder", "until")
+    return X.lease_log(d, U, OE, TTL).select("event_id", "ok", "holder", "until")
 
 
 @query("9.14", with_ctes("""WITH e AS (SELECT *, k % 7 <> 0 AND us < 1705968000000000 AS el FROM evt), c AS (SELECT *, count(*) FILTER (el) OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM e)

@@ -8,6 +8,7 @@ from scanloom.plans.inputs import user_events
 from scanloom.session import scratch_path
 from scanloom.streaming import folds as K
 from scanloom.streaming import jobs as J
+from scanloom.streaming.expiring import follow_expiring
 from tests.conftest import DATA
 
 HOUR = 3_600_000_000
@@ -86,3 +87,43 @@ def test_a_bound_never_lowers_the_mean():
     fold.step(s, N(event_id=2, mean=None, variance=None, lower_bound=0.7))
     assert s["mean"] > before and s["var"] < 0.04
     assert fold.step(s, N(event_id=3, mean=None, variance=None, lower_bound=99.0))[0][3] == "conflict"
+
+
+def test_late_rows_go_and_silent_keys_are_forgotten(spark):
+    """Files out of order within the delay fold as in event time; a late file is dropped; timers empty the state."""
+    rows = [(k, (1000 + i) * HOUR + k, 100 * k + i) for k in range(5) for i in range(12)]
+    folder, target = scratch_path(spark, "expiry"), scratch_path(spark, "expired")
+    schema = "user_id long, us long, event_id long"
+
+    def send(part):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(folder)
+
+    send([r for r in rows if r[1] % (2 * HOUR) >= HOUR and r[1] < 1006 * HOUR])  # odd hours first
+    send([r for r in rows if r[1] % (2 * HOUR) < HOUR and r[1] < 1006 * HOUR])
+    send([r for r in rows if r[1] >= 1006 * HOUR])
+    send([(9, 1400 * HOUR, 1)])  # long after: all others have fallen silent
+    send([(0, 1001 * HOUR + 1, 7777), (9, 1399 * HOUR, 2)])  # the first is late
+    fold = K.failure_throttle(3 * 3600, 2, 60, 600)
+    stream = J.events_stream(spark, folder, 1).select("ts", "user_id", "us", "event_id")
+    got = J.drain(follow_expiring(stream, ["user_id"], ["us", "event_id"], fold, "ts", "8 hours"), "x", target=target)
+    want = K.replay(spark.createDataFrame(rows, schema), ["user_id"], ["us", "event_id"], fold)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+
+    def kept(name):
+        return spark.read.format("statestore").option("stateVarName", name).load(f"{target}/progress")
+
+    assert kept("saved").count() == 0
+    waiting = kept("waiting").select("key.user_id", "list_element.event_id")
+    assert sorted(map(tuple, waiting.collect())) == [(9, 1), (9, 2)]
+
+
+@pytest.mark.parametrize("fold", [K.motion_analyser(0.3, stale_us=96 * HOUR), K.delta_encoder(40.0, 30, 31 * HOUR), K.token_bucket(3.0, 2 / 86400)])
+def test_expiring_twin_equals_replay(spark, parts, fold):
+    t, folder = parts
+    cols = [F.col("value").alias("x"), F.col("value").alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("volume"), F.floor(F.col("us") / HOUR).alias("sequence")]
+    s = J.events_stream(spark, folder, files_per_batch=1).select("ts", "user_id", "us", "event_id", *cols)
+    got = J.drain(follow_expiring(s, ["user_id"], ["us", "event_id"], fold, "ts", "1 hour"), "twin").collect()
+    want = K.replay(user_events(t).select("user_id", "us", "event_id", *cols), ["user_id"], ["us", "event_id"], fold)
+    final = t.events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] // 1000 * 1000 - HOUR
+    early = {r.event_id for r in user_events(t).filter(F.col("us") <= final).collect()}
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in want.select("user_id", *[f.strip().split()[0] for f in fold.out.split(",")]).collect() if r.event_id in early)
