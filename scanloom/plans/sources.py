@@ -60,8 +60,8 @@ def splat_round_trip(t):
     b = lambda i: F.floor((e(i) + 1) * 127.5).cast("int")
     s = t.embeddings.select(*[e(i).cast("float").alias(n) for i, n in enumerate(("x", "y", "z"))], *[e(8 + i).cast("float").alias(n) for i, n in enumerate(("sx", "sy", "sz"))], *[b(i).alias(n) for i, n in ((3, "r"), (4, "g"), (5, "b"), (7, "a"))], *[b(11 + i).alias(f"q{i}") for i in range(4)])
     target = scratch_path(t.spark, "splats")
-    S.pack_splats(s).write.parquet(target)
-    back = S.decode_records(t.spark.read.parquet(target))
+    S.write_splats(s, target)
+    back = S.read_splats(t.spark, target)
     return back.agg(F.count("*").alias("splats"), F.sum("a").alias("alpha"), rnd(F.sum(F.col("x").cast("double")), 4).alias("x"))
 
 

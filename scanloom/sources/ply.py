@@ -30,7 +30,8 @@ class _Element:
     order: list[str] = field(default_factory=list)
 
 
-def _header(data: bytes) -> tuple[str, list[_Element], int, int]:
+def header(data: bytes) -> tuple[str, list[_Element], int, int]:
+    """(format, elements, first byte of the body, number of the first vertex)."""
     end = data.find(b"end_header")
     if not data.startswith(b"ply") or end < 0:
         raise ValueError("no PLY header")
@@ -143,7 +144,7 @@ def read(data: bytes) -> Ply:
     """Parse one file; rows that cannot be read are listed in ``rejects``."""
     out = Ply()
     try:
-        kind, elements, body, out.first = _header(data)
+        kind, elements, body, out.first = header(data)
         if kind == "ascii":
             _ascii(data[body:], elements, out)
         else:

@@ -6,17 +6,17 @@ stopping the job.  Listings never touch file contents.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import stable_id
 from scanloom.operators.ordering import ranked_within
 from scanloom.operators.predicates import bad_path, failed_rules
-from scanloom.sources import ply
+from scanloom.sources import ranges
+from scanloom.sources.shapes import meshes_with_rejects, read_meshes, read_point_clouds  # noqa: F401
 
 # Raw image extensions.
 RAW = ("nef", "nrw", "cr2", "cr3", "arw", "dng", "raf", "orf", "rw2")
@@ -79,141 +79,39 @@ def explode_frames(groups: DataFrame, keys: list[str]) -> DataFrame:
                     (inside % F.col("_b")).alias("burst_index"), (F.col("frame_index") == F.least(F.col("reference"), F.col("_n") - 1)).alias("sequence_reference"))
 
 
-POINTS = ("kind string, cloud_id string, point_id long, x double, y double, z double, nx double, ny double, nz double, "
-          "r int, g int, b int, reason string")
-_PLY_NAMES = {"x": "x", "y": "y", "z": "z", "nx": "nx", "ny": "ny", "nz": "nz", "red": "r", "green": "g", "blue": "b"}
 #: Vertices in one written file of a cloud.
 POINTS_PER_FILE = 1_000_000
 
 
-def _obj_points(text: str) -> tuple[dict[str, np.ndarray], list[tuple[int, str]]]:
-    """Positions, with normals where there are as many, and lines that cannot be read."""
-    found, bad = {"v": [], "vn": []}, []
-    for i, line in enumerate(text.splitlines()):
-        w = line.split()
-        if w and w[0] in found:
-            try:
-                found[w[0]].append([float(c) for c in (w[1], w[2], w[3])])
-            except (ValueError, IndexError):
-                bad.append((i, line))
-    v, n = (np.array(found[k], float).reshape(-1, 3) for k in ("v", "vn"))
-    columns = dict(zip("xyz", v.T))
-    return columns | (dict(zip(("nx", "ny", "nz"), n.T)) if len(n) == len(v) else {}), bad
-
-
-def read_point_clouds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, rejects) of the PLY (ASCII or binary) and OBJ files below a folder.
-
-    A file is one task's work.  A cloud may lie in several files of a folder
-    ``cloud_id=<id>``; each tells the number of its first point.  Other files
-    are a cloud of their own, named by their path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-    def parse(batches):
-        for b in batches:
-            for name, data in zip(b["path"], b["content"]):
-                own = re.search(r"cloud_id=([^/]+)/", name)
-                first = 0
-                if name.lower().endswith(".obj"):
-                    columns, bad = _obj_points(bytes(data).decode("utf-8", "replace"))
-                else:
-                    found = ply.read(bytes(data))
-                    columns, bad, first = found.vertices, found.rejects, found.first
-                    if columns and not {"x", "y", "z"} <= set(columns):
-                        columns, bad = {}, [*bad, (-1, "no positions")]
-                n = len(columns.get("x", ()))
-                out = pd.DataFrame({"kind": "p", "cloud_id": own[1] if own else name, "point_id": np.arange(first, first + n)})
-                for source, target in _PLY_NAMES.items():
-                    kind = "Int32" if target in ("r", "g", "b") else float
-                    out[target] = pd.array(columns[source].astype(int), kind) if kind == "Int32" and source in columns else columns.get(source, np.full(n, np.nan)) if kind is float else pd.array([None] * n, kind)
-                yield out.assign(reason=None).astype(object).where(out.assign(reason=None).notna(), None)
-                if bad:
-                    yield pd.DataFrame({"kind": "bad", "cloud_id": own[1] if own else name, "point_id": [i for i, _ in bad], **{c: None for c in _PLY_NAMES.values()}, "reason": [t for _, t in bad]})
-
-    both = files.mapInPandas(parse, POINTS)
-    points = both.filter("kind = 'p'").drop("kind", "reason")
-    return points, both.filter("kind = 'bad'").select("cloud_id", F.col("point_id").alias("line"), "reason")
-
-
-MESHES = "mesh_id string, kind string, idx long, x double, y double, z double, r double, g double, b double, s double, t double, a long, c1 long, c2 long"
-
-
-def read_meshes(spark: SparkSession, path: str, default: str = "ply") -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of OBJ and PLY files, ASCII or binary, with colours and texture coordinates where there are any.  OBJ faces keep their first three
-    corners, negative indices count from the end, equal corner keys share a vertex;
-    PLY faces under three indices are skipped.  Files without a known extension
-    are read as ``default``."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("mesh_id"), "content")
-
-    def obj(lines):
-        pos, tex, keys, verts, faces = [], [], {}, [], []
-        counts = {"v": 0, "vt": 0, "vn": 0}
-        for ln in lines:
-            w = ln.split()
-            if not w:
-                continue
-            if w[0] in counts:
-                counts[w[0]] += 1
-                if w[0] == "v":
-                    numbers = [float(c) for c in w[1:7]]
-                    pos.append((*numbers[:3], *([255 * c for c in numbers[3:6]] if len(numbers) == 6 else [None] * 3)))
-                elif w[0] == "vt":
-                    tex.append((float(w[1]), float(w[2]) if len(w) > 2 else 0.0))
-            elif w[0] == "f" and len(w) >= 4:
-                face = []
-                for corner in w[1:4]:
-                    part = (corner.split("/") + ["", ""])[:3]
-                    key = tuple((int(p) if int(p) > 0 else n + 1 + int(p)) if p else 0 for p, n in zip(part, (counts["v"], counts["vt"], counts["vn"])))
-                    if key not in keys:
-                        keys[key] = len(verts)
-                        verts.append((*pos[key[0] - 1], *(tex[key[1] - 1] if key[1] else (None, None))))
-                    face.append(keys[key])
-                faces.append(face)
-        return verts, faces
-
-    def parse(batches):
-        columns = [c.split()[0] for c in MESHES.split(", ")]
-        for b in batches:
-            for name, data in zip(b["mesh_id"], b["content"]):
-                kind = name.lower().rpartition(".")[2]
-                if (kind if kind in ("obj", "ply") else default) == "obj":
-                    verts, faces = obj(bytes(data).decode("utf-8", "replace").splitlines())
-                    v = pd.DataFrame(verts, columns=["x", "y", "z", "r", "g", "b", "s", "t"], dtype=float)
-                else:
-                    found = ply.read(bytes(data))
-                    faces, n = found.faces, len(found.vertices.get("x", ()))
-                    take = {"x": ("x",), "y": ("y",), "z": ("z",), "r": ("red", "r"), "g": ("green", "g"), "b": ("blue", "b"), "s": ("s", "u", "texture_u"), "t": ("t", "v", "texture_v")}
-                    v = pd.DataFrame({c: next((found.vertices[o] for o in names if o in found.vertices), np.full(n, np.nan)) for c, names in take.items()})
-                f = pd.DataFrame(np.asarray(faces, np.int64).reshape(-1, 3), columns=["a", "c1", "c2"])
-                top = v.assign(mesh_id=name, kind="v", idx=np.arange(len(v)), a=None, c1=None, c2=None)
-                low = f.assign(mesh_id=name, kind="f", idx=np.arange(len(f)), **{c: None for c in "xyzrgbst"})
-                for part in (top, low):
-                    part = part[columns].astype(object)
-                    yield part.where(part.notna(), None)
-
-    both = files.mapInPandas(parse, MESHES)
-    verts = both.filter("kind = 'v'").select("mesh_id", F.col("idx").alias("v"), "x", "y", "z", *[F.col(c).cast("int").alias(c) for c in "rgb"], F.col("s").alias("tex_u"), F.col("t").alias("tex_v"))
-    return verts, both.filter("kind = 'f'").select("mesh_id", F.col("idx").alias("f"), "a", F.col("c1").alias("b"), F.col("c2").alias("c"))
-
-
 SPLAT = np.dtype([("p", "<f4", 3), ("s", "<f4", 3), ("c", "u1", 4), ("q", "u1", 4)])  # 32 bytes
 
 
 def read_splats(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed 32-byte records; one huge file is split over tasks at record borders."""
-    raw = spark.sparkContext.binaryRecords(path, SPLAT.itemsize).map(lambda r: (bytearray(r),))
-    return decode_records(spark.createDataFrame(raw, "record binary"))
+    """Raw files of fixed 32-byte records below a folder; every file is split at record borders."""
+    width, files = SPLAT.itemsize, ranges.listing(spark, path).collect()
+    broken = [f.path for f in files if f.length % width]
+    if broken:
+        raise ValueError(f"no whole number of {width}-byte records: {broken[0]}")
+    return decode_records(ranges.read_records(spark, [{"path": f.path, "offset": 0, "count": f.length // width, "width": width} for f in files]).select(F.col("data").alias("record")))
+
+
+def write_splats(splats: DataFrame, target: str) -> None:
+    """Raw 32-byte records, one file per task, all visible at once when the job has ended."""
+    ranges.write_records(pack_splats(splats), target)
 
 
 def decode_records(records: DataFrame) -> DataFrame:
+    """Columns of the splats in the binary column ``record``, one or many records in each value."""
     out = "x float, y float, z float, sx float, sy float, sz float, r int, g int, b int, a int, q0 int, q1 int, q2 int, q3 int"
 
     def decode(batches):
-        for b in batches:
-            v = np.frombuffer(b"".join(bytes(r) for r in b["record"]), dtype=SPLAT)
-            yield pd.DataFrame(np.c_[v["p"], v["s"]], columns=["x", "y", "z", "sx", "sy", "sz"]).assign(**{n: v["c"][:, i].astype(int) for i, n in enumerate("rgba")}, **{f"q{i}": v["q"][:, i].astype(int) for i in range(4)})
+        for batch in batches:
+            for data in batch.column("record"):
+                v = np.frombuffer(data.as_buffer(), SPLAT)
+                fields = [*v["p"].T, *v["s"].T, *v["c"].T.astype(np.int32), *v["q"].T.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(f)) for f in fields], names=[c.split()[0] for c in out.split(", ")])
 
-    return records.mapInPandas(decode, out)
+    return records.select("record").mapInArrow(decode, out)
 
 
 def pack_splats(splats: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cloud, mesh and splat files; ids of any length; the shared folder."""
 
+import json
 import struct
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from scanloom import session
 from scanloom.operators import mesh as X
 from scanloom.operators.graph import connected_components
-from scanloom.sources import ply
+from scanloom.sources import ply, ranges, shapes
 from scanloom.sources import tables as S
 
 CLOUD = "cloud_id string, point_id long, x double, y double, z double, r int, g int, b int"
@@ -114,3 +115,89 @@ def test_shared_folder():
         session.shared_dir(Session("spark://host:7077"))
     own = session.shared_dir(Session("local[4]"))
     assert own == session.shared_dir(Session("local[2]"))
+
+
+def test_records_are_read_in_ranges(spark, tmp_path):
+    """Any number of partitions over one file; a header of 4 GB of vertices plans a thousand of them."""
+    xyz = {c: np.arange(1000) * f for c, f in (("x", 0.5), ("y", 1.5), ("z", 2.5))} | {"red": np.arange(1000) % 250}
+    (tmp_path / "a b%20c.ply").write_bytes(ply.write(xyz, first=3))
+    (head,) = shapes.heads(spark, str(tmp_path))
+    element, offset, n = head.place("vertex")
+    assert n == 1000 and element.count == 1000
+    file = {"path": head.path, "offset": offset, "count": n, "width": 25}
+    d = ranges.read_records(spark, [file], records=64, piece=10)
+    assert d.rdd.getNumPartitions() == 16
+    got = sorted((r["first"], bytes(r["data"])) for r in d.collect())
+    assert [f for f, _ in got][:8] == [0, 10, 20, 30, 40, 50, 60, 64]
+    rows = np.frombuffer(b"".join(b for _, b in got), [("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("r", "u1")])
+    assert rows["x"].tolist() == xyz["x"].tolist() and rows["r"].tolist() == xyz["red"].tolist()
+    reader = ranges.RangeReader({"files": json.dumps([file | {"count": 4 * 2**30 // 25}]), "range": str(1 << 17)})
+    parts = reader.partitions()
+    assert len(parts) > 1000 and sum(p.count for p in parts) == 4 * 2**30 // 25
+    points, bad = S.read_point_clouds(spark, str(tmp_path))
+    assert [r.point_id for r in points.orderBy("point_id").collect()] == list(range(3, 1003)) and bad.count() == 0
+    with pytest.raises(Exception, match="shorter"):
+        ranges.read_records(spark, [file | {"count": 1001}]).collect()
+
+
+def test_lines_are_numbered_over_any_splits(spark, tmp_path):
+    text = "\n".join(f"v {i} 0 0" if i % 7 else "# note" for i in range(3000)) + "\nf -1 -2 -3\n"
+    (tmp_path / "big.obj").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = ranges.numbered_lines(spark, [str(tmp_path / "big.obj")])
+        assert lines.rdd.getNumPartitions() > 10
+        assert [r.value for r in lines.orderBy("no").collect()] == text.splitlines()
+        assert [r.no for r in lines.orderBy("no").collect()] == list(range(3001))
+        verts, faces = S.read_meshes(spark, str(tmp_path))
+        assert [r.x for r in verts.orderBy("v").collect()] == [2999.0, 2998.0, 2997.0]
+        assert [tuple(r)[1:] for r in faces.collect()] == [(0, 0, 1, 2)]
+        assert S.read_point_clouds(spark, str(tmp_path))[0].orderBy("point_id").collect()[1].x == 2.0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_obj_faults_are_rejected(spark, tmp_path):
+    (tmp_path / "m.obj").write_text("v 0 0 0\nv bad 0 0\nv 0 1 0\nv 1 1 0\nvt x\nvt 0.5\nf 1 3 4\nf 1 2 3\nf 1 q 3\nf 1/2 3/2 9\nf 1 3\nf 4/2 3/2 1/2 1\n")
+    (tmp_path / "p.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float z\nproperty float x\nproperty float y\nelement face 4\nproperty list uchar int vertex_indices\nend_header\n3 1 2\n3 1 2\n9 7 8\n3 0 1 2\n2 0 1\n4 0 1 2 0\n")
+    (tmp_path / "x.ply").write_text("nothing")
+    verts, faces, rejects = S.meshes_with_rejects(spark, str(tmp_path))
+    own = lambda d, end: [r for r in d.collect() if r.mesh_id.endswith(end)]
+    assert sorted((r.v, r.x, r.y, r.tex_u) for r in own(verts, "m.obj") if r.tex_u is None) == [(0, 0.0, 0.0, None), (1, 0.0, 1.0, None), (2, 1.0, 1.0, None)]
+    assert sorted((r.f, r.a, r.b, r.c) for r in own(faces, "m.obj")) == [(0, 0, 1, 2), (1, 3, 4, 5)]
+    assert sorted(r.line for r in own(rejects, "m.obj")) == [1, 4, 7, 8, 9]
+    assert sorted((r.v, r.x, r.y, r.z) for r in own(verts, "p.ply")) == [(0, 1.0, 2.0, 3.0), (1, 1.0, 2.0, 3.0), (2, 7.0, 8.0, 9.0)]
+    assert sorted((r.f, r.a, r.b, r.c) for r in own(faces, "p.ply")) == [(0, 0, 1, 2), (1, 0, 1, 2), (2, 0, 2, 0)]
+    assert sorted((r.line, r.reason) for r in own(rejects, "p.ply")) == [(1, "2 0 1"), (6, "1 rows are missing")]
+    assert [r.line for r in own(rejects, "x.ply")] == [-1]
+
+
+def test_binary_triangles_are_ranges(spark, tmp_path):
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nelement face 5\nproperty list uchar int vertex_indices\nend_header\n"
+    faces = [(i % 4, (i + 1) % 4, (i + 2) % 4) for i in range(5)]
+    body = b"".join(struct.pack("<fff", i, 0, 0) for i in range(4)) + b"".join(struct.pack("<Biii", 3, *f) for f in faces)
+    (tmp_path / "t.ply").write_bytes(head.encode() + body)
+    assert shapes.heads(spark, str(tmp_path))[0].place("face")[2] == 5
+    _, found = S.read_meshes(spark, str(tmp_path))
+    assert [(r.a, r.b, r.c) for r in found.orderBy("f").collect()] == faces
+
+
+SPLATS = "x float, y float, z float, sx float, sy float, sz float, r int, g int, b int, a int, q0 int, q1 int, q2 int, q3 int"
+
+
+def test_splats_are_written_as_raw_records(spark, tmp_path):
+    rows = [(float(i), 1.5, -2.0, 0.5, 0.25, 0.125, i % 256, 255, 0, 7, 1, 2, 3, 4) for i in range(1000)]
+    target = tmp_path / "s"
+    S.write_splats(spark.createDataFrame(rows, SPLATS).repartition(5), str(target))
+    files = sorted(target.glob("part-*.bin"))
+    assert len(files) == 5 and (target / "_SUCCESS").exists() and not list(target.glob("_temporary*"))
+    v = np.frombuffer(b"".join(f.read_bytes() for f in files), S.SPLAT)
+    assert len(v) == 1000 and sorted(v["p"][:, 0]) == list(range(1000)) and set(v["c"][:, 1]) == {255}
+    assert sorted(map(tuple, S.read_splats(spark, str(target)).collect())) == rows
+    with pytest.raises(Exception, match="null"):
+        ranges.write_records(spark.createDataFrame([(b"x",), (None,)], "r binary").coalesce(1), str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("*")) if (tmp_path / "bad").exists() else True
+    (target / "half.bin").write_bytes(b"123")
+    with pytest.raises(ValueError, match="records"):
+        S.read_splats(spark, str(target))
