@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,15 +21,38 @@ from scanloom.session import checkpointed
 DAY_US = 86_400_000_000
 
 
-def with_chunk(df: DataFrame, time_us: str, width_us: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(time_us) / width_us))
+#: Estimated bytes up to which a whole table may lie in one chunk, and rows that a chunk may hold beyond.
+SMALL_BYTES, CHUNK_ROWS = 64 << 20, 1 << 20
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, as the optimizer estimates them after pruning."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def with_chunk(df: DataFrame, keys: list[str], order: list[str], width_us: int = DAY_US) -> DataFrame:
+    """Column ``_chunk``, ascending in ``order`` within a key; no chunk of a key is large.
+
+    Chunks are stretches of ``width_us`` of the time ``order[0]``, which needs no
+    shuffle, unless some stretch of some key is crowded; then they are range
+    partitions, which hold equal numbers of rows whatever the times are.  The
+    placement is materialised, as a range sample taken again could differ.
+    """
+    stretch = F.floor(F.col(order[0]) / width_us)
+    if _estimated_bytes(df) > SMALL_BYTES:
+        crowd = df.groupBy(*keys, stretch.alias("_chunk")).count().agg(F.max("count"), F.sum("count")).first()
+        if (crowd[0] or 0) > CHUNK_ROWS:
+            parts = -(-crowd[1] // CHUNK_ROWS) * 2
+            return checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn("_chunk", F.spark_partition_id().cast("long")))
+    return df.withColumn("_chunk", stretch)
 
 
 def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str], width_us: int = DAY_US,
                  into: str = "prev") -> DataFrame:
     """Struct of ``cols`` from the row before, across chunk borders.
     ``order[0]`` is the time in microseconds."""
-    d = with_chunk(df, order[0], width_us)
+    d = with_chunk(df, keys, order, width_us)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     last = d.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
     last = last.select(*keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
@@ -45,7 +69,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tu
     """Running ``sum`` / ``max`` / ``min`` per key up to and including each row."""
     fn = {"sum": F.sum, "max": F.max, "min": F.min}
     join = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
-    d = with_chunk(df, order[0], width_us).withColumns({f"_v_{n}": c for n, (_, c) in aggs.items()})
+    d = with_chunk(df, keys, order, width_us).withColumns({f"_v_{n}": c for n, (_, c) in aggs.items()})
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = d.groupBy(*keys, "_chunk").agg(*[fn[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in aggs.items()])
@@ -153,6 +177,16 @@ def median(df: DataFrame, keys: list[str], value: str, into: str = "median") ->
     return s.withColumn(into, (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
 
 
+def affine_scan(factor: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factor and offset of the first 1, 2, ... n steps v -> factor * v + offset, composed by doubling."""
+    factor, offset, step = factor.astype(float), offset.astype(float), 1
+    while step < len(factor):
+        offset = np.r_[offset[:step], factor[step:] * offset[:-step] + offset[step:]]
+        factor = np.r_[factor[:step], factor[step:] * factor[:-step]]
+        step *= 2
+    return factor, offset
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object],
                  step: Callable[[object, object], Iterable[tuple]], schema: str) -> DataFrame:
     """Sequential fold per key over sorted rows, streamed in Arrow batches.

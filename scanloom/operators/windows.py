@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanloom.operators.ordering import (DAY_US, indexed, order_stats, ordered_fold, previous_row, running, with_chunk,
+from scanloom.operators.ordering import (DAY_US, affine_scan, indexed, order_stats, ordered_fold, previous_row, running, with_chunk,
                                          with_halo)
 
 
@@ -19,31 +22,30 @@ def gap_groups(df: DataFrame, keys: list[str], us: str, tie: str, gap_us: int, w
 
 
 def exponential_smoothing(df: DataFrame, keys: list[str], us: str, tie: str, value: str, alpha: float,
-                          width_us: int = DAY_US) -> DataFrame:
-    """v = v(1-a) + x*a from zero.  The recurrence is affine, so each chunk is
-    smoothed from zero and the carried value decays over the row number."""
-    d = with_chunk(df.select(*keys, us, tie, value), us, width_us).withColumnRenamed("_chunk", "chunk_no")
-    key_types = dict(d.dtypes)
-
-    def local(state, row):
-        state["v"] = state["v"] * (1 - alpha) + getattr(row, value) * alpha
-        state["i"] += 1
-        return [(*row, state["v"], state["i"])]
-
-    smooth = ordered_fold(d, [*keys, "chunk_no"], [us, tie], lambda: {"v": 0.0, "i": 0}, local,
-                          ", ".join(f"{n} {t}" for n, t in d.dtypes) + ", _local double, _i long")
-    ends = smooth.groupBy(*keys, "chunk_no").agg(F.max_by("_local", "_i").alias("end_value"), F.max("_i").alias("end_count"))
-
-    def fold(state, row):
-        before = state["v"]
-        state["v"] = row.end_value + (1 - alpha) ** row.end_count * before
-        return [(*[getattr(row, k) for k in keys], row.chunk_no, before)]
-
-    carry = ordered_fold(ends, keys, ["chunk_no"], lambda: {"v": 0.0}, fold,
-                         ", ".join(f"{k} {key_types[k]}" for k in keys) + ", chunk_no long, _carry double")
-    return (smooth.join(carry, [*keys, "chunk_no"])
-            .withColumn("smoothed", F.col("_local") + F.pow(F.lit(1 - alpha), F.col("_i")) * F.col("_carry"))
-            .drop("_local", "_i", "_carry", "chunk_no"))
+                          width_us: int = 3650 * DAY_US) -> DataFrame:
+    """v = v(1-a) + x*a from zero.  Every row is an affine step, and such steps
+    compose: chunks are scanned side by side, and the chunks of a key once more."""
+    d = with_chunk(df.select(*keys, us, tie, value), keys, [us, tie], width_us)
+    names = d.columns
+    types = {f.name: f.dataType for f in d.schema}
+
+    def local(found: pa.Table) -> pa.Table:
+        found = found.select(names).sort_by([(us, "ascending"), (tie, "ascending")])
+        x = found.column(value).cast(pa.float64()).to_numpy()
+        factor, offset = affine_scan(np.full(len(x), 1 - alpha), alpha * x)
+        return found.append_column("_factor", pa.array(factor)).append_column("_offset", pa.array(offset))
+
+    smooth = d.groupBy(*keys, "_chunk").applyInArrow(local, T.StructType([*d.schema, *T.StructType.fromDDL("_factor double, _offset double")]))
+    last = F.struct(us, tie)
+    ends = smooth.groupBy(*keys, "_chunk").agg(F.max_by("_factor", last).alias("f"), F.max_by("_offset", last).alias("o"))
+
+    def chain(found: pa.Table) -> pa.Table:
+        found = found.sort_by("_chunk")
+        before = affine_scan(found.column("f").to_numpy(), found.column("o").to_numpy())[1]
+        return found.select([*keys, "_chunk"]).append_column("_carry", pa.array(np.r_[0.0, before[:-1]]))
+
+    carry = ends.groupBy(*keys).applyInArrow(chain, T.StructType([*(T.StructField(k, types[k]) for k in [*keys, "_chunk"]), T.StructField("_carry", T.DoubleType())]))  # one row per chunk
+    return smooth.join(carry, [*keys, "_chunk"]).withColumn("smoothed", F.col("_offset") + F.col("_factor") * F.col("_carry")).drop("_offset", "_factor", "_carry", "_chunk")
 
 
 def stable_for(df: DataFrame, keys: list[str], us: str, tie: str, value: str, frames: int, below: float,

@@ -10,6 +10,7 @@ from scanloom.operators import imaging as I
 from scanloom.operators import matching as M
 from scanloom.operators import mesh as X
 from scanloom.operators import spatial as S
+from scanloom.operators import joins, ordering, windows
 from scanloom.operators.graph import connected_components
 from scanloom.operators.ordering import indexed, order_stats, previous_row, running
 
@@ -226,3 +227,53 @@ def test_normal_consistency_of_tilted_planes(spark):
     truth = pd.concat([plane(rng, 0, up, shift=0.01), plane(rng, 1, tilted)])
     out = S.geometry_metrics(spark.createDataFrame(pred), spark.createDataFrame(truth), ["cloud_id"], "point_id", 0.5, normal_k=8).toPandas().set_index("cloud_id")
     assert out.loc[0, "normal_consistency"] == pytest.approx(1.0) and out.loc[1, "normal_consistency"] == pytest.approx(0.8)
+
+
+@pytest.fixture()
+def crowded(monkeypatch):
+    """Every table counts as large and every chunk as crowded."""
+    monkeypatch.setattr(ordering, "SMALL_BYTES", 0)
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 50)
+
+
+def burst(spark, n=1000):
+    """One key, all rows within one second of one day."""
+    return spark.createDataFrame([(1, (i * 7919) % 1_000_000, i, float(i % 13)) for i in range(n)], "k long, us long, id long, value double")
+
+
+def test_a_burst_inside_one_day_spreads_over_tasks(spark, crowded):
+    d = burst(spark)
+    chunks = ordering.with_chunk(d, ["k"], ["us", "id"]).groupBy("_chunk").count().collect()
+    assert len(chunks) > 20 and max(r["count"] for r in chunks) < 200
+    rows = sorted(d.collect(), key=lambda r: (r.us, r.id))
+    before = {b.id: a.value for a, b in zip(rows, rows[1:])}
+    got = ordering.previous_row(d, ["k"], ["us", "id"], ["value"]).collect()
+    assert {r.id: r.prev.value for r in got if r.prev} == before
+    total, sums = 0.0, {}
+    for r in rows:
+        total += r.value
+        sums[r.id] = total
+    assert {r.id: r.s for r in ordering.running(d, ["k"], ["us", "id"], {"s": ("sum", F.col("value"))}).collect()} == sums
+
+
+def test_crowded_chunks_do_not_change_smoothing_and_joins(spark, crowded):
+    d = burst(spark)
+    v, want = 0.0, {}
+    for r in sorted(d.collect(), key=lambda r: (r.us, r.id)):
+        v = v * 0.7 + r.value * 0.3
+        want[r.id] = v
+    got = {r.id: r.smoothed for r in windows.exponential_smoothing(d, ["k"], "us", "id", "value", 0.3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    left = d.filter("id % 5 = 0").select("k", F.col("us").alias("us"), F.col("id").alias("lid"))
+    right = d.filter("id % 5 = 1").select("k", "us", F.col("id").alias("rid"))
+    near = {r.lid: r.distance_us for r in joins.asof_nearest(left, right, ["k"], "lid", ["rid"]).collect()}
+    times = [r.us for r in right.collect()]
+    assert near == {r.lid: min(abs(r.us - t) for t in times) for r in left.collect()}
+
+
+def test_affine_steps_compose():
+    rng = np.random.default_rng(0)
+    f, o, v = rng.normal(size=77), rng.normal(size=77), 0.4
+    for i, (factor, offset) in enumerate(zip(*ordering.affine_scan(f, o))):
+        v = f[i] * v + o[i]
+        assert abs(factor * 0.4 + offset - v) < 1e-9
