@@ -11,13 +11,14 @@ from scanloom.operators.ordering import ranked_within
 from scanloom.plans.inputs import PTS, EVT, e, points, user_events
 from scanloom.plans.registry import query, with_ctes
 from scanloom.session import scratch_path
+from scanloom.sources import operational as O
 from scanloom.sources import tables as S
 
-@query("1.1", "SELECT DISTINCT page_id % 20 AS folder, true AS sized FROM pages")
+@query("1.1", "SELECT DISTINCT page_id // 10 AS folder, true AS sized FROM pages")
 def file_inventory(t):
-    """Pages written in folders, one file each, and the files listed again."""
+    """Pages written in folders of ten, one file each, and the files listed again."""
     target = scratch_path(t.spark, "inventory")
-    t.pages.select((F.col("page_id") % 20).alias("folder"), F.col("url").alias("value")).repartition("folder").write.partitionBy("folder").text(target)
+    t.pages.select(F.floor(F.col("page_id") / 10).alias("folder"), F.col("url").alias("value")).repartition("folder").write.partitionBy("folder").text(target)
     d = S.list_files(t.spark, target, ("txt",))
     return d.select(F.regexp_extract("path", r"folder=(\d+)", 1).cast("long").alias("folder"), (F.col("size") > 0).alias("sized"))
 
@@ -132,6 +133,47 @@ def operational_tables(t):
     return out
 
 
+NOW = 1705968000
+
+
+@query("1.14", f"""WITH j AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 50 <> 0 THEN 'r' || (o_orderkey - CASE WHEN o_orderkey % 300 = 7 THEN 6 ELSE 0 END) END AS request_id,
+   CASE WHEN o_orderkey % 90 = 5 THEN NULL ELSE o_orderstatus END AS status FROM orders),
+  js AS (SELECT *, status IS NULL AS lost, row_number() OVER (PARTITION BY status IS NULL, request_id ORDER BY id) AS n FROM j),
+  l AS (SELECT c_custkey, c_custkey % 5 = 0 AS revoked, {NOW} + (c_custkey % 100 - 20) * 86400 AS expires_at, CASE WHEN c_custkey % 3 > 0 THEN 3 END AS max_uses, c_custkey % 4 AS uses FROM customer),
+  p AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey // 2 ORDER BY c_custkey::VARCHAR) AS n FROM customer),
+  f AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
+  SELECT 'jobs' AS relation, CASE WHEN lost THEN 'status_missing' WHEN request_id IS NOT NULL AND n > 1 THEN 'request_id_taken' ELSE 'ok' END AS outcome, count(*) AS rows FROM js GROUP BY 2
+  UNION ALL SELECT 'share_links', CASE WHEN NOT revoked AND expires_at > {NOW} AND (max_uses IS NULL OR uses < max_uses) THEN 'active' ELSE 'ended' END, count(*) FROM l GROUP BY 2
+  UNION ALL SELECT 'share_public', CASE WHEN n > 1 THEN 'short_code_taken' ELSE 'ok' END, count(*) FROM p GROUP BY 2
+  UNION ALL SELECT 'share_access', 'ok', count(*) FROM events
+  UNION ALL SELECT 'login_failures', 'ok', count(*) FROM f""")
+def operational_relations(t):
+    """Every relation written with its schema and keys and read again, rejects by reason."""
+    folder = scratch_path(t.spark, "relations")
+    o, c, i = F.col("o_orderkey"), F.col("c_custkey"), F.lit("2024-01-01T00:00:00Z")
+    jobs = t.orders.select(
+        o.alias("id"), F.when(o % 50 != 0, F.concat(F.lit("r"), o - F.when(o % 300 == 7, 6).otherwise(0))).alias("request_id"), F.lit("process").alias("kind"), F.col("o_orderpriority").alias("name"), F.lit("{}").alias("payload"),
+        F.when(o % 90 != 5, F.col("o_orderstatus")).alias("status"), F.lit("0.5").alias("progress"), i.alias("created_at"), F.lit(1).alias("attempt_count"), F.lit(3).alias("max_attempts"), i.alias("updated_at"), F.lit("x").alias("unknown"))
+    links = t.customer.select(
+        F.sha2(c.cast("string"), 256).alias("token_hash"), F.col("c_nationkey").alias("project_id"), F.lit("a.ply").alias("asset_path"), F.lit(0).alias("created_at"), (F.lit(NOW) + (c % 100 - 20) * 86400).alias("expires_at"),
+        F.when(c % 3 > 0, 3).alias("max_uses"), (c % 4).alias("uses"), F.lit(True).alias("allow_download"), F.lit(False).alias("allow_embed"), (c % 5 == 0).alias("revoked"))
+    public = t.customer.select(c.cast("string").alias("token_hash"), c.alias("public_token"), F.floor(c / 2).alias("short_code"), F.lit(0).alias("created_at"), F.lit(0).alias("updated_at"), F.lit(True).alias("is_public"))
+    access = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("token_hash"), F.col("event_type").alias("event"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("accessed_at"), F.lit(False).alias("embed"), F.lit(False).alias("download"))
+    failures = t.events.filter("event_type = 'error'").groupBy(F.col("user_id").alias("identity_hash")).agg(F.count("*").alias("failed_attempts"), F.lit(0).alias("window_started"), F.lit(0).alias("locked_until"), F.lit(0).alias("updated_at"))
+    out = None
+    for name, rows in {"jobs": jobs, "share_links": links, "share_public": public, "share_access": access, "login_failures": failures}.items():
+        bad = O.save(rows, name, folder).select(F.array_join("reasons", ",").alias("outcome"))
+        good = O.load(t.spark, folder, name)
+        if name == "share_links":
+            active = O.active_links(good, F.lit(NOW)).select("token_hash", F.lit("active").alias("outcome"))
+            good = good.join(active, "token_hash", "left").select(F.coalesce("outcome", F.lit("ended")).alias("outcome"))
+        else:
+            good = good.select(F.lit("ok").alias("outcome"))
+        part = good.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "outcome", "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("1.15", with_ctes("""SELECT cloud_id, round(min(x),6)+0.0::DOUBLE AS x0, round(max(x),6) AS x1, 5 AS corners FROM pts GROUP BY 1""", PTS))
 def measurement_sinks(t):
     """Bounds as CSV and the outline as GeoJSON, both read back."""
@@ -186,9 +228,9 @@ def image_rows_decoded(t):
     bmp = F.concat(*head, F.array_join(F.transform("l", lambda s: s.line), ""))
     target = scratch_path(t.spark, "images")
     img.select("frame", bmp.alias("value")).repartition("frame").write.partitionBy("frame").text(target)
-    d = S.read_images(t.spark, target + "/*")
-    grey = F.aggregate("px", F.lit(0).cast("long"), lambda s, p: s + p.g)
-    return d.select(F.regexp_extract("frame_id", r"frame=(\d+)", 1).cast("long").alias("frame"), "y", grey.alias("grey"), F.size("px").cast("long").alias("width"))
+    d, _ = S.read_images(t.spark, target + "/*")
+    grey = F.aggregate("g", F.lit(0).cast("long"), lambda s, p: s + p)
+    return d.select(F.regexp_extract("frame_id", r"frame=(\d+)", 1).cast("long").alias("frame"), "y", grey.alias("grey"), F.size("g").cast("long").alias("width"))
 
 
 @query("1.6", """SELECT vec_id//16 AS mesh, count(*) AS vertices, (count(*)-2)::BIGINT AS faces, round(sum(round(embedding[1]::DOUBLE,6)),5)+0.0::DOUBLE AS x FROM embeddings GROUP BY 1""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scanloom.functions.numeric import rnd
 
 from scanloom.operators import transitions as X
+from scanloom.operators import windows as W
 from scanloom.operators.ordering import previous_row, running
 from scanloom.plans.inputs import EVT, user_events
 from scanloom.plans.joins import NEAR
@@ -153,6 +154,13 @@ STAB = with_ctes("""WITH d AS (SELECT user_id, us, event_id, coalesce(abs(value
 
 
 @query("9.6", STAB)
+def scene_stability(t):
+    """The run of small changes by built-in scans."""
+    d = W.change_runs(user_events(t).select("user_id", *OE, "value"), U, "us", "event_id", "value", 500.0, 0.05)
+    return d.select("event_id", "run", (F.col("run") > 3).alias("stable"))
+
+
+@query("9.6", STAB, name="stream_scene_stability")
 def stream_scene_stability(t):
     s = stream_of(t).select("user_id", *OE, "value")
     return J.drain(K.follow(s, U, OE, K.scene_stability(500.0, 0.05, 3)), "stability").select("event_id", "run", "stable")

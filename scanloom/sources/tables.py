@@ -127,19 +127,22 @@ def pack_splats(splats: DataFrame) -> DataFrame:
     return splats.mapInPandas(encode, "record binary")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images as rows (frame_id, y, px of r, g, b structs)."""
-    img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    schema = "frame_id string, y int, px array<struct<r:int,g:int,b:int>>"
+def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): decoded images as rows (frame_id, y, r, g, b), one array per channel, and the files that are no image."""
+    img = spark.read.format("image").load(path).select("image.*")
+    schema = "frame_id string, y int, r array<int>, g array<int>, b array<int>"
 
     def rows(batches):
-        for b in batches:
-            for name, h, w, ch, data in zip(b["origin"], b["height"], b["width"], b["nChannels"], b["data"]):
-                a = np.frombuffer(bytes(data), dtype=np.uint8).reshape(h, w, ch).astype(int)
-                bgr = np.repeat(a, 3, axis=2) if ch == 1 else a[..., :3]
-                yield pd.DataFrame({"frame_id": name, "y": np.arange(h, dtype="int32"), "px": [[{"r": int(p[2]), "g": int(p[1]), "b": int(p[0])} for p in line] for line in bgr]})
+        for batch in batches:
+            names, shape = batch.column("origin").to_pylist(), [batch.column(c).to_pylist() for c in ("height", "width", "nChannels")]
+            for name, h, w, channels, data in zip(names, *shape, batch.column("data"), strict=True):
+                a = np.frombuffer(data.as_buffer(), np.uint8).reshape(h * w, channels).astype(np.int32)
+                ends = pa.array(np.arange(h + 1, dtype=np.int32) * w)
+                planes = {c: pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(a[:, i if channels > 1 else 0]))) for c, i in (("r", 2), ("g", 1), ("b", 0))}
+                yield pa.RecordBatch.from_pydict({"frame_id": pa.array([name] * h), "y": pa.array(np.arange(h, dtype=np.int32)), **planes})
 
-    return img.mapInPandas(rows, schema)
+    sound = F.coalesce((F.col("height") > 0) & (F.col("width") > 0), F.lit(False))
+    return img.filter(sound).mapInArrow(rows, schema), img.filter(~sound).select(F.col("origin").alias("frame_id"), F.lit("no image").alias("reason"))
 
 
 IMU = "samples array<struct<timestamp:double,accel:array<double>,gyro:array<double>>>, frames array<struct<image_path:string,timestamp:double,matrix:array<double>>>"
@@ -180,11 +183,17 @@ AUDIT = "event struct<id:string,actor:string,action:string,resource:string>, pre
 
 
 def read_audit(lines: DataFrame, order: str, tail: int | None = None) -> DataFrame:
-    """Audit records of JSON lines; unreadable lines are skipped; optional tail in log order."""
+    """Audit records of JSON lines; unreadable lines are skipped (``audit_rejects`` has them); optional tail in log order."""
     d = lines.select(order, F.from_json("value", AUDIT).alias("r")).filter("r.hash IS NOT NULL AND r.event IS NOT NULL").select(order, "r.event.*", "r.prev_hash", "r.hash")
     return d if tail is None else d.orderBy(F.desc(order)).limit(tail).orderBy(order)
 
 
+def audit_rejects(lines: DataFrame, order: str) -> DataFrame:
+    """(order, value) of the lines that hold no audit record."""
+    r = F.from_json("value", AUDIT)
+    return lines.filter(~F.coalesce(r.getField("hash").isNotNull() & r.getField("event").isNotNull(), F.lit(False))).select(order, "value")
+
+
 BENCH = "run_id string, sequences array<struct<id:string,frame_count:int,load_total_ms:double,timings:map<string,struct<count:long,mean_ms:double,min_ms:double,max_ms:double>>>>"
 
 

@@ -201,3 +201,33 @@ def test_splats_are_written_as_raw_records(spark, tmp_path):
     (target / "half.bin").write_bytes(b"123")
     with pytest.raises(ValueError, match="records"):
         S.read_splats(spark, str(target))
+
+
+def test_relations_keep_their_keys(spark, tmp_path):
+    from scanloom.sources import operational as O
+
+    rows = [("a", "s", "1", 5), ("b", None, "1", 5), ("c", "s", "x", 5), (None, "s", "2", 5), ("a", "s", "3", 6), ("d", "t", "7", 1)]
+    links = spark.createDataFrame(rows, "token_hash string, project_id string, expires_at string, uses long").selectExpr(
+        "*", "'p' AS asset_path", "0 AS created_at", "true AS allow_download", "'false' AS allow_embed", "false AS revoked", "1 AS other")
+    bad = O.save(links, "share_links", str(tmp_path))
+    got = O.load(spark, str(tmp_path), "share_links")
+    assert got.schema == spark.createDataFrame([], O.RELATIONS["share_links"].ddl.replace(" NOT NULL", "")).schema
+    assert sorted((r.token_hash, r.expires_at, r.max_uses) for r in got.collect()) == [("a", 1, None), ("d", 7, None)]
+    assert sorted(str((r.token_hash, r.reasons)) for r in bad.collect()) == ["('a', ['token_hash_taken'])", "('b', ['project_id_missing'])", "('c', ['expires_at_missing'])", "(None, ['token_hash_missing'])"]
+    with pytest.raises(ValueError, match="uses"):
+        O.conform(links.drop("uses"), "share_links")
+
+
+def test_files_that_are_no_image_are_rejected(spark, tmp_path):
+    head = b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + 8, 0, 54, 40, 2, 1, 1, 24, 0, 8, 0, 0, 0, 0)
+    (tmp_path / "a.bmp").write_bytes(head + bytes([1, 2, 3, 4, 5, 6, 0, 0]))
+    (tmp_path / "b.bmp").write_bytes(b"no image")
+    rows, bad = S.read_images(spark, str(tmp_path))
+    assert [(r.y, r.r, r.g, r.b) for r in rows.collect()] == [(0, [3, 6], [2, 5], [1, 4])]
+    assert [r.frame_id.rpartition("/")[2] for r in bad.collect()] == ["b.bmp"]
+
+
+def test_audit_lines_without_a_record(spark):
+    lines = spark.createDataFrame([(1, '{"event": {"id": "x"}, "prev_hash": "p", "hash": "h"}'), (2, "{broken"), (3, "{}")], "seq long, value string")
+    assert [r.seq for r in S.read_audit(lines, "seq").collect()] == [1]
+    assert sorted(r.seq for r in S.audit_rejects(lines, "seq").collect()) == [2, 3]
