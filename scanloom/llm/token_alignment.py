@@ -20,7 +20,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -99,7 +99,7 @@ def merge(a_end: np.ndarray, b_end: np.ndarray, a_first: np.ndarray, lane: int =
 
 @dataclass
 class Aligned:
-    """Documents side by side: token ids, where each document's begin, links and cuts (as token places, in order)."""
+    """Documents side by side: token ids, where each document's begin, links and cuts (as token places; cuts in order)."""
 
     a: np.ndarray
     b: np.ndarray
@@ -112,20 +112,26 @@ class Aligned:
 
     def groups(self, spell: list[str]) -> list[str]:
         """Per document the ids of each group, ``a1,a2|b1;a3|b2,b3``; ``spell`` has three texts per id."""
-        group = [np.searchsorted(cut, np.arange(len(ids))) for cut, ids in ((self.cut_a, self.a), (self.cut_b, self.b))]
-        order = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
-        code = np.concatenate([self.a, self.b]) * 3
-        code[self.cut_a] += 1
-        code[len(self.a) + self.cut_b] += 2
-        code = code[order].tolist()
-        ends = (self.a_first + self.b_first).tolist()
+        n_a, n_b = np.diff(self.cut_a, prepend=-1), np.diff(self.cut_b, prepend=-1)  # tokens of each group
+        place = np.empty(len(self.a) + len(self.b), np.int64)
+        place[np.arange(len(self.a)) + np.repeat(np.cumsum(n_b) - n_b, n_a)] = self.a * 3  # behind the B tokens of the groups before
+        place[np.arange(len(self.b)) + np.repeat(np.cumsum(n_a), n_b)] = self.b * 3
+        ends = np.cumsum(n_a + n_b)
+        place[ends - 1] += 2
+        place[ends - 1 - n_b] += 1
+        code, ends = place.tolist(), (self.a_first + self.b_first).tolist()
         return ["".join(map(spell.__getitem__, code[i:j]))[:-1] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
+    def sorted(self) -> Aligned:
+        """With the links in their order; every link moves on at least one pointer."""
+        at = np.argsort(self.link_a + self.link_b, kind="stable")
+        return replace(self, link_a=self.link_a[at], link_b=self.link_b[at])
+
 
 class Remembered:
     """Ids of the units of texts, each distinct unit encoded once, with a bounded memory."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remember: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remember: int = 500_000):
         self.encode, self.remember = encode, remember
         self._forget()
 
@@ -164,6 +170,8 @@ class ByteLevelSide:
         self.library.encode_special_tokens = True
         spec = json.loads(data)
         usual = spec["normalizer"] is None and {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() <= (spec["pre_tokenizer"] or {}).items()
+        #: With a token for every byte and nothing changed before, the tokens of a text always spell it.
+        self.lossless = usual and set(byte_letters()) <= spec["model"]["vocab"].keys()
         self.words = re.compile(CUTS.format(letter=near_class("L"), number=near_class("N"), other=near_class("PSMCZ"), blank=BLANKS)) if usual else None
         self.units = Remembered(self._whole)
 
@@ -219,7 +227,7 @@ class Aligner:
             ids = [next(s) for s in (a, b)] if t else [np.empty(0, np.int64)] * 2
             if t:
                 want = b" " + t.encode()
-                if self.a_tokens.joined(ids[0]) != want or self.b_tokens.joined(ids[1]) != want:
+                if not (self.a.lossless or self.a_tokens.joined(ids[0]) == want) or self.b_tokens.joined(ids[1]) != want:
                     ids = [np.empty(0, np.int64)] * 2  # no common bytes, no alignment
             for side, own in zip(sides, ids, strict=True):
                 side.append(own)
@@ -227,8 +235,7 @@ class Aligner:
         first = [np.r_[0, np.cumsum(np.fromiter(map(len, s), np.int64, len(s)))] for s in sides]
         ends = [np.cumsum(v.length[ids]) for v, ids in zip((self.a_tokens, self.b_tokens), flat, strict=True)]
         link_a, link_b, cut_a, cut_b = merge(*ends, first[0])
-        by_place = np.argsort(link_a + link_b, kind="stable")  # every link moves on at least one pointer
-        return Aligned(*flat, *first, link_a[by_place], link_b[by_place], np.sort(cut_a), np.sort(cut_b))
+        return Aligned(*flat, *first, link_a, link_b, np.sort(cut_a), np.sort(cut_b))
 
 
 def load(a: str = BYTE_LEVEL, b: str = PIECES) -> tuple[str, bytes]:
@@ -263,7 +270,7 @@ def align(docs: DataFrame, files: tuple[str, bytes], keep: list[str] | None = No
         aligner = Aligner(*shared.value)
         for batch in batches:
             for at, n, texts in slices(batch, "_text", 1 << 20):
-                found = aligner.align(texts)
+                found = aligner.align(texts).sorted()
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(at, n) for c in keep), lists(found.a, found.a_first), lists(found.b, found.b_first),
                     pairs(found.link_a, found.link_b, found), pairs(found.cut_a, found.cut_b, found)], names=[*keep, "a_ids", "b_ids", "links", "cuts"])
