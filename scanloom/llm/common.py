@@ -54,6 +54,14 @@ def unboxed(rows: DataFrame, columns: list[str], text: Column, doc_id: Column |
     return [(own[c] if c in own else F.col("_row").getField(c)).alias(c) for c in columns]
 
 
+def with_text(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str, list[T.StructField]]:
+    """(columns ``keep`` and the text, its name there, fields of ``keep``); a string text that is kept travels once."""
+    kept = docs.select(*keep)
+    if "text" in keep and isinstance(kept.schema["text"].dataType, T.StringType):
+        return kept, "text", kept.schema.fields
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")), "_text", kept.schema.fields
+
+
 def carried(source: DataFrame, more: str) -> T.StructType:
     """Result type: the columns of ``source`` but the last, then those of the DDL text ``more``."""
     return T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(more).fields])

@@ -15,12 +15,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanloom.llm.common import carried, slices
+from scanloom.llm.common import slices, with_text
 
 UNDETERMINED = "und"
 #: Bytes of text whose n-grams are in memory at once (some 40 bytes for each).
-SLICE = 2 << 20
+SLICE = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 #: Odd multipliers of the n-gram hash, one per place in the n-gram (any odd numbers do).
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
@@ -137,13 +138,13 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by max_languages x buckets
+    source, texts_of, fields = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, n, texts in slices(batch, "_text", SLICE):
+            for start, n, texts in slices(batch, texts_of, SLICE):
                 names, scores = score_texts(shared.value, texts)
                 kept = batch.slice(start, n)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return source.mapInArrow(run, carried(source, "lang_pred string, score double"))
+    return source.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL("lang_pred string, score double").fields]))

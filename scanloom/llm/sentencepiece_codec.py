@@ -15,6 +15,7 @@ so a text's encoding is that of its units, and repeated units are encoded once.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from scanloom.llm.common import carried, give_back, slices
+from scanloom.llm.common import carried, give_back, slices, with_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -241,11 +242,10 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, with_id
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = ", ids array<int>" if with_ids else ""
-    kept = docs.select(*keep)
-    once = "text" in keep and kept.schema["text"].dataType.simpleString() == "string"  # a text that is kept travels once
-    texts_of = "text" if once else "_text"
+    source, texts_of, fields = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # every thread keeps memory of its own, and the other cores have tasks
         codec = Codec(shared.value, remember)
         for batch in batches:
             for at, n, texts in slices(batch, texts_of, 1 << 18):
@@ -263,8 +263,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, with_id
         give_back()
 
     more = T.StructType.fromDDL(f"n_tokens long, ids_sha256 string, round_trip boolean, parity boolean{extra}").fields
-    source = kept if once else docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return source.mapInArrow(run, T.StructType([*kept.schema.fields, *more]))
+    return source.mapInArrow(run, T.StructType([*fields, *more]))
 
 
 def decode(encoded: DataFrame, model: bytes, keep: list[str] | None = None) -> DataFrame:
