@@ -197,8 +197,8 @@ BM = """tk AS (SELECT doc_id, 'text' AS field, unnest(list_filter(regexp_split_t
 @query("11.1", with_ctes("""WITH s AS (SELECT item_id, tf.doc_id, round(sum(ln(1+(docs-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*tf*2.2::DOUBLE/(tf+1.2::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*len/al))),9) AS sc FROM qt JOIN tf ON tf.term=qt.term JOIN df ON df.field=tf.field AND df.term=tf.term JOIN st ON st.field=tf.field JOIN ln ON ln.field=tf.field AND ln.doc_id=tf.doc_id GROUP BY 1,2)
   SELECT item_id, doc_id, round(sc,5) AS score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sc DESC, doc_id) AS r FROM s) WHERE r <= 10""", BM))
 def ranked_search(t):
-    post, stats = Q.build_index(t.documents, "doc_id", ["text", "source"])
-    d = Q.search(t.benchmark, post, stats, "item_id", "text", "doc_id")
+    index = Q.build_index(t.documents, "doc_id", ["text", "source"])
+    d = Q.search(t.benchmark, index, "item_id", "text", "doc_id", digits=9)
     return d.withColumn("score", rnd("score", 5))
 
 
