@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom.functions.numeric import rnd
+from scanloom.operators import audio as A
 from scanloom.operators import joins as J
 from scanloom.operators import windows as W
+from scanloom.operators.ordering import ranked_within
 from scanloom.plans.inputs import EVT, user_events
 from scanloom.plans.ordered import CHAIN
 from scanloom.plans.registry import query, with_ctes
@@ -147,6 +149,23 @@ def audio_hash_alignment(t):
     return d.withColumns({"stretch": rnd("stretch", 4), "offset_s": rnd("offset_s", 7), "confidence": rnd("confidence")})
 
 
+# Tracks are the vectors of one label, end to end; the reference is that of the smallest label.
+@query("3.21", """WITH v AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nth FROM embeddings),
+  s AS (SELECT label, nth * 64 + generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM v), a AS (SELECT i, x FROM s WHERE label = (SELECT min(label) FROM embeddings)),
+  z AS (SELECT label, max(i) + 1 AS nb, least(max(i) + 1, (SELECT max(i) + 1 FROM a)) AS n FROM s GROUP BY 1), l AS (SELECT label, nb, n, unnest(generate_series(-(n // 4), n // 4 - 1)) AS lag FROM z),
+  c AS (SELECT l.label, lag, round(sum(a.x * s.x) / count(*), 9) AS corr FROM l JOIN a ON a.i % 16 = 0 AND a.i < l.n JOIN s ON s.label = l.label AND s.i = a.i + lag GROUP BY 1, 2),
+  b AS (SELECT label, arg_max(lag, (corr, -lag)) AS lag, max(corr) AS corr FROM c WHERE corr > 0 GROUP BY 1)
+  SELECT z.label, round(coalesce(lag, 0) * 16 / 8000.0::DOUBLE, 6) + 0.0::DOUBLE AS offset_s, round(least(coalesce(corr, 0) / 2 + 0.5::DOUBLE, 1), 6) AS confidence, 'correlation' AS method FROM z LEFT JOIN b USING (label)""")
+def audio_correlation(t):
+    """Tracks without hashes: every one falls back to correlation."""
+    v = ranked_within(t.embeddings.select("label", "vec_id", "embedding"), ["label"], [F.col("vec_id")], into="nth")
+    s = v.select("label", F.posexplode("embedding").alias("at", "x"), "nth").select("label", (F.col("nth") * 64 + F.col("at")).alias("i"), F.col("x").cast("double").alias("value"))
+    first = t.embeddings.agg(F.min("label").alias("label"))  # one row
+    none = s.filter("false").select("label", F.lit("").alias("hash"), F.lit(0).alias("time"))
+    d = A.align_tracks(none, none.select("hash", "time"), s, s.join(first, "label").select("i", "value"), ["label"], 20, 8000.0)
+    return d.select("label", rnd("offset_s").alias("offset_s"), rnd("confidence").alias("confidence"), "method")
+
+
 @query("3.23", """WITH p AS (SELECT lower(regexp_replace(p_brand,'[^A-Za-z0-9]','','g')) mk, lower(p_type) md, p_size%4 AS w, min(p_partkey) AS pid, avg(p_retailprice)/300 ap, avg(p_size) fl, min(p_size)/10.0::DOUBLE f0, max(p_size)/10.0::DOUBLE f1 FROM part GROUP BY 1,2,3, p_partkey % 2),
   c AS (SELECT p_partkey, lower(regexp_replace(p_brand,'[^A-Za-z0-9]','','g')) mk, lower(p_type) md, p_size%4 AS w, p_retailprice/300 ap, p_size::DOUBLE fl, (p_size+1)/10.0::DOUBLE f FROM part),
   h AS (SELECT c.p_partkey, count(*) n, min(pid) pid FROM c JOIN p USING (mk, md, w) WHERE abs(p.ap-c.ap) <= 0.01::DOUBLE*p.ap AND abs(p.fl-c.fl) <= 0.005::DOUBLE*p.fl AND f >= f0-greatest(f0*0.02::DOUBLE,0.005) AND f <= f1+greatest(f1*0.02::DOUBLE,0.005) GROUP BY 1)

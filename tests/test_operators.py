@@ -10,7 +10,7 @@ from scanloom.operators import imaging as I
 from scanloom.operators import matching as M
 from scanloom.operators import mesh as X
 from scanloom.operators import spatial as S
-from scanloom.operators import joins, ordering, windows
+from scanloom.operators import audio, joins, ordering, windows
 from scanloom.operators.graph import connected_components
 from scanloom.operators.ordering import indexed, order_stats, previous_row, running
 
@@ -277,3 +277,31 @@ def test_affine_steps_compose():
     for i, (factor, offset) in enumerate(zip(*ordering.affine_scan(f, o))):
         v = f[i] * v + o[i]
         assert abs(factor * 0.4 + offset - v) < 1e-9
+
+
+def test_planted_shift_is_found_without_hashes(spark):
+    """The track is a stretch of the reference; blocks of the correlation are smaller than the shift."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=4000)
+    tracks = {1: np.r_[rng.normal(size=333) * 0.1, a[:3000]], 2: a[257:], 3: np.zeros(500), 4: a[:10]}
+    rows = spark.createDataFrame([(k, i, float(x)) for k, t in tracks.items() for i, x in enumerate(t)], "track long, i long, value double")
+    reference = spark.createDataFrame([(i, float(x)) for i, x in enumerate(a)], "i long, value double")
+
+    def plain(b):
+        n, best = min(len(a), len(b)), (0, 0.0)
+        for lag in range(-(n // 4), n // 4):
+            at = [i for i in range(0, n, 16) if 0 <= i + lag < len(b)]
+            if at and (mean := sum(a[i] * b[i + lag] for i in at) / len(at)) > best[1] + 1e-12:
+                best = (lag, mean)
+        return best
+
+    for block in (1 << 15, 64):
+        got = {r.track: (r.lag, r.correlation) for r in audio.cross_correlate(rows, reference, ["track"], block).collect()}
+        assert got[1][0] == 333 and got[2][0] == -257 and got[3] == (0, 0.0)
+        for k, b in tracks.items():
+            lag, mean = plain(b)
+            assert got[k][0] == lag and abs(got[k][1] - mean) < 1e-9
+    hashes = spark.createDataFrame([(1, "h", 5)], "track long, hash string, time long")
+    both = audio.align_tracks(hashes, hashes.select("hash", F.lit(9).cast("long").alias("time")), rows, reference, ["track"], 20, 1000.0).collect()
+    assert {r.track: r.method for r in both} == {1: "fingerprint", 2: "correlation", 3: "correlation", 4: "correlation"}
+    assert {r.track: r.offset_s for r in both}[2] == -257 * 16 / 1000
