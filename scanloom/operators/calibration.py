@@ -224,30 +224,55 @@ def focus_groups(measurements: DataFrame, keys: list[str], tolerance: float) ->
     return ordered_fold(d, keys, ["focus"], lambda: {"last": None}, step, ", ".join(f"{k} {types[k]}" for k in keys) + ", focus double")
 
 
+def _lerp(a: Column, b: Column, share: Column) -> Column:
+    return a + (b - a) * share
+
+
+def optics_at(profile: Column, knots: list[float], focus_m: Column, radius: Column) -> dict[str, Column]:
+    """Focal length, pupil scale and radial scale of a lens at any focus and radius.
+
+    ``profile`` is an array of (focus, focal, scales), sorted by focus.  Between two focus
+    groups all three are linear in dioptres, between radius knots in the radius; outside
+    they stay as at the end.  The pupil scale is the blur scale on the axis."""
+    n = F.size(profile)
+    high = F.greatest(F.least(F.size(F.filter(profile, lambda k: k["focus"] < focus_m)), n - 1), F.lit(1))
+    lower, upper = F.get(profile, high - 1), F.get(profile, F.least(high, n - 1))
+    share = (1 / focus_m - 1 / lower["focus"]) / (1 / upper["focus"] - 1 / lower["focus"])
+    share = F.when(n == 1, F.lit(0.0)).otherwise(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
+    r = F.least(F.greatest(radius, F.lit(knots[0])), F.lit(knots[-1]))
+    lo = sum(((r >= k).cast("int") for k in knots[1:-1]), F.lit(0))
+    known = F.array(*map(F.lit, knots))
+    between = (r - F.get(known, lo)) / (F.get(known, lo + 1) - F.get(known, lo))
+
+    def radial(k: Column) -> Column:
+        return _lerp(F.get(k["scales"], lo), F.get(k["scales"], lo + 1), between) / F.greatest(F.get(k["scales"], F.lit(0)), F.lit(1e-8))
+
+    axis = lambda k: F.get(k["scales"], F.lit(0))
+    return {"focal": _lerp(lower["focal"], upper["focal"], share), "pupil": _lerp(axis(lower), axis(upper), share), "radial": _lerp(radial(lower), radial(upper), share)}
+
+
 def lens_psf(measurements: DataFrame, keys: list[str], knots: list[float], nominal_mm: float, aperture: float, tolerance: float = 0.02,
              min_samples: int = 3, max_p95: float = 0.2, min_reduction: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(focus x radius table, report) per lens: median focal length per focus group,
-    median observed / ideal blur per nearest knot, and the holdout p95 error before
-    and after (linear in radius between knots, at the nearest focus group)."""
+    median observed / ideal blur per nearest knot, and the p95 error of all holdout
+    rows before and after, read from the profile between its knots (``optics_at``)."""
     pupil = F.lit(nominal_mm / aperture)
     g = focus_groups(measurements, keys, tolerance)
     near = F.abs(F.col("focus_m") - F.col("focus")) <= F.greatest(F.abs("focus_m"), F.abs("focus")) * tolerance
     knot = F.array_min(F.array(*[F.struct(F.abs(F.col("radius") - k).alias("d"), F.lit(i).alias("i")) for i, k in enumerate(knots)])).getField("i")
-    m = measurements.join(g, keys).filter(near).withColumns({"knot": knot, "observed": F.col("blur_px") * F.col("pitch_um") * 0.001})  # a few groups per lens
-    m = checkpointed(m)
-    fit = m.filter("split = 'fit'")
+    measured = measurements.withColumns({"knot": knot, "observed": F.col("blur_px") * F.col("pitch_um") * 0.001})
+    fit = checkpointed(measured.filter("split = 'fit'").join(g, keys).filter(near))  # a few groups per lens
     focal = median(fit, [*keys, "focus"], "focal_mm", "focal").drop("n")
     fit = fit.join(focal, [*keys, "focus"]).withColumn("ideal", defocus(F.col("focal"), pupil, F.col("focus_m"), F.col("subject_m")))
     cell = median(fit.filter("ideal > 1e-8").withColumn("ratio", F.col("observed") / F.col("ideal")), [*keys, "focus", "knot"], "ratio", "scale").withColumnRenamed("n", "samples")
     table = checkpointed(cell.join(focal, [*keys, "focus"]).withColumn("scale", F.when(F.col("samples") < min_samples, F.lit(1.0)).otherwise(F.col("scale"))))
     scales = table.groupBy(*keys, "focus", "focal").agg(F.map_from_entries(F.collect_list(F.struct("knot", "scale"))).alias("_s"), F.min("samples").alias("_min"), F.count("*").alias("_cells"))
-    r = F.least(F.greatest("radius", F.lit(knots[0])), F.lit(knots[-1]))
-    lo = sum((r >= k).cast("int") for k in knots[1:-1]) if len(knots) > 2 else F.lit(0)
-    k0, k1 = F.get(F.array(*map(F.lit, knots)), lo), F.get(F.array(*map(F.lit, knots)), lo + 1)
-    s0, s1 = F.coalesce(F.element_at("_s", lo), F.lit(1.0)), F.coalesce(F.element_at("_s", lo + 1), F.lit(1.0))
-    hold = m.filter("split = 'holdout'").join(scales, [*keys, "focus"])
+    at = scales.select(*keys, F.struct("focus", "focal", F.array(*[F.coalesce(F.element_at("_s", i), F.lit(1.0)) for i in range(len(knots))]).alias("scales")).alias("k"))
+    profile = at.groupBy(*keys).agg(F.array_sort(F.collect_list("k")).alias("profile"))  # the focus groups of one lens
+    hold = measured.filter("split = 'holdout'").join(profile, keys)
     ideal = defocus(F.lit(nominal_mm), pupil, F.col("focus_m"), F.col("subject_m"))
-    model = defocus(F.col("focal"), pupil, F.col("focus_m"), F.col("subject_m")) * (s0 + (s1 - s0) * (r - k0) / (k1 - k0))
+    lens = optics_at(F.col("profile"), knots, F.col("focus_m"), F.col("radius"))
+    model = defocus(lens["focal"], pupil * lens["pupil"], F.col("focus_m"), F.col("subject_m")) * lens["radial"]
     den = F.greatest("observed", F.lit(1e-8))
     hold = checkpointed(hold.select(*keys, (F.abs(ideal - F.col("observed")) / den).alias("e0"), (F.abs(model - F.col("observed")) / den).alias("e1")))
     rep = order_stats(hold, keys, "e0", {"ideal_p95": ("nearest", 0.95)}).join(order_stats(hold, keys, "e1", {"calibrated_p95": ("nearest", 0.95)}).drop("n"), keys)

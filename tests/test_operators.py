@@ -305,3 +305,24 @@ def test_planted_shift_is_found_without_hashes(spark):
     both = audio.align_tracks(hashes, hashes.select("hash", F.lit(9).cast("long").alias("time")), rows, reference, ["track"], 20, 1000.0).collect()
     assert {r.track: r.method for r in both} == {1: "fingerprint", 2: "correlation", 3: "correlation", 4: "correlation"}
     assert {r.track: r.offset_s for r in both}[2] == -257 * 16 / 1000
+
+
+def test_lens_profile_between_its_knots(spark):
+    """Focal length, pupil and growth change with the dioptres; every holdout row counts, none is on a knot."""
+    rng = np.random.default_rng(7)
+
+    def truth(f, r):
+        share = (1 / f - 1 / 4) / (1 - 1 / 4)  # of the way from 4 m to 1 m
+        return 50 + share, 1.1 + 0.2 * share, 1 + (0.3 + 0.4 * share) * r
+
+    rows = []
+    for split, distances in (("fit", (1.0, 4.0)), ("holdout", (1.3, 1.9, 2.7))):
+        for f in distances:
+            for i in range(60):
+                r, d = (i % 3) / 2 if split == "fit" else float(rng.uniform()), f * 1.2
+                focal, pupil, growth = truth(f, r)
+                si, di = (focal * x * 1000 / (x * 1000 - focal) for x in (f, d))
+                rows.append((0, split, f, d, r, focal, 50 / 2 * pupil * abs(si - di) / di * growth / 0.005, 5.0))
+    m = spark.createDataFrame(rows, "lens int, split string, focus_m double, subject_m double, radius double, focal_mm double, blur_px double, pitch_um double")
+    (rep,) = C.lens_psf(m, ["lens"], [0.0, 0.5, 1.0], 50.0, 2.0)[1].collect()
+    assert rep.holdout == 180 and rep.focus_knots == 2 and rep.calibrated_p95 < 1e-6 and rep.ideal_p95 > 0.2 and rep.failures == []

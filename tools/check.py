@@ -34,7 +34,6 @@ def connect(folder):
 #: Queries beyond SQL, and the test that holds each against a planted or independent truth.
 TRUTH = {
     "iso_calibration_gates": "test_planted_sensor_noise_is_recovered",
-    "lens_blur_calibration": "test_planted_lens_growth_is_recovered",
     "isosurface_triangles": "test_isosurface_of_a_ball_is_closed",
     "focus_stack_fused": "test_focus_stack_blocks_agree",
     "neighbour_normals": "test_normals_of_a_plane",
