@@ -1,16 +1,17 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling.
 
-A restaurant per context (the class of the word before, one of ``contexts``
-hash classes) serves the words that follow; its tables are the customers of one
-shared parent restaurant, whose base is uniform over the known words and one
-unknown word.  Probabilities are averaged over several seatings.
-
-Words are dealt to shards by hash, with all their contexts, so the seating of a
-word and its parent table counts are local.  Restaurants meet only in their
-totals (customers and tables per context), a fixed number of values that are
-exchanged between sweeps: the published way to sample in parallel.
-
-A block of documents asks a shard once for each distinct (word, context); the
+Every word that stands before another has a restaurant of its own, and so has the
+beginning of a text.  The tables of all of them are the customers of one shared
+parent restaurant, whose base is uniform over the known words and one unknown
+word.  Probabilities are averaged over several seatings.
+
+Restaurants are dealt to shards by the hash of their context, so their seating is
+local.  A word's parent table lies in a shard by the hash of the word.  Between
+sweeps they exchange one number per word and shard: how many tables serve the
+word, and how likely the parent is to serve it.  Sweeps of different shards run
+side by side against the exchange before, the published way to sample in parallel.
+
+A block of documents asks a shard once for each distinct (context, word); the
 answers come back in the order of the question.  Words are told apart by 64
 bits of hash.
 """
@@ -34,32 +35,19 @@ from scanloom.session import checkpointed
 
 END = b"\n"  # no word holds white space
 BLOCK_BYTES = 16 << 20
-#: Tables up to which every seat is drawn on its own; beyond, in bunches of 1 % of those seated.
-SINGLY = 64
+START = b" "  # what the first word of a text follows
+#: Tables of one dish up to which every seat is drawn on its own; beyond, in bunches of 1 % of those seated.
+SINGLY = 1 << 12
 
 
 @dataclass(frozen=True)
 class Settings:
-    contexts: int = 64
     strength: float = 10.0
     burn_in: int = 2
     samples: int = 3
     seed: int = 17
 
 
-@dataclass(frozen=True)
-class Totals:
-    """Sums over all shards: per context customers, word types and tables; of the parent tables; discounts."""
-
-    customers: np.ndarray
-    types: np.ndarray
-    tables: np.ndarray
-    words: int
-    parent_tables: float
-    discount: float
-    parent_discount: float
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling series after moving the argument above 8 (error below 1e-10)."""
     low, y = np.zeros_like(x), x.astype(np.float64)
@@ -97,105 +85,68 @@ def seat(customers: np.ndarray, open_weight: np.ndarray, open_step: np.ndarray,
     return tables, log_weight
 
 
-class Shard:
-    """The words of one shard: their customers per context, and the seating."""
-
-    def __init__(self, requests: list[tuple[dict, dict]], settings: Settings):
-        k, self.settings = settings.contexts, settings
-        hashes = np.concatenate([w["hash"] for w, _ in requests])
-        self.words, number = np.unique(hashes, return_inverse=True)
-        number = number.ravel()
-        self.asked, at = [], 0
-        keys, counts = [], []
-        for words, pairs in requests:  # each question as (word number, context)
-            n = len(words["hash"])
-            own = np.repeat(number[at : at + n], words["pairs"].astype(np.int64))
-            at += n
-            self.asked.append((number[at - n : at], own, pairs["context"].astype(np.int64)))
-            keys.append(own * k + pairs["context"])
-            counts.append(pairs["count"].astype(np.int64))
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, inverse.ravel(), np.concatenate(counts))
-        self.key, self.count = key[total > 0], total[total > 0]
-        self.word, self.context = self.key // k, self.key % k
-        self.frequency = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
-
-    def sums(self) -> dict:
-        k, one, two = self.settings.contexts, (self.count == 1).sum(), (self.count == 2).sum()
-        return {"customers": np.bincount(self.context, self.count, k).astype(np.int64).tolist(), "types": np.bincount(self.context, minlength=k).tolist(),
-                "words": int((self.frequency > 0).sum()), "pairs_once": int(one), "pairs_twice": int(two),
-                "words_once": int((self.frequency == 1).sum()), "words_twice": int((self.frequency == 2).sum())}
-
-    def start(self, totals: Totals, number: int) -> None:
-        """First seating: one table per dish; the rest follows by sweeps."""
-        self.totals, self.rng = totals, np.random.default_rng([self.settings.seed, number])
-        self.tables = np.ones(len(self.key), np.int64)
-        self.parent = np.minimum(self._parent_customers(), 1)
-        self.log_weight = np.full(len(self.key), -np.inf)
-        self.parent_log_weight = np.full(len(self.words), -np.inf)
-        self.elsewhere = totals.tables - self._own_tables()
-        self.parent_elsewhere = totals.parent_tables - self.parent.sum()
-
-    def _own_tables(self) -> np.ndarray:
-        return np.bincount(self.context, self.tables, self.settings.contexts)
-
-    def _parent_customers(self) -> np.ndarray:
-        return np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
-
-    def resume(self, totals: Totals) -> None:
-        """From now on the other shards count by these totals, which hold this shard's present seating."""
-        self.totals = totals
-        self.elsewhere = totals.tables - self._own_tables()
-        self.parent_elsewhere = totals.parent_tables - self.parent.sum()
-
-    def _open(self) -> tuple[np.ndarray, float, float]:
-        """Tables per context, and of the parent its tables and customers."""
-        tables = self.elsewhere + self._own_tables()
-        return tables, float(self.parent_elsewhere + self.parent.sum()), float(tables.sum())
-
-    def parent_probability(self) -> tuple[np.ndarray, float]:
-        """Of each word in the parent restaurant, and of an unknown word."""
-        t, a, d = self.totals, self.settings.strength, self.totals.parent_discount
-        _, tables, customers = self._open()
-        base = (a + d * tables) / (a + customers) / (t.words + 1)
-        return (self._parent_customers() - d * self.parent) / (a + customers) + base, base
-
-    def sweep(self) -> None:
-        """Take up every dish of every restaurant and seat it anew; a proposal
-        is kept with the ratio of the weights, so the seating given the rest is exact."""
-        t, a = self.totals, self.settings.strength
-        tables, _, _ = self._open()
-        probability = self.parent_probability()[0][self.word]
-        rest = np.maximum(tables[self.context] - self.tables, 0)
-        proposal, weight = seat(self.count, (a + t.discount * rest) * probability, t.discount * probability, t.discount, self.rng)
-        keep = np.log(self.rng.random(len(weight))) < weight - self.log_weight
+class Restaurants:
+    """The restaurants of one shard's contexts: customers and tables of every (context, word)."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray):
+        self.context, self.word, self.count = context, word, count
+        self.n_contexts = int(context.max()) + 1 if len(context) else 0
+        self.customers = np.bincount(context, count, self.n_contexts)
+        self.tables, self.log_weight = np.ones(len(count), np.int64), np.full(len(count), -np.inf)
+
+    def tables_of(self) -> np.ndarray:
+        """Tables of each restaurant."""
+        return np.bincount(self.context, self.tables, self.n_contexts)
+
+    def served(self, words: int) -> np.ndarray:
+        """Tables that serve each word: its customers in the parent restaurant."""
+        return np.bincount(self.word, self.tables, words).astype(np.int64)
+
+    def sweep(self, parent: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> None:
+        """Take up every dish of every restaurant and seat it anew, with the parent's
+        probability of each word; a proposal is kept with the ratio of the weights."""
+        probability = parent[self.word]
+        rest = np.maximum(self.tables_of()[self.context] - self.tables, 0)
+        proposal, weight = seat(self.count, (strength + discount * rest) * probability, discount * probability, discount, rng)
+        keep = np.log(rng.random(len(weight))) < weight - self.log_weight
         self.tables, self.log_weight = np.where(keep, proposal, self.tables), np.where(keep, weight, self.log_weight)
-        parents = self._parent_customers()
-        own = np.full(len(self.words), 1 / (t.words + 1))
-        rest = np.maximum(self.parent_elsewhere + self.parent.sum() - self.parent, 0)
-        proposal, weight = seat(parents, (a + t.parent_discount * rest) * own, t.parent_discount * own, t.parent_discount, self.rng)
-        keep = (np.log(self.rng.random(len(weight))) < weight - self.parent_log_weight) | (self.parent > parents)
-        self.parent, self.parent_log_weight = np.where(keep, proposal, np.minimum(self.parent, parents)), np.where(keep, weight, self.parent_log_weight)
-
-    def probabilities(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Of the words in their contexts under the present seating."""
-        t, a = self.totals, self.settings.strength
-        tables, _, _ = self._open()
-        parent, unknown = self.parent_probability()
-        parent = np.where(self.frequency > 0, parent, unknown)
-        key = word * self.settings.contexts + context
-        own = np.zeros(len(key))
-        if len(self.key):
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            own = np.where(self.key[at] == key, self.count[at] - t.discount * self.tables[at], 0)
-        return (own + (a + t.discount * tables[context]) * parent[word]) / (a + t.customers[context])
-
-
-def _tokens(texts: pa.Table, settings: Settings):
-    """Of one block: word hashes in order, (word number, context) of each token, offsets of the documents."""
+
+    def probabilities(self, context: np.ndarray, pair: np.ndarray, parent: np.ndarray, strength: float, discount: float) -> np.ndarray:
+        """Of words with parent probabilities ``parent`` behind ``context``; ``pair`` is
+        the place of (context, word) here, -1 for pairs never seen.  A context never seen is -1."""
+        known = context >= 0
+        at = np.where(known, context, 0)
+        tables, customers = (np.where(known, x[at] if len(x) else 0, 0) for x in (self.tables_of(), self.customers))
+        place = np.maximum(pair, 0)
+        own = np.where(pair >= 0, self.count[place] - discount * self.tables[place], 0) if len(self.count) else 0
+        return (own + (strength + discount * tables) * parent) / (strength + customers)
+
+
+class Parent:
+    """The parent restaurant's tables for the words of one shard; ``customers`` are the tables that serve each word."""
+
+    def __init__(self, customers: np.ndarray):
+        self.customers = customers
+        self.tables, self.log_weight = np.minimum(customers, 1), np.full(len(customers), -np.inf)
+
+    def sweep(self, elsewhere: float, words: int, strength: float, discount: float, rng: np.random.Generator) -> None:
+        base = np.full(len(self.tables), 1 / (words + 1))
+        rest = np.maximum(elsewhere + self.tables.sum() - self.tables, 0)
+        proposal, weight = seat(self.customers, (strength + discount * rest) * base, discount * base, discount, rng)
+        keep = np.log(rng.random(len(weight))) < weight - self.log_weight
+        self.tables, self.log_weight = np.where(keep, proposal, self.tables), np.where(keep, weight, self.log_weight)
+
+
+def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, words: int, strength: float, discount: float) -> np.ndarray:
+    """Of words with these customers and tables in the parent restaurant (zeros: a word never seen)."""
+    return (customers - discount * tables + (strength + discount * all_tables) / (words + 1)) / (strength + all_customers)
+
+
+def _tokens(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: hashes of the words (ascending), word and context (as places there) of each token, offsets of the documents."""
     raw, offsets = text_arrays(texts)
     view, ids = raw.tobytes(), defaultdict(counter().__next__)
+    start = ids[START]
     lists = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         words = view[a:b].lower().split()
@@ -208,9 +159,52 @@ def _tokens(texts: pa.Table, settings: Settings):
     token = np.concatenate(lists)
     first = np.cumsum([0] + [len(x) for x in lists])
     context = np.empty(len(token), np.int64)
-    context[1:] = (hashes[token[:-1]] >> np.uint64(40)).astype(np.int64) % (settings.contexts - 1) + 1
-    context[first[:-1]] = 0  # the beginning of a text is a context of its own
-    return hashes[order], rank[token], context, first
+    context[1:] = token[:-1]
+    context[first[:-1]] = start
+    return hashes[order], rank[token], rank[context], first
+
+
+def _parent_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+class Gathered:
+    """The questions of all blocks to one shard of contexts, and the counts they add up to."""
+
+    def __init__(self, requests: list[tuple[dict, dict, dict]]):
+        self.words, word = np.unique(np.concatenate([w["hash"] for _, w, _ in requests]), return_inverse=True)
+        self.contexts, context = np.unique(np.concatenate([c["hash"] for c, _, _ in requests]), return_inverse=True)
+        word, context = word.ravel(), context.ravel()
+        self.asked, keys, counts, at, on = [], [], [], 0, 0
+        for c, w, p in requests:
+            own_words = word[at : at + len(w["hash"])]
+            own_contexts = np.repeat(context[on : on + len(c["hash"])], c["pairs"].astype(np.int64))
+            at, on = at + len(w["hash"]), on + len(c["hash"])
+            key = own_contexts * len(self.words) + own_words[p["word"].astype(np.int64)]
+            self.asked.append((own_words, key))
+            keys.append(key)
+            counts.append(p["count"].astype(np.int64))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, inverse.ravel(), np.concatenate(counts))
+        self.key, self.count = key[total > 0], total[total > 0]
+
+    def restaurants(self) -> tuple[Restaurants, np.ndarray]:
+        """The restaurants that have customers, and their number for each context (-1: none)."""
+        seen, context = np.unique(self.key // max(1, len(self.words)), return_inverse=True)
+        number = np.full(len(self.contexts), -1, np.int64)
+        number[seen] = np.arange(len(seen))
+        return Restaurants(context.ravel(), self.key % max(1, len(self.words)), self.count), number
+
+    def pairs(self, key: np.ndarray) -> np.ndarray:
+        """The place of each (context, word), -1 for those without customers."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+
+REQUEST = "array<struct<block:int,contexts:binary,words:binary,pairs:binary>>"
 
 
 def score_texts(docs: DataFrame, held_out: str, settings: Settings = Settings(), block_bytes: int = BLOCK_BYTES) -> DataFrame:  # noqa: B008
@@ -223,99 +217,172 @@ def score_texts(docs: DataFrame, held_out: str, settings: Settings = Settings(),
     Without training rows every token has probability 1.  An empty table gives
     an empty result.
     """
-    k = settings.contexts
+    a = settings.strength
     blocks = shards = pieces(text_bytes(docs), block_bytes)
     placed = with_block(docs, blocks, [F.coalesce(F.col(held_out), F.lit(False)).alias("_held")])
 
     def ask(table: pa.Table) -> pa.Table:
         texts = unpacked(table)
-        hashes, token, context, first = _tokens(texts, settings)
+        hashes, token, context, first = _tokens(texts)
         training = np.repeat(~texts.column("_held").to_numpy().astype(bool), np.diff(first))
-        key, inverse = np.unique(token * k + context, return_inverse=True)
+        key, inverse = np.unique(context * len(hashes) + token, return_inverse=True)
         n = np.bincount(inverse.ravel(), training, len(key)).astype(np.uint32)
-        word = key // k
-        out: dict[str, list] = {"shard": [], "block": [], "words": [], "pairs": []}
-        per_word = np.bincount(word, minlength=len(hashes)).astype(np.uint16)
-        shard_of = (hashes % np.uint64(shards)).astype(np.int64)
-        pairs_of = dict(split_by(shard_of[word]))
-        for shard, at in split_by(shard_of):
-            mine = pairs_of[shard]
-            out["shard"].append(shard)
-            out["block"].append(table.column("block")[0].as_py())
-            out["words"].append(pack_arrays(hash=hashes[at], pairs=per_word[at]))
-            out["pairs"].append(pack_arrays(context=(key[mine] % k).astype(np.uint16), count=n[mine]))
+        context, word = key // len(hashes), key % len(hashes)
+        out: dict[str, list] = {"shard": [], "block": [], "contexts": [], "words": [], "pairs": []}
+        for shard, at in split_by((hashes[context] % np.uint64(shards)).astype(np.int64)):
+            mine, size = np.unique(context[at], return_counts=True)
+            words, place = np.unique(word[at], return_inverse=True)
+            for c, v in (("shard", shard), ("block", table.column("block")[0].as_py()), ("contexts", pack_arrays(hash=hashes[mine], pairs=size.astype(np.uint32))),
+                         ("words", pack_arrays(hash=hashes[words])), ("pairs", pack_arrays(word=place.ravel().astype(np.uint32), count=n[at]))):
+                out[c].append(v)
         return pa.table({c: pa.array(v, pa.int32() if c in ("shard", "block") else pa.binary()) for c, v in out.items()})
 
-    def shard_of(requests: pa.ListScalar | list) -> Shard:
-        return Shard([(unpack_arrays(r["words"]), unpack_arrays(r["pairs"])) for r in requests], settings)
+    def gathered(requests) -> Gathered:
+        return Gathered([tuple(unpack_arrays(r[c]) for c in ("contexts", "words", "pairs")) for r in requests])
 
     def gather(table: pa.Table) -> pa.Table:
+        """All questions of a shard, and what each shard of parents has to know of its words."""
         table = table.sort_by("block").combine_chunks()
-        requests = pa.StructArray.from_arrays([table.column(c).combine_chunks() if not isinstance(table.column(c).combine_chunks(), pa.ChunkedArray) else table.column(c).chunk(0) for c in ("block", "words", "pairs")], names=["block", "words", "pairs"])
-        sums = shard_of(requests).sums()
-        return pa.table({"shard": table.column("shard")[:1], "requests": pa.ListArray.from_arrays(pa.array([0, len(requests)], pa.int32()), requests), **{c: [v] for c, v in sums.items()}})
-
-    sums = "customers array<long>, types array<long>, words long, pairs_once long, pairs_twice long, words_once long, words_twice long"
-    asked = packed(placed).groupBy("block").applyInArrow(ask, "shard int, block int, words binary, pairs binary")
-    shelf = checkpointed(asked.groupBy("shard").applyInArrow(gather, f"shard int, requests array<struct<block:int,words:binary,pairs:binary>>, {sums}"))
-    names = ["words", "pairs_once", "pairs_twice", "words_once", "words_twice"]
-    row = shelf.agg(*[F.sum(n).alias(n) for n in names], *[F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("customers", "types") for i in range(k)]).first()
-    whole = {n: row[n] or 0 for n in names}
-    customers, types = (np.array([row[f"{c}{i}"] or 0 for i in range(k)], np.float64) for c in ("customers", "types"))
-    n_train = int(customers.sum())
-
-    def discount(once: int, twice: int) -> float:  # the usual estimate from words seen once and twice
-        return min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-
-    begin = Totals(customers, types, types, whole["words"], float(whole["words"]), discount(whole["pairs_once"], whole["pairs_twice"]), discount(whole["words_once"], whole["words_twice"]))
-
-    def seated(number: int, requests) -> Shard:
-        shard = shard_of(requests)
-        shard.start(begin, number)
-        for _ in range(1 + settings.burn_in):
-            shard.sweep()
-        return shard
-
-    def burn_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = seated(batch.column("shard")[i].as_py(), batch.column("requests")[i].values)
-                yield pa.RecordBatch.from_pydict({"tables": [shard._own_tables().astype(np.int64).tolist()], "parents": [int(shard.parent.sum())]})
-
-    seats = shelf.select("shard", "requests").mapInArrow(burn_in, "tables array<long>, parents long").agg(
-        F.sum("parents").alias("parents"), *[F.sum(F.get("tables", F.lit(i))).alias(f"t{i}") for i in range(k)]).first()
-    after = Totals(begin.customers, begin.types, np.array([seats[f"t{i}"] or 0 for i in range(k)], np.float64), begin.words, float(seats["parents"] or 0), begin.discount, begin.parent_discount)
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(n) for n in ("block", "contexts", "words", "pairs"))]
+        requests = pa.StructArray.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in flat], names=["block", "contexts", "words", "pairs"])
+        g = gathered(requests)
+        word, n = g.key % len(g.words), len(g.words)
+        types, frequency = np.bincount(word, minlength=n).astype(np.uint32), np.bincount(word, g.count, n).astype(np.uint64)
+        up = [{"parent": p, "data": pack_arrays(hash=g.words[at], types=types[at], frequency=frequency[at])} for p, at in split_by(_parent_of(g.words, shards))]
+        return pa.table({"shard": table.column("shard")[:1], "requests": pa.ListArray.from_arrays(pa.array([0, len(requests)], pa.int32()), requests),
+                         "up": pa.array([up], pa.list_(pa.struct([("parent", pa.int32()), ("data", pa.binary())]))),
+                         "pairs": [len(g.key)], "customers": [int(g.count.sum())], "once": [int((g.count == 1).sum())], "twice": [int((g.count == 2).sum())]})
+
+    numbers = "pairs long, customers long, once long, twice long"
+    asked = packed(placed).groupBy("block").applyInArrow(ask, "shard int, block int, contexts binary, words binary, pairs binary")
+    shelf = checkpointed(asked.groupBy("shard").applyInArrow(gather, f"shard int, requests {REQUEST}, up array<struct<parent:int,data:binary>>, {numbers}"))
+
+    def parents(table: pa.Table) -> pa.Table:
+        """The words of one shard of parents: for each shard of contexts their places, and types and frequencies over all."""
+        table = table.sort_by("shard")
+        mail = [unpack_arrays(d) for d in table.column("data")]
+        words, place = np.unique(np.concatenate([m["hash"] for m in mail]), return_inverse=True)
+        types, frequency = (np.bincount(place.ravel(), np.concatenate([m[c] for m in mail]).astype(np.float64), len(words)).astype(np.int64) for c in ("types", "frequency"))
+        ends = np.cumsum([len(m["hash"]) for m in mail])[:-1]
+        lists = [{"shard": s, "at": pack_arrays(at=x.astype(np.uint32))} for s, x in zip(table.column("shard").to_pylist(), np.split(place.ravel(), ends), strict=True)]
+        return pa.table({"parent": table.column("parent")[:1], "lists": pa.array([lists], pa.list_(pa.struct([("shard", pa.int32()), ("at", pa.binary())]))),
+                         "counts": [pack_arrays(types=types, frequency=frequency)], "words": [int((frequency > 0).sum())], "once": [int((types == 1).sum())], "twice": [int((types == 2).sum())]})
+
+    sent = shelf.select("shard", F.explode("up").alias("u")).select("shard", "u.*")
+    known = checkpointed(sent.groupBy("parent").applyInArrow(parents, "parent int, lists array<struct<shard:int,at:binary>>, counts binary, words long, once long, twice long"))
+    row = shelf.agg(*[F.sum(c).alias(c) for c in ("pairs", "customers", "once", "twice")]).first()
+    over = known.agg(*[F.sum(c).alias(c) for c in ("words", "once", "twice")]).first()
+    n_train, n_words, n_pairs = row.customers or 0, over.words or 0, row.pairs or 0
+
+    def share(once: int | None, twice: int | None) -> float:  # the usual estimate from what is seen once and twice
+        return min(0.95, max(0.05, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
+
+    discount, parent_discount = share(row.once, row.twice), share(over.once, over.twice)
+
+    def answers(lists, values: list[np.ndarray], parent: int) -> dict[str, list]:
+        """Values of the words of one shard of parents, in the order of each shard of contexts."""
+        out: dict[str, list] = {"shard": [], "parent": [], "data": []}
+        for r in lists:
+            at = unpack_arrays(r["at"])["at"].astype(np.int64)
+            out["shard"].append(r["shard"].as_py())
+            out["parent"].append(parent)
+            out["data"].append(pack_arrays(**{f"v{i}": v[at] for i, v in enumerate(values)}))
+        return {"shard": pa.array(out["shard"], pa.int32()), "parent": pa.array(out["parent"], pa.int32()), "data": pa.array(out["data"], pa.binary())}
+
+    mail_schema = "shard int, parent int, data binary"
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                number, requests = batch.column("shard")[i].as_py(), batch.column("requests")[i].values
-                shard = seated(number, requests)  # the same seating as in the burn-in, by its seed
-                shard.resume(after)
-                mean = [np.zeros(len(a[1])) for a in shard.asked]
-                for _ in range(settings.samples):
-                    shard.sweep()
-                    for total, (_, word, context) in zip(mean, shard.asked, strict=True):
-                        total += shard.probabilities(word, context) / settings.samples
-                for r, total, (word, _, _) in zip(requests, mean, shard.asked, strict=True):
-                    yield pa.RecordBatch.from_pydict({
-                        "block": pa.array([r["block"].as_py()], pa.int32()), "shard": pa.array([number], pa.int32()),
-                        "words": [pack_arrays(frequency=shard.frequency[word])], "pairs": [pack_arrays(log=np.log10(total).astype(np.float32))]})
-
-    replies = shelf.select("shard", "requests").mapInArrow(sample, "block int, shard int, words binary, pairs binary")
-    smallest = float(n_train + whole["words"] + 1)
+                types = unpack_arrays(batch.column("counts")[i])["types"]
+                p = parent_probability(types, np.minimum(types, 1), n_pairs, n_words, n_words, a, parent_discount)
+                yield pa.RecordBatch.from_pydict(answers(batch.column("lists")[i].values, [p.astype(np.float32)], batch.column("parent")[i].as_py()))
+
+    def spread(mail: pa.Table, words: np.ndarray, columns: int) -> list[np.ndarray]:
+        """Answers of all shards of parents, in the order of the shard's words."""
+        out, places = [np.zeros(len(words)) for _ in range(columns)], dict(split_by(_parent_of(words, shards)))
+        for parent, data in zip(mail.column("parent").to_pylist(), mail.column("data"), strict=True):
+            found = unpack_arrays(data)
+            for i in range(columns):
+                out[i][places[parent]] = found[f"v{i}"]
+        return out
+
+    def burn_in(table: pa.Table, mail: pa.Table) -> pa.Table:
+        """Sweeps against the parent's first probabilities; the seating stays (parent -1), the tables of each word go up."""
+        number, g = table.column("shard")[0].as_py(), gathered(table.column("requests")[0].values)
+        (parent,) = spread(mail, g.words, 1)
+        r, rng = g.restaurants()[0], np.random.default_rng([settings.seed, number])
+        for _ in range(1 + settings.burn_in):
+            r.sweep(parent, a, discount, rng)
+        served = r.served(len(g.words))
+        up = [(p, pack_arrays(tables=served[at].astype(np.uint32)), int(served[at].sum())) for p, at in split_by(_parent_of(g.words, shards))]
+        up.append((-1, pack_arrays(tables=r.tables.astype(np.uint32), weight=r.log_weight), 0))
+        return pa.table({"shard": pa.array([number] * len(up), pa.int32()), "parent": pa.array([u[0] for u in up], pa.int32()), "data": pa.array([u[1] for u in up], pa.binary()), "tables": pa.array([u[2] for u in up], pa.int64())})
+
+    first = known.mapInArrow(begin, mail_schema)
+    burnt = checkpointed(shelf.select("shard", "requests").groupBy("shard").cogroup(first.groupBy("shard")).applyInArrow(burn_in, f"{mail_schema}, tables long"))
+    n_tables = burnt.agg(F.sum("tables")).first()[0] or 0
+
+    def seat_parents(table: pa.Table, mail: pa.Table) -> pa.Table:
+        """Seatings of the parent restaurant for the tables that the shards of contexts have now."""
+        number, counts = table.column("parent")[0].as_py(), unpack_arrays(table.column("counts")[0])
+        served = np.zeros(len(counts["types"]), np.int64)
+        at = {r["shard"].as_py(): unpack_arrays(r["at"])["at"].astype(np.int64) for r in table.column("lists")[0].values}
+        for shard, data in zip(mail.column("shard").to_pylist(), mail.column("data"), strict=True):
+            np.add.at(served, at[shard], unpack_arrays(data)["tables"].astype(np.int64))
+        parent, rng = Parent(served), np.random.default_rng([settings.seed, number, 1])
+        elsewhere, out = float(n_words - parent.tables.sum()), []
+        for i in range(settings.burn_in + settings.samples):
+            parent.sweep(elsewhere, n_words, a, parent_discount, rng)
+            if i >= settings.burn_in:
+                out.append(parent.tables.copy())
+        return pa.table({"parent": table.column("parent")[:1], "seats": [pack_arrays(served=served, **{f"t{i}": t for i, t in enumerate(out)})], "sums": pa.array([[int(t.sum()) for t in out]], pa.list_(pa.int64()))})
+
+    lists = known.select("parent", "lists", "counts")
+    seats = checkpointed(lists.groupBy("parent").cogroup(burnt.filter("parent >= 0").select("shard", "parent", "data").groupBy("parent")).applyInArrow(seat_parents, "parent int, seats binary, sums array<long>"))
+    totals = seats.agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"t{i}") for i in range(settings.samples)]).first()
+    all_tables = [float(t or 0) for t in totals]
+
+    def resume(table: pa.Table, mail: pa.Table) -> pa.Table:
+        counts, seated = unpack_arrays(table.column("counts")[0]), unpack_arrays(mail.column("seats")[0])
+        p = [parent_probability(seated["served"], seated[f"t{i}"], n_tables, t, n_words, a, parent_discount).astype(np.float32) for i, t in enumerate(all_tables)]
+        return pa.table(answers(table.column("lists")[0].values, [*p, counts["frequency"]], table.column("parent")[0].as_py()))
+
+    second = lists.groupBy("parent").cogroup(seats.groupBy("parent")).applyInArrow(resume, mail_schema)
+    state = burnt.filter("parent = -1").select("shard", "parent", "data")
+
+    def sample(table: pa.Table, mail: pa.Table) -> pa.Table:
+        """Sweeps against the parent's seatings, one each, and the averaged answers to every block."""
+        number, requests = table.column("shard")[0].as_py(), table.column("requests")[0].values
+        g = gathered(requests)
+        own = [i for i, p in enumerate(mail.column("parent").to_pylist()) if p == -1]
+        saved = unpack_arrays(mail.column("data")[own[0]])
+        *parent, frequency = spread(mail.filter(pa.array([p != -1 for p in mail.column("parent").to_pylist()])), g.words, settings.samples + 1)
+        r, contexts = g.restaurants()
+        r.tables, r.log_weight = saved["tables"].astype(np.int64), saved["weight"].copy()
+        rng, size = np.random.default_rng([settings.seed, number, 2]), max(1, len(g.words))
+        asked = [(words, contexts[key // size], key % size, g.pairs(key)) for words, key in g.asked]
+        mean = [np.zeros(len(key)) for _, key in g.asked]
+        for p in parent:
+            r.sweep(p, a, discount, rng)
+            for total, (_, context, word, pair) in zip(mean, asked, strict=True):
+                total += r.probabilities(context, pair, p[word], a, discount) / len(parent)
+        out = [(b.as_py(), number, pack_arrays(frequency=frequency[words].astype(np.int64)), pack_arrays(log=np.log10(total).astype(np.float32))) for b, total, (words, *_) in zip(requests.field("block"), mean, asked, strict=True)]
+        return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "shard": pa.array([o[1] for o in out], pa.int32()), "words": pa.array([o[2] for o in out], pa.binary()), "pairs": pa.array([o[3] for o in out], pa.binary())})
+
+    replies = shelf.select("shard", "requests").groupBy("shard").cogroup(second.unionByName(state).groupBy("shard")).applyInArrow(sample, "block int, shard int, words binary, pairs binary")
+    smallest = float(n_train + n_words + 1)
 
     def finish(table: pa.Table, mail: pa.Table) -> pa.Table:
         if not table.num_rows:
             return empty
         texts = unpacked(table)
-        hashes, token, context, first = _tokens(texts, settings)
-        key, inverse = np.unique(token * k + context, return_inverse=True)
+        hashes, token, context, first = _tokens(texts)
+        key, inverse = np.unique(context * len(hashes) + token, return_inverse=True)
         frequency, log = np.zeros(len(hashes), np.int64), np.zeros(len(key))
-        shard_number = (hashes % np.uint64(shards)).astype(np.int64)
-        words_of, pairs_of = dict(split_by(shard_number)), dict(split_by(shard_number[key // k]))
+        pairs_of = dict(split_by((hashes[key // len(hashes)] % np.uint64(shards)).astype(np.int64)))
         for shard, words, pairs in zip(mail.column("shard").to_pylist(), mail.column("words"), mail.column("pairs"), strict=True):
-            frequency[words_of[shard]] = unpack_arrays(words)["frequency"]
+            frequency[np.unique(key[pairs_of[shard]] % len(hashes))] = unpack_arrays(words)["frequency"]
             log[pairs_of[shard]] = unpack_arrays(pairs)["log"]
         n, known = np.diff(first), np.add.reduceat((frequency[token] > 0).astype(np.int64), first[:-1])
         base = np.add.reduceat(np.log10((frequency + 1) / smallest)[token], first[:-1])

@@ -50,32 +50,89 @@ def test_corner_tables(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in alone] == [(3, 0, 0, 0.0, 0.0)]
 
 
-def shard_of(texts, settings):
+def gathered_of(texts):
     import pyarrow as pa
 
-    hashes, token, context, _ = pitman_yor._tokens(pa.table({"_text": texts}), settings)
-    key, n = np.unique(token * settings.contexts + context, return_counts=True)
-    words = {"hash": hashes, "pairs": np.bincount(key // settings.contexts, minlength=len(hashes))}
-    return pitman_yor.Shard([(words, {"context": key % settings.contexts, "count": n})], settings)
+    hashes, token, context, _ = pitman_yor._tokens(pa.table({"_text": texts}))
+    key, n = np.unique(context * len(hashes) + token, return_counts=True)
+    contexts, size = np.unique(key // len(hashes), return_counts=True)
+    words, place = np.unique(key % len(hashes), return_inverse=True)
+    return pitman_yor.Gathered([({"hash": hashes[contexts], "pairs": size}, {"hash": hashes[words]}, {"word": place.ravel(), "count": n})])
 
 
 def test_probabilities_sum_to_one():
-    rng = random.Random(3)
-    settings = pitman_yor.Settings(contexts=8)
-    shard = shard_of([" ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2, 9]) for _ in range(200)) for _ in range(10)], settings)
-    s = shard.sums()
-    types = np.array(s["types"], float)
-    shard.start(pitman_yor.Totals(np.array(s["customers"], float), types, types, s["words"], float(s["words"]), 0.6, 0.7), 0)
+    rng, draw = random.Random(3), np.random.default_rng(0)
+    g = gathered_of([" ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2, 9]) for _ in range(200)) for _ in range(10)])
+    r, contexts = g.restaurants()
+    assert sorted(contexts.tolist()) == list(range(len(g.contexts))) and r.customers.sum() == 2010
+    n = len(g.words)
+    types = np.bincount(r.word, minlength=n)
+    parent = pitman_yor.Parent(types)
     for _ in range(4):
-        shard.sweep()
-        assert (shard.tables >= 1).all() and (shard.tables <= shard.count).all()
-        assert (shard.parent >= 1).all() and (shard.parent <= shard._parent_customers()).all()
-    tables, _, _ = shard._open()
-    for c in range(settings.contexts):
-        words = np.arange(len(shard.words))
-        known = shard.probabilities(words, np.full(len(words), c)).sum()
-        unknown = (settings.strength + 0.6 * tables[c]) * shard.parent_probability()[1] / (settings.strength + s["customers"][c])
-        assert known + unknown == pytest.approx(1)
+        p = pitman_yor.parent_probability(parent.customers, parent.tables, parent.customers.sum(), parent.tables.sum(), n, 10.0, 0.7)
+        unknown = pitman_yor.parent_probability(np.zeros(1), np.zeros(1), parent.customers.sum(), parent.tables.sum(), n, 10.0, 0.7)
+        assert p.sum() + unknown[0] == pytest.approx(1)
+        r.sweep(p, 10.0, 0.6, draw)
+        assert (r.tables >= 1).all() and (r.tables <= r.count).all()
+        for c in range(len(g.contexts)):
+            key = c * n + np.arange(n)
+            own = r.probabilities(np.full(n, contexts[c]), g.pairs(key), p, 10.0, 0.6).sum()
+            new = r.probabilities(np.full(1, contexts[c]), np.full(1, -1), unknown, 10.0, 0.6)[0]
+            assert own + new == pytest.approx(1)
+        assert r.probabilities(np.full(n, -1), np.full(n, -1), p, 10.0, 0.6) == pytest.approx(p)  # a context never seen
+        parent = pitman_yor.Parent(r.served(n))
+        for _ in range(3):
+            parent.sweep(0.0, n, 10.0, 0.7, draw)
+            assert (parent.tables >= 1).all() and (parent.tables <= parent.customers).all()
+
+
+def test_every_preceding_word_has_a_restaurant():
+    """The same word is likely behind one word and unlikely behind another."""
+    texts = ["x a"] * 50 + ["y b"] * 50 + ["x y"]
+    g = gathered_of(texts)
+    r, contexts = g.restaurants()
+    p = np.full(len(g.words), 0.1)
+    r.sweep(p, 1.0, 0.5, np.random.default_rng(0))
+    place = {w: int(np.searchsorted(g.words, np.uint64(pitman_yor.xxhash.xxh3_64_intdigest(w)))) for w in (b"a", b"b", b"x", b"y")}
+    at = {w: int(np.searchsorted(g.contexts, np.uint64(pitman_yor.xxhash.xxh3_64_intdigest(w)))) for w in (b"x", b"y", pitman_yor.START)}
+    ask = lambda c, w: r.probabilities(contexts[[at[c]]], g.pairs(np.array([at[c] * len(g.words) + place[w]])), p[[0]], 1.0, 0.5)[0]
+    assert ask(b"x", b"a") > 0.9 and ask(b"y", b"b") > 0.9 and ask(b"x", b"b") < 0.05 and ask(b"y", b"a") < 0.05
+    assert ask(pitman_yor.START, b"x") > 0.4 and ask(pitman_yor.START, b"a") < 0.05
+
+
+def test_sampler_agrees_with_customer_by_customer_gibbs():
+    """Mean tables of a tiny corpus under the sweeps and under a plain sampler that takes one customer at a time."""
+    counts = {("u", "a"): 12, ("u", "b"): 3, ("v", "a"): 5, ("v", "c"): 7}
+    words, strength, discount = ["a", "b", "c"], 2.0, 0.5
+    p = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rng = random.Random(1)
+    tables = {k: [n] for k, n in counts.items()}
+    seen = {k: 0.0 for k in counts}
+    for turn in range(6000):
+        for (c, w), n in counts.items():
+            sizes = tables[c, w]
+            i = rng.choices(range(len(sizes)), sizes)[0]  # a customer leaves
+            sizes[i] -= 1
+            if not sizes[i]:
+                sizes.pop(i)
+            total = sum(len(t) for (d, _), t in tables.items() if d == c)
+            weights = [s - discount for s in sizes] + [(strength + discount * total) * p[w]]
+            j = rng.choices(range(len(weights)), weights)[0]
+            if j == len(sizes):
+                sizes.append(1)
+            else:
+                sizes[j] += 1
+        if turn >= 500:
+            for k, t in tables.items():
+                seen[k] += len(t) / 5500
+    keys = list(counts)
+    r = pitman_yor.Restaurants(np.array([0, 0, 1, 1]), np.array([words.index(w) for _, w in keys]), np.array([counts[k] for k in keys]))
+    draw, mean = np.random.default_rng(2), np.zeros(4)
+    for turn in range(4000):
+        r.sweep(np.array([p[w] for w in words]), strength, discount, draw)
+        if turn >= 200:
+            mean += r.tables / 3800
+    assert np.abs(mean - [seen[k] for k in keys]).max() < 0.25
 
 
 def test_seats_follow_the_restaurant_process():
