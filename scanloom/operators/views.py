@@ -11,16 +11,61 @@ from scanloom.functions import geometry as G
 CAM = ["qw", "qx", "qy", "qz", "tx", "ty", "tz", "fx", "fy", "cx", "cy"]
 
 
-#: Parts into which the points of a scene are dealt when they meet its cameras.
-SPREAD = 64
+#: Cells per axis of a scene's points, from coarse to fine: boxes are tested against cameras level by level.
+LEVELS = (2, 8)
+_EDGE = 1e-9
 
 
-def with_scene(many: DataFrame, few: DataFrame, place: list[str]) -> DataFrame:
-    """Every row of ``many`` with every row of ``few`` of its scene.  A large scene
-    is dealt over SPREAD parts by ``place``; the few rows go to each part."""
-    part = F.pmod(F.xxhash64(*place), F.lit(SPREAD)).cast("int")
-    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return many.withColumn("_part", part).join(copies, ["scene", "_part"]).drop("_part")
+def boxes(points: DataFrame, place: tuple[str, str, str]) -> tuple[DataFrame, DataFrame]:
+    """``points`` with ``_block``, a cell of their scene, and per block its box: centre ``_mid<axis>``
+    and half sizes ``_half<axis>``, with the cell ``_top`` of the coarse level that holds it."""
+    lims = points.groupBy("scene").agg(*[f(c).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a, c in zip("xyz", place)])  # one row per scene
+    d = points.join(lims, "scene")
+
+    def cell(n: int):
+        at = [F.least(F.floor((F.col(c) - F.col("_lo" + a)) / F.greatest(F.col("_hi" + a) - F.col("_lo" + a), F.lit(1e-300)) * n), F.lit(n - 1)) for a, c in zip("xyz", place)]
+        return (at[0] * n + at[1]) * n + at[2]
+
+    d = d.withColumns({"_block": cell(LEVELS[1]), "_top": cell(LEVELS[0])}).drop(*[f"_{n}{a}" for n in ("lo", "hi") for a in "xyz"])
+    size = d.groupBy("scene", "_block").agg(F.min("_top").alias("_top"), *[f.alias(n + a) for a, c in zip("xyz", place) for n, f in (("_mid", (F.min(c) + F.max(c)) / 2), ("_half", (F.max(c) - F.min(c)) / 2))])
+    return d.drop("_top"), size
+
+
+def with_visible(points: DataFrame, cameras: DataFrame, place: tuple[str, str, str], may_see) -> DataFrame:
+    """Every point with the cameras of its scene that may see its block.
+
+    ``may_see()`` is a condition over a camera's columns and a box (``_midx`` ... ``_halfz``) that is
+    true wherever the camera sees any place of the box.  Coarse boxes meet the cameras
+    first, their blocks only the cameras that are left, and points only those of their block."""
+    d, fine = boxes(points, place)
+    low, high = ({a: f(F.col("_mid" + a) + sign * F.col("_half" + a)) for a in "xyz"} for f, sign in ((F.min, -1), (F.max, 1)))
+    coarse = fine.groupBy("scene", "_top").agg(*[f.alias(n + a) for a in "xyz" for n, f in (("_mid", (low[a] + high[a]) / 2), ("_half", (high[a] - low[a]) / 2))])
+    some = coarse.join(cameras, "scene").filter(may_see()).drop(*[n + a for n in ("_mid", "_half") for a in "xyz"])
+    seen = fine.join(some, ["scene", "_top"]).filter(may_see()).drop("_top", *[n + a for n in ("_mid", "_half") for a in "xyz"])
+    return d.join(seen, ["scene", "_block"]).drop("_block")
+
+
+def _radius():
+    """Of the ball around a box, a little enlarged."""
+    return F.sqrt(sum(F.col("_half" + a) * F.col("_half" + a) for a in "xyz")) * (1 + _EDGE) + _EDGE
+
+
+def frustum(frame: tuple | None = None, pre: str = "_"):
+    """Whether a box may reach into the pyramid of a pinhole camera (columns ``pre`` + ``CAM``).
+
+    ``frame`` is (u0, u1, v0, v1), numbers or columns; without it only the side in front counts."""
+    def may_see():
+        x, y, z = G.world_to_camera(*_pose(pre), (F.col("_midx"), F.col("_midy"), F.col("_midz")))
+        r = _radius()
+        ok = z + r > 0
+        if frame is not None:
+            for p, f, c, low, high in ((x, "fx", "cx", *frame[:2]), (y, "fy", "cy", *frame[2:])):
+                f, c = F.col(pre + f), F.col(pre + c)
+                for n, k in ((f, c - low), (-f, high - c)):  # a half space n * p + k * z >= 0
+                    ok = ok & (n * p + k * z + F.sqrt(n * n + k * k) * r >= 0)
+        return ok
+
+    return may_see
 
 
 def _pose(pre: str = "") -> tuple[tuple, tuple]:
@@ -34,23 +79,35 @@ def to_world(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     return d.select(*pixels.columns, *[c.alias(n) for n, c in zip(("wx", "wy", "wz"), w)])
 
 
-def in_view(points: DataFrame, cameras: DataFrame, view: str = "src") -> DataFrame:
-    """Points (wx, wy, wz) in front of every camera of their scene, with the
-    exact pixel position (u, v) and depth z."""
-    c = cameras.select("scene", F.col("view").alias(view), *[F.col(n).alias("_" + n) for n in CAM])
-    d = with_scene(points, c, ["wx", "wy", "wz"])
+def in_view(points: DataFrame, cameras: DataFrame, view: str = "src", frame: tuple | None = None) -> DataFrame:
+    """Points (wx, wy, wz) in front of the cameras of their scene, with the exact pixel
+    position (u, v) and depth z.  Pairs certainly outside ``frame`` (u0, u1, v0, v1) are
+    left out; ``cameras`` may bring its sides as columns."""
+    own = [c for c in frame or () if isinstance(c, str)]
+    c = cameras.select("scene", F.col("view").alias(view), *[F.col(n).alias("_" + n) for n in CAM], *own)
+    sides = tuple(F.col(c) if isinstance(c, str) else F.lit(c) for c in frame) if frame else None
+    d = with_visible(points, c, ("wx", "wy", "wz"), frustum(sides)).drop(*own)
     p = G.world_to_camera(*_pose("_"), (F.col("wx"), F.col("wy"), F.col("wz")))
     d = d.withColumns({"_px": p[0], "_py": p[1], "z": p[2]}).filter("z > 0")
     u, v = G.project((F.col("_px"), F.col("_py"), F.col("z")), F.col("_fx"), F.col("_fy"), F.col("_cx"), F.col("_cy"))
     return d.withColumns({"u": u, "v": v}).drop("_px", "_py", *["_" + n for n in CAM])
 
 
+def with_frames(cameras: DataFrame, depth: DataFrame) -> DataFrame:
+    """Cameras with the size of their depth maps, a pixel wider on every side: ``_right`` and ``_below``."""
+    size = depth.groupBy("scene", "view").agg((F.max("x") + 2.0).alias("_right"), (F.max("y") + 2.0).alias("_below"))
+    return cameras.join(size, ["scene", "view"])
+
+
+FRAME = (-1.0, "_right", -1.0, "_below")
+
+
 def fuse_depth(depth: DataFrame, cameras: DataFrame, threshold: float, min_views: int) -> DataFrame:
     """World points of depth pixels that enough other views confirm.  The pixel
     position is truncated; positions left of or above the image are rejected."""
     ref = to_world(depth.filter((F.col("depth") > 0) & (F.col("confidence") >= 0.5)), cameras)
     key = ["scene", "view", "y", "x"]
-    seen = in_view(ref.select(*key, "wx", "wy", "wz"), cameras).filter("src <> view AND u >= 0 AND v >= 0")
+    seen = in_view(ref.select(*key, "wx", "wy", "wz"), with_frames(cameras, depth), frame=FRAME).filter("src <> view AND u >= 0 AND v >= 0")
     seen = seen.withColumns({"sx": F.floor("u").cast("int"), "sy": F.floor("v").cast("int")})
     other = depth.select("scene", F.col("view").alias("src"), F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("depth").alias("sd"), F.col("confidence").alias("sc"))
     agree = seen.join(other, ["scene", "src", "sy", "sx"]).filter((F.col("sc") > 0.5) & (F.abs(F.col("sd") - F.col("z")) < threshold))
@@ -74,10 +131,18 @@ def voxel_grid(scenes: DataFrame, lo: tuple, hi: tuple, size: float) -> DataFram
 def carve(voxels: DataFrame, cameras: DataFrame, masks: DataFrame, width: int, height: int) -> DataFrame:
     """Voxels that no view sees outside the mask and at least one view sees inside.
     Cameras carry a 4x4 matrix ``mvp`` (row by row); behind and off-frame views are ignored."""
-    d = with_scene(voxels, cameras, ["ix", "iy", "iz"])
+    def row(i, pre=""):
+        return sum(F.get("mvp", F.lit(4 * i + j)) * F.col(pre + a) for j, a in enumerate("xyz")) + F.get("mvp", F.lit(4 * i + 3))
+
+    def may_see():
+        """Sides of the clip space that a box lies outside of as a whole."""
+        ok = F.lit(True)
+        for parts in (((3, 1),), ((3, 1), (0, 1)), ((3, 1), (0, -1)), ((3, 1), (1, 1)), ((3, 1), (1, -1))):
+            reach = sum(F.abs(sum(F.get("mvp", F.lit(4 * i + j)) * sign for i, sign in parts)) * F.col("_half" + a) for j, a in enumerate("xyz"))
+            ok = ok & (sum(row(i, "_mid") * sign for i, sign in parts) + reach * (1 + _EDGE) + _EDGE >= 0)
+        return ok
 
-    def row(i):
-        return sum(F.get("mvp", F.lit(4 * i + j)) * F.col(a) for j, a in enumerate("xyz")) + F.get("mvp", F.lit(4 * i + 3))
+    d = with_visible(voxels, cameras, ("x", "y", "z"), may_see)
 
     d = d.withColumns({"_px": row(0), "_py": row(1), "_pw": row(3)}).filter("_pw > 0")
     u, v = (F.col("_px") / F.col("_pw") * 0.5 + 0.5) * width, (1 - F.col("_py") / F.col("_pw")) * 0.5 * height
@@ -90,7 +155,7 @@ def carve(voxels: DataFrame, cameras: DataFrame, masks: DataFrame, width: int, h
 
 def colour_points(points: DataFrame, cameras: DataFrame, pixels: DataFrame, width: int, height: int, max_views: int | None = None, default=(180, 180, 180)) -> DataFrame:
     """Colour of the first view, in view order, whose rounded projection is in frame."""
-    seen = in_view(points, cameras if max_views is None else cameras.filter(F.col("view") < max_views))
+    seen = in_view(points, cameras if max_views is None else cameras.filter(F.col("view") < max_views), frame=(-1.0, width + 1.0, -1.0, height + 1.0))
     rx, ry = F.floor(F.col("u") + 0.5).cast("int"), F.floor(F.col("v") + 0.5).cast("int")
     seen = seen.withColumns({"x": rx, "y": ry}).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height))
     first = seen.groupBy("scene", "point_id").agg(F.min_by(F.struct("src", "y", "x"), "src").alias("_f")).select("scene", "point_id", F.col("_f.src").alias("view"), "_f.y", "_f.x")
@@ -112,7 +177,7 @@ def integrate_tsdf(depth: DataFrame, cameras: DataFrame, size: float, truncation
     for a in "xyz":
         cells = cells.withColumn("v" + a, F.explode(F.sequence(F.col("v" + a) - spread, F.col("v" + a) + spread)))
     cells = cells.distinct().select("*", *[((F.col("v" + a) + 0.5) * size).alias("w" + a) for a in "xyz"])
-    seen = in_view(cells, cameras).withColumns({"x": F.floor(F.col("u") + 0.5).cast("int"), "y": F.floor(F.col("v") + 0.5).cast("int")})
+    seen = in_view(cells, with_frames(cameras, depth), frame=FRAME).withColumns({"x": F.floor(F.col("u") + 0.5).cast("int"), "y": F.floor(F.col("v") + 0.5).cast("int")})
     d = seen.join(depth.filter("depth > 0").select("scene", F.col("view").alias("src"), "y", "x", "depth"), ["scene", "src", "y", "x"])
     d = d.withColumn("s", F.col("depth") - F.col("z")).filter(F.col("s") >= -truncation).withColumn("s", F.least("s", F.lit(truncation)) / truncation)
     vox = ["scene", "vx", "vy", "vz"]
@@ -130,7 +195,16 @@ def confidence_field(voxels: DataFrame, views: DataFrame, fov: float, time_step:
 
     cos_half = math.cos(fov / 2)
     v = views.withColumn("t_idx", F.floor(F.col("time") / time_step).cast("int"))
-    d = with_scene(voxels, v, ["ix", "iy", "iz"])
+
+    def may_see():
+        """Whether the cone of a view may touch the ball around a box."""
+        gap = [F.col("_mid" + a) - F.col("c" + a) for a in "xyz"]
+        far, r = F.sqrt(sum(g * g for g in gap)), _radius()
+        along = sum(g * F.col("d" + a) for g, a in zip(gap, "xyz")) / far
+        off = F.acos(F.least(F.greatest(along, F.lit(-1.0)), F.lit(1.0))) - F.asin(F.least(r / far, F.lit(1.0)))
+        return F.when(far <= r, True).otherwise(off <= fov / 2 + 1e-6)
+
+    d = with_visible(voxels, v, ("x", "y", "z"), may_see)
     gap = {a: F.col(a) - F.col("c" + a) for a in "xyz"}
     dist = F.sqrt(sum(g * g for g in gap.values()))
     d = d.withColumns({"_d": dist, "_c": sum(gap[a] * F.col("d" + a) for a in "xyz") / dist}).filter(F.col("_c") > cos_half)

@@ -10,6 +10,7 @@ from scanloom.operators import imaging as I
 from scanloom.operators import matching as M
 from scanloom.operators import mesh as X
 from scanloom.operators import spatial as S
+from scanloom.operators import views as V
 from scanloom.operators import audio, joins, ordering, windows
 from scanloom.operators.graph import connected_components
 from scanloom.operators.ordering import indexed, order_stats, previous_row, running
@@ -326,3 +327,33 @@ def test_lens_profile_between_its_knots(spark):
     m = spark.createDataFrame(rows, "lens int, split string, focus_m double, subject_m double, radius double, focal_mm double, blur_px double, pitch_um double")
     (rep,) = C.lens_psf(m, ["lens"], [0.0, 0.5, 1.0], 50.0, 2.0)[1].collect()
     assert rep.holdout == 180 and rep.focus_knots == 2 and rep.calibrated_p95 < 1e-6 and rep.ideal_p95 > 0.2 and rep.failures == []
+
+
+def test_cameras_meet_only_blocks_they_may_see(spark):
+    """Cameras around a cloud: same pairs as point by point, from far fewer candidates."""
+    rng = np.random.default_rng(5)
+    pts = rng.uniform(-5, 5, (3000, 3))
+    cams = []
+    for i in range(12):
+        q = rng.normal(size=4)
+        q /= np.linalg.norm(q)
+        cams.append((0, i, *map(float, q), *map(float, rng.uniform(-4, 4, 3)), 60.0, 60.0, 16.0, 16.0))
+    points = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(pts)], "scene long, point_id long, wx double, wy double, wz double")
+    cameras = spark.createDataFrame(cams, "scene long, view int, " + ", ".join(f"{c} double" for c in V.CAM))
+    want = set()
+    for _, view, w, a, b, c, *rest in cams:
+        t = np.array(rest[:3])
+        r = np.array([[1 - 2 * (b * b + c * c), 2 * (a * b - w * c), 2 * (a * c + w * b)], [2 * (a * b + w * c), 1 - 2 * (a * a + c * c), 2 * (b * c - w * a)], [2 * (a * c - w * b), 2 * (b * c + w * a), 1 - 2 * (a * a + b * b)]])
+        p = (pts - t) @ r  # camera from world by the transposed rotation
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = 60 * p[:, 0] / p[:, 2] + 16, 60 * p[:, 1] / p[:, 2] + 16
+        want |= {(int(i), view) for i in np.flatnonzero((p[:, 2] > 0) & (u >= 0) & (u < 32) & (v >= 0) & (v < 32))}
+    seen = V.in_view(points, cameras, frame=(0.0, 32.0, 0.0, 32.0))
+    inside = seen.filter("u >= 0 and u < 32 and v >= 0 and v < 32").select("point_id", "src").collect()
+    assert {(r.point_id, r.src) for r in inside} == want and len(want) > 500
+    c = cameras.select("scene", F.col("view").alias("src"), *[F.col(n).alias("_" + n) for n in V.CAM])
+    sides = tuple(map(F.lit, (0.0, 32.0, 0.0, 32.0)))
+    met = V.with_visible(points, c, ("wx", "wy", "wz"), V.frustum(sides)).count()
+    assert len(want) <= met < 0.35 * len(pts) * len(cams)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan and "Cartesian" not in plan
