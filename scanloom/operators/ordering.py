@@ -127,9 +127,9 @@ def order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, tup
                 accuracy: int = 10_000) -> DataFrame:
     """Exact values at the picked ranks, per key, plus the row count ``n``.
 
-    Approximate quantiles bracket every pick; exact counts below the bracket
-    and the distinct values inside it settle the rank.  Groups of any size
-    cost two aggregations and a tiny ordered step.
+    Approximate quantiles bracket every pick; one more pass counts the rows below
+    the brackets and the distinct values inside them, which settles the rank.
+    Groups of any size cost two reads and a tiny ordered step.
     """
     v = F.col(value)
     df = df.filter(v.isNotNull()).withColumn(value, v.cast("double"))
@@ -157,8 +157,11 @@ def order_stats(df: DataFrame, keys: list[str], value: str, picks: dict[str, tup
     inside = F.lit(False)
     for i in range(len(names)):
         inside = inside | v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-    below = d.groupBy(*key_cols).agg(*[F.count_if(v < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(names))])
-    near = d.filter(inside).groupBy(*key_cols, v.alias("_v")).agg(F.count("*").alias("_c"))
+    # one more read: values inside a bracket by value, all others by the brackets they lie below
+    under = sum(((v < F.col(f"_lo{i}")).cast("long") * (1 << i) for i in range(len(names))), F.lit(0).cast("long"))
+    counted = d.groupBy(*key_cols, under.alias("_under"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("_c"))
+    below = counted.groupBy(*key_cols).agg(*[F.sum(F.when(F.col("_under").bitwiseAND(1 << i) > 0, F.col("_c")).otherwise(0)).alias(f"_b{i}") for i in range(len(names))])
+    near = counted.filter("_v is not null").groupBy(*key_cols, "_v").agg(F.sum("_c").alias("_c"))
     base = br.join(below, key_cols)
     pick = F.explode(F.array(*[F.struct(
         F.lit(i).alias("i"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"),
