@@ -193,7 +193,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW,
-                       block_bytes: int = 32 << 20, shard_bytes: int = 8 << 20, cut: bool = False) -> DataFrame:
+                       block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20, cut: bool = False) -> DataFrame:
     """Columns ``keep`` of every document with ``_n_words``, ``_spans`` (hit words) and ``_items``.
 
     The benchmark is broadcast in blocks of about ``block_bytes`` of text; with
