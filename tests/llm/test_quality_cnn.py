@@ -74,3 +74,29 @@ def test_corner_cases(spark):
     ones = quality_cnn.train(docs, labels.filter("quality = 1"), F.lit(True))
     assert all(r.predicted == 1 for r in quality_cnn.score(docs, ones).collect())
     assert quality_cnn.score(docs.limit(0), net).collect() == []
+
+
+def test_probability_is_the_plain_convolution():
+    """Window by window and chunk by chunk in plain Python."""
+    rng = np.random.default_rng(1)
+    shape = quality_cnn.Shape(embed=2, width=12, stride=4, filters=5, chunk=32)
+    net = quality_cnn.start(shape)
+    net.shift = 0.3
+    w = {k: v.astype(float).tolist() for k, v in net.weights.items()}
+    texts = [b"", b"x", bytes(range(1, 29)), b"a" * 32, bytes(rng.integers(1, 256, 31).tolist()), bytes(rng.integers(1, 256, 500).tolist())]
+
+    def plain(text):
+        chunks = max(1, -(-(len(text) + 4) // 32))
+        padded = list(text) + [0] * (chunks * 32 + 12 - len(text))
+        starts = list(range(0, chunks * 32, 4))[:-2]  # the last two windows would reach past the last chunk
+        best = [[-np.inf] * 5 for _ in range(chunks)]
+        for s in starts:
+            window = [x for byte in padded[s : s + 12] for x in w["embed"][byte]]
+            for f in range(5):
+                best[s // 32][f] = max(best[s // 32][f], sum(x * w["filters"][i][f] for i, x in enumerate(window)))
+        pooled = [[max(0.0, b + w["bias"][f]) for f, b in enumerate(row)] for row in best]
+        features = [max(row[f] for row in pooled) for f in range(5)] + [sum(row[f] for row in pooled) / chunks for f in range(5)]
+        logit = sum(x * d for x, d in zip(features, w["dense"])) + w["out"][0] + 0.3
+        return 1 / (1 + np.exp(-logit))
+
+    assert np.allclose(quality_cnn.probability(net, texts), [plain(t) for t in texts], atol=1e-6)
