@@ -20,6 +20,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -181,8 +182,15 @@ class Codec:
                     wanted[i] = self.reference.encode("a" + u)[len(self.reference.encode("a")) :]
         return wanted
 
-    def _learn(self, units: list[str]) -> None:
+    def _cut(self, text: str | None) -> list[str]:
+        """Units of a text; where single spaces stand between words, the words, whose marker is understood."""
+        if self.plain and self.model.dummy_prefix and text and "  " not in text and MARKER not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return self.unit.findall(self.normalised(text or ""))
+
+    def _learn(self, keys: list[str]) -> None:
         """Encode new units on several threads and hold them against the library."""
+        units = [k if k[0] == MARKER or not self.model.dummy_prefix else MARKER + k for k in keys]
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         if self.named:
             encoded = [self._hidden(u) if self.named.search(u) else e for u, e in zip(units, encoded, strict=True)]
@@ -190,17 +198,17 @@ class Codec:
         same = [w == e for w, e in zip(self._wanted(units), encoded, strict=True)] if self.plain else [True] * len(units)
         self.same = np.r_[self.same, np.array(same, bool)]
         self.back = np.r_[self.back, np.array([t == u.replace(MARKER, " ") for t, u in zip(texts, units, strict=True)], bool)]
-        self.known.update(zip(units, range(len(self.uses), len(self.uses) + len(units)), strict=True))
+        self.known.update(zip(keys, range(len(self.uses), len(self.uses) + len(keys)), strict=True))
         self.uses = np.r_[self.uses, np.zeros(len(units), np.int64)]
-        self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.int32, sum(map(len, encoded)))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))])
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(e) for e in encoded])]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, decodes to the normalised text, same as the library) of whole texts; null is empty."""
-        split = [self.unit.findall(self.normalised(t or "")) for t in texts]
+        split = [self._cut(t) for t in texts]
         if len(self.known) > self.remember:
             self._forget()
-        new = list(dict.fromkeys(u for units in split for u in units if u not in self.known))
+        new = list(set().union(*split) - self.known.keys())
         for at in range(0, len(new), LEARN):
             self._learn(new[at : at + LEARN])
         out = []
@@ -248,7 +256,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, with_id
         os.environ.setdefault("RAYON_NUM_THREADS", "2")  # every thread keeps memory of its own, and the other cores have tasks
         codec = Codec(shared.value, remember)
         for batch in batches:
-            for at, n, texts in slices(batch, texts_of, 1 << 18):
+            for at, n, texts in slices(batch, texts_of, 1 << 19):
                 rows = codec.encode(texts)
                 part = batch.slice(at, n)
                 columns = [*(part.column(c) for c in keep), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0].tobytes()).hexdigest() for r in rows]),

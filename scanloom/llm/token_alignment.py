@@ -197,15 +197,21 @@ class PieceSide:
         self.units = Remembered(self._units)
 
     def _units(self, units: list[str]) -> list[list[int]]:
-        found = self.library.encode([u[1:] for u in units], num_threads=1)  # the library puts the first marker there itself
+        found = self.library.encode([u[1:] if u[0] == MARKER else u for u in units], num_threads=1)  # the library puts the first marker there itself
         for i, u in enumerate(units):
-            if len(u) == 1:  # it drops a lone marker, so that one is asked for behind a letter
+            if u == MARKER:  # it drops a lone marker, so that one is asked for behind a letter
                 found[i] = self.library.encode("a" + u)[len(self.library.encode("a")) :]
         return found
 
+    def _cut(self, text: str) -> list[str]:
+        """Units of a text; where single spaces stand between words, the words without their marker."""
+        if "  " in text or MARKER in text or text[0] == " " or text[-1] == " ":
+            return self.unit.findall(MARKER + text.replace(" ", MARKER))
+        return text.split(" ")
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if self.plain:
-            return self.units.ids([self.unit.findall(MARKER + t.replace(" ", MARKER)) for t in texts])
+            return self.units.ids([self._cut(t) for t in texts])
         return [np.array(i, np.int64) for i in self.library.encode(texts, num_threads=1)]
 
 
