@@ -6,10 +6,11 @@ parent restaurant, whose base is uniform over the known words and one unknown
 word.  Probabilities are averaged over several seatings.
 
 Restaurants are dealt to shards by the hash of their context, so their seating is
-local.  A word's parent table lies in a shard by the hash of the word.  Between
-sweeps they exchange one number per word and shard: how many tables serve the
-word, and how likely the parent is to serve it.  Sweeps of different shards run
-side by side against the exchange before, the published way to sample in parallel.
+local.  A word's parent table lies in a shard by the hash of the word.  The first
+sweeps of a shard use a parent of its own contexts, a random part of all; then the
+shards tell how many of their tables serve each word, and get to know how likely
+the parent is to serve it, for every seating that is averaged.  Sweeps of different
+shards run side by side, the published way to sample in parallel.
 
 A block of documents asks a shard once for each distinct (context, word); the
 answers come back in the order of the question.  Words are told apart by 64
@@ -92,7 +93,7 @@ class Restaurants:
         self.context, self.word, self.count = context, word, count
         self.n_contexts = int(context.max()) + 1 if len(context) else 0
         self.customers = np.bincount(context, count, self.n_contexts)
-        self.tables, self.log_weight = np.ones(len(count), np.int64), np.full(len(count), -np.inf)
+        self.tables, self.log_weight = np.minimum(count, 1), np.full(len(count), -np.inf)
 
     def tables_of(self) -> np.ndarray:
         """Tables of each restaurant."""
@@ -111,15 +112,10 @@ class Restaurants:
         keep = np.log(rng.random(len(weight))) < weight - self.log_weight
         self.tables, self.log_weight = np.where(keep, proposal, self.tables), np.where(keep, weight, self.log_weight)
 
-    def probabilities(self, context: np.ndarray, pair: np.ndarray, parent: np.ndarray, strength: float, discount: float) -> np.ndarray:
-        """Of words with parent probabilities ``parent`` behind ``context``; ``pair`` is
-        the place of (context, word) here, -1 for pairs never seen.  A context never seen is -1."""
-        known = context >= 0
-        at = np.where(known, context, 0)
-        tables, customers = (np.where(known, x[at] if len(x) else 0, 0) for x in (self.tables_of(), self.customers))
-        place = np.maximum(pair, 0)
-        own = np.where(pair >= 0, self.count[place] - discount * self.tables[place], 0) if len(self.count) else 0
-        return (own + (strength + discount * tables) * parent) / (strength + customers)
+    def probabilities(self, parent: np.ndarray, strength: float, discount: float) -> np.ndarray:
+        """Of every (context, word) here, with or without customers, given the parent's probability of each word."""
+        tables = self.tables_of()[self.context]
+        return (self.count - discount * self.tables + (strength + discount * tables) * parent[self.word]) / (strength + self.customers[self.context])
 
 
 class Parent:
@@ -168,43 +164,35 @@ def _parent_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending places, which compress well."""
+    return np.diff(ascending, prepend=0).astype(np.uint32)
+
+
 class Gathered:
-    """The questions of all blocks to one shard of contexts, and the counts they add up to."""
+    """The questions of all blocks to one shard of contexts, and the counts they add up to.
+
+    ``key`` is every (context, word) asked for, trained or not, in order."""
 
     def __init__(self, requests: list[tuple[dict, dict, dict]]):
         self.words, word = np.unique(np.concatenate([w["hash"] for _, w, _ in requests]), return_inverse=True)
-        self.contexts, context = np.unique(np.concatenate([c["hash"] for c, _, _ in requests]), return_inverse=True)
+        contexts, context = np.unique(np.concatenate([c["hash"] for c, _, _ in requests]), return_inverse=True)
         word, context = word.ravel(), context.ravel()
-        self.asked, keys, counts, at, on = [], [], [], 0, 0
+        own, keys, counts, at, on = [], [], [], 0, 0
         for c, w, p in requests:
-            own_words = word[at : at + len(w["hash"])]
+            own.append(word[at : at + len(w["hash"])])
             own_contexts = np.repeat(context[on : on + len(c["hash"])], c["pairs"].astype(np.int64))
             at, on = at + len(w["hash"]), on + len(c["hash"])
-            key = own_contexts * len(self.words) + own_words[p["word"].astype(np.int64)]
-            self.asked.append((own_words, key))
-            keys.append(key)
+            keys.append(own_contexts * len(self.words) + own[-1][p["word"].astype(np.int64)])
             counts.append(p["count"].astype(np.int64))
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, inverse.ravel(), np.concatenate(counts))
-        self.key, self.count = key[total > 0], total[total > 0]
-
-    def restaurants(self) -> tuple[Restaurants, np.ndarray]:
-        """The restaurants that have customers, and their number for each context (-1: none)."""
-        seen, context = np.unique(self.key // max(1, len(self.words)), return_inverse=True)
-        number = np.full(len(self.contexts), -1, np.int64)
-        number[seen] = np.arange(len(seen))
-        return Restaurants(context.ravel(), self.key % max(1, len(self.words)), self.count), number
-
-    def pairs(self, key: np.ndarray) -> np.ndarray:
-        """The place of each (context, word), -1 for those without customers."""
-        if not len(self.key):
-            return np.full(len(key), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, at, -1)
-
+        self.key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.count = np.bincount(place.ravel(), np.concatenate(counts), len(self.key)).astype(np.int64)
+        #: Per question the places of its words and pairs, both ascending as the question is.
+        self.asked = list(zip(own, np.split(place.ravel(), np.cumsum([len(k) for k in keys])[:-1]), strict=True))
+        self.context, self.word = self.key // max(1, len(self.words)), self.key % max(1, len(self.words))
 
-REQUEST = "array<struct<block:int,contexts:binary,words:binary,pairs:binary>>"
+    def restaurants(self) -> Restaurants:
+        return Restaurants(self.context, self.word, self.count)
 
 
 def score_texts(docs: DataFrame, held_out: str, settings: Settings = Settings(), block_bytes: int = BLOCK_BYTES) -> DataFrame:  # noqa: B008
@@ -237,140 +225,107 @@ def score_texts(docs: DataFrame, held_out: str, settings: Settings = Settings(),
                 out[c].append(v)
         return pa.table({c: pa.array(v, pa.int32() if c in ("shard", "block") else pa.binary()) for c, v in out.items()})
 
-    def gathered(requests) -> Gathered:
-        return Gathered([tuple(unpack_arrays(r[c]) for c in ("contexts", "words", "pairs")) for r in requests])
+    def share(once: int | None, twice: int | None) -> float:  # the usual estimate from what is seen once and twice
+        return min(0.95, max(0.05, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
 
     def gather(table: pa.Table) -> pa.Table:
-        """All questions of a shard, and what each shard of parents has to know of its words."""
-        table = table.sort_by("block").combine_chunks()
-        flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(n) for n in ("block", "contexts", "words", "pairs"))]
-        requests = pa.StructArray.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in flat], names=["block", "contexts", "words", "pairs"])
-        g = gathered(requests)
-        word, n = g.key % len(g.words), len(g.words)
-        types, frequency = np.bincount(word, minlength=n).astype(np.uint32), np.bincount(word, g.count, n).astype(np.uint64)
-        up = [{"parent": p, "data": pack_arrays(hash=g.words[at], types=types[at], frequency=frequency[at])} for p, at in split_by(_parent_of(g.words, shards))]
-        return pa.table({"shard": table.column("shard")[:1], "requests": pa.ListArray.from_arrays(pa.array([0, len(requests)], pa.int32()), requests),
-                         "up": pa.array([up], pa.list_(pa.struct([("parent", pa.int32()), ("data", pa.binary())]))),
-                         "pairs": [len(g.key)], "customers": [int(g.count.sum())], "once": [int((g.count == 1).sum())], "twice": [int((g.count == 2).sum())]})
-
-    numbers = "pairs long, customers long, once long, twice long"
+        """All questions of a shard, seated against a parent of its own contexts, and what each shard of parents has to know."""
+        table = table.sort_by("block")
+        number, n = table.column("shard")[0].as_py(), table.num_rows
+        g = Gathered([tuple(unpack_arrays(table.column(c)[i]) for c in ("contexts", "words", "pairs")) for i in range(n)])
+        r, words = g.restaurants(), len(g.words)
+        seen = g.count > 0
+        types, frequency = np.bincount(g.word[seen], minlength=words), np.bincount(g.word, g.count, words)
+        once, twice = int((g.count == 1).sum()), int((g.count == 2).sum())
+        known = int((types > 0).sum())
+        own = parent_probability(types, np.minimum(types, 1), float(types.sum()), float(known), known, a, share((types == 1).sum(), (types == 2).sum()))
+        rng = np.random.default_rng([settings.seed, number])
+        for _ in range(1 + settings.burn_in):
+            r.sweep(own, a, share(once, twice), rng)
+        tables, parent = r.served(words), _parent_of(g.words, shards)
+        up = [{"parent": p, "data": pack_arrays(hash=g.words[at], tables=tables[at].astype(np.uint32), frequency=frequency[at].astype(np.uint64))} for p, at in split_by(parent)]
+        asks = [{"block": b, "words": pack_arrays(step=_steps(w)), "pairs": pack_arrays(step=_steps(p))} for b, (w, p) in zip(table.column("block").to_pylist(), g.asked, strict=True)]
+        return pa.table({
+            "shard": table.column("shard")[:1], "main": [pack_arrays(step=_steps(g.context), word=g.word.astype(np.uint32), count=g.count.astype(np.uint32), tables=r.tables.astype(np.uint32))], "parents": [pack_arrays(parent=parent.astype(np.uint32))],
+            "asks": pa.array([asks], pa.list_(pa.struct([("block", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())]))), "up": pa.array([up], pa.list_(pa.struct([("parent", pa.int32()), ("data", pa.binary())]))),
+            "customers": [int(g.count.sum())], "tables": [int(r.tables.sum())], "once": [once], "twice": [twice]})
+
     asked = packed(placed).groupBy("block").applyInArrow(ask, "shard int, block int, contexts binary, words binary, pairs binary")
-    shelf = checkpointed(asked.groupBy("shard").applyInArrow(gather, f"shard int, requests {REQUEST}, up array<struct<parent:int,data:binary>>, {numbers}"))
+    shelf = checkpointed(asked.groupBy("shard").applyInArrow(gather, "shard int, main binary, parents binary, asks array<struct<block:int,words:binary,pairs:binary>>, up array<struct<parent:int,data:binary>>, customers long, tables long, once long, twice long"))
 
     def parents(table: pa.Table) -> pa.Table:
-        """The words of one shard of parents: for each shard of contexts their places, and types and frequencies over all."""
+        """The words of one shard of parents: for each shard of contexts their places, and tables and frequencies over all."""
         table = table.sort_by("shard")
         mail = [unpack_arrays(d) for d in table.column("data")]
         words, place = np.unique(np.concatenate([m["hash"] for m in mail]), return_inverse=True)
-        types, frequency = (np.bincount(place.ravel(), np.concatenate([m[c] for m in mail]).astype(np.float64), len(words)).astype(np.int64) for c in ("types", "frequency"))
+        served, frequency = (np.bincount(place.ravel(), np.concatenate([m[c] for m in mail]).astype(np.float64), len(words)).astype(np.int64) for c in ("tables", "frequency"))
         ends = np.cumsum([len(m["hash"]) for m in mail])[:-1]
-        lists = [{"shard": s, "at": pack_arrays(at=x.astype(np.uint32))} for s, x in zip(table.column("shard").to_pylist(), np.split(place.ravel(), ends), strict=True)]
+        lists = [{"shard": s, "at": pack_arrays(step=_steps(x))} for s, x in zip(table.column("shard").to_pylist(), np.split(place.ravel(), ends), strict=True)]
         return pa.table({"parent": table.column("parent")[:1], "lists": pa.array([lists], pa.list_(pa.struct([("shard", pa.int32()), ("at", pa.binary())]))),
-                         "counts": [pack_arrays(types=types, frequency=frequency)], "words": [int((frequency > 0).sum())], "once": [int((types == 1).sum())], "twice": [int((types == 2).sum())]})
+                         "counts": [pack_arrays(served=served, frequency=frequency)], "words": [int((frequency > 0).sum())], "once": [int((served == 1).sum())], "twice": [int((served == 2).sum())]})
 
     sent = shelf.select("shard", F.explode("up").alias("u")).select("shard", "u.*")
     known = checkpointed(sent.groupBy("parent").applyInArrow(parents, "parent int, lists array<struct<shard:int,at:binary>>, counts binary, words long, once long, twice long"))
-    row = shelf.agg(*[F.sum(c).alias(c) for c in ("pairs", "customers", "once", "twice")]).first()
+    row = shelf.agg(*[F.sum(c).alias(c) for c in ("customers", "tables", "once", "twice")]).first()
     over = known.agg(*[F.sum(c).alias(c) for c in ("words", "once", "twice")]).first()
-    n_train, n_words, n_pairs = row.customers or 0, over.words or 0, row.pairs or 0
-
-    def share(once: int | None, twice: int | None) -> float:  # the usual estimate from what is seen once and twice
-        return min(0.95, max(0.05, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
-
+    n_train, n_words, n_tables = row.customers or 0, over.words or 0, row.tables or 0
     discount, parent_discount = share(row.once, row.twice), share(over.once, over.twice)
 
-    def answers(lists, values: list[np.ndarray], parent: int) -> dict[str, list]:
-        """Values of the words of one shard of parents, in the order of each shard of contexts."""
-        out: dict[str, list] = {"shard": [], "parent": [], "data": []}
-        for r in lists:
-            at = unpack_arrays(r["at"])["at"].astype(np.int64)
-            out["shard"].append(r["shard"].as_py())
-            out["parent"].append(parent)
-            out["data"].append(pack_arrays(**{f"v{i}": v[at] for i, v in enumerate(values)}))
-        return {"shard": pa.array(out["shard"], pa.int32()), "parent": pa.array(out["parent"], pa.int32()), "data": pa.array(out["data"], pa.binary())}
-
-    mail_schema = "shard int, parent int, data binary"
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seat_parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Seatings of the parent restaurant for the tables that the shards of contexts have."""
         for batch in batches:
             for i in range(batch.num_rows):
-                types = unpack_arrays(batch.column("counts")[i])["types"]
-                p = parent_probability(types, np.minimum(types, 1), n_pairs, n_words, n_words, a, parent_discount)
-                yield pa.RecordBatch.from_pydict(answers(batch.column("lists")[i].values, [p.astype(np.float32)], batch.column("parent")[i].as_py()))
-
-    def spread(mail: pa.Table, words: np.ndarray, columns: int) -> list[np.ndarray]:
-        """Answers of all shards of parents, in the order of the shard's words."""
-        out, places = [np.zeros(len(words)) for _ in range(columns)], dict(split_by(_parent_of(words, shards)))
-        for parent, data in zip(mail.column("parent").to_pylist(), mail.column("data"), strict=True):
-            found = unpack_arrays(data)
-            for i in range(columns):
-                out[i][places[parent]] = found[f"v{i}"]
-        return out
-
-    def burn_in(table: pa.Table, mail: pa.Table) -> pa.Table:
-        """Sweeps against the parent's first probabilities; the seating stays (parent -1), the tables of each word go up."""
-        number, g = table.column("shard")[0].as_py(), gathered(table.column("requests")[0].values)
-        (parent,) = spread(mail, g.words, 1)
-        r, rng = g.restaurants()[0], np.random.default_rng([settings.seed, number])
-        for _ in range(1 + settings.burn_in):
-            r.sweep(parent, a, discount, rng)
-        served = r.served(len(g.words))
-        up = [(p, pack_arrays(tables=served[at].astype(np.uint32)), int(served[at].sum())) for p, at in split_by(_parent_of(g.words, shards))]
-        up.append((-1, pack_arrays(tables=r.tables.astype(np.uint32), weight=r.log_weight), 0))
-        return pa.table({"shard": pa.array([number] * len(up), pa.int32()), "parent": pa.array([u[0] for u in up], pa.int32()), "data": pa.array([u[1] for u in up], pa.binary()), "tables": pa.array([u[2] for u in up], pa.int64())})
-
-    first = known.mapInArrow(begin, mail_schema)
-    burnt = checkpointed(shelf.select("shard", "requests").groupBy("shard").cogroup(first.groupBy("shard")).applyInArrow(burn_in, f"{mail_schema}, tables long"))
-    n_tables = burnt.agg(F.sum("tables")).first()[0] or 0
-
-    def seat_parents(table: pa.Table, mail: pa.Table) -> pa.Table:
-        """Seatings of the parent restaurant for the tables that the shards of contexts have now."""
-        number, counts = table.column("parent")[0].as_py(), unpack_arrays(table.column("counts")[0])
-        served = np.zeros(len(counts["types"]), np.int64)
-        at = {r["shard"].as_py(): unpack_arrays(r["at"])["at"].astype(np.int64) for r in table.column("lists")[0].values}
-        for shard, data in zip(mail.column("shard").to_pylist(), mail.column("data"), strict=True):
-            np.add.at(served, at[shard], unpack_arrays(data)["tables"].astype(np.int64))
-        parent, rng = Parent(served), np.random.default_rng([settings.seed, number, 1])
-        elsewhere, out = float(n_words - parent.tables.sum()), []
-        for i in range(settings.burn_in + settings.samples):
-            parent.sweep(elsewhere, n_words, a, parent_discount, rng)
-            if i >= settings.burn_in:
-                out.append(parent.tables.copy())
-        return pa.table({"parent": table.column("parent")[:1], "seats": [pack_arrays(served=served, **{f"t{i}": t for i, t in enumerate(out)})], "sums": pa.array([[int(t.sum()) for t in out]], pa.list_(pa.int64()))})
-
-    lists = known.select("parent", "lists", "counts")
-    seats = checkpointed(lists.groupBy("parent").cogroup(burnt.filter("parent >= 0").select("shard", "parent", "data").groupBy("parent")).applyInArrow(seat_parents, "parent int, seats binary, sums array<long>"))
+                number, served = batch.column("parent")[i].as_py(), unpack_arrays(batch.column("counts")[i])["served"]
+                parent, rng, out = Parent(served), np.random.default_rng([settings.seed, number, 1]), []
+                elsewhere = float(n_words - parent.tables.sum())
+                for turn in range(settings.burn_in + settings.samples):
+                    parent.sweep(elsewhere, n_words, a, parent_discount, rng)
+                    if turn >= settings.burn_in:
+                        out.append(parent.tables.copy())
+                yield pa.RecordBatch.from_pydict({"parent": pa.array([number], pa.int32()), "lists": batch.column("lists").slice(i, 1), "counts": batch.column("counts").slice(i, 1),
+                                                  "seats": [pack_arrays(**{f"t{k}": t.astype(np.uint32) for k, t in enumerate(out)})], "sums": pa.array([[int(t.sum()) for t in out]], pa.list_(pa.int64()))})
+
+    seats = checkpointed(known.select("parent", "lists", "counts").mapInArrow(seat_parents, "parent int, lists array<struct<shard:int,at:binary>>, counts binary, seats binary, sums array<long>"))
     totals = seats.agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"t{i}") for i in range(settings.samples)]).first()
     all_tables = [float(t or 0) for t in totals]
 
-    def resume(table: pa.Table, mail: pa.Table) -> pa.Table:
-        counts, seated = unpack_arrays(table.column("counts")[0]), unpack_arrays(mail.column("seats")[0])
-        p = [parent_probability(seated["served"], seated[f"t{i}"], n_tables, t, n_words, a, parent_discount).astype(np.float32) for i, t in enumerate(all_tables)]
-        return pa.table(answers(table.column("lists")[0].values, [*p, counts["frequency"]], table.column("parent")[0].as_py()))
-
-    second = lists.groupBy("parent").cogroup(seats.groupBy("parent")).applyInArrow(resume, mail_schema)
-    state = burnt.filter("parent = -1").select("shard", "parent", "data")
+    def resume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For every shard of contexts the parent's probabilities and the frequencies of its words."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                counts, seated = unpack_arrays(batch.column("counts")[i]), unpack_arrays(batch.column("seats")[i])
+                p = [parent_probability(counts["served"], seated[f"t{k}"].astype(np.float64), n_tables, t, n_words, a, parent_discount).astype(np.float32) for k, t in enumerate(all_tables)]
+                for r in batch.column("lists")[i].values:
+                    at = np.cumsum(unpack_arrays(r["at"])["step"].astype(np.int64))
+                    data = pack_arrays(frequency=counts["frequency"][at], **{f"p{k}": v[at] for k, v in enumerate(p)})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([r["shard"].as_py()], pa.int32()), "parent": batch.column("parent").slice(i, 1), "data": pa.array([data], pa.binary())})
 
     def sample(table: pa.Table, mail: pa.Table) -> pa.Table:
         """Sweeps against the parent's seatings, one each, and the averaged answers to every block."""
-        number, requests = table.column("shard")[0].as_py(), table.column("requests")[0].values
-        g = gathered(requests)
-        own = [i for i, p in enumerate(mail.column("parent").to_pylist()) if p == -1]
-        saved = unpack_arrays(mail.column("data")[own[0]])
-        *parent, frequency = spread(mail.filter(pa.array([p != -1 for p in mail.column("parent").to_pylist()])), g.words, settings.samples + 1)
-        r, contexts = g.restaurants()
-        r.tables, r.log_weight = saved["tables"].astype(np.int64), saved["weight"].copy()
-        rng, size = np.random.default_rng([settings.seed, number, 2]), max(1, len(g.words))
-        asked = [(words, contexts[key // size], key % size, g.pairs(key)) for words, key in g.asked]
-        mean = [np.zeros(len(key)) for _, key in g.asked]
+        number, main = table.column("shard")[0].as_py(), unpack_arrays(table.column("main")[0])
+        places = dict(split_by(unpack_arrays(table.column("parents")[0])["parent"].astype(np.int64)))
+        words = sum(map(len, places.values()))
+        parent, frequency = [np.zeros(words) for _ in range(settings.samples)], np.zeros(words, np.int64)
+        for p, data in zip(mail.column("parent").to_pylist(), mail.column("data"), strict=True):
+            found = unpack_arrays(data)
+            frequency[places[p]] = found["frequency"]
+            for k, values in enumerate(parent):
+                values[places[p]] = found[f"p{k}"]
+        r = Restaurants(np.cumsum(main["step"].astype(np.int64)), main["word"].astype(np.int64), main["count"].astype(np.int64))
+        r.tables, rng, mean = main["tables"].astype(np.int64), np.random.default_rng([settings.seed, number, 2]), np.zeros(len(main["word"]))
         for p in parent:
             r.sweep(p, a, discount, rng)
-            for total, (_, context, word, pair) in zip(mean, asked, strict=True):
-                total += r.probabilities(context, pair, p[word], a, discount) / len(parent)
-        out = [(b.as_py(), number, pack_arrays(frequency=frequency[words].astype(np.int64)), pack_arrays(log=np.log10(total).astype(np.float32))) for b, total, (words, *_) in zip(requests.field("block"), mean, asked, strict=True)]
-        return pa.table({"block": pa.array([o[0] for o in out], pa.int32()), "shard": pa.array([o[1] for o in out], pa.int32()), "words": pa.array([o[2] for o in out], pa.binary()), "pairs": pa.array([o[3] for o in out], pa.binary())})
+            mean += r.probabilities(p, a, discount) / len(parent)
+        log = np.log10(mean).astype(np.float32)
+        out: dict[str, list] = {"block": [], "words": [], "pairs": []}
+        for ask in table.column("asks")[0].values:
+            at, on = (np.cumsum(unpack_arrays(ask[c])["step"].astype(np.int64)) for c in ("words", "pairs"))
+            for c, v in (("block", ask["block"].as_py()), ("words", pack_arrays(frequency=frequency[at])), ("pairs", pack_arrays(log=log[on]))):
+                out[c].append(v)
+        return pa.table({"block": pa.array(out["block"], pa.int32()), "shard": pa.array([number] * len(out["block"]), pa.int32()), "words": pa.array(out["words"], pa.binary()), "pairs": pa.array(out["pairs"], pa.binary())})
 
-    replies = shelf.select("shard", "requests").groupBy("shard").cogroup(second.unionByName(state).groupBy("shard")).applyInArrow(sample, "block int, shard int, words binary, pairs binary")
+    mail = seats.mapInArrow(resume, "shard int, parent int, data binary")
+    replies = shelf.select("shard", "main", "parents", "asks").groupBy("shard").cogroup(mail.groupBy("shard")).applyInArrow(sample, "block int, shard int, words binary, pairs binary")
     smallest = float(n_train + n_words + 1)
 
     def finish(table: pa.Table, mail: pa.Table) -> pa.Table:
