@@ -11,6 +11,18 @@ from scanloom.functions import geometry as G
 CAM = ["qw", "qx", "qy", "qz", "tx", "ty", "tz", "fx", "fy", "cx", "cy"]
 
 
+#: Parts into which the points of a scene are dealt when they meet rows of their scene.
+SPREAD = 64
+
+
+def with_scene(many: DataFrame, few: DataFrame, place: list[str]) -> DataFrame:
+    """Every row of ``many`` with every row of ``few`` of its scene.  A large scene
+    is dealt over SPREAD parts by ``place``; the few rows go to each part."""
+    part = F.pmod(F.xxhash64(*place), F.lit(SPREAD)).cast("int")
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return many.withColumn("_part", part).join(copies, ["scene", "_part"]).drop("_part")
+
+
 #: Cells per axis of a scene's points, from coarse to fine: boxes are tested against cameras level by level.
 LEVELS = (2, 8)
 _EDGE = 1e-9
@@ -20,7 +32,7 @@ def boxes(points: DataFrame, place: tuple[str, str, str]) -> tuple[DataFrame, Da
     """``points`` with ``_block``, a cell of their scene, and per block its box: centre ``_mid<axis>``
     and half sizes ``_half<axis>``, with the cell ``_top`` of the coarse level that holds it."""
     lims = points.groupBy("scene").agg(*[f(c).alias(f"_{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a, c in zip("xyz", place)])  # one row per scene
-    d = points.join(lims, "scene")
+    d = with_scene(points, lims, list(place))
 
     def cell(n: int):
         at = [F.least(F.floor((F.col(c) - F.col("_lo" + a)) / F.greatest(F.col("_hi" + a) - F.col("_lo" + a), F.lit(1e-300)) * n), F.lit(n - 1)) for a, c in zip("xyz", place)]
