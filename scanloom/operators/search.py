@@ -18,7 +18,7 @@ from scanloom.operators.toplists import top_per_key
 from scanloom.session import checkpointed, scratch_path
 
 #: Documents of a block, and blocks that are scored to find a threshold.
-BLOCK_DOCS, FIRST_BLOCKS = 256, 2
+BLOCK_DOCS, FIRST_BLOCKS = 1024, 2
 
 
 def terms(text: Column) -> Column:
