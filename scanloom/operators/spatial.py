@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.session import checkpointed
@@ -33,8 +33,9 @@ def curve_code(dims: list[str]) -> Column:
     return code
 
 
-def _nearest(q, tx, mult, tid, k, exclude):
-    """Flat arrays (query row, target row, distance, weight) of the nearest positions."""
+def _nearest(q, tx, mult, tid, k, exclude, ties=False):
+    """Flat arrays (query row, target row, distance, weight) of the nearest positions;
+    with ``ties`` up to k positions of every distance at which fewer than k targets are closer."""
     keep = min(k + (1 if exclude else 0), len(tx))
     rows, cols, dist = [], [], []
     step = max(1, 4_000_000 // max(len(tx), 1))
@@ -60,14 +61,21 @@ def _nearest(q, tx, mult, tid, k, exclude):
         before = np.cumsum(w) - w
         base = np.maximum.accumulate(np.where(first, before, 0))
         ok = before - base < k  # cut once the weights before already reach k
+        if ties:
+            group = first | np.r_[True, d[1:] != d[:-1]]
+            at = np.arange(len(r))
+            closer = np.maximum.accumulate(np.where(group, before, 0)) - base
+            ok = (closer < k) & (at - np.maximum.accumulate(np.where(group, at, 0)) < k)
         r, c, d, w = r[ok], c[ok], d[ok], w[ok]
     return r, c, d, w
 
 
 def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str, target_id: str, k: int, exclude_self: bool = False,
-        dims: list[str] | None = None, rows_per_block: int = 4096, fan: int = 64, top_boxes: int = 4096) -> DataFrame:
+        dims: list[str] | None = None, rows_per_block: int = 4096, fan: int = 64, top_boxes: int = 4096, ties: bool = False) -> DataFrame:
     """The k nearest targets of each query within its key, as an array of
     (d, id, weight, x, y, z) sorted by distance; weights add up to at most k.
+    Targets at one position are one entry with their smallest id; ``knn_ids`` tells
+    them apart.  With ``ties`` entries are left whole and positions as far as the last one stay.
 
     Pass one answers inside the home block and bounds the radius; pass two asks
     only the blocks whose box lies within that radius.  Blocks stand in curve
@@ -130,7 +138,7 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
         mult, tid = tar["mult"].to_numpy(float), tar["tid"].to_numpy()
         radius = np.full(len(qx), np.inf)
         if len(tx):
-            r, c, d, w = _nearest(qx, tx, mult, tid, k, exclude_self)
+            r, c, d, w = _nearest(qx, tx, mult, tid, k, exclude_self, ties)
             got = np.bincount(r, weights=w, minlength=len(qx)) if len(r) else np.zeros(len(qx))
             far = np.zeros(len(qx))
             np.maximum.at(far, r, d)
@@ -176,7 +184,7 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
                 return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
             qx, tx = ask[["q" + d for d in dims]].to_numpy(float), tar[dims].to_numpy(float)
             tid = tar["tid"].to_numpy()
-            r, c, d, w = _nearest(qx, tx, tar["mult"].to_numpy(float), tid, k, exclude_self)
+            r, c, d, w = _nearest(qx, tx, tar["mult"].to_numpy(float), tid, k, exclude_self, ties)
             ok = d <= ask["reach"].to_numpy()[r]
             return flat(qx, r[ok], 0, d[ok], tid[c[ok]], w[ok].astype("int64"), tx[c[ok]], keyvals)
 
@@ -185,7 +193,7 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
         found = found.unionByName(probes.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(away, schema))
     entry = F.struct("d", F.col("tid").alias("id"), F.col("w").alias("weight"), *[F.col("t" + d).alias(d) for d in dims])
     merged = found.groupBy(*keys, *[F.col("q" + d).alias(d) for d in dims]).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    merged = merged.withColumn("neighbours", _clip("_all", k)).drop("_all")
+    merged = merged.withColumn("neighbours", F.col("_all") if ties else _clip("_all", k)).drop("_all")
     return queries.select(*keys, query_id, *dims).join(merged, [*keys, *dims], "left")
 
 
@@ -196,6 +204,26 @@ def _clip(col: str, k: int) -> Column:
     return F.transform(kept, lambda z: z.e.withField("weight", F.least(z.e.weight, F.lit(k) - z.b)))
 
 
+def knn_ids(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str, target_id: str, k: int, exclude_self: bool = False,
+            dims: list[str] | None = None, **kw) -> DataFrame:
+    """The k nearest targets of each query within its key, each by its own id: an array of
+    (d, id) sorted by both, null without a target.  ``exclude_self`` leaves out the target with the query's id."""
+    dims = dims or XYZ
+    places = queries.select(*keys, *dims).distinct().withColumn("_at", F.lit(0))
+    found = knn(places, targets, keys, "_at", target_id, k, exclude_self, dims, ties=True, **kw)
+    found = found.select(*keys, *dims, F.explode("neighbours").alias("e")).select(*keys, *dims, "e.d", *[F.col("e." + c).alias("t" + c) for c in dims])
+    own = Window.partitionBy(*keys, *dims).orderBy(target_id)
+    first = targets.select(*keys, *dims, target_id).withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k + 1)  # one may be the query itself
+    first = first.select(*keys, *[F.col(c).alias("t" + c) for c in dims], F.col(target_id).alias("id"))
+    pairs = found.join(first, [*keys, *["t" + c for c in dims]])
+    best = Window.partitionBy(*keys, *dims).orderBy("d", "id")
+    pairs = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1)
+    lists = pairs.groupBy(*keys, *dims).agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("_all"))  # k + 1 entries
+    d = queries.select(*keys, query_id, *dims).join(lists, [*keys, *dims], "left")
+    others = F.filter("_all", lambda e: e.id != F.col(query_id)) if exclude_self else F.col("_all")
+    return d.withColumn("neighbours", F.slice(others, 1, k)).drop("_all")
+
+
 def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str, target_id: str, **kw) -> DataFrame:
     d = knn(queries, targets, keys, query_id, target_id, 1, **kw)
     return d.select(*keys, query_id, F.get("neighbours", F.lit(0)).d.alias("distance"), F.get("neighbours", F.lit(0)).id.alias("nearest_id"))

@@ -64,7 +64,7 @@ def neighbour_normals(t):
 def nearest_views(t):
     v = t.supplier.select((F.col("s_nationkey") % 4).alias("scene"), F.col("s_suppkey").alias("view_id"), (F.col("s_acctbal") / 1000).alias("x"),
                           (F.col("s_nationkey") * 37 % 25).cast("double").alias("y"), (F.col("s_suppkey") % 11).cast("double").alias("z"))
-    d = S.knn(v, v, ["scene"], "view_id", "view_id", 4, exclude_self=True, rows_per_block=150)
+    d = S.knn_ids(v, v, ["scene"], "view_id", "view_id", 4, exclude_self=True, rows_per_block=150)
     return d.select("view_id", F.coalesce(F.array_join(F.transform("neighbours", lambda e: e.id.cast("string")), ","), F.lit("")).alias("sources"))
 
 

@@ -52,6 +52,17 @@ def test_knn_blocks_match_brute_force(cloud, exclude, rows, fan, top):
         np.testing.assert_allclose(d, want[pid], atol=1e-9)
 
 
+@pytest.mark.parametrize("rows", [7, 5000])
+@pytest.mark.parametrize("exclude", [True, False])
+def test_knn_ids_tells_copies_and_equal_distances_apart(spark, rows, exclude):
+    places = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (5.0, 5.0, 5.0)]
+    points = [(0, i, *places[i * 7 % 11 % 5]) for i in range(40)] + [(1, 99, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(points, "c int, id long, x double, y double, z double")
+    got = {r.id: [(e.d, e.id) for e in r.neighbours or []] for r in S.knn_ids(df, df, ["c"], "id", "id", 4, exclude_self=exclude, rows_per_block=rows).collect()}
+    for c, i, *p in points:
+        assert got[i] == sorted((float(np.sqrt(((np.array(p) - q) ** 2).sum())), j) for b, j, *q in points if b == c and not (exclude and i == j))[:4]
+
+
 def test_nearest_between_clouds_over_blocks(cloud):
     pdf, df = cloud
     a, b = df.filter("point_id % 2 = 0"), df.filter("point_id % 2 = 1")
