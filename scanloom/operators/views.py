@@ -15,12 +15,18 @@ CAM = ["qw", "qx", "qy", "qz", "tx", "ty", "tz", "fx", "fy", "cx", "cy"]
 SPREAD = 64
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is always shuffled.  Rows made by ``explode`` are far more than
+    Spark estimates from the files behind them; such a side must not be collected for a broadcast."""
+    return df.hint("merge")
+
+
 def with_scene(many: DataFrame, few: DataFrame, place: list[str]) -> DataFrame:
     """Every row of ``many`` with every row of ``few`` of its scene.  A large scene
     is dealt over SPREAD parts by ``place``; the few rows go to each part."""
     part = F.pmod(F.xxhash64(*place), F.lit(SPREAD)).cast("int")
     copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return many.withColumn("_part", part).join(copies, ["scene", "_part"]).drop("_part")
+    return many.withColumn("_part", part).join(dealt(copies), ["scene", "_part"]).drop("_part")
 
 
 #: Cells per axis of a scene's points, from coarse to fine: boxes are tested against cameras level by level.
@@ -52,9 +58,9 @@ def with_visible(points: DataFrame, cameras: DataFrame, place: tuple[str, str, s
     d, fine = boxes(points, place)
     low, high = ({a: f(F.col("_mid" + a) + sign * F.col("_half" + a)) for a in "xyz"} for f, sign in ((F.min, -1), (F.max, 1)))
     coarse = fine.groupBy("scene", "_top").agg(*[f.alias(n + a) for a in "xyz" for n, f in (("_mid", (low[a] + high[a]) / 2), ("_half", (high[a] - low[a]) / 2))])
-    some = coarse.join(cameras, "scene").filter(may_see()).drop(*[n + a for n in ("_mid", "_half") for a in "xyz"])
-    seen = fine.join(some, ["scene", "_top"]).filter(may_see()).drop("_top", *[n + a for n in ("_mid", "_half") for a in "xyz"])
-    return d.join(seen, ["scene", "_block"]).drop("_block")
+    some = coarse.join(dealt(cameras), "scene").filter(may_see()).drop(*[n + a for n in ("_mid", "_half") for a in "xyz"])
+    seen = fine.join(dealt(some), ["scene", "_top"]).filter(may_see()).drop("_top", *[n + a for n in ("_mid", "_half") for a in "xyz"])
+    return d.join(dealt(seen), ["scene", "_block"]).drop("_block")
 
 
 def _radius():
@@ -85,7 +91,7 @@ def _pose(pre: str = "") -> tuple[tuple, tuple]:
 
 
 def to_world(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
-    d = pixels.join(cameras, ["scene", "view"])
+    d = pixels.join(dealt(cameras), ["scene", "view"])
     cam = G.back_project(F.col("x"), F.col("y"), F.col("depth"), *[F.col(c) for c in ("fx", "fy", "cx", "cy")])
     w = G.camera_to_world(*_pose(), cam)
     return d.select(*pixels.columns, *[c.alias(n) for n, c in zip(("wx", "wy", "wz"), w)])
@@ -108,7 +114,7 @@ def in_view(points: DataFrame, cameras: DataFrame, view: str = "src", frame: tup
 def with_frames(cameras: DataFrame, depth: DataFrame) -> DataFrame:
     """Cameras with the size of their depth maps, a pixel wider on every side: ``_right`` and ``_below``."""
     size = depth.groupBy("scene", "view").agg((F.max("x") + 2.0).alias("_right"), (F.max("y") + 2.0).alias("_below"))
-    return cameras.join(size, ["scene", "view"])
+    return cameras.join(dealt(size), ["scene", "view"])
 
 
 FRAME = (-1.0, "_right", -1.0, "_below")
@@ -122,9 +128,9 @@ def fuse_depth(depth: DataFrame, cameras: DataFrame, threshold: float, min_views
     seen = in_view(ref.select(*key, "wx", "wy", "wz"), with_frames(cameras, depth), frame=FRAME).filter("src <> view AND u >= 0 AND v >= 0")
     seen = seen.withColumns({"sx": F.floor("u").cast("int"), "sy": F.floor("v").cast("int")})
     other = depth.select("scene", F.col("view").alias("src"), F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("depth").alias("sd"), F.col("confidence").alias("sc"))
-    agree = seen.join(other, ["scene", "src", "sy", "sx"]).filter((F.col("sc") > 0.5) & (F.abs(F.col("sd") - F.col("z")) < threshold))
+    agree = seen.join(dealt(other), ["scene", "src", "sy", "sx"]).filter((F.col("sc") > 0.5) & (F.abs(F.col("sd") - F.col("z")) < threshold))
     n = agree.groupBy(*key).agg(F.count("*").alias("_n"))
-    d = ref.join(n, key, "left").withColumn("views", F.coalesce("_n", F.lit(0)) + 1)
+    d = ref.join(dealt(n), key, "left").withColumn("views", F.coalesce("_n", F.lit(0)) + 1)
     return d.filter(F.col("views") >= min_views).select(*key, "wx", "wy", "wz", "views")
 
 
@@ -160,7 +166,7 @@ def carve(voxels: DataFrame, cameras: DataFrame, masks: DataFrame, width: int, h
     u, v = (F.col("_px") / F.col("_pw") * 0.5 + 0.5) * width, (1 - F.col("_py") / F.col("_pw")) * 0.5 * height
     d = d.withColumns({"u": u, "v": v}).filter((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
     d = d.select("scene", "view", "ix", "iy", "iz", F.floor("v").cast("int").alias("y"), F.floor("u").cast("int").alias("x"))
-    hit = d.join(masks, ["scene", "view", "y", "x"])
+    hit = d.join(dealt(masks), ["scene", "view", "y", "x"])
     s = hit.groupBy("scene", "ix", "iy", "iz").agg(F.count("*").alias("views"), F.min(F.col("mask") >= 128).alias("_in"))
     return s.filter("_in").drop("_in")
 
@@ -171,8 +177,8 @@ def colour_points(points: DataFrame, cameras: DataFrame, pixels: DataFrame, widt
     rx, ry = F.floor(F.col("u") + 0.5).cast("int"), F.floor(F.col("v") + 0.5).cast("int")
     seen = seen.withColumns({"x": rx, "y": ry}).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height))
     first = seen.groupBy("scene", "point_id").agg(F.min_by(F.struct("src", "y", "x"), "src").alias("_f")).select("scene", "point_id", F.col("_f.src").alias("view"), "_f.y", "_f.x")
-    c = first.join(pixels.select("scene", "view", "y", "x", "r", "g", "b"), ["scene", "view", "y", "x"]).select("scene", "point_id", "view", "r", "g", "b")
-    d = points.join(c, ["scene", "point_id"], "left")
+    c = first.join(dealt(pixels.select("scene", "view", "y", "x", "r", "g", "b")), ["scene", "view", "y", "x"]).select("scene", "point_id", "view", "r", "g", "b")
+    d = points.join(dealt(c), ["scene", "point_id"], "left")
     return d.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in zip("rgb", default)})
 
 
@@ -190,7 +196,7 @@ def integrate_tsdf(depth: DataFrame, cameras: DataFrame, size: float, truncation
         cells = cells.withColumn("v" + a, F.explode(F.sequence(F.col("v" + a) - spread, F.col("v" + a) + spread)))
     cells = cells.distinct().select("*", *[((F.col("v" + a) + 0.5) * size).alias("w" + a) for a in "xyz"])
     seen = in_view(cells, with_frames(cameras, depth), frame=FRAME).withColumns({"x": F.floor(F.col("u") + 0.5).cast("int"), "y": F.floor(F.col("v") + 0.5).cast("int")})
-    d = seen.join(depth.filter("depth > 0").select("scene", F.col("view").alias("src"), "y", "x", "depth"), ["scene", "src", "y", "x"])
+    d = seen.join(dealt(depth.filter("depth > 0").select("scene", F.col("view").alias("src"), "y", "x", "depth")), ["scene", "src", "y", "x"])
     d = d.withColumn("s", F.col("depth") - F.col("z")).filter(F.col("s") >= -truncation).withColumn("s", F.least("s", F.lit(truncation)) / truncation)
     vox = ["scene", "vx", "vy", "vz"]
     w = Window.partitionBy(*vox)  # one row per view that sees the voxel

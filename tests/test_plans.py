@@ -44,3 +44,8 @@ def test_scene_joins_are_dealt_over_parts(spark):
         assert sorted((r.wx, r.view) for r in d.collect()) == sorted((float(i), v) for i in range(200) for v in (1, 2))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["visual_hull", "sparse_colouring", "tsdf_integration"])
+def test_exploded_sides_are_not_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan(QUERIES[name].run(spark, DATA))
