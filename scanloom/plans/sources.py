@@ -223,9 +223,9 @@ def image_rows_decoded(t):
     """7-bit bitmaps written by the text sink (one value per image) and decoded by the image source."""
     row = F.array_join(F.transform("embedding", lambda v: F.repeat(F.chr(F.least(F.greatest(F.floor((v.cast("double") + 0.5) * 127), F.lit(0)), F.lit(127)).cast("long")), F.lit(3))), "")
     img = t.embeddings.groupBy(F.floor(F.col("vec_id") / 16).alias("frame")).agg(F.count("*").alias("h"), F.array_sort(F.collect_list(F.struct((-F.col("vec_id")).alias("o"), row.alias("line")))).alias("l"))  # sixteen rows
-    size = F.col("h") * 192
+    size = F.col("h") * 256  # 192 bytes of pixels a row and 64 that follow them all: no byte of a size reaches 128, whatever the rows
     head = [F.lit("BM"), *_bytes(size + 54, 4), *_bytes(0, 4), *_bytes(54, 4), *_bytes(40, 4), *_bytes(64, 4), *_bytes(F.col("h"), 4), *_bytes(1, 2), *_bytes(24, 2), *_bytes(0, 4), *_bytes(size, 4), F.repeat(F.chr(F.lit(0)), F.lit(16))]
-    bmp = F.concat(*head, F.array_join(F.transform("l", lambda s: s.line), ""))
+    bmp = F.concat(*head, F.array_join(F.transform("l", lambda s: s.line), ""), F.repeat(F.chr(F.lit(0)), F.col("h").cast("int") * 64))
     target = scratch_path(t.spark, "images")
     img.select("frame", bmp.alias("value")).repartition("frame").write.partitionBy("frame").text(target)
     d, _ = S.read_images(t.spark, target + "/*")
@@ -244,5 +244,9 @@ def mesh_scan(t):
     (v.unionByName(f).repartition("mesh").sortWithinPartitions("mesh", "seq").select("mesh", F.col("line").alias("value")).write.partitionBy("mesh").text(target))
     name = F.regexp_extract("mesh_id", r"mesh=(\d+)", 1).cast("long").alias("mesh")
     verts, faces = S.read_meshes(t.spark, target + "/*", default="obj")
-    a = verts.groupBy(name).agg(F.count("*").alias("vertices"), rnd(F.sum("x"), 5).alias("x"))
-    return a.join(faces.groupBy(name).agg(F.count("*").alias("faces")), "mesh").select("mesh", "vertices", "faces", "x")
+    # sixteen vertices, summed in their order: the sums have six places, so halves of the fifth are common
+    a = verts.groupBy(name).agg(F.count("*").alias("vertices"), F.array_sort(F.collect_list(F.struct("v", "x"))).alias("l"))
+    total = F.aggregate("l", F.lit(0.0), lambda s, e: s + e.x)
+    x = (F.round(total * 1e5, 0) / 1e5 + 0.0).alias("x")
+    faces = faces.groupBy(name).agg(F.count("*").alias("faces"))
+    return a.join(faces, "mesh", "left").select("mesh", "vertices", F.coalesce("faces", F.lit(0)).alias("faces"), x)

@@ -272,6 +272,7 @@ class Shapes:
 
         Faces keep their first three corners; negative indices count back from
         the line; equal corners are one vertex, numbered as they first appear.
+        Files without faces keep all their vertices, as points.
         A line that cannot be read keeps its number; faces that need it are rejected."""
         d = ranges.count_before(self.obj_lines("v", "vt", "vn", "f"), {n: (F.col("tag") == n).cast("long") for n in ("v", "vt", "vn")}, ("uri", "block", "no"))
         d = d.withColumn("n", numbers(F.slice("w", 2, 6)))
@@ -302,6 +303,8 @@ class Shapes:
         first = usable.groupBy("path", "_v", "_vt", "_vn").agg(F.min(F.struct("no", "corner")).alias("_seen"))
         ids = ranked_within(first, ["path"], [F.col("_seen")], into="id").drop("group_size", "_seen")
         verts = ids.join(positions, ["path", "_v"]).join(textures, ["path", "_vt"], "left").select("path", F.col("id").alias("v"), *"xyzrgbst")
+        points = positions.join(f.select("path").distinct(), "path", "left_anti").select("path", (F.col("_v") - 1).alias("v"), *"xyzrgb")
+        verts = verts.unionByName(points, allowMissingColumns=True)
         tri = usable.join(ids, ["path", "_v", "_vt", "_vn"]).groupBy("path", "no").agg(*[F.max(F.when(F.col("corner") == i, F.col("id"))).alias(c) for i, c in enumerate("abc")])
         faces = ranked_within(tri, ["path"], [F.col("no")], into="f").select("path", "f", *"abc")
         rejects = pos.filter("not ok").unionByName(tex.filter("not ok"), allowMissingColumns=True).select("path", F.col("no").alias("line"), F.col("value").alias("reason"))
