@@ -91,7 +91,7 @@ def top_features_per_image(t):
    ON a.user_id=b.user_id AND abs(a.bin-b.bin) BETWEEN 1 AND 2 GROUP BY 1,2,3)
   SELECT user_id, bin, round(m,4) AS magnitude, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, bin) AS r FROM n WHERE c = 4 AND m > best) WHERE r <= 6""", EVT))
 def spectral_peak_top(t):
-    s = user_events(t).groupBy("user_id", F.floor(F.col("k") / 4).cast("int").alias("bin")).agg(F.sum("value").alias("magnitude"))
+    s = user_events(t).groupBy("user_id", F.floor(F.col("k") / 4).cast("int").alias("bin")).agg(F.sum(F.col("value").cast("decimal(28,18)")).cast("double").alias("magnitude"))  # whatever the order of the rows
     return T.spectral_peaks(s, ["user_id"]).select("user_id", "bin", rnd("magnitude", 4).alias("magnitude"), "rank")
 
 

@@ -1,5 +1,6 @@
 """Queries on tables with odd last groups and sums that lie between two places."""
 
+import datetime
 import random
 
 from scanloom.plans import QUERIES
@@ -30,3 +31,11 @@ def test_short_last_images_are_decoded(spark, duck, tmp_path):
 def test_meshes_without_faces_and_sums_between_two_places(spark, duck, tmp_path):
     halves = [(i, [0.000005 if i % 16 == 0 else (i // 16) * 0.01 + (i % 16) * 0.001] + [0.1] * 63, 0) for i in range(16 * 40)]
     assert same_as_sql(spark, duck, tmp_path, "mesh_scan", "embeddings", halves + [(640, [0.5] * 64, 0), (641, [0.25] * 64, 0)], VECTORS) == 41
+
+
+def test_equal_magnitudes_are_no_peak_in_any_order(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    bins = {0: [1.0], 1: [0.3, 0.2, 0.1], 2: [0.1, 0.2, 0.3], 3: [0.1], 4: [0.1]}
+    rows = [(i, day, 1, "view", v, f'{{"k": {4 * b}}}') for i, (b, v) in enumerate((b, v) for b, vs in {**bins, 0: [0.1]}.items() for v in vs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["spectral_peak_top"].run(spark, str(tmp_path)).collect() == []
