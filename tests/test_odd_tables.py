@@ -39,3 +39,18 @@ def test_equal_magnitudes_are_no_peak_in_any_order(spark, tmp_path):
     rows = [(i, day, 1, "view", v, f'{{"k": {4 * b}}}') for i, (b, v) in enumerate((b, v) for b, vs in {**bins, 0: [0.1]}.items() for v in vs)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert QUERIES["spectral_peak_top"].run(spark, str(tmp_path)).collect() == []
+
+
+def test_votes_are_written_without_sums_that_follow_from_the_offset(spark):
+    import glob
+
+    from scanloom.operators.joins import align_hashes
+    from scanloom.session import shared_dir
+
+    track = spark.createDataFrame([(1, f"h{i}", i) for i in range(0, 40, 2)], "id long, hash string, time int")
+    ref = spark.createDataFrame([(f"h{i}", i + 7 + i // 20) for i in range(40)], "hash string, time long")
+    before = set(glob.glob(f"{shared_dir(spark)}/votes-*"))
+    got = align_hashes(track, ref, ["id"], 20).collect()
+    assert [(r.best_ms, r.votes, r.pairs) for r in got] == [(140, 10, 20)] and 1.02 < got[0].stretch < 1.06
+    (path,) = set(glob.glob(f"{shared_dir(spark)}/votes-*")) - before
+    assert spark.read.parquet(path).columns == ["id", "offset_ms", "votes", "sx", "sxx"]
