@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as G
-from scanloom.functions.numeric import rnd
+from scanloom.functions.numeric import exact_mean, rnd
 from scanloom.operators import aggregates as A
 from scanloom.plans.inputs import EVT, PTS, RGB, points, rgb, user_events
 from scanloom.plans.registry import query, with_ctes
@@ -218,7 +218,8 @@ _DEF_SQL = {"blur": "avg(l_quantity)", "overexposure": "avg(l_discount)", "colou
        + "), b AS (SELECT *, CASE WHEN lo THEN th-sc ELSE sc-th END AS o FROM s) SELECT k AS l_suppkey, round(greatest(1-sum(CASE WHEN o > 0 THEN 0.2::DOUBLE*least(o/th,1) ELSE 0 END),0),6) score, count(*) FILTER (o>0) bad,"
          " coalesce(string_agg(DISTINCT act, ',' ORDER BY act) FILTER (o>0),'') actions FROM b GROUP BY 1")
 def capture_quality_score(t):
-    wide = t.lineitem.groupBy("l_suppkey").agg(*[F.expr(s).alias(d) for d, s in _DEF_SQL.items()])
+    # Means that meet a threshold exactly are no defect: sums of decimals, the same in any order of the rows.
+    wide = t.lineitem.groupBy("l_suppkey").agg(*[exact_mean(s[4:-1]).alias(d) for d, s in _DEF_SQL.items()])
     rows = wide.unpivot("l_suppkey", list(_DEF_SQL), "defect", "score")
     th = t.spark.createDataFrame(DEFECTS, "defect string, threshold double, low_is_bad boolean, action string")
     return A.quality_scores(rows, ["l_suppkey"], th).withColumn("score", rnd("score"))

@@ -54,3 +54,13 @@ def test_votes_are_written_without_sums_that_follow_from_the_offset(spark):
     assert [(r.best_ms, r.votes, r.pairs) for r in got] == [(140, 10, 20)] and 1.02 < got[0].stretch < 1.06
     (path,) = set(glob.glob(f"{shared_dir(spark)}/votes-*")) - before
     assert spark.read.parquet(path).columns == ["id", "offset_ms", "votes", "sx", "sxx"]
+
+
+def test_means_on_their_threshold_are_no_defect_in_any_order(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    orders = [[0.05, 0.08, 0.06, 0.01, 0.07, 0.03, 0.02, 0.0], [0.03, 0.08, 0.07, 0.02, 0.0, 0.01, 0.06, 0.05]]  # 0.04 on average, and a little more by a running sum in the first order
+    rows = [(i, 1, s, 1, 30.0, 1.0, 0.01, x, "A", "O", day) for s, o in enumerate(orders) for i, x in enumerate(o)]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["capture_quality_score"].run(spark, str(tmp_path)).collect()
+    assert len(got) == 2 and {(r.score, r.bad, r.actions) for r in got} == {(1.0, 0, "")}
