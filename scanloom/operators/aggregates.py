@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.operators.ordering import order_stats
+from scanloom.operators.ordering import join_groups, order_stats
 from scanloom.operators.toplists import top_per_key
 from scanloom.session import checkpointed
 
@@ -201,16 +201,15 @@ def robust_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median, scaled MAD, then the root mean square of samples within six of it;
     second_moment repeats the cut on the raw values."""
     centre = checkpointed(order_stats(df, keys, value, {"centre": ("nearest", 0.5)}))  # one row per key
-    d = df.select(*keys, value).join(centre.select(*keys, "centre"), keys).withColumn("_dev", F.abs(F.col(value) - F.col("centre")))
-    mad = order_stats(d, keys, "_dev", {"mad": ("nearest", 0.5)}).select(*keys, "mad")
-    mad = checkpointed(mad)
-    d = d.join(mad, keys).withColumn("_init", F.greatest(F.col("mad") / 0.67448974, F.lit(1e-6)))
+    d = join_groups(df.select(*keys, value), centre, keys).drop("n").withColumn("_dev", F.abs(F.col(value) - F.col("centre")))
+    mad = checkpointed(order_stats(d, keys, "_dev", {"mad": ("nearest", 0.5)}))
+    d = join_groups(d, mad, keys).drop("n").withColumn("_init", F.greatest(F.col("mad") / 0.67448974, F.lit(1e-6)))
     kept = F.col("_dev") <= 6 * F.col("_init")
     s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.first("centre").alias("centre"), F.first("mad").alias("mad"), F.first("_init").alias("_init"),
                              F.count_if(kept).alias("kept"), F.sqrt(F.avg(F.when(kept, F.col("_dev") * F.col("_dev")))).alias("_rms"))
     s = s.withColumn("sigma", F.when(F.col("kept") < 2, F.col("_init")).otherwise(F.col("_rms"))).drop("_init", "_rms")
-    v = F.col(value)
-    m = df.select(*keys, value).join(s.select(*keys, "sigma"), keys).groupBy(*keys).agg(
+    s, v = checkpointed(s), F.col(value)
+    m = join_groups(df.select(*keys, value), s.select(*keys, "n", "sigma"), keys).groupBy(*keys).agg(
         F.avg(F.when(F.abs(v) <= 6 * F.col("sigma"), v * v)).alias("second_moment"))
     return s.join(m, keys)
 

@@ -204,19 +204,19 @@ def floor_plan(vertices: DataFrame, keys: list[str], percentile: float, band_m:
     """Area, perimeter and confidence of the floor outline per object.  Points in
     the height band are counted per cell; only boundary cells reach the hull."""
     from scanloom.operators.imaging import row_hull
-    from scanloom.operators.ordering import order_stats
+    from scanloom.operators.ordering import join_groups, order_stats
 
     s = order_stats(vertices, keys, "y", {"_floor": ("scaled", percentile), "_alt": ("scaled", 0.12)})
     s = checkpointed(s.join(vertices.groupBy(*keys).agg(F.max("y").alias("_top")), keys))  # one row per key
     band = F.greatest(F.lit(band_m), F.greatest(F.col("_top") - F.col("_floor"), F.lit(1e-3)) * 0.05)
-    d = vertices.join(s.withColumn("_band", band), keys)
+    d = join_groups(vertices, s.withColumn("_band", band), keys).drop("n")
     low = F.col("y") <= F.col("_floor") + F.col("_band")
     alt = F.col("y") <= F.least(F.col("_alt") + F.col("_band") * 1.5, F.col("_top"))
-    enough = d.groupBy(*keys).agg((F.count_if(low) >= 64).alias("_many"))
-    p = d.join(enough, keys).filter(F.when(F.col("_many"), low).otherwise(alt)).select(*keys, (F.col("x") * scale).alias("px"), (F.col("z") * scale).alias("pz"))
+    enough = checkpointed(d.groupBy(*keys).agg((F.count_if(low) >= 64).alias("_many"), F.count("*").alias("n")))
+    p = join_groups(d, enough, keys).filter(F.when(F.col("_many"), low).otherwise(alt)).select(*keys, (F.col("x") * scale).alias("px"), (F.col("z") * scale).alias("pz"))
     box = p.groupBy(*keys).agg(F.count("*").alias("points"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("pz").alias("z0"), F.max("pz").alias("z1")).filter("points >= 16")
     box = checkpointed(box).withColumns({"w": F.greatest(F.ceil((F.col("x1") - F.col("x0")) / cell), F.lit(1)), "h": F.greatest(F.ceil((F.col("z1") - F.col("z0")) / cell), F.lit(1))})
-    c = p.join(box, keys).withColumns({"cx": F.floor((F.col("px") - F.col("x0")) / cell).cast("int"), "cz": F.floor((F.col("pz") - F.col("z0")) / cell).cast("int")})
+    c = join_groups(p, box, keys, rows="points").withColumns({"cx": F.floor((F.col("px") - F.col("x0")) / cell).cast("int"), "cz": F.floor((F.col("pz") - F.col("z0")) / cell).cast("int")})
     c = c.filter((F.col("cx") < F.col("w")) & (F.col("cz") < F.col("h"))).groupBy(*keys, "cx", "cz").agg(F.count("*").alias("n"))
     top = c.groupBy(*keys).agg(F.max("n").alias("_m"))
     occ = c.join(top, keys).filter(F.col("n") >= F.least(F.lit(max(min_points, 1)), F.col("_m"))).select(*keys, "cx", "cz")
