@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.operators.ordering import (DAY_US, affine_scan, indexed, order_stats, ordered_fold, previous_row, running, with_chunk,
-                                         with_halo)
+from scanloom.operators.ordering import (DAY_US, affine_scan, indexed, join_groups, order_stats, ordered_fold, previous_row, running,
+                                         with_chunk, with_halo)
+from scanloom.session import checkpointed
 
 
 def gap_groups(df: DataFrame, keys: list[str], us: str, tie: str, gap_us: int, width_us: int = DAY_US) -> DataFrame:
@@ -86,10 +87,11 @@ def change_runs(df: DataFrame, keys: list[str], us: str, tie: str, value: str, s
 def percentile_grades(df: DataFrame, keys: list[str], value: str, foreground: str, a: float = 0.60, b: float = 0.35) -> DataFrame:
     """A, B or C for foreground rows by thresholds at truncated ranks; D for background."""
     marks = order_stats(df.filter(F.col(foreground)), keys, value, {"_ta": ("floor", a), "_tb": ("floor", b)}).drop("n")
+    marks = checkpointed(df.groupBy(*keys).agg(F.count("*").alias("_rows")).join(marks, keys, "left"))  # one row per key
     v = F.col(value)
     grade = (F.when(~F.col(foreground), "D").when(v >= F.col("_ta"), "A").when(v >= F.col("_tb"), "B")
              .when(F.col("_ta").isNull(), "D").otherwise("C"))
-    return df.join(marks, keys, "left").withColumn("grade", grade).drop("_ta", "_tb")
+    return join_groups(df, marks, keys, "left", "_rows").withColumn("grade", grade).drop("_ta", "_tb", "_rows")
 
 
 def match_distribution(source: DataFrame, reference: DataFrame, value: str, order: list[str]) -> DataFrame:

@@ -49,3 +49,21 @@ def test_scene_joins_are_dealt_over_parts(spark):
 @pytest.mark.parametrize("name", ["visual_hull", "sparse_colouring", "tsdf_integration"])
 def test_exploded_sides_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name].run(spark, DATA))
+
+
+def test_large_groups_are_not_shuffled_whole(spark, monkeypatch):
+    from scanloom.operators import ordering, windows
+
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("a", float(i), i % 3 > 0) for i in range(900)] + [("b", float(i), True) for i in range(20)] + [("c", 1.0, False)]
+        d = spark.createDataFrame(rows, "k string, v double, fg boolean")
+        graded = windows.percentile_grades(d, ["k"], "v", "fg")
+        assert "BroadcastHashJoin" in plan(graded)
+        got = sorted(map(tuple, graded.groupBy("k", "grade").count().collect()))
+        assert got == [("a", "A", 241), ("a", "B", 150), ("a", "C", 209), ("a", "D", 300), ("b", "A", 9), ("b", "B", 5), ("b", "C", 6), ("c", "D", 1)]
+        stats = ordering.order_stats(d.filter("k = 'a'"), ["k"], "v", {"m": ("nearest", 0.5)})
+        assert "BroadcastHashJoin" in plan(stats) and stats.first().m == 450.0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
