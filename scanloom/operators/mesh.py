@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.operators.graph import connected_components
 from scanloom.session import checkpointed
@@ -59,16 +63,64 @@ def _key(*cols: str) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
 
 
+#: Faces up to which a mesh is settled in one task; larger ones go through the rounds of ``connected_components``.
+MESH_FACES = 1 << 20
+
+
+def _by_size(faces: DataFrame, alone: Callable[[pa.Table], pa.Table], schema: T.StructType, rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``alone`` on every mesh of up to MESH_FACES faces, ``rounds`` on all others together."""
+    large = checkpointed(faces.groupBy("mesh_id").agg(F.count("*").alias("n")).filter(F.col("n") > MESH_FACES).select("mesh_id"))
+    if large.isEmpty():
+        return faces.groupBy("mesh_id").applyInArrow(alone, schema)
+    large = F.broadcast(large)  # at most one for every MESH_FACES faces
+    small = faces.join(large, "mesh_id", "left_anti").groupBy("mesh_id").applyInArrow(alone, schema)
+    return small.unionByName(rounds(faces.join(large, "mesh_id", "left_semi")))
+
+
+def component_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The lowest node of the component of each of ``n`` nodes under the links u - v."""
+    label = np.arange(n)
+    while True:
+        low, found = np.minimum(label[u], label[v]), label.copy()
+        np.minimum.at(found, label[u], low)
+        np.minimum.at(found, label[v], low)
+        while not np.array_equal(found, found[found]):
+            found = found[found]
+        if np.array_equal(found, label):
+            return label
+        label = found
+
+
+def _edge_numbers(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct edges (u < v) of one mesh, and the number of the edge of all first, second and third sides."""
+    a, b, c = (found.column(x).to_numpy() for x in "abc")
+    p, q = np.concatenate([a, b, c]), np.concatenate([b, c, a])
+    pairs, number = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0, return_inverse=True)
+    return pairs[:, 0], pairs[:, 1], number.ravel()
+
+
 def remove_small_components(faces: DataFrame, min_faces: int) -> DataFrame:
     """Faces are adjacent when they share an edge; each edge links its faces to the
     lowest one, so an edge used very often is a star and not a clique."""
-    e = edges(faces).withColumn("id", _key("mesh_id", "f"))
-    hub = e.groupBy("mesh_id", "u", "v").agg(F.min("id").alias("hub"))
-    links = e.join(hub, ["mesh_id", "u", "v"]).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    d = faces.withColumn("id", _key("mesh_id", "f"))
-    comp = connected_components(d.select("id"), links)
-    keep = comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= min_faces).select("component")
-    return d.join(comp.join(keep, "component", "left_semi"), "id").drop("id", "component")
+    def alone(found: pa.Table) -> pa.Table:
+        _, node = np.unique(found.column("f").to_numpy(), return_inverse=True)
+        edge = _edge_numbers(found)[2]
+        side = np.tile(node, 3)
+        hub = np.full(edge.max() + 1, len(node))
+        np.minimum.at(hub, edge, side)
+        label = component_labels(node.max() + 1, side, hub[edge])
+        return found.filter(pa.array((np.bincount(label, minlength=len(label)) >= min_faces)[label][node]))
+
+    def rounds(large: DataFrame) -> DataFrame:
+        e = edges(large).withColumn("id", _key("mesh_id", "f"))
+        hub = e.groupBy("mesh_id", "u", "v").agg(F.min("id").alias("hub"))
+        links = e.join(hub, ["mesh_id", "u", "v"]).select(F.col("id").alias("u"), F.col("hub").alias("v"))
+        d = large.withColumn("id", _key("mesh_id", "f"))
+        comp = connected_components(d.select("id"), links)
+        keep = comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= min_faces).select("component")
+        return d.join(comp.join(keep, "component", "left_semi"), "id").drop("id", "component")
+
+    return _by_size(faces, alone, faces.schema, rounds)
 
 
 def boundary_edges(faces: DataFrame) -> DataFrame:
