@@ -127,18 +127,38 @@ def boundary_edges(faces: DataFrame) -> DataFrame:
     return edges(faces).groupBy("mesh_id", "u", "v").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
+def _boundary_loops(faces: DataFrame) -> DataFrame:
+    """Boundary edges (u, v) with their ``component``, the lowest vertex of the loop."""
+    kind = faces.schema["a"].dataType
+    schema = T.StructType([faces.schema["mesh_id"], *(T.StructField(c, kind) for c in ("u", "v", "component"))])
+
+    def alone(found: pa.Table) -> pa.Table:
+        u, v, edge = _edge_numbers(found)
+        once = np.bincount(edge) == 1
+        u, v = u[once], v[once]
+        ends, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = component_labels(len(ends), at[: len(u)], at[len(u) :])
+        mesh = found.column("mesh_id").take(pa.array(np.zeros(len(u), np.int64)))
+        return pa.table({"mesh_id": mesh, **{n: pa.array(x) for n, x in (("u", u), ("v", v), ("component", ends[label][at[: len(u)]]))}})
+
+    def rounds(large: DataFrame) -> DataFrame:
+        b = boundary_edges(large)
+        links = b.select(_key("mesh_id", "u").alias("u"), _key("mesh_id", "v").alias("v"))
+        nodes = b.select(F.explode(F.array(_key("mesh_id", "u"), _key("mesh_id", "v"))).alias("id"))
+        comp = connected_components(nodes, links).select(F.col("id.k0").alias("mesh_id"), F.col("id.k1").alias("u"), F.col("component.k1").alias("component"))
+        return b.join(comp, ["mesh_id", "u"])
+
+    return _by_size(faces, alone, schema, rounds)
+
+
 def fill_holes(vertices: DataFrame, faces: DataFrame, max_vertices: int) -> DataFrame:
     """Boundary loops of three to ``max_vertices`` vertices, each closed by a fan
     around the mean of its vertices: one row per new face with the centroid."""
-    b = boundary_edges(faces)
-    links = b.select(_key("mesh_id", "u").alias("u"), _key("mesh_id", "v").alias("v"))
-    ends = b.select("mesh_id", F.explode(F.array("u", "v")).alias("v")).distinct().withColumn("id", _key("mesh_id", "v"))
-    comp = connected_components(ends.select("id"), links)
-    on = checkpointed(ends.join(comp, "id").drop("id"))
+    b = checkpointed(_boundary_loops(faces))
+    on = b.select("mesh_id", "component", F.explode(F.array("u", "v")).alias("v")).distinct()
     size = on.join(vertices, ["mesh_id", "v"]).groupBy("mesh_id", "component").agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in "xyz"])
     small = size.filter(F.col("n").between(3, max_vertices))
-    return (b.join(on.withColumnRenamed("v", "u"), ["mesh_id", "u"]).join(small, ["mesh_id", "component"])
-            .select("mesh_id", "component", F.col("u").alias("a"), F.col("v").alias("b"), "n", "x", "y", "z"))
+    return b.join(small, ["mesh_id", "component"]).select("mesh_id", _key("mesh_id", "component").alias("component"), F.col("u").alias("a"), F.col("v").alias("b"), "n", "x", "y", "z")
 
 
 def smooth(vertices: DataFrame, faces: DataFrame, iterations: int, strength: float, cut_every: int = 4) -> DataFrame:

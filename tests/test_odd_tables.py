@@ -64,3 +64,19 @@ def test_means_on_their_threshold_are_no_defect_in_any_order(spark, tmp_path):
     spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["capture_quality_score"].run(spark, str(tmp_path)).collect()
     assert len(got) == 2 and {(r.score, r.bad, r.actions) for r in got} == {(1.0, 0, "")}
+
+
+def test_meshes_are_settled_in_one_task_or_in_rounds(spark, duck, tmp_path, monkeypatch):
+    from scanloom.operators import mesh
+
+    asked, rounds = [], mesh.connected_components
+    monkeypatch.setattr(mesh, "connected_components", lambda nodes, links: asked.append(1) or rounds(nodes, links))
+    rows = [(i, [v - 0.05 for v in e], 0) for i, e, _ in vectors(16 * 3)]
+    rows += [(i, [0.3 if 10 < j < 40 else -0.5 for j in range(64)], 0) for i in range(48, 64)]  # one large piece beside small ones
+    for name in ("small_components_removed", "hole_filling"):
+        assert same_as_sql(spark, duck, tmp_path / name, name, "embeddings", rows, VECTORS) > 0
+    assert not asked  # small meshes need no rounds
+    monkeypatch.setattr(mesh, "MESH_FACES", 800)  # the even mesh has 870 faces, the others fewer
+    for name in ("small_components_removed", "hole_filling"):
+        assert same_as_sql(spark, duck, tmp_path / f"{name}-2", name, "embeddings", rows, VECTORS) > 0
+    assert len(asked) == 2
