@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.operators.ordering import (DAY_US, affine_scan, indexed, join_groups, order_stats, ordered_fold, previous_row, running,
+from scanloom.operators.ordering import (DAY_US, affine_scan, indexed, join_groups, keys_fit, order_stats, ordered_fold, previous_row, running,
                                          with_chunk, with_halo)
 from scanloom.session import checkpointed
 
@@ -26,7 +26,9 @@ def exponential_smoothing(df: DataFrame, keys: list[str], us: str, tie: str, val
                           width_us: int = 3650 * DAY_US) -> DataFrame:
     """v = v(1-a) + x*a from zero.  Every row is an affine step, and such steps
     compose: chunks are scanned side by side, and the chunks of a key once more."""
-    d = with_chunk(df.select(*keys, us, tie, value), keys, [us, tie], width_us)
+    d = df.select(*keys, us, tie, value)
+    fit = width_us >= 3650 * DAY_US and keys_fit(d, keys)
+    d = d.withColumn("_chunk", F.lit(0)) if fit else with_chunk(d, keys, [us, tie], width_us)
     names = d.columns
     types = {f.name: f.dataType for f in d.schema}
 
@@ -37,6 +39,8 @@ def exponential_smoothing(df: DataFrame, keys: list[str], us: str, tie: str, val
         return found.append_column("_factor", pa.array(factor)).append_column("_offset", pa.array(offset))
 
     smooth = d.groupBy(*keys, "_chunk").applyInArrow(local, T.StructType([*d.schema, *T.StructType.fromDDL("_factor double, _offset double")]))
+    if fit:
+        return smooth.withColumnRenamed("_offset", "smoothed").drop("_factor", "_chunk")
     last = F.struct(us, tie)
     ends = smooth.groupBy(*keys, "_chunk").agg(F.max_by("_factor", last).alias("f"), F.max_by("_offset", last).alias("o"))
 
@@ -52,6 +56,10 @@ def exponential_smoothing(df: DataFrame, keys: list[str], us: str, tie: str, val
 def stable_for(df: DataFrame, keys: list[str], us: str, tie: str, value: str, frames: int, below: float,
                width_us: int = DAY_US) -> DataFrame:
     """True when the last ``frames`` values are all below the threshold."""
+    if width_us >= DAY_US and keys_fit(df.select(*keys), keys):
+        whole = Window.partitionBy(*keys).orderBy(us, tie)
+        calm = F.count_if(~F.coalesce(F.col(value) >= below, F.lit(False))).over(whole.rowsBetween(1 - frames, 0))
+        return df.withColumns({"seq": F.row_number().over(whole).cast("long"), "stable": calm == frames})
     d = running(df, keys, [us, tie], {"seq": ("sum", F.lit(1).cast("long"))}, width_us)
     d = running(d, keys, [us, tie], {"_hit": ("max", F.when(F.col(value) >= below, F.col("seq")))}, width_us)
     return d.withColumn("stable", (F.col("seq") >= frames) & (F.col("seq") - F.coalesce("_hit", F.lit(0)) >= frames)).drop("_hit")
