@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.operators.ordering import previous_row, ranked_within
+from scanloom.operators.ordering import keys_fit, previous_row, ranked_within
 
 #: Rows of a stretch.
 STRETCH = 1 << 16
@@ -41,7 +41,26 @@ def finite_replay(rows: DataFrame, keys: list[str], order: list[str], symbol: Co
     ``table[symbol][state]`` is the next state; rows of a key are taken in
     ``order``, which has to be total.
     """
-    step = np.array(table, np.int32)
+    step, moves = np.array(table, np.int32), table
+    if size >= STRETCH and keys_fit(rows.select(*keys), keys):  # a key follows the other in one pass
+        columns = rows.columns
+        schema = T.StructType([*rows.schema, T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())])
+
+        names = schema.fieldNames()
+
+        def follow(batches):
+            key, state = None, start
+            for b in batches:
+                befores, afters = [], []
+                for *now, s in zip(*(b.column(c).to_pylist() for c in (*keys, "_symbol"))):
+                    if now != key:
+                        key, state = now, start
+                    befores.append(state)
+                    state = moves[s][state]
+                    afters.append(state)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(befores, pa.int32()), pa.array(afters, pa.int32())], names)
+
+        return rows.withColumn("_symbol", symbol.cast("int")).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(follow, schema)
     d = stretches(rows.withColumn("_symbol", symbol.cast("int")), keys, order, size)
     part_type = T.StructType([*(d.schema[k] for k in keys), d.schema["_part"]])
 
@@ -67,7 +86,6 @@ def finite_replay(rows: DataFrame, keys: list[str], order: list[str], symbol: Co
     def replay(found: pa.Table) -> pa.Table:
         at, given = symbols(found)
         state, states = found.column("_state")[0].as_py(), []
-        moves = step.tolist()
         for s in given.tolist():
             state = moves[s][state]
             states.append(state)

@@ -74,3 +74,24 @@ def test_a_hot_key_is_many_stretches(spark):
     rows = spark.createDataFrame(events(1, 900, 1), SCHEMA)
     assert X.stretches(rows, ["key"], ["us", "event_id"], 100).groupBy("_part").count().filter("count <= 100").count() == 9
     assert X.work_journal(rows.limit(0).drop("status"), ["key"], ["us", "event_id"], 2).collect() == []
+
+
+def test_small_keys_need_no_stretches(spark, monkeypatch):
+    """Rows of keys that fit into a task are replayed in one pass, larger ones in stretches, with one result."""
+    from scanloom.operators import ordering
+    from scanloom.operators import transitions as X
+    from scanloom.operators import windows as W
+
+    rows = [(i % 7, i * 3_600_000_000, i, ("claim", "fail", "commit", "interrupt", "claim")[i * i % 5], (i * 37 % 11) / 11) for i in range(400)]
+    d = spark.createDataFrame(rows, "k long, us long, id long, action string, x double")
+    journal = X.work_journal(d, ["k"], ["us", "id"], 2)
+    smooth = W.stable_for(W.exponential_smoothing(d, ["k"], "us", "id", "x", 0.3), ["k"], "us", "id", "x", 3, 0.6)
+    once = (sorted(map(str, journal.select("id", "decision", "status", "attempts").collect())), smooth.orderBy("id").select("smoothed", "stable").collect())
+    assert "FlatMapGroupsInArrow" not in journal._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in smooth._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ordering, "SMALL_BYTES", 0)
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 20)
+    journal = X.work_journal(d, ["k"], ["us", "id"], 2, size=16)
+    smooth = W.stable_for(W.exponential_smoothing(d, ["k"], "us", "id", "x", 0.3), ["k"], "us", "id", "x", 3, 0.6).orderBy("id").select("smoothed", "stable").collect()
+    assert sorted(map(str, journal.select("id", "decision", "status", "attempts").collect())) == once[0]
+    assert [r.stable for r in smooth] == [r.stable for r in once[1]] and all(abs(a.smoothed - b.smoothed) < 1e-12 for a, b in zip(smooth, once[1]))
