@@ -2,7 +2,8 @@
 
 Rows wait in the state of their key until the watermark has passed them, so a
 key is folded in event time however its rows arrived; rows behind the watermark
-are late and dropped.  A timer at the earliest waiting row folds what is final.
+are late and dropped.  What is final is folded when rows of the key arrive, or by
+a timer at its earliest waiting row; once in a batch, whatever timers are due.
 Where a rule surely starts anew after a pause, a second timer clears the state
 that long after the last row: keys that fall silent cost nothing.
 """
@@ -11,9 +12,9 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Iterator
+from operator import attrgetter, itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,11 +24,8 @@ from scanloom.streaming.folds import Fold
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _plain(value):
-    """A value that the state store takes: no numpy types, no NaN for null."""
-    if isinstance(value, (list, tuple, dict)):
-        return value
-    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
+#: Keys that a task remembers as done in its batch; beyond, a key may be read again.
+DONE = 100_000
 
 
 class ExpiringFold(StatefulProcessor):
@@ -46,50 +44,65 @@ class ExpiringFold(StatefulProcessor):
         self.fields = self.state.fieldNames()[:-1]
         self.saved = handle.getValueState("saved", self.state)
         self.waiting = handle.getListState("waiting", self.rows)
-        self.row = namedtuple("Row", self.rows.fieldNames())
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names, first = self.rows.fieldNames(), None
-        for frame in rows:
-            arrived = [tuple(_plain(v) for v in r) for r in frame[names].itertuples(index=False)]
-            self.waiting.appendList(arrived)
-            earliest = min(r[names.index(self.order[0])] for r in arrived)
-            first = earliest if first is None else min(first, earliest)
-        if first is not None:
-            self._at(first)
+        self.row, self.out = namedtuple("_Row", self.rows.fieldNames(), rename=True), Row(*self.output.fieldNames())
+        self.by = attrgetter(*self.order) if len(self.order) > 1 else lambda r: (getattr(r, self.order[0]),)
+        self.done: set[tuple] = set()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrived, pick = [], None
+        for r in rows:
+            if pick is None:
+                pick = itemgetter(*map(r.__fields__.index, self.rows.fieldNames()), 0)
+            arrived.append(self.row(*pick(tuple(r))[:-1]))
+        if not arrived:
+            return iter([])
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = self._waiting()
+        if any(self.by(r)[0] <= now for r in (*waiting, *arrived)):
+            return iter(self._fold(key, waiting + arrived, now))
+        self.waiting.appendList([tuple(r) for r in arrived])
+        self._at(min(self.by(r)[0] for r in arrived))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [self.row(*r) for r in self.waiting.get()] if self.waiting.exists() else []
-        by = lambda r: tuple(getattr(r, c) for c in self.order)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if tuple(key) in self.done:
+            return iter([])
+        return iter(self._fold(key, self._waiting(), timerValues.getCurrentWatermarkInMs() * 1000))
+
+    def _waiting(self) -> list[tuple]:
+        return [self.row(*r) for r in self.waiting.get()]
+
+    def _fold(self, key, waiting: list[tuple], now: int) -> list[Row]:
+        """Outputs of the rows up to the watermark; the others go on waiting, with one timer for what comes next."""
+        by, pause, out = self.by, self.fold.restart_us, []
         final = sorted((r for r in waiting if by(r)[0] <= now), key=by)
-        rest = [r for r in waiting if by(r)[0] > now]
-        pause, out = self.fold.restart_us, []
         state, last = self.fold.start(), None
-        if self.saved.exists():
-            *values, last = self.saved.get()
+        kept = self.saved.get()
+        if kept is not None:
+            *values, last = kept
             state = dict(zip(self.fields, map(_thawed, values), strict=True))
         for r in final:
             if pause is not None and last is not None and by(r)[0] - last >= pause:
                 state = self.fold.start()
-            out += [(*key, *o) for o in self.fold.step(state, r)]
+            out += [self.out(*key, *o) for o in self.fold.step(state, r)]
             last = by(r)[0]
-        if final:
-            if rest:
-                self.waiting.put([tuple(r) for r in rest])
-            else:
-                self.waiting.clear()
+        rest = [r for r in waiting if by(r)[0] > now] if final else []
+        silent = last is not None and pause is not None and now - last >= pause
         if rest:
+            self.waiting.put([tuple(r) for r in rest])
             self._at(min(by(r)[0] for r in rest))
-        if last is not None and pause is not None and now - last >= pause:
+        elif final:
+            self.waiting.clear()
+            if pause is not None and not silent:
+                self._at(last + pause)
+        if silent:
             self.saved.clear()
         elif final:
             self.saved.update((*(state[f] for f in self.fields), last))
-            if pause is not None:
-                self._at(last + pause)
-        if out:
-            yield pd.DataFrame(out, columns=self.output.fieldNames())
+        if len(self.done) >= DONE:
+            self.done.clear()
+        self.done.add(tuple(key))
+        return out
 
     def _at(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))
@@ -117,4 +130,4 @@ def follow_expiring(stream: DataFrame, keys: list[str], order: list[str], fold:
     kept = stream.drop(time).schema
     output = T.StructType([*(kept[k] for k in keys), *T.StructType.fromDDL(fold.out).fields])
     marked = stream.withWatermark(time, delay)
-    return marked.groupBy(*keys).transformWithStateInPandas(ExpiringFold(fold, order, T.StructType([f for f in kept if f.name not in keys]), output), output, "append", "eventTime")
+    return marked.groupBy(*keys).transformWithState(ExpiringFold(fold, order, T.StructType([f for f in kept if f.name not in keys]), output), output, "append", "eventTime")

@@ -117,6 +117,68 @@ def test_late_rows_go_and_silent_keys_are_forgotten(spark):
     assert sorted(map(tuple, waiting.collect())) == [(9, 1), (9, 2)]
 
 
+def test_a_key_is_folded_once_in_a_batch():
+    """All timers of a key that are due together read and fold it once, and one timer is left."""
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    from scanloom.streaming.expiring import ExpiringFold
+
+    class Kept:  # a state of one key, and how often it was read
+        def __init__(self):
+            self.rows, self.reads = [], 0
+
+        def get(self):
+            self.reads += 1
+            return list(self.rows) if isinstance(self.rows, list) else self.rows
+
+        def put(self, rows):
+            self.rows = rows
+
+        def appendList(self, rows):
+            self.rows = self.rows + rows
+
+        update = put
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.waiting, self.saved, self.timers = Kept(), Kept(), []
+            self.saved.rows = None
+
+        def getValueState(self, name, schema):
+            return self.saved
+
+        def getListState(self, name, schema):
+            return self.waiting
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    rows = T.StructType.fromDDL("us long, event_id long")
+    fold = ExpiringFold(K.failure_throttle(60, 2, 60, 600), ["us", "event_id"], rows, T.StructType.fromDDL("user_id long, event_id long, attempts int, locked_until long"))
+    handle, sent = Handle(), Row("user_id", "us", "event_id")
+    fold.init(handle)
+    assert not list(fold.handleInputRows((1,), iter([sent(1, s * 1_000_000, s) for s in (5, 3)]), Now(0)))
+    assert not list(fold.handleInputRows((1,), iter([sent(1, 20_000_000, 20)]), Now(0)))
+    assert handle.timers == [3000, 20000]
+    fold.init(handle)  # the next batch
+    before = handle.waiting.reads
+    out = [r for ms in handle.timers[:2] for r in fold.handleExpiredTimer((1,), Now(21_000), ms)]
+    assert [r.event_id for r in out] == [3, 5, 20] and [r.attempts for r in out] == [1, 2, 3]
+    assert handle.waiting.reads == before + 1 and not handle.waiting.rows
+    assert handle.timers[2:] == [20_000 + 61_000]
+
+
 @pytest.mark.parametrize("fold", [K.motion_analyser(0.3, stale_us=96 * HOUR), K.delta_encoder(40.0, 30, 31 * HOUR), K.token_bucket(3.0, 2 / 86400)])
 def test_expiring_twin_equals_replay(spark, parts, fold):
     t, folder = parts
