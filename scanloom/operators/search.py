@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.operators.toplists import top_per_key
-from scanloom.session import checkpointed, scratch_path
+from scanloom.session import scratch_path
 
 #: Documents of a block, and blocks that are scored to find a threshold.
 BLOCK_DOCS, FIRST_BLOCKS = 1024, 2
@@ -72,26 +72,54 @@ def block_bounds(asked: DataFrame, index: Index) -> DataFrame:
     return asked.join(maxima, ["field", "term"]).groupBy("query", "block").agg((F.sum(F.col("idf") * F.col("best")) * (1 + 1e-12)).alias("upper"))
 
 
-def score_blocks(asked: DataFrame, chosen: DataFrame, index: Index) -> DataFrame:
-    """(query, doc, score) of all documents in the ``chosen`` (query, block) that hold a term."""
-    wanted = asked.join(chosen.select("query", "block"), "query")
+def score_few(wanted: DataFrame, index: Index) -> DataFrame:
+    """(query, doc, score) of all documents in the ``wanted`` (query, field, term, idf, block); meant for few of them."""
     hits = wanted.join(index.postings.select("field", "term", "block", "docs"), ["field", "term", "block"]).select("query", "idf", F.explode("docs").alias("d"))
     return hits.groupBy("query", F.col("d.doc").alias("doc")).agg(F.sum(F.col("idf") * F.col("d.part")).alias("score"))
 
 
+def score_blocks(asked: DataFrame, chosen: DataFrame, index: Index) -> DataFrame:
+    """(query, doc, score, floor) of all documents in the ``chosen`` (query, block, floor) that hold a term.
+
+    Queries and postings meet block by block: a document has one block, so what is unpacked is added up where it is."""
+    held = index.postings.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    wanted = asked.join(chosen.select("query", "block", "floor"), "query").repartition("block")
+    hits = wanted.join(held.select("field", "term", "block", "docs").repartition("block"), ["field", "term", "block"])
+    hits = hits.select("query", "block", "floor", "idf", F.explode("docs").alias("d"))
+    return hits.groupBy("block", "query", F.col("d.doc").alias("doc")).agg(F.sum(F.col("idf") * F.col("d.part")).alias("score"), F.first("floor").alias("floor")).drop("block")
+
+
+def written(df: DataFrame, name: str, by_part_of_key: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, whose size Spark knows when it plans a join with it.
+
+    ``by_part_of_key``: rows that a part of a join's key has brought together are not moved again."""
+    spark = df.sparkSession
+    path, key = scratch_path(spark, name), "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(not by_part_of_key).lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def search(queries: DataFrame, index: Index, query_id: str, text: str, doc_id: str, k: int = 10, digits: int | None = None) -> DataFrame:
     """(query, doc, score, rank): sum of BM25 over all fields and query terms, ``k`` best documents per query.
 
     With ``digits`` scores are rounded before they are ranked, so that documents with the same
     terms tie whatever the order of the additions was; ties go to the smaller id."""
-    asked = checkpointed(weighted_terms(queries, index, query_id, text))
-    bounds = checkpointed(block_bounds(asked, index))
-    first = top_per_key(bounds, ["query"], [F.desc("upper"), F.col("block")], FIRST_BLOCKS).drop("rank")
-    begun = checkpointed(score_blocks(asked, first, index))
+    asked = written(weighted_terms(queries, index, query_id, text), "search-asked")
+    bounds = written(block_bounds(asked, index), "search-bounds")
+    first = written(top_per_key(bounds, ["query"], [F.desc("upper"), F.col("block")], FIRST_BLOCKS).drop("rank"), "search-first")
+    begun = written(score_few(written(asked.join(first.select("query", "block"), "query"), "search-wanted"), index), "search-begun")
     best = top_per_key(begun, ["query"], [F.desc("score"), F.col("doc")], k).groupBy("query").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
     slack = 0.0 if digits is None else 10.0 ** -digits
-    rest = bounds.join(best.filter(F.col("n") == k), "query", "left").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor") - slack))
-    scored = begun.unionByName(score_blocks(asked, rest.join(first, ["query", "block"], "left_anti"), index))
+    enough = written(best.filter(F.col("n") == k).select("query", (F.col("floor") - slack).alias("floor")), "search-floors")
+    rest = bounds.join(enough, "query", "left").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
+    more = score_blocks(asked, rest.join(first, ["query", "block"], "left_anti"), index)
+    more = more.filter(F.col("floor").isNull() | (F.col("score") * (1 + 1e-12) >= F.col("floor"))).drop("floor")  # few are left to rank
+    scored = begun.unionByName(written(more, "search-more", by_part_of_key=True))
     score = F.col("score") if digits is None else F.round("score", digits)
     d = scored.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), score.alias("score"))
     return top_per_key(d, [query_id], [F.desc("score"), F.col(doc_id)], k)

@@ -61,3 +61,26 @@ def test_few_blocks_are_unpacked_and_common_terms_are_many_rows(spark):
     assert 0 < bounds.filter(F.col("upper") >= floor).count() < 0.5 * bounds.count()
     again = Q.open_index(spark, index.postings.inputFiles()[0].split("/postings/")[0])
     assert again.terms.count() == index.terms.count()
+
+
+def test_hits_are_added_up_where_their_block_is(spark, tmp_path, monkeypatch):
+    """Past the join of queries and postings no row of (query, document) is shuffled, also where no side fits a broadcast."""
+    docs = [(i, "t", f"common w{i % 7} w{i % 11}") for i in range(300)]
+    index = Q.build_index(spark.createDataFrame(docs, DOCS), "doc_id", ["title", "body"], block_docs=10)
+    asked = Q.written(Q.weighted_terms(spark.createDataFrame([(1, "common w3"), (2, "w5 w6 t")], ASKED), index, "q", "text"), "asked")
+    chosen = Q.block_bounds(asked, index).withColumn("floor", F.lit(0.0))
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, name: str(tmp_path / name))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.requireAllClusterKeysForCoPartition")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        more = Q.score_blocks(asked, chosen, index)
+        got = Q.written(more, "more", by_part_of_key=True)
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == kept["spark.sql.requireAllClusterKeysForCoPartition"]
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        plan = Q.score_blocks(asked, chosen, index)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert "Exchange" not in plan.split("Generate")[0] and "SortMergeJoin" in plan
+    assert got.count() == 600  # every document holds common and t
