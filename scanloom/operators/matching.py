@@ -11,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,14 +116,18 @@ class Homography:
     def estimate(self, s):
         x, y, u, v = s.T
         z, o = np.zeros_like(x), np.ones_like(x)
-        a = np.concatenate([np.stack([-x, -y, -o, z, z, z, u * x, u * y, u], 1), np.stack([z, z, z, -x, -y, -o, v * x, v * y, v], 1)])
+        a = np.array([[-x, -y, -o, z, z, z, u * x, u * y, u], [z, z, z, -x, -y, -o, v * x, v * y, v]]).transpose(0, 2, 1).reshape(-1, 9)
         h = np.linalg.svd(a)[2][-1].reshape(3, 3)
         return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
     def residual(self, h, d):
-        p = np.c_[d[:, :2], np.ones(len(d))] @ h.T
+        one = np.ones((len(d), 3))
+        one[:, :2] = d[:, :2]
+        p = one @ h.T
         w = np.where(np.abs(p[:, 2]) > 1e-10, p[:, 2], np.nan)
-        return np.nan_to_num(np.hypot(p[:, 0] / w - d[:, 2], p[:, 1] / w - d[:, 3]), nan=np.inf)
+        r = np.minimum(np.hypot(p[:, 0] / w - d[:, 2], p[:, 1] / w - d[:, 3]), np.finfo(float).max)
+        r[np.isnan(r)] = np.inf
+        return r
 
 
 class Essential:
@@ -177,6 +182,15 @@ def soft_weights(residuals: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
     return np.where(r2 < 3.84 * s2, np.exp(-r2 / (2 * s2)), 0.0).mean(axis=1)
 
 
+def pair_seed(values: list[np.ndarray]) -> int:
+    """The seed of a pair from its id columns: ``pandas.util.hash_pandas_object`` of their first row, without a frame."""
+    out, mult = 0x345678, 1000003
+    for i, v in enumerate(values):
+        out = (out ^ int(pd.util.hash_array(v[:1])[0])) * mult % 2**64
+        mult += 82520 + 2 * (len(values) - i)
+    return (out + 97531) % 2**32
+
+
 def robust_pairs(correspondences: DataFrame, pair: list[str], row_id: str, model: Estimator, threshold: float, min_ratio: float = 0.3,
                  confidence: float = 0.999, iterations: int = 1000, sigma_max: float | None = None, min_inliers: int = 0) -> DataFrame:
     """Inlier rows (and soft weights) of every image pair.  A pair holds at most
@@ -185,15 +199,15 @@ def robust_pairs(correspondences: DataFrame, pair: list[str], row_id: str, model
     schema = ", ".join(f"{k} {types[k]}" for k in (*pair, row_id)) + ", inlier boolean, weight double"
     levels = np.linspace(threshold / 10, sigma_max or threshold, 10)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        data = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        seed = int(pd.util.hash_pandas_object(pdf[pair].iloc[:1], index=False).iloc[0] % (2 ** 32))
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows.column(row_id).to_numpy())))
+        data = np.column_stack([rows.column(c).to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")])
+        seed = pair_seed([rows.column(k).slice(0, 1).to_numpy() for k in pair])
         m, inl = consensus(model, data, threshold, min_ratio, confidence, iterations, seed, min_inliers)
         w = soft_weights(model.residual(m, data), levels) if m is not None else np.zeros(len(data))
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in (*pair, row_id)}, "inlier": inl, "weight": w})
+        return pa.table({**{k: rows.column(k) for k in (*pair, row_id)}, "inlier": inl, "weight": w})
 
-    return correspondences.select(*pair, row_id, "x1", "y1", "x2", "y2").groupBy(*pair).applyInPandas(fit, schema)
+    return correspondences.select(*pair, row_id, "x1", "y1", "x2", "y2").groupBy(*pair).applyInArrow(fit, schema)
 
 
 def triangulate(matches: DataFrame, id_cols: list[str]) -> DataFrame:

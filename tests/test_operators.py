@@ -368,3 +368,16 @@ def test_cameras_meet_only_blocks_they_may_see(spark):
     assert len(want) <= met < 0.35 * len(pts) * len(cams)
     plan = seen._jdf.queryExecution().optimizedPlan().toString()
     assert "_block" in plan and "Cartesian" not in plan
+
+
+def test_pairs_are_fitted_without_frames(spark):
+    """Every pair is one Arrow table with the seed that its id columns always had."""
+    for ids in ({"a": np.array([5])}, {"a": np.array([-7], "int32"), "b": np.array(["left"], object)}):
+        assert M.pair_seed(list(ids.values())) == int(pd.util.hash_pandas_object(pd.DataFrame(ids), index=False).iloc[0] % 2**32)
+    rng = np.random.default_rng(1)
+    x, y = rng.uniform(0, 10, (2, 40))
+    rows = pd.DataFrame({"left": "l", "right": np.repeat([1, 2], 20), "row_id": np.arange(40)[::-1], "x1": x, "y1": y, "x2": 2 * x + 1, "y2": 2 * y - 1})
+    rows.loc[rows.row_id % 5 == 0, "x2"] += 50
+    out = M.robust_pairs(spark.createDataFrame(rows), ["left", "right"], "row_id", M.Homography(), 0.01, min_inliers=8)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.row_id for r in out.collect() if r.inlier} == {i for i in range(40) if i % 5}
