@@ -12,8 +12,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.session import checkpointed
 
@@ -365,12 +368,37 @@ def signed_distance(points: DataFrame, keys: list[str], resolution: int, reach:
     p = points.join(box, keys)
     for d in XYZ:
         at = F.floor((F.col(d) - F.col("_b" + d)) / F.col("voxel")).cast("int")
-        p = p.withColumn("v" + d, F.explode(F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, (F.col("_n" + d) - 1).cast("int")))))
-    gap = {d: F.col("_b" + d) + F.col("v" + d) * F.col("voxel") - F.col(d) for d in XYZ}
-    dist = F.sqrt(sum(g * g for g in gap.values()))
-    side = sum(g * F.col("n" + d) for d, g in gap.items())
-    p = p.withColumns({"_d": dist, "_s": F.when(side > 0, dist).otherwise(-dist)})
-    return p.groupBy(*keys, "vx", "vy", "vz").agg(F.min_by("_s", F.struct("_d", "point_id")).alias("sdf"))
+        p = p.withColumns({"_a" + d: F.greatest(at - reach, F.lit(0)), "_z" + d: F.least(at + reach, (F.col("_n" + d) - 1).cast("int"))}).filter(F.col(d).isNotNull() & F.col("_z" + d).isNotNull())
+    known = F.concat(*[F.col("n" + d).cast("string") for d in XYZ]).isNotNull()
+    p = p.select(*keys, "point_id", "voxel", *[c.cast("double").alias(n) for d in XYZ for n, c in ((d, F.col(d)), ("_b" + d, F.col("_b" + d)), ("n" + d, F.when(known, F.col("n" + d)).otherwise(F.lit(0.0))))], *[f"_{n}{d}" for d in XYZ for n in "az"])
+    schema = T.StructType([*(p.schema[k] for k in keys), *(T.StructField("v" + d, T.IntegerType()) for d in XYZ), T.StructField("_d", T.DoubleType()), p.schema["point_id"], T.StructField("_s", T.DoubleType())])
+
+    def nearest(batches):
+        """Of some points at a time the nearest per cell, so that the cells of single points are never sorted or shuffled."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                c = {n: part.column(n).to_numpy(zero_copy_only=False) for n in part.schema.names if n != "point_id"}
+                size = [(c["_z" + d] - c["_a" + d] + 1).astype(np.int64) for d in XYZ]
+                cells_of = size[0] * size[1] * size[2]
+                w = np.repeat(np.arange(part.num_rows), cells_of)
+                i = np.arange(len(w)) - np.repeat(np.cumsum(cells_of) - cells_of, cells_of)
+                step = (i // (size[1] * size[2])[w], i // size[2][w] % size[1][w], i % size[2][w])
+                v = [c["_a" + d][w] + n for d, n in zip(XYZ, step)]
+                gap = [c["_b" + d][w] + n * c["voxel"][w] - c[d][w] for d, n in zip(XYZ, v)]
+                dist = np.sqrt(sum(g * g for g in gap))
+                side = sum(g * c["n" + d][w] for d, g in zip(XYZ, gap))
+                tie = pc.rank(part.column("point_id"), null_placement="at_start", tiebreaker="dense").to_numpy()[w]
+                group = [np.unique(c[k], return_inverse=True)[1][w] for k in keys]
+                order = np.lexsort((tie, dist, *v, *group))
+                cell = np.stack([*v, *group])[:, order]
+                best = order[np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0)]] if len(order) else order
+                at = pa.array(w[best])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in keys), *(pa.array(n[best].astype(np.int32)) for n in v), pa.array(dist[best]), part.column("point_id").take(at),
+                                                  pa.array(np.where((side > 0) | np.isnan(side), dist, -dist)[best])], names=schema.names)
+
+    found = p.mapInArrow(nearest, schema)
+    return found.groupBy(*keys, "vx", "vy", "vz").agg(F.min_by("_s", F.struct("_d", "point_id")).alias("sdf"))
 
 
 def cluster(points: DataFrame, keys: list[str], point_id: str, eps: float, min_size: int, max_objects: int | None = None) -> DataFrame:

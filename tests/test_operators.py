@@ -381,3 +381,32 @@ def test_pairs_are_fitted_without_frames(spark):
     out = M.robust_pairs(spark.createDataFrame(rows), ["left", "right"], "row_id", M.Homography(), 0.01, min_inliers=8)
     assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
     assert {r.row_id for r in out.collect() if r.inlier} == {i for i in range(40) if i % 5}
+
+
+def test_cells_of_single_points_are_not_sorted(spark):
+    """The distance field explodes no rows: of a batch of points one row per cell is left, the same as over all points."""
+    rng = np.random.default_rng(2)
+    xyz = rng.uniform(-1, 1, (60, 3)).tolist()
+    rows = [(k, 100 * k + i, *xyz[i % 50], 0.3, -0.2, None if i == 7 else 0.5) for k in (1, 2) for i in range(60)]  # ten copies of a place
+    d = spark.createDataFrame(rows, "k long, point_id long, x double, y double, z double, nx double, ny double, nz double")
+    out = S.signed_distance(d, ["k"], 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    got = {(r.k, r.vx, r.vy, r.vz): r.sdf for r in out.collect()}
+    at = np.array(xyz[:50])
+    low, high = at.min(0), at.max(0)
+    pad = np.sqrt(((high - low) ** 2).sum()) * 0.05
+    base, voxel = low - pad, (high - low + 2 * pad).max() / 8
+    last = np.ceil((high - low + 2 * pad) / voxel).astype(int)
+    want = {}
+    for i, p in enumerate(at):
+        c = np.floor((p - base) / voxel).astype(int)
+        for v in np.ndindex(7, 7, 7):
+            cell = c + v - 3
+            if (cell >= 0).all() and (cell <= last).all():
+                gap = base + cell * voxel - p
+                far = float(np.sqrt((gap ** 2).sum()))
+                ahead = i != 7 and gap @ (0.3, -0.2, 0.5) > 0
+                want[tuple(cell)] = min(want.get(tuple(cell), (np.inf, 0, 0)), (far, i, far if ahead else -far))
+    assert got.keys() == {(k, *map(int, c)) for k in (1, 2) for c in want}
+    assert all(abs(got[k, *map(int, c)] - w[2]) < 1e-9 for k in (1, 2) for c, w in want.items())
