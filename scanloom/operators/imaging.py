@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,42 +131,115 @@ def hull_measure(points: pd.Series) -> pd.DataFrame:
 def row_hull(points: DataFrame, keys: list[str]) -> DataFrame:
     """Hull per key: only the two outermost points of each scan line can lie on it."""
     ends = points.groupBy(*keys, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    pts = F.flatten(F.collect_list(F.array(F.struct(F.col("a").cast("double").alias("x"), F.col("y").cast("double").alias("y")), F.struct(F.col("b").cast("double").alias("x"), F.col("y").cast("double").alias("y")))))
-    h = ends.groupBy(*keys).agg(pts.alias("_p"))
+    h = ends.groupBy(*keys).agg(line_ends("a", "b").alias("_p"))
     return h.withColumn("_h", hull_measure("_p")).select(*keys, "_h.area", "_h.perimeter", "_h.corners")
 
 
+def line_ends(a: str, b: str) -> Column:
+    """The outermost points of scan lines ``y`` as one list; lines without any count for nothing."""
+    ends = F.array(*[F.struct(F.col(c).cast("double").alias("x"), F.col("y").cast("double").alias("y")) for c in (a, b)])
+    return F.flatten(F.collect_list(F.when(F.col(a).isNotNull(), ends)))
+
+
 def _kurtosis(c: str) -> Column:
-    m, q, t, f = (F.avg(F.pow(F.col(c), F.lit(i))) for i in (1, 2, 3, 4))
+    m, q, t, f = (F.sum(f"{c}{i}") / F.sum(f"{c}0") for i in (1, 2, 3, 4))
     var = q - m * m
     return F.when(var <= 1e-12, F.lit(0.0)).otherwise((f - 4 * m * t + 6 * m * m * q - 3 * m * m * m * m) / (var * var))
 
 
-def defects(luma: DataFrame, mask: DataFrame, pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Seven defect scores per image from a luma stencil, a mask stencil and the
-    colour pixels (r, g, b, mask)."""
-    gx = F.col("ne") + 2 * F.col("e") + F.col("se") - F.col("nw") - 2 * F.col("w") - F.col("sw")
-    gy = F.col("sw") + 2 * F.col("s") + F.col("se") - F.col("nw") - 2 * F.col("n") - F.col("ne")
-    inside = interior()
-    l = luma.select(*keys, *[F.when(inside, c).otherwise(F.lit(0.0)).alias(n) for n, c in (("gx", gx), ("gy", gy), ("lap", laplacian()))])
-    edges = l.groupBy(*keys).agg((_kurtosis("gx") + _kurtosis("gy")).alias("edge_banding"), (F.avg(F.col("lap") * F.col("lap")) - F.avg("lap") * F.avg("lap")).alias("blur"))
-    size = mask.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    side = F.least("_h", "_w")
-    size = size.withColumn("_b", F.least(F.greatest(F.floor(side * 0.05 + 0.5), F.lit(2)), side - 1))
-    m = mask.join(size, keys)
-    border = (F.col("y") < F.col("_b")) | (F.col("y") + F.col("_b") >= F.col("_h")) | (F.col("x") < F.col("_b")) | (F.col("x") + F.col("_b") >= F.col("_w"))
-    leak = m.groupBy(*keys).agg((F.count_if(border & (F.col("v") > 0)) / F.greatest(F.count_if(border), F.lit(1))).alias("background_leak"), F.count_if(F.col("v") > 0).alias("_area"))
-    edge = (F.col("v") > 0) & (F.least(*[F.coalesce(F.col(c), F.lit(1)) for c in AROUND]) == 0)
-    rim = mask.filter(edge & ((F.col("x") + F.col("y")) % 2 == 0))
-    hull = row_hull(rim, keys).join(rim.groupBy(*keys).agg(F.count("*").alias("_rim")), keys)
-    p = pixels.groupBy(*keys).agg(
-        (F.sum(sum((F.col(c) >= 254).cast("int") for c in "rgb")) / (3 * F.count("*"))).alias("overexposure"),
-        F.sqrt(F.pow(F.avg("r") - F.avg("g"), F.lit(2)) + F.pow(F.avg("b") - F.avg("g"), F.lit(2))).alias("colour_cast"),
-        (F.count_if((F.col("mask") > 0) & (F.col("r") + F.col("g") + F.col("b") < 30)) / F.greatest(F.count_if(F.col("mask") > 0), F.lit(1))).alias("black_dots"))
-    d = edges.join(leak, keys).join(hull, keys, "left").join(p, keys)
-    erosion = (F.when(F.col("_area") == 0, F.lit(0.0)).when(F.coalesce("_rim", F.lit(0)) < 3, F.lit(1.0)).when(F.col("area") <= 1e-6, F.lit(1.0))
+def _padded(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists as the rows of a matrix, missing values as nan, with one empty column on either side."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(int)
+    out = np.full((len(size), width + 2), np.nan)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out[row, at + 1] = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _row_sums(px: dict[str, np.ndarray], y, h, w, side) -> dict[str, np.ndarray]:
+    """What one image row adds to the defect scores of its image: sums of powers of the
+    gradients and the Laplacian, counts on the border and the ends of the mask's rim."""
+    def around(c):
+        up, v, dn = px[c + "_up"], px[c], px[c + "_dn"]
+        return dict(zip(AROUND, (up[:, :-2], up[:, 1:-1], up[:, 2:], v[:, :-2], v[:, 2:], dn[:, :-2], dn[:, 1:-1], dn[:, 2:]))), v[:, 1:-1]
+
+    n, v = around("l")
+    there = np.arange(v.shape[1])[None, :] < px["n"][:, None]
+    inside = ~np.isnan(n["nw"] + n["se"] + n["ne"] + n["sw"])
+    out = {}
+    for name, value in (("gx", n["ne"] + 2 * n["e"] + n["se"] - n["nw"] - 2 * n["w"] - n["sw"]),
+                        ("gy", n["sw"] + 2 * n["s"] + n["se"] - n["nw"] - 2 * n["n"] - n["ne"]),
+                        ("lap", n["n"] + n["s"] + n["w"] + n["e"] - 4 * v)):
+        value = np.where(there, np.where(inside, value, 0.0), np.nan)
+        out[name + "0"] = (~np.isnan(value)).sum(axis=1)
+        value = np.nan_to_num(value)
+        square = value * value
+        out[name + "1"], out[name + "2"] = value.sum(axis=1), square.sum(axis=1)
+        if name != "lap":
+            out[name + "3"], out[name + "4"] = (square * value).sum(axis=1), (square * square).sum(axis=1)
+    n, v = around("m")
+    x, y, h, w, side = np.arange(v.shape[1])[None, :], y[:, None], h[:, None], w[:, None], side[:, None]
+    on = v > 0
+    border = there & ((y < side) | (y + side >= h) | (x < side) | (x + side >= w))
+    least = np.ones(v.shape)
+    for c in n.values():
+        least = np.fmin(least, c)  # a missing neighbour counts as one
+    rim = on & (least == 0) & ((x + y) % 2 == 0)
+    out |= {"border": border.sum(axis=1), "border_on": (border & on).sum(axis=1), "on": on.sum(axis=1), "rim": rim.sum(axis=1),
+            "a": np.where(rim.any(axis=1), rim.argmax(axis=1), -1), "b": v.shape[1] - 1 - rim[:, ::-1].argmax(axis=1), "n": px["n"]}
+    r, g, b = (px[c][:, 1:-1] for c in "rgb")
+    out |= {"over": sum((c >= 254).sum(axis=1) for c in (r, g, b)), "dark": (on & (r + g + b < 30)).sum(axis=1)}
+    for name, c in zip("rgb", (r, g, b)):
+        out |= {name + "0": (~np.isnan(c)).sum(axis=1), name + "1": np.nansum(c, axis=1)}
+    return out
+
+
+_SUMS = ([f"{c}{i} {'long' if i == 0 else 'double'}" for c, top in (("gx", 4), ("gy", 4), ("lap", 2), ("r", 1), ("g", 1), ("b", 1)) for i in range(top + 1)]
+         + [f"{c} long" for c in ("border", "border_on", "on", "rim", "a", "b", "n", "over", "dark")])
+
+
+def defects(rows: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
+    """Seven defect scores per image from rows (keys, y, px) of pixel structs (r, g, b, l luma, m mask).
+
+    A row of pixels is summed up in one go, with the rows beside it from its y-block
+    and a halo of one row, so pixels are never rows of a table."""
+    size = rows.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), F.max(F.size("px")).alias("_w"))
+    shortest = F.least("_h", "_w")
+    size = size.withColumn("_side", F.least(F.greatest(F.floor(shortest * 0.05 + 0.5), F.lit(2)), shortest - 1))
+    w = Window.partitionBy(*keys, "_bucket").orderBy("y")
+    d = with_halo(rows.join(size, keys).select(*keys, "y", "_h", "_w", "_side", *[F.col("px." + c).alias(c) for c in "rgblm"]), "y", block, 1)
+    d = d.withColumns({c + name: f(c).over(w) for c in "lm" for name, f in (("_up", F.lag), ("_dn", F.lead))}).filter("own").drop("own", "_bucket")
+    types = dict(d.dtypes)
+
+    def add_up(batches):
+        for batch in batches:
+            n = pc.fill_null(pc.list_value_length(batch["m"]), 0).to_numpy(zero_copy_only=False).astype(int)
+            wide = int(n.max(initial=0)) + 1
+            px = {c: _padded(pc.list_slice(batch[c], 0, wide), wide) for c in [*"rgblm", "l_up", "l_dn", "m_up", "m_dn"]}
+            found = _row_sums({**px, "n": n}, *[batch[c].to_numpy(zero_copy_only=False).astype(int) for c in ("y", "_h", "_w", "_side")])
+            cols = {c: batch[c] for c in (*keys, "y")}
+            for c in _SUMS:
+                name, kind = c.split()
+                cols[name] = pa.array(found[name].astype(np.int64 if kind == "long" else float))
+            yield pa.RecordBatch.from_pydict(cols)
+
+    sums = d.mapInArrow(add_up, ", ".join([*(f"{c} {types[c]}" for c in (*keys, "y")), *_SUMS]))
+    sums = sums.withColumns({"a": F.when(F.col("rim") > 0, F.col("a")), "over": F.col("over")})
+
+    def mean(c):
+        return F.sum(c + "1") / F.sum(c + "0")
+
+    s = sums.groupBy(*keys).agg(
+        (_kurtosis("gx") + _kurtosis("gy")).alias("edge_banding"), (F.sum("lap2") / F.sum("lap0") - mean("lap") * mean("lap")).alias("blur"),
+        (F.sum("border_on") / F.greatest(F.sum("border"), F.lit(1))).alias("background_leak"), F.sum("on").alias("_area"), F.sum("rim").alias("_rim"),
+        line_ends("a", "b").alias("_p"), (F.sum("over") / (3 * F.sum("n"))).alias("overexposure"),
+        F.sqrt(F.pow(mean("r") - mean("g"), F.lit(2)) + F.pow(mean("b") - mean("g"), F.lit(2))).alias("colour_cast"),
+        (F.sum("dark") / F.greatest(F.sum("on"), F.lit(1))).alias("black_dots"))
+    s = s.withColumn("area", hull_measure("_p").getField("area"))
+    erosion = (F.when(F.col("_area") == 0, F.lit(0.0)).when(F.col("_rim") < 3, F.lit(1.0)).when(F.col("area") <= 1e-6, F.lit(1.0))
                .otherwise(F.col("_area") / F.greatest(F.col("area"), F.lit(1.0))))
-    return d.select(*keys, "edge_banding", "background_leak", erosion.alias("erosion"), "blur", "overexposure", "colour_cast", "black_dots")
+    return s.select(*keys, "edge_banding", "background_leak", erosion.alias("erosion"), "blur", "overexposure", "colour_cast", "black_dots")
 
 
 # Defect, threshold, low values are bad, corrective action.

@@ -89,10 +89,7 @@ NAMES = ["edge_banding", "background_leak", "erosion", "blur", "overexposure", "
 
 
 def defect_table(t):
-    rows = rgb_rows(t)
-    luma = I.stencil(rows.select("frame_id", "y", F.transform("px", lambda p: p.l).alias("px")), FR)
-    mask = I.stencil(rows.select("frame_id", "y", F.transform("px", lambda p: p.m).alias("px")), FR)
-    return I.defects(luma, mask, rgb(t), FR)
+    return I.defects(rgb_rows(t), FR)
 
 
 @query("4.6", with_ctes("SELECT frame_id, " + ", ".join(f"round({c},4)+0.0::DOUBLE {c}" for c in NAMES) + " FROM df", LUM, DEF))

@@ -67,3 +67,21 @@ def test_large_groups_are_not_shuffled_whole(spark, monkeypatch):
         assert "BroadcastHashJoin" in plan(stats) and stats.first().m == 450.0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_defect_scores_take_whole_rows(spark):
+    from pyspark.sql import functions as F
+
+    from scanloom.operators import imaging
+
+    px = [(f, y, [{c: (37 * x + 11 * y + 5 * f + i * x * y) % 251 + (0.5 if c == "l" else 0) for i, c in enumerate("rgb")}
+                  | {"l": float((13 * x * y + 7 * x + f) % 200), "m": int((x - 6) ** 2 + (y - 5) ** 2 < 20)} for x in range(12)]) for f in range(2) for y in range(10)]
+    rows = spark.createDataFrame(px, "f int, y int, px array<struct<r:int, g:int, b:int, l:double, m:int>>")
+    whole, cut = imaging.defects(rows, ["f"]), imaging.defects(rows, ["f"], block=3)
+    assert "explode(px" not in plan(whole)  # pixels are no rows of a table
+    names = [c for c in whole.columns if c != "f"]
+    got, other = ([[r[c] for c in names] for r in d.orderBy("f").collect()] for d in (whole, cut))
+    assert len(got) == 2 and all(abs(a - b) < 1e-9 for x, z in zip(got, other) for a, b in zip(x, z))
+    st = imaging.stencil(rows.select("f", "y", F.transform("px", lambda p: p.l).alias("px")), ["f"])
+    lap = st.select("f", F.when(imaging.interior(), imaging.laplacian()).otherwise(0.0).alias("v")).groupBy("f").agg((F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v")).alias("b"))
+    assert all(abs(r.b - x[names.index("blur")]) < 1e-6 for r, x in zip(lap.orderBy("f").collect(), got))
