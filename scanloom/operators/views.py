@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as G
+from scanloom.session import checkpointed
 
 CAM = ["qw", "qx", "qy", "qz", "tx", "ty", "tz", "fx", "fy", "cx", "cy"]
 
@@ -49,12 +50,43 @@ def boxes(points: DataFrame, place: tuple[str, str, str]) -> tuple[DataFrame, Da
     return d.drop("_top"), size
 
 
-def with_visible(points: DataFrame, cameras: DataFrame, place: tuple[str, str, str], may_see) -> DataFrame:
+#: A scene of up to this many pairs of a point and a camera forms them in one task, without boxes.
+SCENE_PAIRS = 1 << 15
+#: Rows of such scenes that one task is given.
+TASK_ROWS = 1 << 19
+
+
+def by_scene(df: DataFrame, tasks: int) -> DataFrame:
+    """Whole scenes in a number of tasks that adaptive plans leave alone: rows made by ``explode`` are
+    packed so well that tasks merged by their bytes would hold far too many of them."""
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), "scene")
+
+
+def with_visible(points: DataFrame, cameras: DataFrame, place: tuple[str, str, str], may_see, placed: bool = False) -> DataFrame:
     """Every point with the cameras of its scene that may see its block.
 
     ``may_see()`` is a condition over a camera's columns and a box (``_midx`` ... ``_halfz``) that is
-    true wherever the camera sees any place of the box.  Coarse boxes meet the cameras
-    first, their blocks only the cameras that are left, and points only those of their block."""
+    true wherever the camera sees any place of the box.  Points of small scenes meet all cameras of
+    their scene; ``placed`` says that all scenes are small and the points dealt by scene already."""
+    if placed:
+        return points.join(dealt(cameras), "scene")
+    views = cameras.groupBy("scene").agg(F.count("*").alias("_views"))
+    sizes = checkpointed(points.groupBy("scene").agg(F.count("*").alias("_n")).join(dealt(views), "scene"))  # one row per scene
+    crowded = F.col("_n") * F.col("_views") > SCENE_PAIRS
+    large, small, rows = sizes.agg(F.count_if(crowded), F.count_if(~crowded), F.sum(F.when(~crowded, F.col("_n")))).first()
+    if not small:
+        return _with_boxes(points, cameras, place, may_see)
+    tasks = -(-rows // TASK_ROWS)
+    if not large:
+        return by_scene(points, tasks).join(dealt(cameras), "scene")
+    big = F.broadcast(sizes.filter(crowded).select("scene"))  # at most one for every SCENE_PAIRS pairs
+    met = by_scene(points.join(big, "scene", "left_anti"), tasks).join(dealt(cameras), "scene")
+    return met.unionByName(_with_boxes(points.join(big, "scene", "left_semi"), cameras, place, may_see))
+
+
+def _with_boxes(points: DataFrame, cameras: DataFrame, place: tuple[str, str, str], may_see) -> DataFrame:
+    """Coarse boxes meet the cameras first, their blocks only the cameras
+    that are left, and points only those of their block."""
     d, fine = boxes(points, place)
     low, high = ({a: f(F.col("_mid" + a) + sign * F.col("_half" + a)) for a in "xyz"} for f, sign in ((F.min, -1), (F.max, 1)))
     coarse = fine.groupBy("scene", "_top").agg(*[f.alias(n + a) for a in "xyz" for n, f in (("_mid", (low[a] + high[a]) / 2), ("_half", (high[a] - low[a]) / 2))])
@@ -97,14 +129,14 @@ def to_world(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     return d.select(*pixels.columns, *[c.alias(n) for n, c in zip(("wx", "wy", "wz"), w)])
 
 
-def in_view(points: DataFrame, cameras: DataFrame, view: str = "src", frame: tuple | None = None) -> DataFrame:
+def in_view(points: DataFrame, cameras: DataFrame, view: str = "src", frame: tuple | None = None, placed: bool = False) -> DataFrame:
     """Points (wx, wy, wz) in front of the cameras of their scene, with the exact pixel
     position (u, v) and depth z.  Pairs certainly outside ``frame`` (u0, u1, v0, v1) are
     left out; ``cameras`` may bring its sides as columns."""
     own = [c for c in frame or () if isinstance(c, str)]
     c = cameras.select("scene", F.col("view").alias(view), *[F.col(n).alias("_" + n) for n in CAM], *own)
     sides = tuple(F.col(c) if isinstance(c, str) else F.lit(c) for c in frame) if frame else None
-    d = with_visible(points, c, ("wx", "wy", "wz"), frustum(sides)).drop(*own)
+    d = with_visible(points, c, ("wx", "wy", "wz"), frustum(sides), placed).drop(*own)
     p = G.world_to_camera(*_pose("_"), (F.col("wx"), F.col("wy"), F.col("wz")))
     d = d.withColumns({"_px": p[0], "_py": p[1], "z": p[2]}).filter("z > 0")
     u, v = G.project((F.col("_px"), F.col("_py"), F.col("z")), F.col("_fx"), F.col("_fy"), F.col("_cx"), F.col("_cy"))
@@ -191,11 +223,16 @@ def integrate_tsdf(depth: DataFrame, cameras: DataFrame, size: float, truncation
     for a in "xyz":
         b = F.floor(F.col("w" + a) / size).cast("int")
         near = near.withColumn("v" + a, b)
-    cells = near.select("scene", "vx", "vy", "vz").distinct()
+    sizes = depth.groupBy("scene", "view").agg(F.count("*").alias("n")).groupBy("scene").agg(F.sum("n").alias("n"), F.count("*").alias("views"))
+    most, pixels = sizes.agg(F.max(F.col("n") * F.col("views")), F.sum("n")).first()
+    near, fits = near.select("scene", "vx", "vy", "vz"), (most or 0) * (2 * spread + 1) ** 3 <= SCENE_PAIRS
+    if fits:  # every scene's voxels are found where its samples are
+        near = by_scene(near, -(-(pixels or 0) // (TASK_ROWS >> 3)))
+    cells = near.distinct()
     for a in "xyz":
         cells = cells.withColumn("v" + a, F.explode(F.sequence(F.col("v" + a) - spread, F.col("v" + a) + spread)))
     cells = cells.distinct().select("*", *[((F.col("v" + a) + 0.5) * size).alias("w" + a) for a in "xyz"])
-    seen = in_view(cells, with_frames(cameras, depth), frame=FRAME).withColumns({"x": F.floor(F.col("u") + 0.5).cast("int"), "y": F.floor(F.col("v") + 0.5).cast("int")})
+    seen = in_view(cells, with_frames(cameras, depth), frame=FRAME, placed=fits).withColumns({"x": F.floor(F.col("u") + 0.5).cast("int"), "y": F.floor(F.col("v") + 0.5).cast("int")})
     d = seen.join(dealt(depth.filter("depth > 0").select("scene", F.col("view").alias("src"), "y", "x", "depth")), ["scene", "src", "y", "x"])
     d = d.withColumn("s", F.col("depth") - F.col("z")).filter(F.col("s") >= -truncation).withColumn("s", F.least("s", F.lit(truncation)) / truncation)
     vox = ["scene", "vx", "vy", "vz"]

@@ -410,3 +410,25 @@ def test_cells_of_single_points_are_not_sorted(spark):
                 want[tuple(cell)] = min(want.get(tuple(cell), (np.inf, 0, 0)), (far, i, far if ahead else -far))
     assert got.keys() == {(k, *map(int, c)) for k in (1, 2) for c in want}
     assert all(abs(got[k, *map(int, c)] - w[2]) < 1e-9 for k in (1, 2) for c, w in want.items())
+
+
+def test_scenes_of_any_size_meet_their_cameras(spark, monkeypatch):
+    """Small scenes without boxes, crowded ones with them, both in one table: the same pairs in view."""
+    rng = np.random.default_rng(8)
+    rows = [(s, i, *map(float, p)) for s, n in ((0, 400), (1, 30), (2, 5)) for i, p in enumerate(rng.uniform(-3, 3, (n, 3)))]
+    points = spark.createDataFrame(rows, "scene long, point_id long, wx double, wy double, wz double")
+    cams = [(s, v, 1.0, 0.0, 0.0, 0.0, 0.3 * v, 0.0, -1.0, 8.0, 8.0, 3.5, 3.5) for s in (0, 1) for v in range(4)]
+    cameras = spark.createDataFrame(cams, "scene long, view int, " + ", ".join(f"{c} double" for c in V.CAM))
+    found = []
+    for pairs, boxed in ((1, True), (200, True), (1 << 15, False)):
+        monkeypatch.setattr(V, "SCENE_PAIRS", pairs)
+        seen = V.in_view(points, cameras, frame=(0.0, 8.0, 0.0, 8.0))
+        assert ("_block" in seen._jdf.queryExecution().optimizedPlan().toString()) == boxed
+        found.append(sorted((r.scene, r.point_id, r.src) for r in seen.filter("u >= 0 and u < 8 and v >= 0 and v < 8").collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    depth = spark.createDataFrame([(s, v, y, x, 2.0 + 0.01 * s) for s in (0, 1) for v in range(4) for y in range(8) for x in range(8)], "scene long, view int, y int, x int, depth double")
+    fields = []
+    for pairs in (1, 1 << 15):
+        monkeypatch.setattr(V, "SCENE_PAIRS", pairs)
+        fields.append(sorted((r.scene, r.vx, r.vy, r.vz, round(r.sdf, 9), r.weight) for r in V.integrate_tsdf(depth, cameras, 0.25, 0.3).collect()))
+    assert fields[0] == fields[1] and fields[0]
