@@ -36,14 +36,28 @@ def curve_code(dims: list[str]) -> Column:
     return code
 
 
+#: Distances that a Python worker holds at a time.
+STEP = 500_000
+
+
+def _distances(q: np.ndarray, tx: np.ndarray) -> np.ndarray:
+    """Between all rows of both, axis by axis: only two matrices of this size are held."""
+    total = np.zeros((len(q), len(tx)))
+    for a, b in zip(q.T, tx.T):
+        gap = np.subtract.outer(a, b)
+        gap *= gap
+        total += gap
+    return np.sqrt(total, out=total)
+
+
 def _nearest(q, tx, mult, tid, k, exclude, ties=False):
     """Flat arrays (query row, target row, distance, weight) of the nearest positions;
     with ``ties`` up to k positions of every distance at which fewer than k targets are closer."""
     keep = min(k + (1 if exclude else 0), len(tx))
     rows, cols, dist = [], [], []
-    step = max(1, 4_000_000 // max(len(tx), 1))
+    step = max(1, STEP // max(len(tx), 1))
     for s in range(0, len(q), step):
-        d = np.sqrt(((q[s:s + step, None, :] - tx[None, :, :]) ** 2).sum(axis=2))
+        d = _distances(q[s:s + step], tx)
         if keep < len(tx):
             kth = np.partition(d, keep - 1, axis=1)[:, keep - 1:keep]
             r, c = np.nonzero(d <= kth)
@@ -155,7 +169,7 @@ def knn(queries: DataFrame, targets: DataFrame, keys: list[str], query_id: str,
         if not top:
             other = ids != block
             ids, lo, hi = ids[other], lo[other], hi[other]
-        step = max(1, 2_000_000 // max(len(ids), 1))
+        step = max(1, STEP // max(len(ids), 1))
         for s in range(0, len(qx) if len(ids) else 0, step):
             p = qx[s:s + step, None, :]
             gap = np.sqrt((np.maximum(np.maximum(lo[None] - p, p - hi[None]), 0) ** 2).sum(axis=2))

@@ -432,3 +432,19 @@ def test_scenes_of_any_size_meet_their_cameras(spark, monkeypatch):
         monkeypatch.setattr(V, "SCENE_PAIRS", pairs)
         fields.append(sorted((r.scene, r.vx, r.vy, r.vz, round(r.sdf, 9), r.weight) for r in V.integrate_tsdf(depth, cameras, 0.25, 0.3).collect()))
     assert fields[0] == fields[1] and fields[0]
+
+
+def test_distances_are_held_a_little_at_a_time():
+    """The nearest of 3,000 among 4,000 places: the same bits as from whole differences, in a tenth of their memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    q, t = rng.normal(size=(3000, 3)), rng.normal(size=(4000, 3))
+    whole = np.sqrt(((q[:200, None, :] - t[None, :, :]) ** 2).sum(axis=2))
+    tracemalloc.start()
+    r, c, d, w = S._nearest(q, t, np.ones(len(t)), np.arange(len(t)), 8, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 4 million pairs at once took 193 MB
+    want = np.sort(whole, axis=1)[:, :8]
+    assert len(r) == 8 * len(q) and (d[r < 200].reshape(200, 8) == want).all()
