@@ -132,19 +132,20 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def rebuild_chain(records: DataFrame, log: str, order: list[str], payload: str = "payload") -> DataFrame:
+def rebuild_chain(records: DataFrame, log: str, order: list[str], payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """Hash chain per log: each hash covers the previous hash and the payload.
-    A chain is sequential by definition; logs run in parallel in constant memory."""
+    A chain is sequential by definition; logs run in parallel in constant memory.
+    Columns to ``keep`` stand beside the chain and are in no hash."""
     types = dict(records.dtypes)
 
     def step(state, row):
         state["seq"] += 1
         prev = state["hash"]
         state["hash"] = sha(f"{prev}|{getattr(row, payload)}")
-        return [(getattr(row, log), state["seq"], getattr(row, payload), prev, state["hash"])]
+        return [(getattr(row, log), state["seq"], getattr(row, payload), prev, state["hash"], *[getattr(row, c) for c in keep])]
 
-    return ordered_fold(records.select(log, *order, payload), [log], order, lambda: {"seq": 0, "hash": "genesis"}, step,
-                        f"{log} {types[log]}, seq long, payload string, prev_hash string, hash string")
+    return ordered_fold(records.select(log, *order, payload, *keep), [log], order, lambda: {"seq": 0, "hash": "genesis"}, step,
+                        ", ".join([f"{log} {types[log]}, seq long, payload string, prev_hash string, hash string", *[f"{c} {types[c]}" for c in keep]]))
 
 
 def verify_chain(chain: DataFrame, log: str) -> DataFrame:

@@ -448,3 +448,23 @@ def test_distances_are_held_a_little_at_a_time():
     assert peak < 40e6  # 4 million pairs at once took 193 MB
     want = np.sort(whole, axis=1)[:, :8]
     assert len(r) == 8 * len(q) and (d[r < 200].reshape(200, 8) == want).all()
+
+
+def test_anchors_meet_records_in_short_form(spark):
+    """Hashes of any text, some alike but for case or length; no payload is moved for the join."""
+    texts = ["ab12", "AB12", "0ab12", "ab1", "key", "", "ff" * 32, "ff" * 31 + "f"]
+    records = spark.createDataFrame([(i % 2, i, h, texts[i - 1] if i else "genesis", f"t{i}") for i, h in enumerate(texts)], "log int, seq long, hash string, prev_hash string, stamp string")
+    a = records.withColumnsRenamed({"seq": "anchor_no"}).withColumns({"event_id": F.lit("e"), "key_id": F.lit("key"), "status": F.lit("anchored"), "signature_ok": F.col("anchor_no") != 2})
+    a = a.withColumns({"prev_hash": F.when(F.col("anchor_no") == 3, F.lit("0AB12")).otherwise(F.col("prev_hash")), "hash": F.when(F.col("anchor_no") == 5, F.lit("00")).otherwise(F.col("hash"))})
+    a = a.withColumn("signature_payload", F.concat_ws("|", "hash", "prev_hash", "event_id", "stamp", "key_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = joins.verify_anchors(records, a.repartition(2, "log"), "log")
+        got = {r.log: (r.records, r.anchored, r.invalid_signatures, r.missing, r.unanchored_tail, r.ok) for r in d.collect()}
+        text = d._jdf.queryExecution().optimizedPlan().toString()
+        assert text.index("Join LeftOuter, ((log") < text.index("concat_ws")  # payloads are settled below the join
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {0: (4, 3, 1, 0, -2, False), 1: (4, 2, 0, 2, -3, False)}
+    rows = spark.createDataFrame([(t,) for t in texts], "h string").select("h", joins.packed("h").alias("p")).collect()
+    assert len({bytes(r.p) for r in rows}) == len(texts) and all(len(r.p) == 33 for r in rows if r.h == "ff" * 32)
