@@ -157,7 +157,7 @@ def _padded(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _row_sums(px: dict[str, np.ndarray], y, h, w, side) -> dict[str, np.ndarray]:
+def _row_sums(px: dict[str, np.ndarray], y, h, w, side, rim_step: int = 1) -> dict[str, np.ndarray]:
     """What one image row adds to the defect scores of its image: sums of powers of the
     gradients and the Laplacian, counts on the border and the ends of the mask's rim."""
     def around(c):
@@ -185,7 +185,7 @@ def _row_sums(px: dict[str, np.ndarray], y, h, w, side) -> dict[str, np.ndarray]
     least = np.ones(v.shape)
     for c in n.values():
         least = np.fmin(least, c)  # a missing neighbour counts as one
-    rim = on & (least == 0) & ((x + y) % 2 == 0)
+    rim = on & (least == 0) & ((x + y) % rim_step == 0)
     out |= {"border": border.sum(axis=1), "border_on": (border & on).sum(axis=1), "on": on.sum(axis=1), "rim": rim.sum(axis=1),
             "a": np.where(rim.any(axis=1), rim.argmax(axis=1), -1), "b": v.shape[1] - 1 - rim[:, ::-1].argmax(axis=1), "n": px["n"]}
     r, g, b = (px[c][:, 1:-1] for c in "rgb")
@@ -199,11 +199,12 @@ _SUMS = ([f"{c}{i} {'long' if i == 0 else 'double'}" for c, top in (("gx", 4), (
          + [f"{c} long" for c in ("border", "border_on", "on", "rim", "a", "b", "n", "over", "dark")])
 
 
-def defects(rows: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
+def defects(rows: DataFrame, keys: list[str], block: int = 256, rim_step: int = 1) -> DataFrame:
     """Seven defect scores per image from rows (keys, y, px) of pixel structs (r, g, b, l luma, m mask).
 
     A row of pixels is summed up in one go, with the rows beside it from its y-block
-    and a halo of one row, so pixels are never rows of a table."""
+    and a halo of one row, so pixels are never rows of a table.  The whole rim of the
+    mask counts, unless ``rim_step`` asks for the places where x + y is a multiple of it."""
     size = rows.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), F.max(F.size("px")).alias("_w"))
     shortest = F.least("_h", "_w")
     size = size.withColumn("_side", F.least(F.greatest(F.floor(shortest * 0.05 + 0.5), F.lit(2)), shortest - 1))
@@ -217,7 +218,7 @@ def defects(rows: DataFrame, keys: list[str], block: int = 256) -> DataFrame:
             n = pc.fill_null(pc.list_value_length(batch["m"]), 0).to_numpy(zero_copy_only=False).astype(int)
             wide = int(n.max(initial=0)) + 1
             px = {c: _padded(pc.list_slice(batch[c], 0, wide), wide) for c in [*"rgblm", "l_up", "l_dn", "m_up", "m_dn"]}
-            found = _row_sums({**px, "n": n}, *[batch[c].to_numpy(zero_copy_only=False).astype(int) for c in ("y", "_h", "_w", "_side")])
+            found = _row_sums({**px, "n": n}, *[batch[c].to_numpy(zero_copy_only=False).astype(int) for c in ("y", "_h", "_w", "_side")], rim_step)
             cols = {c: batch[c] for c in (*keys, "y")}
             for c in _SUMS:
                 name, kind = c.split()

@@ -77,7 +77,7 @@ DEF = f"""gr AS (SELECT frame_id, CASE WHEN {IN} THEN v_ne+2*v_e+v_se-v_nw-2*v_w
   ed AS (SELECT frame_id, {_kurt('gx')}+{_kurt('gy')} AS kb, avg(lap*lap)-avg(lap)*avg(lap) AS blur FROM gr GROUP BY 1),
   sz AS (SELECT frame_id, max(y)+1 h, max(x)+1 w, least(greatest(floor(least(max(y)+1,max(x)+1)*0.05::DOUBLE+0.5::DOUBLE),2),least(max(y)+1,max(x)+1)-1) bw FROM rgb GROUP BY 1),
   lk AS (SELECT frame_id, count(*) FILTER (bor AND mask>0)/greatest(count(*) FILTER (bor),1) leak, count(*) FILTER (mask>0) area FROM (SELECT rgb.*, (y<bw OR y+bw>=h OR x<bw OR x+bw>=w) bor FROM rgb JOIN sz USING (frame_id)) GROUP BY 1),
-  rim AS (SELECT frame_id, x, y FROM ln WHERE m=1 AND (x+y)%2=0 AND least(coalesce(m_n,1),coalesce(m_s,1),coalesce(m_w,1),coalesce(m_e,1),coalesce(m_nw,1),coalesce(m_ne,1),coalesce(m_sw,1),coalesce(m_se,1))=0),
+  rim AS (SELECT frame_id, x, y FROM ln WHERE m=1 AND least(coalesce(m_n,1),coalesce(m_s,1),coalesce(m_w,1),coalesce(m_e,1),coalesce(m_nw,1),coalesce(m_ne,1),coalesce(m_sw,1),coalesce(m_se,1))=0),
   ex AS (SELECT frame_id, y, min(x) x FROM rim GROUP BY 1,2 UNION SELECT frame_id, y, max(x) FROM rim GROUP BY 1,2),
   he AS (SELECT p.frame_id, p.x px, p.y py, q.x qx, q.y qy FROM ex p JOIN ex q ON p.frame_id=q.frame_id AND (p.x,p.y)<>(q.x,q.y) JOIN ex o ON o.frame_id=p.frame_id GROUP BY 1,2,3,4,5
     HAVING bool_and((q.x-p.x)*(o.y-p.y)-(q.y-p.y)*(o.x-p.x) > 0 OR ((q.x-p.x)*(o.y-p.y)-(q.y-p.y)*(o.x-p.x) = 0 AND (o.x-p.x)*(o.x-q.x)+(o.y-p.y)*(o.y-q.y) <= 0))),
@@ -85,16 +85,17 @@ DEF = f"""gr AS (SELECT frame_id, CASE WHEN {IN} THEN v_ne+2*v_e+v_se-v_nw-2*v_w
   oe AS (SELECT frame_id, sum((r>=254)::INT+(g>=254)::INT+(b>=254)::INT)/(3*count(*)) ov, sqrt(pow(avg(r)-avg(g),2)+pow(avg(b)-avg(g),2)) cast_, count(*) FILTER (mask>0 AND r+g+b<30)/greatest(count(*) FILTER (mask>0),1) bk FROM rgb GROUP BY 1),
   df AS (SELECT ed.frame_id, kb edge_banding, leak background_leak, CASE WHEN area=0 THEN 0 WHEN coalesce(rn,0)<3 THEN 1 WHEN ha<=1e-6 THEN 1 ELSE area/greatest(ha,1) END erosion, blur, ov overexposure, cast_ colour_cast, bk black_dots
     FROM ed JOIN lk USING (frame_id) JOIN oe USING (frame_id) LEFT JOIN hl USING (frame_id) LEFT JOIN rc USING (frame_id))"""
+EVEN_RIM = DEF.replace("WHERE m=1 AND least(", "WHERE m=1 AND (x+y)%2=0 AND least(")
 NAMES = ["edge_banding", "background_leak", "erosion", "blur", "overexposure", "colour_cast", "black_dots"]
 
 
-def defect_table(t):
-    return I.defects(rgb_rows(t), FR)
+def defect_table(t, rim_step=1):
+    return I.defects(rgb_rows(t), FR, rim_step=rim_step)
 
 
-@query("4.6", with_ctes("SELECT frame_id, " + ", ".join(f"round({c},4)+0.0::DOUBLE {c}" for c in NAMES) + " FROM df", LUM, DEF))
+@query("4.6", with_ctes("SELECT frame_id, " + ", ".join(f"round({c},4)+0.0::DOUBLE {c}" for c in NAMES) + " FROM df", LUM, EVEN_RIM))
 def defect_assessment(t):
-    return defect_table(t).select("frame_id", *[rnd(c, 4).alias(c) for c in NAMES])
+    return defect_table(t, rim_step=2).select("frame_id", *[rnd(c, 4).alias(c) for c in NAMES])
 
 
 @query("4.47 4.6", with_ctes("WITH s AS (" + " UNION ALL ".join(f"SELECT frame_id, {d} sc, {th}::DOUBLE th, {str(lo).lower()} lo, '{a}' act FROM df" for d, th, lo, a in I.DEFECT_RULES)

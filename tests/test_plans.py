@@ -85,3 +85,13 @@ def test_defect_scores_take_whole_rows(spark):
     st = imaging.stencil(rows.select("f", "y", F.transform("px", lambda p: p.l).alias("px")), ["f"])
     lap = st.select("f", F.when(imaging.interior(), imaging.laplacian()).otherwise(0.0).alias("v")).groupBy("f").agg((F.avg(F.col("v") * F.col("v")) - F.avg("v") * F.avg("v")).alias("b"))
     assert all(abs(r.b - x[names.index("blur")]) < 1e-6 for r, x in zip(lap.orderBy("f").collect(), got))
+
+
+def test_defect_scores_see_the_whole_rim(spark):
+    from scanloom.operators import imaging
+
+    # a mask whose corners lie where x + y is odd: hull of the rim from (2, 1) to (9, 8), 8 by 8 pixels
+    px = [(0, y, [{"r": 9, "g": 9, "b": 9, "l": 9.0, "m": int(2 <= x <= 9 and 1 <= y <= 8)} for x in range(12)]) for y in range(10)]
+    rows = spark.createDataFrame(px, "f int, y int, px array<struct<r:int, g:int, b:int, l:double, m:int>>")
+    assert abs(imaging.defects(rows, ["f"]).first().erosion - 64 / 49) < 1e-9
+    assert "(x+y)%2" not in QUERIES["frame_quality_score"].sql
