@@ -62,11 +62,12 @@ def top_features(features: DataFrame, per_image: int, border: int, width: int, h
 
 def spectral_peaks(spectrum: DataFrame, keys: list[str], k: int = 6) -> DataFrame:
     """Bins strictly above their two neighbours on both sides, k strongest per chunk.
-    Neighbours are found by shifting the bin number, so one aggregate suffices."""
-    near = spectrum.select(*keys, F.explode(F.array(*[F.struct((F.col("bin") + d).alias("bin"), F.lit(d).alias("d"), F.col("magnitude").alias("m")) for d in (-2, -1, 0, 1, 2)])).alias("n"))
+    Neighbours are found by shifting the bin number, so one aggregate suffices.
+    Chunks without a key and neighbours without a magnitude count for nothing."""
+    near = spectrum.dropna(subset=keys).select(*keys, F.explode(F.array(*[F.struct((F.col("bin") + d).alias("bin"), F.lit(d).alias("d"), F.col("magnitude").alias("m")) for d in (-2, -1, 0, 1, 2)])).alias("n"))
     around = near.groupBy(*keys, F.col("n.bin").alias("bin")).agg(
         F.max(F.when(F.col("n.d") == 0, F.col("n.m"))).alias("magnitude"),
-        F.count(F.when(F.col("n.d") != 0, F.lit(1))).alias("c"), F.max(F.when(F.col("n.d") != 0, F.col("n.m"))).alias("best"))
+        F.count(F.when(F.col("n.d") != 0, F.col("n.m"))).alias("c"), F.max(F.when(F.col("n.d") != 0, F.col("n.m"))).alias("best"))
     peaks = around.filter((F.col("c") == 4) & (F.col("magnitude") > F.col("best"))).drop("c", "best")
     return top_per_key(peaks, keys, [F.desc("magnitude"), F.col("bin")], k)
 

@@ -41,6 +41,13 @@ def test_equal_magnitudes_are_no_peak_in_any_order(spark, tmp_path):
     assert QUERIES["spectral_peak_top"].run(spark, str(tmp_path)).collect() == []
 
 
+def test_peaks_without_a_user_or_a_neighbour_are_none(spark, duck, tmp_path):
+    day, schema = datetime.datetime(2024, 1, 1), "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    bins = [(user, b, None if user == 3 and b == 1 else 5.0 if b == 2 else 1.0) for user in (None, 1, 3) for b in range(5)]
+    rows = [(i, day, user, "view", v, f'{{"k": {4 * b}}}') for i, (user, b, v) in enumerate(bins)]
+    assert same_as_sql(spark, duck, tmp_path, "spectral_peak_top", "events", rows, schema) == 1
+
+
 def test_votes_are_written_without_sums_that_follow_from_the_offset(spark):
     import glob
 
