@@ -53,3 +53,23 @@ def test_empty_and_alone(spark):
 def test_products_beyond_a_long(spark):
     with pytest.raises(ValueError):
         run(spark, [(0, [1e30], 1, "x"), (1, [1.0], 1, "x")])
+
+
+def test_blocks_are_packed_small_and_dealt_to_tasks_by_pairs(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], 1, "x") for i in range(400)]
+    vectors = exact_topk.quantised(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding")
+    found = exact_topk.top_k(vectors, vectors.filter("id % 2 = 0"), block=8)
+    plan = found._jdf.queryExecution().toString()
+    # 7 query blocks of 32 and 50 candidate blocks: no task gets more as the tables grow
+    assert f", {-(-7 * 50 // exact_topk.PAIRS)})" in plan and "REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, found.collect())) == brute(rows, every=2)
+    ids, flat = exact_topk._packed(vectors.limit(3).toArrow(), exact_topk.np.int16)
+    assert len(ids) == 24 and len(flat) == 3 * 6 * 2
+
+
+def test_wide_numbers_stay_exact(spark):
+    rng = random.Random(5)
+    for size in (4, 64, 1 << 20):  # inner products in floats, doubles and longs
+        rows = [(i, [rng.randint(-999, 999) * size / 1024 for _ in range(3)], 1, "x") for i in range(40)]
+        assert run(spark, rows) == brute(rows)
