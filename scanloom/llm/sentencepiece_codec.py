@@ -36,6 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: New units encoded at once; the tokenizers library keeps about 2 KB for each meanwhile.
 LEARN = 1 << 13
+#: New units encoded as one text.
+JOIN = 32
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -142,6 +144,7 @@ class Codec:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
         self.unknown = next((i for i, p in enumerate(self.model.pieces) if p[2] == UNKNOWN), 0)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.starts_unit = np.array([p.startswith(MARKER) for p, _, _ in self.model.pieces])
         self.unit = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
         self.remember = remember
         self.known: dict[str, int] = {}
@@ -191,17 +194,46 @@ class Codec:
     def _learn(self, keys: list[str]) -> None:
         """Encode new units on several threads and hold them against the library."""
         units = [k if k[0] == MARKER or not self.model.dummy_prefix else MARKER + k for k in keys]
+        joined = [len(u) > 1 and u.rfind(MARKER) == 0 for u in units] if self.plain and self.model.kind == BPE and self.model.dummy_prefix else [False] * len(units)
+        for pick, encoded in ((True, self._joined), (False, self._single)):
+            some = [u for u, j in zip(units, joined, strict=True) if j is pick]
+            if some:
+                ids, size, same, back = encoded(some)
+                self.known.update(zip((k for k, j in zip(keys, joined, strict=True) if j is pick), range(len(self.uses), len(self.uses) + len(some)), strict=True))
+                self.same, self.back, self.uses = np.r_[self.same, same], np.r_[self.back, back], np.r_[self.uses, np.zeros(len(some), np.int64)]
+                self.ids, self.starts = np.concatenate([self.ids, ids]), np.r_[self.starts, self.starts[-1] + np.cumsum(size)]
+
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units that start with their only marker, their numbers, whether the library gives the same and
+        whether they decode to the unit.  Some are one text: every piece that starts with a marker begins a unit."""
+        texts = ["".join(units[at : at + JOIN]) for at in range(0, len(units), JOIN)]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(encoded), np.int32)
+        starts = np.flatnonzero(self.starts_unit[ids])
+        if len(starts) != len(units) or starts[0]:
+            return self._single(units)
+        wanted = self.reference.encode([t[1:].replace(MARKER, " ") for t in texts], num_threads=1)
+        if wanted == encoded:
+            same = np.ones(len(units), bool)
+        else:
+            ends = np.r_[starts[1:], len(ids)].tolist()
+            same = np.array([w == ids[a:b].tolist() for w, a, b in zip(self._wanted(units), starts.tolist(), ends, strict=True)], bool)
+        back = np.repeat([d == t.replace(MARKER, " ") for d, t in zip(self.tokenizer.decode_batch(encoded, skip_special_tokens=False), texts, strict=True)], JOIN)[: len(units)]
+        size = np.diff(np.r_[starts, len(ids)])
+        for i in np.flatnonzero(~back).tolist():
+            back[i] = self.tokenizer.decode(ids[starts[i] : starts[i] + size[i]].tolist(), skip_special_tokens=False) == units[i].replace(MARKER, " ")
+        return ids, size, same, back
+
+    def _single(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of any units, one by one."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         if self.named:
             encoded = [self._hidden(u) if self.named.search(u) else e for u, e in zip(units, encoded, strict=True)]
         texts = self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
         same = [w == e for w, e in zip(self._wanted(units), encoded, strict=True)] if self.plain else [True] * len(units)
-        self.same = np.r_[self.same, np.array(same, bool)]
-        self.back = np.r_[self.back, np.array([t == u.replace(MARKER, " ") for t, u in zip(texts, units, strict=True)], bool)]
-        self.known.update(zip(keys, range(len(self.uses), len(self.uses) + len(keys)), strict=True))
-        self.uses = np.r_[self.uses, np.zeros(len(units), np.int64)]
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))])
-        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(e) for e in encoded])]
+        back = [t == u.replace(MARKER, " ") for t, u in zip(texts, units, strict=True)]
+        size = np.array([len(e) for e in encoded], np.int64)
+        return np.fromiter(chain.from_iterable(encoded), np.int32, int(size.sum())), size, np.array(same, bool), np.array(back, bool)
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool, bool]]:
         """(ids, decodes to the normalised text, same as the library) of whole texts; null is empty."""
@@ -211,13 +243,15 @@ class Codec:
         new = list(set().union(*split) - self.known.keys())
         for at in range(0, len(new), LEARN):
             self._learn(new[at : at + LEARN])
-        out = []
+        out, used = [], []
         for text, units in zip(texts, split, strict=True):
             numbers = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-            np.add.at(self.uses, numbers, 1)
+            used.append(numbers)
             ids = _gathered(self.ids, self.starts, numbers)[0]
             same = bool(self.same[numbers].all()) if self.plain else ids.tolist() == self.reference.encode(text or "")
             out.append((ids, bool(self.back[numbers].all()), same))
+        if used:
+            self.uses += np.bincount(np.concatenate(used), minlength=len(self.uses))
         return out
 
     def decode(self, batch: list[list[int] | None]) -> list[str | None]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import boxed, carried, slices, space_words, unboxed
-from scanloom.operators.graph import connected_components
+from scanloom.operators.graph import connected_components, fold
 from scanloom.session import checkpointed
 
 SEGMENTS, WIDTH = 2, 32
@@ -101,17 +101,6 @@ def _neighbours(fps: np.ndarray, bits: int, free: list[int]) -> Iterator[tuple[n
                 yield hit, order[at[hit]]
 
 
-def _fold(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    """Join the trees of linked members in place (hooking to the smaller root, then pointer jumping)."""
-    while len(left):
-        a, b = root[left], root[right]
-        live = a != b
-        left, right, a, b = left[live], right[live], a[live], b[live]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 def _forest(members: int, linked: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Root (smallest member number) of every member; links are folded in as they come, so few are held."""
     root, left, right, held = np.arange(members), [], [], 0
@@ -120,10 +109,10 @@ def _forest(members: int, linked: Iterator[tuple[np.ndarray, np.ndarray]]) -> np
         right.append(b)
         held += len(a)
         if held > FOLD:
-            _fold(root, np.concatenate(left), np.concatenate(right))
+            fold(root, np.concatenate(left), np.concatenate(right))
             left, right, held = [], [], 0
     if held:
-        _fold(root, np.concatenate(left), np.concatenate(right))
+        fold(root, np.concatenate(left), np.concatenate(right))
     return root
 
 

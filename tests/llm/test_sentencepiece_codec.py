@@ -125,3 +125,29 @@ def test_parity_of_models_that_squeeze_spaces():
         assert same and ids.tolist() == library.encode(text or ""), text
     own.reference = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
     assert not own.encode(["a  b"])[0][2]
+
+
+def test_new_units_are_encoded_together():
+    import random
+
+    from scanloom.llm import sentencepiece_codec as sc
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeéß漢😀<x0") for _ in range(rng.randint(1, 9))) for _ in range(700)] + ["<0x41>", "</s>", "\u0000"]
+    units = [sc.MARKER + w for w in words]
+    together, alone = sc.Codec(sc.load()), sc.Codec(sc.load())
+    asked = []
+    encode, tokenizer = together.tokenizer.encode_batch_fast, together.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            asked.append(len(texts))
+            return encode(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+    together.tokenizer = Counting()
+    got, want = together._joined(units), alone._single(units)
+    assert all(a.tolist() == b.tolist() for a, b in zip(got, want, strict=True)) and got[2].all()
+    assert sum(asked) <= -(-len(units) // sc.JOIN)

@@ -231,3 +231,21 @@ def test_audit_lines_without_a_record(spark):
     lines = spark.createDataFrame([(1, '{"event": {"id": "x"}, "prev_hash": "p", "hash": "h"}'), (2, "{broken"), (3, "{}")], "seq long, value string")
     assert [r.seq for r in S.read_audit(lines, "seq").collect()] == [1]
     assert sorted(r.seq for r in S.audit_rejects(lines, "seq").collect()) == [2, 3]
+
+
+def test_few_links_are_settled_in_one_task(spark, monkeypatch):
+    from scanloom.operators import graph
+
+    links = [(bytes([a]), bytes([b])) for a, b in [(1, 2), (3, 2), (200, 201), (9, 9), (201, 5)]]
+    edges, nodes = spark.createDataFrame(links, "u binary, v binary"), spark.createDataFrame([(bytes([i]),) for i in (1, 2, 3, 5, 7, 9, 200, 201)], "id binary")
+    cuts = []
+    monkeypatch.setattr(graph, "checkpointed", lambda d, cut=graph.checkpointed: cuts.append(1) or cut(d))
+
+    def found(e):
+        return sorted((bytes(r.id), bytes(r.component)) for r in graph.connected_components(nodes, e).collect())
+
+    one_task = found(edges)
+    assert len(cuts) == 1 and one_task == [(bytes([i]), bytes([c])) for i, c in [(1, 1), (2, 1), (3, 1), (5, 5), (7, 7), (9, 9), (200, 5), (201, 5)]]
+    assert found(edges.filter("false")) == [(bytes([i]), bytes([i])) for i in (1, 2, 3, 5, 7, 9, 200, 201)]
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert found(edges) == one_task and len(cuts) > 3
