@@ -87,3 +87,18 @@ def test_meshes_are_settled_in_one_task_or_in_rounds(spark, duck, tmp_path, monk
     for name in ("small_components_removed", "hole_filling"):
         assert same_as_sql(spark, duck, tmp_path / f"{name}-2", name, "embeddings", rows, VECTORS) > 0
     assert len(asked) == 2
+
+
+def test_votes_far_from_the_winner_are_not_written(spark):
+    import glob
+
+    from scanloom.operators.joins import align_hashes
+    from scanloom.session import shared_dir
+
+    track = spark.createDataFrame([(t, f"h{i}", i) for t in (1, 2) for i in range(30)], "id long, hash string, time int")
+    ref = spark.createDataFrame([(f"h{i}", i + d) for i in range(30) for d in (5, 100 + 7 * i, 900 - 11 * i)], "hash string, time long")
+    before = set(glob.glob(f"{shared_dir(spark)}/votes-*"))
+    got = align_hashes(track, ref, ["id"], 20).collect()
+    assert sorted((r.id, r.best_ms, r.votes, r.pairs, r.stretch) for r in got) == [(1, 100, 30, 30, 1.0), (2, 100, 30, 30, 1.0)]
+    (path,) = set(glob.glob(f"{shared_dir(spark)}/votes-*")) - before
+    assert spark.read.parquet(path).count() == 2  # of 61 offsets a track
